@@ -33,6 +33,20 @@ def cosine(a: Column, b: Column, eps: float = 1e-6) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(eps))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def weighted_sum(vec: str, weight: Column | None = None) -> Column:
+    """Aggregate: element-wise (weighted) sum of array vectors; combines before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = array_to_vector(F.col(vec))
+    return vector_to_array(Summarizer.sum(v) if weight is None else Summarizer.sum(v, weight))
+
+
 def scale(a: Column, k) -> Column:
     k = k if isinstance(k, Column) else F.lit(float(k))
     return F.transform(a, lambda x: x.cast("double") * k)
@@ -40,8 +54,8 @@ def scale(a: Column, k) -> Column:
 
 def normalise(a: Column, eps: float = 0.0) -> Column:
     """Unit vector. With ``eps`` the norm is padded, otherwise a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n + F.lit(eps) > 0, x.cast("double") / (n + F.lit(eps))).otherwise(0.0))
+    pair = F.struct(a.alias("v"), (norm(a) + F.lit(eps)).alias("n"))
+    return let(pair, lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x.cast("double") / p["n"]).otherwise(0.0)))
 
 
 def weighted_concat(a: Column, wa: float, b: Column, wb: float) -> Column:

@@ -91,7 +91,7 @@ def energy_slope_start(starts: DataFrame, energies: DataFrame, keys: tuple[str,
     near = near.withColumn("_nt", F.lead("_et").over(w)).withColumn("_ne", F.lead("_ee").over(w))
     dt = F.col("_nt") - F.col("_et")
     near = near.withColumn("_slope", F.abs(F.when(dt > 0, (F.col("_ne") - F.col("_ee")) / dt).otherwise(F.when(F.col("_nt").isNotNull(), 0.0))))
-    g = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_slope").alias("_ms"), F.min_by("_et", F.struct((-F.col("_slope")).alias("a"), F.col("_et").alias("b"))).alias("_pt"))
+    g = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max("_slope").alias("_ms"), F.min_by("_et", F.when(F.col("_slope").isNotNull(), F.struct((-F.col("_slope")).alias("a"), F.col("_et").alias("b")))).alias("_pt"))
     j = join_on(starts, g, keys, "left")
     ok = (F.col("_n") >= 3) & (F.col("_ms") >= p.slope)
     return j.withColumn("start_phys", F.when(ok, F.col("_pt")).otherwise(F.col("start_logic"))).drop("_n", "_ms", "_pt")

@@ -1,6 +1,12 @@
 """Imports every module that registers queries."""
 
-from chronotrace.plans import graph_queries, interval_queries, window_queries  # noqa: F401
+from chronotrace.plans import (  # noqa: F401
+    graph_queries,
+    interval_queries,
+    metric_queries,
+    similarity_queries,
+    window_queries,
+)
 from chronotrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -227,6 +227,8 @@ def sql_with(views: str, body: str) -> str:
         visit(v)
     ctes = [f"{v} AS ({_SQL[v][1]})" for v in order]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:] if ctes else body
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body

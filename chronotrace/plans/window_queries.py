@@ -14,12 +14,6 @@ from chronotrace.plans.registry import query
 from chronotrace.session import cut
 
 K = ("video_id", "entity_id")
-DOT = "list_sum(list_transform(list_zip({a}, {b}), p -> p[1] * p[2]))"
-
-
-def dot_sql(a: str, b: str) -> str:
-    return f"list_inner_product({a}, {b})"
-
 
 CHANGE = """ch AS (SELECT video_id, frame_idx, list_inner_product(feat, feat) + list_inner_product(pf, pf) - 2 * list_inner_product(feat, pf)
  + 1 - list_inner_product(feat, pf) / (sqrt(list_inner_product(feat, feat)) * sqrt(list_inner_product(pf, pf)) + CAST(1e-6 AS DOUBLE)) AS c, row_number() OVER (PARTITION BY video_id ORDER BY frame_idx) - 1 AS i
@@ -231,7 +225,7 @@ def window_mean(spark, d):
     return fr.window_mean_scores(_spine(spark, d), w).withColumn("score", F.round("score", 9))
 
 
-GT = "gt AS (SELECT sp.video_id, sp.frame_idx, CAST(bool_or(coalesce(frame_idx >= least(a.s // 30, 719) AND frame_idx < least(a.e // 30, 720), false)) AS INT) AS gt FROM sp LEFT JOIN ann a ON a.video_id = sp.video_id AND sp.frame_idx BETWEEN a.s // 30 - 1 AND a.e // 30 + 1 GROUP BY ALL)"
+GT = "gt AS (SELECT sp.video_id, sp.frame_idx, CAST(bool_or(coalesce(frame_idx >= least(a.s // 30, 719) AND frame_idx < least(a.e // 30, 720), false)) AS INT) AS gt FROM sp LEFT JOIN ann a ON a.video_id = sp.video_id GROUP BY ALL)"
 
 
 def _gt(spark, d, inclusive=False):
@@ -419,9 +413,9 @@ def frame_auc(spark, d):
     return s.select(F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"), "positives", "negatives")
 
 
-@query("a46_frame_mean_and_max", f"WITH {SPINE}, {RAMP} SELECT video_id, round(avg(score), 7) AS mean_score, round(max(score), 7) AS video_score FROM rs GROUP BY ALL", "verdicts")
+@query("a46_frame_mean_and_max", f"WITH {SPINE}, {RAMP} SELECT video_id, round(avg(score), 10) AS mean_score, round(max(score), 7) AS video_score FROM rs GROUP BY ALL", "verdicts")
 def frame_mean_max(spark, d):
-    return _ramp(spark, d).groupBy("video_id").agg(F.round(F.avg("score"), 7).alias("mean_score"), F.round(F.max("score"), 7).alias("video_score"))
+    return _ramp(spark, d).groupBy("video_id").agg(F.round(F.avg("score"), 10).alias("mean_score"), F.round(F.max("score"), 7).alias("video_score"))
 
 
 @query("t08_even_picks", "SELECT video_id, seg_idx, CAST(i AS INTEGER) AS pick_idx, CAST(floor(start_frame + i * ((end_frame - 1 - start_frame) / CAST(7 AS DOUBLE))) AS BIGINT) AS pick FROM segs, range(8) r(i)", "segs")
