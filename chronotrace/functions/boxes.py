@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(c: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """``c`` limited to [lo, hi]; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def box_iou(ax, ay, aw, ah, bx, by, bw, bh) -> Column:
