@@ -31,6 +31,10 @@ RESULT_FIELDS = ["status", "anomaly_segments", "cinematic_filter"]
 SEGMENT_FIELDS = ["start", "end", "confidence", "reason"]
 
 
+def _lacks(items: Column, field: str) -> Column:
+    return F.exists(items, lambda x: x[field].isNull())
+
+
 def result_errors(js: Column) -> Column:
     """Messages about a result document: missing keys, unknown status, contradictions."""
     g = lambda k: F.get_json_object(js, f"$.{k}")
@@ -41,25 +45,59 @@ def result_errors(js: Column) -> Column:
         *[(g(f).isNull(), f"missing {f}") for f in RESULT_FIELDS],
         (status.isNotNull() & (status != "") & ~status.isin(*STATUSES), "invalid status"),
         (g("anomaly_segments").isNotNull() & segs.isNull(), "anomaly_segments is not a list"),
-        *[(F.exists(parsed, lambda x, f=f: x[f].isNull()), f"segment without {f}") for f in SEGMENT_FIELDS],
+        *[(_lacks(parsed, f), f"segment without {f}") for f in SEGMENT_FIELDS],
         ((status == "Anomaly Detected") & (F.coalesce(segs, F.lit(0)) == 0), "anomaly without segments"),
         ((status == "Normal") & (segs > 0), "normal with segments"),
     )
 
 
+# Fields of a snapshot document and their kinds.
+SNAPSHOT_REQUIRED = ["entities"]
+SNAPSHOT_KINDS = {
+    "frame_id": "int", "timestamp": "number", "entities": "list", "scene": "object", "motion_energy": "number", "is_cinematic": "bool", "visual_danger_score": "number",
+}
+SCENE_KINDS = {"type": "text", "zones": "list", "crowd_density": "text"}
+ENTITY_REQUIRED = ["portrait", "action"]
+ENTITY_OPTIONAL = ["action_object", "location", "posture"]
+KIND_PREFIXES = {
+    "int": ["BIGINT"], "number": ["BIGINT", "DOUBLE", "DECIMAL", "FLOAT"], "text": ["STRING"], "list": ["ARRAY"], "object": ["OBJECT"], "bool": ["BOOLEAN"],
+}
+
+
+def _wrong_kind(doc: Column, path: str, kind: str) -> Column:
+    """True where the value at ``path`` is present, not null and of another kind."""
+    got = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    fits = F.lit(False)
+    for prefix in KIND_PREFIXES[kind]:
+        fits = fits | F.startswith(got, F.lit(prefix))
+    return F.coalesce((got != "VOID") & ~fits, F.lit(False))
+
+
+def _absent(doc: Column, path: str) -> Column:
+    return F.try_variant_get(doc, path, "variant").isNull()
+
+
 def snapshot_errors(js: Column) -> Column:
-    """Messages about a snapshot document: required keys, types, ranges, nameless entities."""
-    vj = F.try_parse_json(js)
-    has = lambda k: F.get_json_object(js, f"$.{k}").isNotNull()
-    kind = lambda k: F.schema_of_variant(F.try_variant_get(vj, f"$.{k}", "variant"))
-    danger = F.get_json_object(js, "$.visual_danger_score").try_cast("double")
-    ents = F.from_json(F.get_json_object(js, "$.entities"), "array<struct<portrait:string,action:string>>")
+    """Messages about a snapshot document: required fields, kinds, ranges, entities."""
+    doc = F.try_parse_json(js)
+    danger = F.try_variant_get(doc, "$.visual_danger_score", "double")
+    ents = F.try_variant_get(doc, "$.entities", "array<variant>")
+
+    def entity_bad(e: Column) -> Column:
+        out = F.lit(False)
+        for f in ENTITY_REQUIRED:
+            out = out | _absent(e, f"$.{f}") | _wrong_kind(e, f"$.{f}", "text")
+        for f in ENTITY_OPTIONAL:
+            out = out | _wrong_kind(e, f"$.{f}", "text")
+        return out
+
     return errors_of(
-        *[(~has(f), f"missing {f}") for f in ("frame_id", "timestamp", "entities")],
-        (has("entities") & ~F.startswith(kind("entities"), F.lit("ARRAY")), "entities is not a list"),
+        (doc.isNull(), "snapshot is not a document"),
+        *[(doc.isNotNull() & _absent(doc, f"$.{f}"), f"missing {f}") for f in SNAPSHOT_REQUIRED],
+        *[(_wrong_kind(doc, f"$.{f}", k), f"{f} is not {k}") for f, k in SNAPSHOT_KINDS.items()],
+        *[(_wrong_kind(doc, f"$.scene.{f}", k), f"scene.{f} is not {k}") for f, k in SCENE_KINDS.items()],
+        (F.exists(ents, entity_bad), "bad entity"),
         ((danger < 0) | (danger > 1), "visual_danger_score out of range"),
-        (has("is_cinematic") & (kind("is_cinematic") == "STRING") & ~F.get_json_object(js, "$.is_cinematic").isin("true", "false", "True", "False"), "is_cinematic is not boolean"),
-        (F.exists(ents, lambda e: e["portrait"].isNull() | e["action"].isNull()), "entity without portrait or action"),
     )
 
 

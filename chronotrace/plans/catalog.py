@@ -5,6 +5,7 @@ from chronotrace.plans import (  # noqa: F401
     interval_queries,
     metric_queries,
     source_queries,
+    stateful_queries,
     similarity_queries,
     text_queries,
     window_queries,

@@ -322,7 +322,7 @@ def result_checks(spark, d):
     return v.obs(spark, d).select("event_id", F.array_join(rg.result_errors(js), ",").alias("errors"))
 
 
-@query("p21_snapshot_checks", "SELECT event_id, concat_ws(',', CASE WHEN k % 7 = 0 THEN 'missing frame_id' END, CASE WHEN k % 5 = 0 THEN 'entities is not a list' END, CASE WHEN k > 50 THEN 'visual_danger_score out of range' END, CASE WHEN k % 3 <> 0 THEN 'is_cinematic is not boolean' END) AS errors FROM obs", "obs")
+@query("p21_snapshot_checks", "SELECT event_id, concat_ws(',', CASE WHEN k % 5 = 0 THEN 'entities is not list' END, CASE WHEN k % 3 <> 0 THEN 'is_cinematic is not bool' END, CASE WHEN k > 50 THEN 'visual_danger_score out of range' END) AS errors FROM obs", "obs")
 def snapshot_checks(spark, d):
     from chronotrace.operators import regions as rg
 
