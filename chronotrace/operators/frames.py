@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotrace.operators.ordered import Lane, join_on, running
+from chronotrace.session import cut
 
 
 def frame_spine(recordings: DataFrame, total: Column | None = None, step: int = 1) -> DataFrame:
@@ -96,6 +97,7 @@ def interpolate(spine: DataFrame, samples: DataFrame, value: str, lane: Lane, ta
     """
     pos = lane.order[0]
     j = join_on(spine, samples.select(*lane.keys, pos, F.col(value).alias("_v")), (*lane.keys, pos), "left")
+    j = cut(j)  # the two passes below read it four times
     known = F.when(F.col("_v").isNotNull(), F.struct(F.col(pos).alias("p"), F.col("_v").alias("v")))
     j = running(j, lane, {"_b": ("last", known)})
     j = j.withColumn("_neg", -F.col(pos))

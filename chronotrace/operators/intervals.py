@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronotrace.operators.ordered import Lane, islands, join_on, neighbours, running
+from chronotrace.session import cut
 
 BKT = "_bkt"
 
@@ -108,6 +109,7 @@ def nearest_point(
     both = pts.select(*keys, "_ax", F.lit(0).alias("_side"), "_pt", F.lit(None).cast(void_row).alias("_row")).unionByName(
         pr.select(*keys, "_ax", F.lit(1).alias("_side"), F.lit(None).cast(void_pt).alias("_pt"), "_row")
     )
+    both = cut(both)  # the two passes below read it four times
     width = 60.0
     fwd = Lane(keys, ("_ax", "_side"), width)
     both = running(both, fwd, {"_before": ("last", F.when(F.col("_pt").isNotNull(), F.struct("_ax", "_pt")))})

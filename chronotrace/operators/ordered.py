@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from chronotrace.session import cut
 
 SLICE = "_slice"
+SMALL_QUANTILE_INPUT = 1_000_000  # distinct values that one aggregation may hold
 
 
 @dataclass(frozen=True)
@@ -129,8 +130,10 @@ def neighbours(
     lane: Lane,
     previous: dict[str, Column] | None = None,
     following: dict[str, Column] | None = None,
+    number: str | None = None,
 ) -> DataFrame:
-    """Values of the row just before / just after (null at the ends)."""
+    """Values of the row just before / just after (null at the ends), and with ``number`` the
+    0-based row number, all from one pass."""
     previous, following = previous or {}, following or {}
     d = lane.cut_into_slices(df)
     cols = [F.struct(*[e.alias(n) for n, e in previous.items()]).alias("_pv")] if previous else []
@@ -146,11 +149,17 @@ def neighbours(
         local = local.withColumn("_fl", F.lead("_fv").over(w))
         aggs.append(F.min_by("_fv", lane.order_struct()).alias("_first"))
         outs.append(F.lead("_first").over(lane.slice_window()).alias("_fo"))
+    sel0 = []
+    if number:
+        local = local.withColumn("_i", F.row_number().over(w).cast("long"))
+        aggs.append(F.count(F.lit(1)).alias("_n"))
+        outs.append(F.coalesce(F.sum("_n").over(lane.slice_window().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_no"))
+        sel0 = [(F.col("_i") - 1 + F.col("_no")).alias(number)]
     edges = d.groupBy(*lane.part).agg(*aggs).select(*lane.part, *outs)
     j = join_on(local, edges, lane.part)
     sel = [F.coalesce(F.col("_pl"), F.col("_po"))[n].alias(n) for n in previous]
     sel += [F.coalesce(F.col("_fl"), F.col("_fo"))[n].alias(n) for n in following]
-    return j.select(*df.columns, *sel)
+    return j.select(*df.columns, *sel0, *sel)
 
 
 def islands(
@@ -231,7 +240,10 @@ def exact_quantiles(
     keys = keys or ("_all",)
     d = df.withColumn("_all", F.lit(0)) if keys == ("_all",) else df
     vc = d.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    vc = cut(vc)  # read four times below
+    vc = cut(vc)  # counted here, read four times below
+    if vc.count() <= SMALL_QUANTILE_INPUT:
+        small = vc.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p)), F.col("_n")).alias(n) for n, p in points.items()])
+        return small.drop("_all")
     stats = vc.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_tot"))
     span = F.col("_hi") - F.col("_lo")
     b = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * buckets)).otherwise(F.lit(0)).cast("long")

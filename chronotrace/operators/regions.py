@@ -110,9 +110,8 @@ def compact_results(verdicts: DataFrame) -> DataFrame:
 def fuse_boxes(motion: DataFrame, detected: DataFrame, keys: tuple[str, ...], p: BoxFusionParams = BoxFusionParams()) -> DataFrame:
     """Greedy one-to-one match of motion and detector boxes of a frame, best overlap first.
 
-    Only pairs at or above the merge threshold are formed (equi-join on the frame). A pair
-    that is the best of both its boxes is matched outright; only the rest of a frame goes
-    through the sequential greedy step, whose input is bounded by the boxes of one frame.
+    Pairs come from an equi-join on the frame and stay only at or above the merge threshold;
+    the greedy step sees the pairs of one frame at a time, which the detectors bound.
     Unmatched boxes stay if confident or energetic enough.
     """
     a = motion.select(*keys, F.col("region_idx").alias("mi"), *[F.col(c).alias(f"m{c}") for c in "xywh"], "energy")

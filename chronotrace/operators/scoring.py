@@ -14,8 +14,9 @@ def score(df: DataFrame, load: Callable[[], Scorer], columns: str, key: str, fal
     """Apply a scorer to Arrow batches of rows.
 
     ``load`` runs once per task and returns the scorer; the scorer maps a batch to a frame
-    with the result columns in the batch's row order. A batch that fails is retried, then
-    tried row by row, and rows that still fail get ``fallback`` with status ``fallback``.
+    with the result columns in the batch's row order. A batch that keeps
+    failing is halved until the failing rows stand alone; those get ``fallback`` and the status
+    ``fallback``.
     """
     names = list(fallback)
     key_type = df.schema[key].dataType.simpleString()
@@ -30,20 +31,19 @@ def score(df: DataFrame, load: Callable[[], Scorer], columns: str, key: str, fal
                 continue
         return None
 
+    def attempt(fn: Scorer, pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        res = call(fn, pdf)
+        if res is not None:
+            return [res.assign(**{key: pdf[key], "status": "ok"})]
+        if len(pdf) == 1:
+            return [pd.DataFrame([fallback]).assign(**{key: pdf[key], "status": "fallback"})]
+        half = len(pdf) // 2
+        return [p for part in (pdf.iloc[:half], pdf.iloc[half:]) for p in attempt(fn, part.reset_index(drop=True))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = load()
         for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            res = call(fn, pdf)
-            if res is not None:
-                yield res.assign(**{key: pdf[key], "status": "ok"})[[key, *names, "status"]]
-                continue
-            parts = []
-            for i in range(len(pdf)):
-                one = call(fn, pdf.iloc[[i]].reset_index(drop=True))
-                ok = one is not None
-                one = one if ok else pd.DataFrame([fallback])
-                parts.append(one.assign(**{key: [pdf[key].iloc[i]], "status": "ok" if ok else "fallback"}))
-            yield pd.concat(parts)[[key, *names, "status"]] if parts else pd.DataFrame(columns=[key, *names, "status"])
+            if len(pdf):
+                yield pd.concat(attempt(fn, pdf.reset_index(drop=True)))[[key, *names, "status"]]
 
     return df.mapInPandas(run, f"{key} {key_type}, {columns}, status string")

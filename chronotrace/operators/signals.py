@@ -137,9 +137,9 @@ def half_trend(df: DataFrame, lane: Lane, value: str) -> DataFrame:
 def run_length(df: DataFrame, lane: Lane, empty: Column) -> DataFrame:
     """How many rows up to this one are empty without a break (0 on a filled row)."""
     d = df.withColumn("_e", empty.cast("int"))
-    d = running(d, lane, {"_i": ("sum", F.lit(1)), "_full_at": ("max", F.when(F.col("_e") == 0, 0))})
+    d = running(d, lane, {"_i": ("sum", F.lit(1))})
     d = running(d, lane, {"_last_full": ("max", F.when(F.col("_e") == 0, F.col("_i")))})
-    return d.withColumn("empty_run", (F.col("_i") - F.coalesce("_last_full", F.lit(0))).cast("long")).drop("_e", "_i", "_full_at", "_last_full")
+    return d.withColumn("empty_run", (F.col("_i") - F.coalesce("_last_full", F.lit(0))).cast("long")).drop("_e", "_i", "_last_full")
 
 
 def hysteresis(df: DataFrame, lane: Lane, score: str, hi: float = 0.35, lo: float = 0.15) -> DataFrame:

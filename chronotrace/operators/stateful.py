@@ -26,23 +26,35 @@ from chronotrace.params import GlobalHeartbeatParams, PoolParams, TrackerParams,
 from chronotrace.session import cut
 
 
-def ordered_pass(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], schema: str, make: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Feed the rows of each key in order to a fresh ``make()`` callable, batch by batch."""
+def ordered_pass(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], schema: str, make: Callable[[], Callable]) -> DataFrame:
+    """Run the rows of each key in order through a fresh ``make()`` object.
+
+    The object is called with the column arrays of an Arrow batch and the range of rows that
+    belong to the key, and returns result tuples. It is kept while the key goes on in the
+    next batch, so a key of any length needs the memory of its state only.
+    """
     d = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [f.strip().split(" ")[0].strip("`") for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, step = None, None
         for pdf in batches:
-            ids = list(zip(*[pdf[k].to_numpy() for k in keys]))
-            start = 0
-            for i in range(1, len(ids) + 1):
-                if i == len(ids) or ids[i] != ids[start]:
-                    if ids[start] != current:
-                        current, step = ids[start], make()
-                    out = step(pdf.iloc[start:i])
-                    if len(out):
-                        yield out
-                    start = i
+            if not len(pdf):
+                continue
+            cols = {c: pdf[c].to_numpy() for c in pdf.columns}
+            change = np.zeros(len(pdf), dtype=bool)
+            change[0] = True
+            for k in keys:
+                change[1:] |= cols[k][1:] != cols[k][:-1]
+            starts = [*np.flatnonzero(change).tolist(), len(pdf)]
+            out: list = []
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                key = tuple(cols[k][lo] for k in keys)
+                if key != current:
+                    current, step = key, make()
+                out.extend(step(cols, lo, hi))
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return d.mapInPandas(run, schema)
 
@@ -56,7 +68,7 @@ def run_machine(
     ``table(rows)`` gives, for the rows of a slice, an int array (rows x n_states): the next
     state for each possible present state. Adds ``out`` and ``<out>_before``.
     """
-    d = lane.cut_into_slices(df)
+    d = cut(lane.cut_into_slices(df))  # read by both passes
     keys = list(lane.keys)
     cols = [*keys, SLICE, *lane.order, *inputs]
     slim = d.select(*dict.fromkeys(cols))
@@ -74,12 +86,12 @@ def run_machine(
     def make():
         state = [start_state]
 
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            starts = []
-            for m in pdf["_map"]:
-                starts.append(state[0])
-                state[0] = int(m[state[0]])
-            return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, SLICE: pdf[SLICE].to_numpy(), "_start": starts})
+        def chain(cols: dict, lo: int, hi: int) -> list[tuple]:
+            out = []
+            for i in range(lo, hi):
+                out.append((*[cols[k][i] for k in keys], cols[SLICE][i], state[0]))
+                state[0] = int(cols["_map"][i][state[0]])
+            return out
 
         return chain
 
@@ -184,17 +196,19 @@ class _Gate:
     def __init__(self, p: TriggerParams):
         self.p, self.last = p, None
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = np.zeros(len(pdf), dtype=bool)
-        for i, (f, t, x) in enumerate(zip(pdf["frame_idx"], pdf["t"], pdf["vec"])):
+    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
+        out = []
+        for i in range(lo, hi):
+            f, t, x = cols["frame_idx"][i], cols["t"][i], cols["vec"][i]
             if self.last is not None:
                 f0, t0, x0 = self.last
                 if f - f0 < self.p.min_gap_frames:
                     continue
-                if not (1.0 - float(np.dot(x, x0)) > self.p.jump or t - t0 >= self.p.heartbeat):
+                if not (t - t0 >= self.p.heartbeat or 1.0 - float(np.dot(x, x0)) > self.p.jump):
                     continue
-            self.last, keep[i] = (f, t, np.asarray(x, dtype=float)), True
-        return pdf[keep]
+            self.last = (f, t, x)
+            out.append(tuple(c[i] for c in cols.values()))
+        return out
 
 
 def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams()) -> DataFrame:
@@ -216,74 +230,83 @@ def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams())
 
 
 class _SilentGate:
-    """All entities of one recording: trigger rules plus heartbeats of silent entities."""
+    """All entities of one session: sampled rows and samples of silent entities."""
 
     def __init__(self, p: TriggerParams, max_age: int):
         self.p, self.max_age = p, max_age
-        self.sample: dict = {}
-        self.seen: dict = {}
+        self.sample: dict = {}  # entity -> frame, time, vector of the last sample
+        self.seen: dict = {}  # active entity -> last frame, vector
         self.frame = None
         self.rows: list = []
 
     def _finish(self, out: list) -> None:
-        if self.frame is None:
-            return
         f, t = self.frame
         fired = set()
         for eid, x in self.rows:
             last = self.sample.get(eid)
-            rule = None
-            if last is None:
-                rule, dist = "birth", 1.0
-            elif f - last[0] >= self.p.min_gap_frames:
-                dist = 1.0 - float(np.dot(x, last[2]))
-                rule = "change_point" if dist > self.p.jump else ("heartbeat" if t - last[1] >= self.p.heartbeat else None)
+            fire = last is None or (
+                f - last[0] >= self.p.min_gap_frames and (1.0 - float(np.dot(x, last[2])) > self.p.jump or t - last[1] >= self.p.heartbeat)
+            )
             self.seen[eid] = (f, x)
-            if rule:
+            if fire:
                 self.sample[eid] = (f, t, x)
                 fired.add(eid)
-                out.append((eid, f, t, rule, dist, False))
-        self.seen = {e: v for e, v in self.seen.items() if f - v[0] <= self.max_age}
+                out.append((eid, f, t, False, x))
+        self.seen = {e: s for e, s in self.seen.items() if f - s[0] <= self.max_age}
+        self.sample = {e: s for e, s in self.sample.items() if e in self.seen}
         for eid, (_, x) in self.seen.items():
-            last = self.sample[eid]
-            if eid not in fired and t - last[1] >= self.p.heartbeat:
-                out.append((eid, f, t, "heartbeat", 1.0 - float(np.dot(x, last[2])), True))
+            if eid not in fired and t - self.sample[eid][1] >= self.p.heartbeat:
+                out.append((eid, f, t, True, x))
                 self.sample[eid] = (f, t, x)
         self.rows = []
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
         out: list = []
-        for f, t, eid, x, end in zip(pdf["frame_idx"], pdf["t"], pdf["entity_id"], pdf["vec"], pdf["_end"]):
+        for f, t, eid, x, end in zip(*[cols[c][lo:hi] for c in ("frame_idx", "t", "entity_id", "vec", "_end")]):
             if self.frame is not None and f != self.frame[0]:
                 self._finish(out)
             self.frame = (f, t)
             self.rows.append((eid, np.asarray(x, dtype=float)))
             if end:
                 self._finish(out)
-        res = pd.DataFrame(out, columns=["entity_id", "frame_idx", "t", "rule", "distance", "silent"])
-        res.insert(0, "video_id", pdf["video_id"].iloc[0])
-        return res
+                self.frame = None
+        return [(cols["video_id"][lo], *r) for r in out]
 
 
-def triggers_with_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), max_age: int = 150) -> DataFrame:
+def _sessions(df: DataFrame, lane: Lane, max_age: int, min_pause: float = 0.0) -> DataFrame:
+    """Split recordings at pauses longer than the maximum age; ``_end`` marks a session's last row."""
+    pause = lambda a, b: (b["f"] - a["f"] > max_age) & (b["t"] - a["t"] >= min_pause)
+    d = islands(df, lane, {"f": F.col("frame_idx"), "t": F.col("t")}, pause, "session")
+    d = neighbours(d, lane, following={"_ns": F.col("session")})
+    return d.withColumn("_end", F.col("_ns").isNull() | (F.col("_ns") != F.col("session"))).drop("_ns")
+
+
+def triggers_with_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), max_age: int = 150, slice_frames: float = 4096) -> DataFrame:
     """Trigger rows including heartbeats of entities that are active but not in the frame.
 
-    State per recording: the last sample of each entity and the last sight of active ones.
+    An entity not seen for ``max_age`` frames is inactive, and if that is also at least a
+    heartbeat ago its next row fires whatever came before. So recordings split at such pauses,
+    sessions run in parallel, and an entity's old sample can be forgotten. Rule and distance
+    follow from consecutive samples of an entity. Needs ``max_age`` to last a heartbeat.
     """
-    last = obs.groupBy("video_id").agg(F.max(F.struct("frame_idx", "entity_id", "event_id")).alias("_l"))
-    d = join_on(obs.select("video_id", "frame_idx", "t", "entity_id", "event_id", "vec"), last, ("video_id",))
-    d = d.withColumn("_end", F.struct("frame_idx", "entity_id", "event_id") == F.col("_l")).drop("_l")
-    schema = "video_id bigint, entity_id bigint, frame_idx bigint, t double, rule string, distance double, silent boolean"
-    return ordered_pass(d, ("video_id",), ("frame_idx", "entity_id", "event_id"), schema, lambda: _SilentGate(p, max_age))
+    lane = Lane(("video_id",), ("frame_idx", "entity_id", "event_id"), slice_frames)
+    d = _sessions(obs.select("video_id", "frame_idx", "t", "entity_id", "event_id", "vec"), lane, max_age, p.heartbeat)
+    schema = "video_id bigint, entity_id bigint, frame_idx bigint, t double, silent boolean, vec array<double>"
+    fired = cut(ordered_pass(d, ("video_id", "session"), lane.order, schema, lambda: _SilentGate(p, max_age)))
+    f = neighbours(fired, Lane(("video_id", "entity_id"), ("frame_idx", "t", "silent"), slice_frames), previous={"_pv": F.col("vec")})
+    dist = F.when(F.col("_pv").isNull(), F.lit(1.0)).otherwise(1 - dot(F.col("vec"), F.col("_pv")))
+    rule = F.when(F.col("_pv").isNull(), "birth").when(~F.col("silent") & (F.col("distance") > p.jump), "change_point").otherwise("heartbeat")
+    return f.withColumn("distance", dist).withColumn("rule", rule).drop("_pv", "vec")
 
 
 class _Pulse:
     def __init__(self, p: GlobalHeartbeatParams, gated: bool):
         self.p, self.gated, self.base, self.last = p, gated, None, -999.0
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        idx, reason, drift = [], [], []
-        for i, (t, x) in enumerate(zip(pdf["t"], pdf["vec"])):
+    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
+        out = []
+        for i in range(lo, hi):
+            t, x = cols["t"][i], cols["vec"][i]
             due = t - self.last >= self.p.interval
             if self.gated and not due:
                 continue
@@ -296,10 +319,8 @@ class _Pulse:
                 why, self.base = "drift", x
             if why:
                 self.last = t
-                idx.append(i)
-                reason.append(why)
-                drift.append(d)
-        return pdf.iloc[idx].drop(columns="vec").assign(reason=reason, drift=drift)
+                out.append((cols["video_id"][i], t, cols["event_id"][i], why, d))
+        return out
 
 
 def global_heartbeats(obs: DataFrame, p: GlobalHeartbeatParams = GlobalHeartbeatParams(), gate_first: bool = False) -> DataFrame:
@@ -354,17 +375,16 @@ class _Tracker:
             out.append((eid, done[r]))
         self.rows = []
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
         out: list = []
-        for f, eid, x, e, free, end in zip(pdf["frame_idx"], pdf["event_id"], pdf["vec"], pdf["energy"], pdf["_free"], pdf["_end"]):
+        for f, eid, x, e, free, end in zip(*[cols[c][lo:hi] for c in ("frame_idx", "event_id", "vec", "energy", "_free", "_end")]):
             if self.frame is not None and f != self.frame:
                 self._finish(out)
             self.frame = f
             self.rows.append((eid, np.asarray(x, dtype=float), e, free))
             if end:
                 self._finish(out)
-        res = pd.DataFrame(out, columns=["event_id", "local_id"])
-        return res.assign(video_id=pdf["video_id"].iloc[0], session=pdf["session"].iloc[0])[["video_id", "session", "event_id", "local_id"]]
+        return [(cols["video_id"][lo], cols["session"][lo], *r) for r in out]
 
 
 def track_entities(regions: DataFrame, p: TrackerParams = TrackerParams(), slice_frames: float = 4096) -> DataFrame:
@@ -375,10 +395,8 @@ def track_entities(regions: DataFrame, p: TrackerParams = TrackerParams(), slice
     """
     lane = Lane(("video_id",), ("frame_idx", "event_id"), slice_frames)
     free = F.col("source").isin("yolo", "fused") & F.col("class_name").isin(*p.exempt_classes)
-    d = regions.select("video_id", "frame_idx", "event_id", "vec", "energy", free.alias("_free"))
-    d = islands(d, lane, {"f": F.col("frame_idx")}, lambda a, b: b["f"] - a["f"] > p.max_age_frames, "session")
-    nxt = neighbours(d, lane, following={"_ns": F.col("session")})
-    d = nxt.withColumn("_end", F.col("_ns").isNull() | (F.col("_ns") != F.col("session"))).drop("_ns")
+    d = regions.select("video_id", "frame_idx", F.col("frame_idx").cast("double").alias("t"), "event_id", "vec", "energy", free.alias("_free"))
+    d = _sessions(d, lane, p.max_age_frames)
     local = cut(ordered_pass(d, ("video_id", "session"), ("frame_idx", "event_id"), "video_id bigint, session bigint, event_id bigint, local_id bigint", lambda: _Tracker(p)))
     used = local.groupBy("video_id", "session").agg((F.max("local_id") + 1).alias("_n"))
     shift = running(used, Lane(("video_id",), ("session",), 1024), {"_o": ("sum", F.col("_n"))}, include_current=False)
@@ -424,16 +442,16 @@ class _Pool:
                 out.append((eid, self._new(x, f), True))
         self.rows = []
 
-    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
         out: list = []
-        for f, eid, x, end in zip(pdf["frame_idx"], pdf["event_id"], pdf["vec"], pdf["_end"]):
+        for f, eid, x, end in zip(*[cols[c][lo:hi] for c in ("frame_idx", "event_id", "vec", "_end")]):
             if self.frame is not None and f != self.frame:
                 self._finish(out)
             self.frame = f
             self.rows.append((eid, np.asarray(x, dtype=float)))
             if end:
                 self._finish(out)
-        return pd.DataFrame(out, columns=["event_id", "identity", "is_new"]).assign(video_id=pdf["video_id"].iloc[0])[["video_id", "event_id", "identity", "is_new"]]
+        return [(cols["video_id"][lo], *r) for r in out]
 
 
 def reidentify(sightings: DataFrame, p: PoolParams = PoolParams()) -> DataFrame:

@@ -34,10 +34,12 @@ def node_energy(nodes: DataFrame, trace: DataFrame, keys: tuple[str, ...]) -> Da
 
 def link_nodes(nodes: DataFrame, lane: Lane) -> DataFrame:
     """One row per consecutive pair of nodes of an entity."""
-    prev = {f"src_{c}": F.col(c) for c in ("seq", "node_id", "t", "frame_idx", "action")}
-    e = neighbours(number_nodes(nodes, lane), lane, previous=prev).filter("src_seq is not null")
+    prev = {f"src_{c}": F.col(c) for c in ("t", "frame_idx", "action")}
+    slim = nodes.select(*dict.fromkeys([*lane.keys, *lane.order, "event_id", "t", "frame_idx", "action"]))
+    e = neighbours(slim, lane, previous=prev, number="seq").filter("seq > 0")
+    node_id = lambda q: F.format_string("E%d_N%d", F.col("entity_id"), q)
     return e.select(
-        *lane.keys, F.col("event_id").alias("edge_key"), F.col("src_node_id").alias("source"), F.col("node_id").alias("target"), "src_seq", "src_t",
+        *lane.keys, F.col("event_id").alias("edge_key"), node_id(F.col("seq") - 1).alias("source"), node_id(F.col("seq")).alias("target"), (F.col("seq") - 1).alias("src_seq"), "src_t",
         F.col("t").alias("dst_t"), "src_frame_idx", F.col("frame_idx").alias("dst_frame_idx"),
         F.col("src_action").alias("action_from"), F.col("action").alias("action_to"), (F.col("t") - F.col("src_t")).alias("duration"),
     )
