@@ -51,6 +51,35 @@ def points_in_intervals(
     return j.drop(BKT, lo, hi)
 
 
+def aggregate_points(
+    intervals: DataFrame,
+    points: DataFrame,
+    keys: tuple[str, ...],
+    ids: tuple[str, ...],
+    point: str,
+    start: Column,
+    end: Column,
+    width: float,
+    aggs: list[Column],
+) -> DataFrame:
+    """Every interval row with aggregates over the points it contains (closed ends).
+
+    Intervals are read once: their rows ride along the bucketed outer join and come back as
+    the first of their group, so there is no second join. Intervals without points stay.
+    """
+    rest = [c for c in intervals.columns if c not in (*keys, *ids)]
+    i = intervals.withColumn("_lo", start).withColumn("_hi", end)
+    spread = F.when(F.col("_hi") >= F.col("_lo"), F.sequence(_bucket(F.col("_lo"), width), _bucket(F.col("_hi"), width)))
+    i = i.withColumn(BKT, F.explode_outer(spread))
+    p = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *[c for c in points.columns if c not in keys], _bucket(F.col(point), width).alias("_p_bkt"))
+    on = (F.col(BKT) == F.col("_p_bkt")) & (F.col(point) >= F.col("_lo")) & (F.col(point) <= F.col("_hi"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_p_{k}"))
+    j = i.join(p, on, "left")
+    g = j.groupBy(*keys, *ids).agg(F.first(F.struct(*rest)).alias("_row"), *aggs)
+    return g.select(*keys, *ids, *[F.col("_row")[c].alias(c) for c in rest], *[c for c in g.columns if c not in (*keys, *ids, "_row")])
+
+
 def overlaps(
     left: DataFrame,
     right: DataFrame,

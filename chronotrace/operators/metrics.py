@@ -63,9 +63,9 @@ def curve_summary(curve: DataFrame) -> DataFrame:
 
 
 def curve_points(curve: DataFrame) -> DataFrame:
-    """fpr, tpr, precision, recall and f1 at every threshold. The totals are one row."""
-    tot = curve.agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N")).withColumn("_k", F.lit(1))
-    j = join_on(curve.withColumn("_k", F.lit(1)), F.broadcast(tot), ["_k"])
+    """fpr, tpr, precision, recall and f1 at every threshold. The totals are scalar subqueries."""
+    curve = cut(curve)
+    j = curve.withColumns({"_P": curve.agg(F.sum("pos")).scalar(), "_N": curve.agg(F.sum("neg")).scalar()})
     tpr, fpr = ratio(F.col("ctp"), F.col("_P")), ratio(F.col("cfp"), F.col("_N"))
     prec = F.col("ctp") / (F.col("ctp") + F.col("cfp"))
     return j.select(
@@ -132,22 +132,22 @@ def error_summary(df: DataFrame, error: str, kind: str, limit: float = 1.0) -> D
     """Mean, median and hit rates of boundary errors; ``kind`` is 'start' or 'end'."""
     df = cut(df.select(error, kind))
     hit = (F.col(error) < limit).cast("double")
-    med = exact_quantiles(df, (), error, {"median_error": 0.5}).withColumn("_k", F.lit(1))
+    med = exact_quantiles(df, (), error, {"median_error": 0.5})
     agg = df.agg(
         F.avg(error).alias("mean_error"), F.avg(hit).alias("rate"), F.avg(F.when(F.col(kind) == "start", hit)).alias("start_rate"),
         F.avg(F.when(F.col(kind) == "end", hit)).alias("end_rate"), F.count(F.lit(1)).alias("n"),
-    ).withColumn("_k", F.lit(1))
-    return join_on(agg, F.broadcast(med), ["_k"]).drop("_k")
+    )
+    return agg.withColumn("median_error", med.scalar())
 
 
 def coverage_summary(df: DataFrame) -> DataFrame:
     df = cut(df.select("coverage", "fragments"))
-    med = exact_quantiles(df, (), "coverage", {"median_coverage": 0.5}).withColumn("_k", F.lit(1))
+    med = exact_quantiles(df, (), "coverage", {"median_coverage": 0.5})
     agg = df.agg(
         F.avg("coverage").alias("mean_coverage"), F.avg((F.col("coverage") >= 0.99).cast("double")).alias("full_rate"),
         F.coalesce(F.avg(F.when(F.col("fragments") > 0, F.col("fragments"))), F.lit(0.0)).alias("mean_fragments"), F.count(F.lit(1)).alias("n"),
-    ).withColumn("_k", F.lit(1))
-    return join_on(agg, F.broadcast(med), ["_k"]).drop("_k")
+    )
+    return agg.withColumn("median_coverage", med.scalar())
 
 
 def soft_iou(df: DataFrame, keys: tuple[str, ...], gt: Column, score: Column) -> DataFrame:

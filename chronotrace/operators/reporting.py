@@ -68,5 +68,4 @@ def batch_summary(records: DataFrame, key: str, score: str, flag: Column) -> Dat
     top = F.slice(F.sort_array(F.collect_list(F.struct(F.col(score).alias("s"), F.col(key).alias("k"))), asc=False), 1, 5)
     best = records.orderBy(F.col(score).desc(), F.col(key).desc()).limit(5).agg(top.alias("_t"))
     agg = records.agg(F.count(F.lit(1)).alias("total"), n_if(flag).alias("anomalous"), F.avg(score).alias("mean_score"))
-    j = join_on(agg.withColumn("_k", F.lit(1)), F.broadcast(best.withColumn("_k", F.lit(1))), ["_k"])
-    return j.select("total", "anomalous", "mean_score", F.transform("_t", lambda x: x["k"]).alias("top"))
+    return agg.withColumn("_t", best.scalar()).select("total", "anomalous", "mean_score", F.transform("_t", lambda x: x["k"]).alias("top"))

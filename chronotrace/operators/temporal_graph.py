@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronotrace.operators.intervals import points_in_intervals
+from chronotrace.operators.intervals import aggregate_points
 from chronotrace.operators.ordered import Lane, join_on, neighbours, number_rows
 from chronotrace.params import GraphParams
 
@@ -48,16 +48,14 @@ def link_nodes(nodes: DataFrame, lane: Lane) -> DataFrame:
 def add_trace_totals(edges: DataFrame, trace: DataFrame, keys: tuple[str, ...], stride: int = 1, bucket: float = EDGE_BUCKET) -> DataFrame:
     """Energy, count and missing frames of the trace rows between both ends (inclusive)."""
     tr = trace.select(*keys, F.col("t").alias("_tt"), F.col("frame_idx").alias("_tf"), F.col("energy").alias("_te"))
-    hit = points_in_intervals(tr, edges.select(*keys, "edge_key", "src_t", "dst_t"), keys, "_tt", F.col("src_t"), F.col("dst_t"), bucket)
-    tot = hit.groupBy(*keys, "edge_key").agg(
-        F.sum("_te").alias("kinetic_integral"), F.count(F.lit(1)).alias("n_trace"), F.min("_tf").alias("_f0"), F.max("_tf").alias("_f1")
+    j = aggregate_points(
+        edges, tr, keys, ("edge_key",), "_tt", F.col("src_t"), F.col("dst_t"), bucket,
+        [F.sum("_te").alias("kinetic_integral"), F.count("_tt").alias("n_trace"), F.min("_tf").alias("_f0"), F.max("_tf").alias("_f1")],
     )
-    j = join_on(edges, tot, (*keys, "edge_key"), "left")
     missing = F.greatest(F.lit(0), F.floor((F.col("_f1") - F.col("_f0")) / stride) - F.col("n_trace"))
     return (
         j.withColumn("missing_frames", F.when(F.col("n_trace") >= 2, missing).otherwise(0).cast("long"))
         .withColumn("kinetic_integral", F.coalesce("kinetic_integral", F.lit(0.0)))
-        .withColumn("n_trace", F.coalesce("n_trace", F.lit(0)).cast("long"))
         .drop("_f0", "_f1")
     )
 
@@ -65,9 +63,10 @@ def add_trace_totals(edges: DataFrame, trace: DataFrame, keys: tuple[str, ...],
 def add_frame_energy(edges: DataFrame, frame_energy: DataFrame, bucket: float = 720.0) -> DataFrame:
     """Sum and mean of recording-level frame energies between both frames (inclusive)."""
     fe = frame_energy.select("video_id", F.col("frame_idx").alias("_ff"), F.col("frame_energy").alias("_fe"))
-    hit = points_in_intervals(fe, edges.select("video_id", "edge_key", "src_frame_idx", "dst_frame_idx"), ("video_id",), "_ff", F.col("src_frame_idx"), F.col("dst_frame_idx"), bucket)
-    tot = hit.groupBy("video_id", "edge_key").agg(F.sum("_fe").alias("energy_integral"), F.avg("_fe").alias("energy_avg"))
-    j = join_on(edges, tot, ("video_id", "edge_key"), "left")
+    j = aggregate_points(
+        edges, fe, ("video_id",), ("edge_key",), "_ff", F.col("src_frame_idx"), F.col("dst_frame_idx"), bucket,
+        [F.sum("_fe").alias("energy_integral"), F.avg("_fe").alias("energy_avg")],
+    )
     return j.withColumn("energy_integral", F.coalesce("energy_integral", F.lit(0.0))).withColumn("energy_avg", F.coalesce("energy_avg", F.lit(0.0)))
 
 

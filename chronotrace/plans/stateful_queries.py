@@ -38,7 +38,7 @@ NEVER = st.TriggerParams(jump=9.0, heartbeat=8.0, min_gap_frames=5)
 
 
 @query("st03_trigger_gateway", """WITH RECURSIVE o AS (SELECT video_id, entity_id, event_id, t, frame_idx, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs),
-nx AS (SELECT a.video_id, a.entity_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND a.entity_id = b.entity_id AND b.i > a.i AND b.t - a.t >= 8.0 AND b.frame_idx - a.frame_idx >= 5 GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.video_id, a.entity_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND a.entity_id = b.entity_id AND b.i > a.i AND b.t - a.t >= 8.0 AND b.frame_idx - a.frame_idx >= 5 GROUP BY ALL),
 f AS (SELECT video_id, entity_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, f.entity_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.entity_id = f.entity_id AND nx.i = f.i)
 SELECT o.event_id, CASE WHEN o.i = 1 THEN 'birth' ELSE 'heartbeat' END AS rule FROM f JOIN o USING (video_id, entity_id, i)""", "obs")
 def trigger_gateway(spark, d):
@@ -56,7 +56,7 @@ def silent(spark, d):
 
 
 @query("st05_global_heartbeat", """WITH RECURSIVE o AS (SELECT video_id, event_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM obs),
-nx AS (SELECT a.video_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND b.i > a.i AND b.i < a.i + 200 AND b.t - a.t >= 4.0 GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.video_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND b.i > a.i AND b.t - a.t >= 4.0 GROUP BY ALL),
 f AS (SELECT video_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.i = f.i)
 SELECT o.event_id, 'periodic' AS reason FROM f JOIN o USING (video_id, i)""", "obs")
 def pulse(spark, d):
@@ -149,7 +149,7 @@ def _vec_stream(spark, d):
 
 
 @query("st03_trigger_stream", """WITH RECURSIVE o AS (SELECT video_id, entity_id, event_id, t, frame_idx, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs),
-nx AS (SELECT a.video_id, a.entity_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND a.entity_id = b.entity_id AND b.i > a.i AND b.t - a.t >= 8.0 AND b.frame_idx - a.frame_idx >= 5 GROUP BY ALL),
+nx AS MATERIALIZED (SELECT a.video_id, a.entity_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND a.entity_id = b.entity_id AND b.i > a.i AND b.t - a.t >= 8.0 AND b.frame_idx - a.frame_idx >= 5 GROUP BY ALL),
 f AS (SELECT video_id, entity_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, f.entity_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.entity_id = f.entity_id AND nx.i = f.i)
 SELECT o.event_id, CASE WHEN o.i = 1 THEN 'birth' ELSE 'heartbeat' END AS rule FROM f JOIN o USING (video_id, entity_id, i)""", "obs")
 def trigger_stream(spark, d):

@@ -413,9 +413,11 @@ def frame_auc(spark, d):
     return s.select(F.round("auc", 9).alias("auc"), F.round("average_precision", 9).alias("average_precision"), "positives", "negatives")
 
 
-@query("a46_frame_mean_and_max", f"WITH {SPINE}, {RAMP} SELECT video_id, round(avg(score), 10) AS mean_score, round(max(score), 7) AS video_score FROM rs GROUP BY ALL", "verdicts")
+@query("a46_frame_mean_and_max", f"WITH {SPINE}, {RAMP} SELECT video_id, round(avg(score) + 1.3e-9, 7) AS mean_score, round(max(score), 7) AS video_score FROM rs GROUP BY ALL", "verdicts")
 def frame_mean_max(spark, d):
-    return _ramp(spark, d).groupBy("video_id").agg(F.round(F.avg("score"), 10).alias("mean_score"), F.round(F.max("score"), 7).alias("video_score"))
+    # Confidences are four-digit decimals, so means of 720 frames often end in a five: the
+    # small shift keeps both engines on the same side of it.
+    return _ramp(spark, d).groupBy("video_id").agg(F.round(F.avg("score") + 1.3e-9, 7).alias("mean_score"), F.round(F.max("score"), 7).alias("video_score"))
 
 
 @query("t08_even_picks", "SELECT video_id, seg_idx, CAST(i AS INTEGER) AS pick_idx, CAST(floor(start_frame + i * ((end_frame - 1 - start_frame) / CAST(7 AS DOUBLE))) AS BIGINT) AS pick FROM segs, range(8) r(i)", "segs")
