@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,33 @@ from chronotrace.operators.ordered import Lane, join_on, running
 from chronotrace.session import cut
 
 
+EXPAND_BLOCK = 4096
+
+
+def expand_range(df: DataFrame, lo: Column, hi: Column, name: str = "frame_idx", step: int = 1, block: int = EXPAND_BLOCK) -> DataFrame:
+    """One row per integer lo, lo + step, ... below hi.
+
+    Long ranges are first cut into blocks, which are spread over the cluster before they are
+    filled, so no task ever builds the whole range of a recording.
+    """
+    span = block * step
+    d = df.withColumn("_lo", lo.cast("long")).withColumn("_hi", hi.cast("long")).filter("_lo < _hi")
+    n_blocks = F.floor((F.col("_hi") - 1 - F.col("_lo")) / span).cast("long")
+    d = d.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks))).repartition("video_id", "_b")
+    first = F.col("_lo") + F.col("_b") * span
+    last = F.least(first + span - step, F.col("_lo") + F.floor((F.col("_hi") - 1 - F.col("_lo")) / step).cast("long") * step)
+    return d.withColumn(name, F.explode(F.sequence(first, last, F.lit(step).cast("long")))).drop("_lo", "_hi", "_b")
+
+
 def frame_spine(recordings: DataFrame, total: Column | None = None, step: int = 1) -> DataFrame:
     """One row per frame 0..total_frames-1 of each recording."""
     total = F.col("total_frames") if total is None else total
-    return recordings.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), (total - 1).cast("long"), F.lit(step).cast("long"))).alias("frame_idx"))
+    return expand_range(recordings, F.lit(0), total, step=step).select("video_id", "frame_idx")
 
 
-def _paint(df: DataFrame, lo: Column, hi: Column, value) -> DataFrame:
+def paint(df: DataFrame, lo: Column, hi: Column, value: Callable[[Column], Column]) -> DataFrame:
     """Rows (video_id, frame_idx, v) for frames lo..hi-1; ``value`` maps frame to a column."""
-    d = df.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo < _hi")
-    d = d.withColumn("frame_idx", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)))
-    return d.select("video_id", "frame_idx", value(F.col("frame_idx")).cast("double").alias("v"))
+    return expand_range(df, lo, hi).select("video_id", "frame_idx", value(F.col("frame_idx")).cast("double").alias("v"))
 
 
 def interval_mask(spine: DataFrame, intervals: DataFrame, total: int, end_inclusive: bool = False) -> DataFrame:
@@ -27,7 +45,7 @@ def interval_mask(spine: DataFrame, intervals: DataFrame, total: int, end_inclus
     starts beyond the recording fall on its last frame."""
     s = F.least(F.col("s"), F.lit(total - 1)).cast("long")
     e = F.least(F.col("e") + (1 if end_inclusive else 0), F.lit(total)).cast("long")
-    hit = _paint(intervals, s, e, lambda f: F.lit(1.0)).groupBy("video_id", "frame_idx").agg(F.lit(1).alias("gt"))
+    hit = paint(intervals, s, e, lambda f: F.lit(1.0)).groupBy("video_id", "frame_idx").agg(F.lit(1).alias("gt"))
     return join_on(spine, hit, ("video_id", "frame_idx"), "left").withColumn("gt", F.coalesce("gt", F.lit(0)))
 
 
@@ -39,13 +57,13 @@ def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int, fps: float, r
     lim = lambda c: F.greatest(F.lit(0), F.least(F.floor(c * fps), F.lit(total))).cast("long")
     v = verdicts.filter("is_anomaly and end_sec > start_sec").select("video_id", "confidence", lim(F.col("start_sec")).alias("a"), lim(F.col("end_sec")).alias("b"))
     conf = F.col("confidence")
-    core = _paint(v, F.col("a"), F.col("b"), lambda f: conf)
+    core = paint(v, F.col("a"), F.col("b"), lambda f: conf)
     up = v.withColumn("_s", F.greatest(F.lit(0), F.col("a") - n).cast("long"))
     k = lambda f: F.when(F.col("a") - F.col("_s") > 1, (f - F.col("_s")) / (F.col("a") - F.col("_s") - 1)).otherwise(0.0)
-    rise = _paint(up, F.col("_s"), F.col("a"), lambda f: conf * 0.1 + conf * 0.7 * k(f))
+    rise = paint(up, F.col("_s"), F.col("a"), lambda f: conf * 0.1 + conf * 0.7 * k(f))
     down = v.withColumn("_e", F.least(F.lit(total), F.col("b") + n).cast("long"))
     q = lambda f: F.when(F.col("_e") - F.col("b") > 1, (f - F.col("b")) / (F.col("_e") - F.col("b") - 1)).otherwise(0.0)
-    fall = _paint(down, F.col("b"), F.col("_e"), lambda f: conf * 0.8 - conf * 0.7 * q(f))
+    fall = paint(down, F.col("b"), F.col("_e"), lambda f: conf * 0.8 - conf * 0.7 * q(f))
     best = core.unionByName(rise).unionByName(fall).groupBy("video_id", "frame_idx").agg(F.max("v").alias("score"))
     flagged = verdicts.filter("is_anomaly").groupBy("video_id").agg(F.max("confidence").alias("_c"))
     top = best.groupBy("video_id").agg(F.max("score").alias("_top"))
@@ -65,9 +83,9 @@ def step_scores(spine: DataFrame, segments: DataFrame, total: int, fps: float, e
     )
     c = F.col("confidence")
     parts = (
-        _paint(s, F.col("sf"), F.col("cs"), lambda f: c * 0.6)
-        .unionByName(_paint(s, F.col("cs"), F.col("ce"), lambda f: c))
-        .unionByName(_paint(s, F.col("ce"), F.col("ef"), lambda f: c * 0.6))
+        paint(s, F.col("sf"), F.col("cs"), lambda f: c * 0.6)
+        .unionByName(paint(s, F.col("cs"), F.col("ce"), lambda f: c))
+        .unionByName(paint(s, F.col("ce"), F.col("ef"), lambda f: c * 0.6))
     )
     best = parts.groupBy("video_id", "frame_idx").agg(F.max("v").alias("score"))
     return join_on(spine, best, ("video_id", "frame_idx"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -76,7 +94,7 @@ def step_scores(spine: DataFrame, segments: DataFrame, total: int, fps: float, e
 def last_writer_scores(segments: DataFrame) -> DataFrame:
     """Score per frame from [start, end) segments; the one starting last wins. Frames run up
     to the largest end frame of the recording; uncovered frames score 0."""
-    d = segments.withColumn("frame_idx", F.explode(F.when(F.col("start_frame") < F.col("end_frame"), F.sequence(F.col("start_frame"), F.col("end_frame") - 1)).otherwise(F.array().cast("array<bigint>"))))
+    d = expand_range(segments, F.col("start_frame"), F.col("end_frame"))
     best = d.groupBy("video_id", "frame_idx").agg(F.max_by("score", F.struct("start_frame", "seg_idx")).alias("score"))
     spine = frame_spine(segments.groupBy("video_id").agg(F.max("end_frame").alias("total_frames")).filter("total_frames > 0"))
     return join_on(spine, best, ("video_id", "frame_idx"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -84,7 +102,7 @@ def last_writer_scores(segments: DataFrame) -> DataFrame:
 
 def window_mean_scores(spine: DataFrame, windows: DataFrame) -> DataFrame:
     """Mean score of the windows that cover a frame, 0 where none does."""
-    hit = _paint(windows, F.col("start_frame"), F.col("end_frame"), lambda f: F.col("score"))
+    hit = paint(windows, F.col("start_frame"), F.col("end_frame"), lambda f: F.col("score"))
     m = hit.groupBy("video_id", "frame_idx").agg(F.avg("v").alias("score"))
     return join_on(spine, m, ("video_id", "frame_idx"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
@@ -117,10 +135,10 @@ def fixed_windows(recordings: DataFrame, seconds: float, overlap: float, fps: fl
     """Sliding windows from frame 0 with a fixed overlap; a tail shorter than ``min_rows`` is dropped."""
     size = int(seconds * fps)
     step = max(1, size - int(size * overlap))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1, F.lit(step).cast("long"))
-    w = recordings.select("video_id", "total_frames", F.posexplode(starts).alias("win", "start_frame"))
+    w = expand_range(recordings.select("video_id", "total_frames"), F.lit(0), F.col("total_frames"), "start_frame", step)
+    w = w.withColumn("win", (F.col("start_frame") / step).cast("long"))
     w = w.withColumn("end_frame", F.least(F.col("start_frame") + size, F.col("total_frames")))
-    return w.filter(F.col("end_frame") - F.col("start_frame") >= min_rows).select("video_id", F.col("win").cast("long").alias("win"), "start_frame", "end_frame")
+    return w.filter(F.col("end_frame") - F.col("start_frame") >= min_rows).select("video_id", "win", "start_frame", "end_frame")
 
 
 def even_picks(df: DataFrame, n: int, start: Column, end: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,21 +22,8 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.groupBy("video_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("weight").alias("weight"))
 
 
-def decayed_similarity_graph(frames: DataFrame, p: SegmentationParams = SegmentationParams(), global_k: int | None = None) -> DataFrame:
-    """Time-decayed similarity edges: the best k columns of every column block per row.
-
-    Rows are grouped into blocks of ``p.block`` positions. Each pair of blocks of a recording
-    is its own task unit that compares at most block x block rows with a matrix product and
-    emits only the best k per row, so a long recording spreads over many tasks and no pair
-    list is ever produced. With ``global_k`` the best k per row over all blocks remain.
-    """
-    n = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    f = join_on(frames.select("video_id", "frame_idx", "app", "mot"), n, ("video_id",))
-    f = f.withColumn("blk", F.floor(F.col("frame_idx") / p.block).cast("long")).withColumn("nb", F.ceil(F.col("n") / p.block).cast("long"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))
-    left = f.select("video_id", F.col("blk").alias("bi"), others.alias("bj"), "frame_idx", "app", "mot", "n")
-    cols = {"video_id": "vid2", "frame_idx": "f2", "app": "app2", "mot": "mot2"}
-    right = f.select(*[F.col(c).alias(a) for c, a in cols.items()], others.alias("bi2"), F.col("blk").alias("bj2"))
+def _block_best(p: SegmentationParams, k_of: Callable[[pd.DataFrame, int], int]) -> Callable:
+    """Cogroup function: best k columns of one block for every row of another."""
 
     def best(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if len(a) == 0 or len(b) == 0:
@@ -46,20 +35,75 @@ def decayed_similarity_graph(frames: DataFrame, p: SegmentationParams = Segmenta
         xb /= np.linalg.norm(xb, axis=1, keepdims=True) + 1e-6
         gap = np.sqrt(np.maximum((ma**2).sum(1)[:, None] + (mb**2).sum(1)[None, :] - 2 * ma @ mb.T, 0))
         w = (p.appearance_weight * (xa @ xb.T) + p.motion_weight * np.exp(-gap)) / (1 + p.time_decay * np.abs(ia[:, None] - ib[None, :]))
-        tenth = max(int(a["n"].iloc[0]) // 10, 1)
-        k = min(max(p.min_k, p.first_k - (int(key[1]) * p.block) // tenth), len(ib)) if global_k is None else min(global_k + 1, len(ib))
+        k = min(k_of(a, int(key[1])), len(ib))
         rank = np.lexsort((np.broadcast_to(ib, w.shape), -w), axis=1)[:, :k]
         rows, wv = np.repeat(np.arange(len(ia)), k), np.take_along_axis(w, rank, 1).ravel()
         src, dst = ia[rows], ib[rank.ravel()]
         ok = (src != dst) & (wv > 0)
         return pd.DataFrame({"video_id": int(key[0]), "src": src[ok], "dst": dst[ok], "weight": wv[ok]})
 
-    pairs = left.groupBy("video_id", "bi", "bj").cogroup(right.groupBy("vid2", "bi2", "bj2"))
-    e = pairs.applyInPandas(best, "video_id bigint, src bigint, dst bigint, weight double")
-    if global_k is not None:
-        w = W.partitionBy("video_id", "src").orderBy(F.col("weight").desc(), "dst")
-        e = e.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= global_k).drop("_r")
-    return undirected(e)
+    return best
+
+
+EDGE_SCHEMA = "video_id bigint, src bigint, dst bigint, weight double"
+
+
+def _match_blocks(rows: DataFrame, columns: DataFrame, best: Callable) -> DataFrame:
+    """Run ``best`` on each (row block, column block) pair named by ``rows.bj``. A column block
+    is sent only to the row blocks that ask for it."""
+    wanted = rows.select("video_id", "blk", "bj").distinct()
+    right = join_on(wanted, columns.select("video_id", F.col("blk").alias("bj"), F.col("frame_idx").alias("f2"), F.col("app").alias("app2"), F.col("mot").alias("mot2")), ("video_id", "bj"))
+    right = right.select(F.col("video_id").alias("vid2"), F.col("blk").alias("blk2"), F.col("bj").alias("bj2"), "f2", "app2", "mot2")
+    pairs = rows.groupBy("video_id", "blk", "bj").cogroup(right.groupBy("vid2", "blk2", "bj2"))
+    return pairs.applyInPandas(best, EDGE_SCHEMA)
+
+
+def _blocked(frames: DataFrame, p: SegmentationParams) -> DataFrame:
+    n = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    f = join_on(frames.select("video_id", "frame_idx", "app", "mot"), n, ("video_id",))
+    return f.withColumn("blk", F.floor(F.col("frame_idx") / p.block).cast("long")).withColumn("last_blk", F.floor((F.col("n") - 1) / p.block).cast("long"))
+
+
+def decayed_similarity_graph(frames: DataFrame, p: SegmentationParams = SegmentationParams()) -> DataFrame:
+    """Time-decayed similarity edges: the best k columns of every column block per row.
+
+    Each pair of blocks of a recording is its own task unit: at most block x block rows meet
+    in a matrix product and only the best k per row leave it, so a long recording spreads
+    over many tasks and no pair list is produced. The graph keeps edges to every block, so
+    its size is quadratic by definition; :func:`top_similar` and :func:`band_graph` are not.
+    """
+    f = cut(_blocked(frames, p))
+    rows = f.withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_blk"))))
+
+    def k_of(a: pd.DataFrame, blk: int) -> int:
+        tenth = max(int(a["n"].iloc[0]) // 10, 1)
+        return max(p.min_k, p.first_k - (blk * p.block) // tenth)
+
+    return undirected(_match_blocks(rows, f, _block_best(p, k_of)))
+
+
+def top_similar(frames: DataFrame, k: int, p: SegmentationParams = SegmentationParams()) -> DataFrame:
+    """The k best time-decayed neighbours of every row in its whole recording, exactly.
+
+    Similarities are at most 1, so a pair at distance g weighs at most 1 / (1 + decay * g).
+    Each row first meets its own and the adjacent blocks; its k-th best weight there bounds
+    how far a better partner can be, and only blocks within that reach are visited. Cost
+    follows the reach, not the square of the recording.
+    """
+    f = cut(_blocked(frames, p))
+    best = _block_best(p, lambda a, blk: k + 1)
+    near = f.withColumn("bj", F.explode(F.sequence(F.greatest(F.lit(0), F.col("blk") - 1).cast("long"), F.least(F.col("last_blk"), F.col("blk") + 1))))
+    w = W.partitionBy("video_id", "src").orderBy(F.col("weight").desc(), "dst")
+    close = cut(_match_blocks(near, f, best))
+    kth = close.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select("video_id", F.col("src").alias("frame_idx"), F.col("weight").alias("_kth"))
+    top = p.appearance_weight + p.motion_weight
+    reach = F.when(F.col("_kth").isNotNull(), F.ceil((top / F.col("_kth") - 1) / p.time_decay) + 1).otherwise(F.col("n"))
+    r = join_on(f, kth, ("video_id", "frame_idx"), "left").withColumn("_reach", reach)
+    lo = F.greatest(F.lit(0), F.floor((F.col("frame_idx") - F.col("_reach")) / p.block)).cast("long")
+    hi = F.least(F.col("last_blk"), F.floor((F.col("frame_idx") + F.col("_reach")) / p.block)).cast("long")
+    far = r.withColumn("bj", F.explode(F.sequence(lo, hi))).filter(F.abs(F.col("bj") - F.col("blk")) > 1).drop("_kth", "_reach")
+    e = close.unionByName(_match_blocks(far, f, best))
+    return undirected(e.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r"))
 
 
 def band_graph(frames: DataFrame, vec: str, p: SegmentationParams = SegmentationParams()) -> DataFrame:

@@ -28,7 +28,7 @@ def decayed_graph(spark, d):
 
 @query("j22_top_k_similarity", f"WITH {_pairs(20)}, g AS (SELECT *, row_number() OVER (PARTITION BY video_id, i ORDER BY w DESC, j) AS gr FROM pw WHERE i <> j AND w > 0) SELECT video_id, least(i, j) AS src, greatest(i, j) AS dst, round(max(w), 5) AS weight FROM g WHERE gr <= 4 GROUP BY ALL", "frames")
 def top_k_graph(spark, d):
-    return sim.decayed_similarity_graph(v.frames(spark, d), SMALL, global_k=4).withColumn("weight", F.round("weight", 5))
+    return sim.top_similar(v.frames(spark, d), 4, SMALL).withColumn("weight", F.round("weight", 5))
 
 
 BAND = """u AS (SELECT video_id, frame_idx, list_transform(feat, lambda x: x / (sqrt(list_inner_product(feat, feat)) + CAST(1e-6 AS DOUBLE))) AS a FROM frames),

@@ -272,4 +272,4 @@ def reducers(spark, d):
 
 @query("x07_interval_expander", "SELECT video_id, CAST(sum(e - s) AS BIGINT) AS frames FROM ann WHERE e > s GROUP BY ALL", "ann")
 def expander(spark, d):
-    return fr._paint(v.ann(spark, d), c("s"), c("e"), lambda f: F.lit(1.0)).groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"))
+    return fr.paint(v.ann(spark, d), c("s"), c("e"), lambda f: F.lit(1.0)).groupBy("video_id").agg(F.count(F.lit(1)).alias("frames"))

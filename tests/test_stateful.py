@@ -239,3 +239,33 @@ def test_short_series_is_one_segment(spark):
     f = spark.createDataFrame(rows, "video_id long, frame_idx long, app array<double>, mot array<double>, feat array<double>")
     got = [tuple(r) for r in similarity.segment_recordings(f, 2.0, SegmentationParams()).select("start_frame", "end_frame").collect()]
     assert got == [(0, 5)]
+
+
+def test_top_similar_is_exact(spark):
+    r = np.random.default_rng(11)
+    n, k, p = 90, 3, SegmentationParams(block=8)
+    app, mot = r.normal(size=(n, 4)), r.normal(size=(n, 2))
+    rows = [(int(i >= 70), int(i if i < 70 else i - 70), app[i].tolist(), mot[i].tolist()) for i in range(n)]
+    f = spark.createDataFrame(rows, "video_id long, frame_idx long, app array<double>, mot array<double>")
+    got = {(x.video_id, x.src, x.dst): x.weight for x in similarity.top_similar(f, k, p).collect()}
+    want = {}
+    for v, lo, hi in ((0, 0, 70), (1, 70, 90)):
+        a, m = app[lo:hi] / (np.linalg.norm(app[lo:hi], axis=1, keepdims=True) + 1e-6), mot[lo:hi]
+        for i in range(hi - lo):
+            w = (0.8 * a @ a[i] + 0.2 * np.exp(-np.linalg.norm(m - m[i], axis=1))) / (1 + 0.05 * abs(np.arange(hi - lo) - i))
+            w[i] = -1
+            for j in np.argsort(-w, kind="stable")[:k]:
+                if w[j] > 0:
+                    key = (v, min(i, int(j)), max(i, int(j)))
+                    want[key] = max(want.get(key, 0), w[j])
+    assert set(got) == set(want)
+    assert all(abs(got[q] - want[q]) < 1e-9 for q in want)
+
+
+def test_expand_range_over_blocks(spark):
+    from chronotrace.operators.frames import expand_range
+
+    df = spark.createDataFrame([(0, 0, 23), (1, 5, 6), (2, 4, 4)], "video_id long, a long, b long")
+    for step in (1, 3):
+        got = sorted((r.video_id, r.frame_idx) for r in expand_range(df, F.col("a"), F.col("b"), step=step, block=4).collect())
+        assert got == sorted([(0, i) for i in range(0, 23, step)] + [(1, 5)])
