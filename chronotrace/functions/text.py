@@ -66,7 +66,7 @@ def _count(text: Column, ch: str) -> Column:
 
 def _valid(text: Column) -> Column:
     """``text`` where it is JSON, else null."""
-    return F.when(F.try_parse_json(F.when(F.length(text) > 0, text)).isNotNull(), text)
+    return let(text, lambda c: F.when(F.try_parse_json(F.when(F.length(c) > 0, c)).isNotNull(), c))
 
 
 def json_in_text(text: Column) -> Column:
@@ -167,7 +167,10 @@ def snapshot_fields(js: Column) -> Column:
 
 def verdict_fields(answer: Column) -> Column:
     """Verdict struct from an answer: clamped confidence, break time as number or clock."""
-    js = json_in_text(answer)
+    return let(json_in_text(answer), _verdict_of)
+
+
+def _verdict_of(js: Column) -> Column:
     g = lambda k: F.get_json_object(js, f"$.{k}")
     raw = g("break_timestamp")
     brk = F.coalesce(raw.try_cast("double"), F.when(F.rlike(raw, F.lit(r"^\d+:\d+(\.\d+)?$")), parse_clock(raw)))

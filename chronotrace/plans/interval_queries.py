@@ -230,12 +230,12 @@ def gap_fill(spark, d):
 
 @query("w14_merge_intervals", """WITH x AS (SELECT * FROM verdicts WHERE is_anomaly), r AS (SELECT *, max(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_sec > reach + 4.0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_sec, entity_id ROWS UNBOUNDED PRECEDING) AS gid FROM r)
-SELECT video_id, CAST(gid AS BIGINT) AS group_id, round(min(start_sec), 9) AS start_sec, round(max(end_sec), 9) AS end_sec, max(confidence) AS confidence, count(*) AS n, arg_min(entity_id, (start_sec, entity_id)) AS first_entity FROM g GROUP BY video_id, gid""", "verdicts")
+SELECT video_id, CAST(gid AS BIGINT) AS group_id, round(min(start_sec), 5) AS start_sec, round(max(end_sec), 5) AS end_sec, max(confidence) AS confidence, count(*) AS n, arg_min(entity_id, (start_sec, entity_id)) AS first_entity FROM g GROUP BY video_id, gid""", "verdicts")
 def merge_intervals(spark, d):
     x = v.verdicts(spark, d).filter("is_anomaly")
     g = iv.merge_intervals(x, ("video_id",), "start_sec", "end_sec", "entity_id", 4.0, 24.0, [
         F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"), F.min_by("entity_id", F.struct("start_sec", "entity_id")).alias("first_entity")])
-    return g.withColumns({"start_sec": F.round("start_sec", 9), "end_sec": F.round("end_sec", 9)})
+    return g.withColumns({"start_sec": F.round("start_sec", 5), "end_sec": F.round("end_sec", 5)})
 
 
 @query("w15_cluster_points", """WITH p AS (SELECT video_id, t, event_id, danger + least(0.3, 0.08 * CAST(suspicious AS INT)) + energy / 100 AS sc FROM obs WHERE danger >= 0.45),

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotrace.operators import audit, temporal_graph as tg
-from chronotrace.operators.ordered import join_on
 from chronotrace.plans import views as v
 
 ENTITY = ("video_id", "entity_id")
@@ -38,5 +37,3 @@ def recording_report(spark: SparkSession, d: str) -> DataFrame:
     )
     return g
 
-
-__all__ = ["entity_edges", "entity_rollup", "ranked_audit", "recording_report", "join_on"]

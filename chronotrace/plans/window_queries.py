@@ -95,11 +95,11 @@ rn AS (SELECT video_id, entity_id, run, min(t) AS r0, max(t) AS r1 FROM x WHERE
 bu AS (SELECT video_id, entity_id, pt, pe, greatest(0.0, coalesce(r0, pt) - 2) AS bs, coalesce(r1, pt) + 2 AS be FROM pk LEFT JOIN rn USING (video_id, entity_id, run))"""
 
 
-@query("w16_peak_and_burst", f"WITH {BURST} SELECT video_id, entity_id, round(pt, 9) AS peak_time, round(pe, 9) AS peak_energy, round(bs, 9) AS burst_start, round(be, 9) AS burst_end FROM bu", "obs")
+@query("w16_peak_and_burst", f"WITH {BURST} SELECT video_id, entity_id, round(pt, 5) AS peak_time, round(pe, 9) AS peak_energy, round(bs, 5) AS burst_start, round(be, 5) AS burst_end FROM bu", "obs")
 def peak_and_burst(spark, d):
     o = v.obs(spark, d).select(*K, "t", "event_id", "energy")
     b = sg.bursts(o, _threshold(spark, d), v.ENTITY_LANE, ("video_id",))
-    return b.select(*K, *[F.round(c, 9).alias(c) for c in ("peak_time", "peak_energy", "burst_start", "burst_end")])
+    return b.select(*K, F.round("peak_energy", 9).alias("peak_energy"), *[F.round(c, 5).alias(c) for c in ("peak_time", "burst_start", "burst_end")])
 
 
 @query("w17_discordance_alerts", f"""WITH {THRESH}, mx AS (SELECT video_id, entity_id, max(energy) AS me FROM obs GROUP BY ALL)
