@@ -190,40 +190,95 @@ def reuse_machine(df: DataFrame, lane: Lane, forced: str, every: int = 5, min_ga
 
 
 # --- trigger rules ----------------------------------------------------------------------------
-class _Gate:
-    """Rows of one entity (and session) that fire; holds only the last sampled row."""
-
-    def __init__(self, p: TriggerParams):
-        self.p, self.last = p, None
-
-    def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
+class _Chain:
+    """Firing rows inside one slice. Positions below ``own`` are rows of the slice before."""
+
+    def __init__(self, pdf: pd.DataFrame, ident: str, p: TriggerParams):
+        self.f, self.t, self.x, self.ids = (pdf[c].to_numpy() for c in ("frame_idx", "t", "vec", ident))
+        self.own, self.n, self.p, self.memo = int(pdf["_halo"].sum()), len(pdf), p, {}
+
+    def after(self, i: int) -> int:
+        """First row of the slice that fires when row ``i`` was sampled last."""
+        if i not in self.memo:
+            j = max(i + 1, self.own)
+            while j < self.n:
+                if self.f[j] - self.f[i] >= self.p.min_gap_frames and (
+                    self.t[j] - self.t[i] >= self.p.heartbeat or 1.0 - float(np.dot(self.x[j], self.x[i])) > self.p.jump
+                ):
+                    break
+                j += 1
+            self.memo[i] = j
+        return self.memo[i]
+
+    def fired(self, entry: int) -> list[int]:
+        """Fired positions for a last sample with this id (-1: the first row fires anyway)."""
+        j = self.own if entry == -1 else self.after(int(np.flatnonzero(self.ids[: self.own] == entry)[0]))
         out = []
-        for i in range(lo, hi):
-            f, t, x = cols["frame_idx"][i], cols["t"][i], cols["vec"][i]
-            if self.last is not None:
-                f0, t0, x0 = self.last
-                if f - f0 < self.p.min_gap_frames:
-                    continue
-                if not (t - t0 >= self.p.heartbeat or 1.0 - float(np.dot(x, x0)) > self.p.jump):
-                    continue
-            self.last = (f, t, x)
-            out.append(tuple(c[i] for c in cols.values()))
+        while j < self.n:
+            out.append(j)
+            j = self.after(j)
         return out
 
 
-def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams()) -> DataFrame:
+def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams(), slice_width: float = 240.0) -> DataFrame:
     """Observations worth describing: first sight, a jump of the vector, or a heartbeat.
 
-    A row at least a heartbeat (and the minimum frame gap) after its predecessor fires
-    whatever happened before, so each such row starts an independent session. Sessions run in
-    parallel; rule and distance then follow from consecutive fired rows.
+    The next firing row depends on the last sampled one only, and a sample older than a
+    heartbeat no longer matters: the next row fires anyway. So a slice can only be entered
+    with one of the rows of the heartbeat before it. Every slice is worked out for all of
+    these entries, the results are chained per entity, and each slice is then replayed from
+    its true entry: even one endless entity is spread over its slices. Rule and distance
+    follow from consecutive fired rows. Slices are at least a heartbeat wide, and the minimum
+    frame gap is taken to pass within a heartbeat.
     """
-    cols = [*lane.keys, *lane.order, "frame_idx", "vec"]
-    d = obs.select(*dict.fromkeys(cols))
-    fresh = lambda a, b: (b["t"] - a["t"] >= p.heartbeat) & (b["f"] - a["f"] >= p.min_gap_frames)
-    d = islands(d, lane, {"t": F.col("t"), "f": F.col("frame_idx")}, fresh, "session")
-    fired = ordered_pass(d, (*lane.keys, "session"), lane.order, schema_ddl(d.schema), lambda: _Gate(p))
-    f = neighbours(cut(fired.drop("session")), lane, previous={"_pv": F.col("vec")})
+    narrow, lane = lane, Lane(lane.keys, lane.order, max(slice_width, p.heartbeat))
+    keys, ident = list(lane.keys), lane.order[-1]
+    d = lane.cut_into_slices(obs.select(*dict.fromkeys([*keys, *lane.order, "frame_idx", "t", "vec"])))
+    names = d.columns[:-1]
+    edge = F.col("t") > (F.col(SLICE) + 1) * F.lit(float(lane.width)) - F.lit(float(p.heartbeat))
+    here = F.struct(F.col(SLICE).alias("s"), F.lit(False).alias("h"))
+    nxt = F.when(edge, F.struct((F.col(SLICE) + 1).alias("s"), F.lit(True).alias("h")))
+    d = d.withColumn("_to", F.explode(F.array_compact(F.array(here, nxt)))).withColumn(SLICE, F.col("_to.s")).withColumn("_halo", F.col("_to.h")).drop("_to")
+    d = cut(d)  # read by both passes
+    order = ["_halo", *lane.order]
+    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema if f.name in keys)
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(order, ascending=[False] + [True] * len(lane.order))
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = _Chain(in_order(pdf), ident, p)
+        if c.own == c.n:
+            return pd.DataFrame(columns=[*keys, SLICE, "_in", "_out"], dtype=object)
+        ins = [-1, *[int(i) for i in c.ids[: c.own]]]
+        outs = [int(c.ids[f[-1]]) if (f := c.fired(e)) else e for e in ins]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, SLICE: [pdf[SLICE].iloc[0]], "_in": [ins], "_out": [outs]})
+
+    maps = d.groupBy(*keys, SLICE).applyInPandas(entries, f"{key_ddl}{SLICE} bigint, _in array<bigint>, _out array<bigint>")
+
+    def make():
+        last = [-1]
+
+        def chain(cols: dict, lo: int, hi: int) -> list[tuple]:
+            res = []
+            for i in range(lo, hi):
+                ins = cols["_in"][i].tolist()
+                at = ins.index(last[0]) if last[0] in ins else 0
+                res.append((*[cols[k][i] for k in keys], cols[SLICE][i], ins[at]))
+                last[0] = int(cols["_out"][i][at])
+            return res
+
+        return chain
+
+    starts = ordered_pass(maps, lane.keys, (SLICE,), f"{key_ddl}{SLICE} bigint, _entry bigint", make)
+    full = join_on(d, starts, (*keys, SLICE))
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
+        return pdf.iloc[_Chain(pdf, ident, p).fired(int(pdf["_entry"].iloc[0]))][names]
+
+    fired = full.groupBy(*keys, SLICE).applyInPandas(replay, schema_ddl(d.select(*names).schema))
+    f = neighbours(cut(fired), narrow, previous={"_pv": F.col("vec")})
     dist = F.when(F.col("_pv").isNull(), F.lit(1.0)).otherwise(1 - dot(F.col("vec"), F.col("_pv")))
     rule = F.when(F.col("_pv").isNull(), "birth").when(F.col("distance") > p.jump, "change_point").otherwise("heartbeat")
     return f.withColumn("distance", dist).withColumn("rule", rule).drop("_pv")

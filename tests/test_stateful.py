@@ -28,10 +28,10 @@ def frame_of(spark, p):
     return spark.createDataFrame(p.assign(vec=[v.tolist() for v in p["vec"]]))
 
 
-@pytest.mark.parametrize("dense", [True, False])
-def test_trigger_rules(spark, dense):
-    p, prm = log(dense=dense, seed=4), TriggerParams(jump=1.2, heartbeat=3.0, min_gap_frames=5)
-    got = {r.event_id: (r.rule, round(r.distance, 6)) for r in st.trigger_rows(frame_of(spark, p), ENTITY, prm).collect()}
+@pytest.mark.parametrize("dense,n,width", [(True, 150, 2.0), (False, 150, 2.0), (True, 600, 4.0), (True, 300, 1000.0)])
+def test_trigger_rules(spark, dense, n, width):
+    p, prm = log(n=n, dense=dense, seed=4), TriggerParams(jump=1.2, heartbeat=3.0, min_gap_frames=5)
+    got = {r.event_id: (r.rule, round(r.distance, 6)) for r in st.trigger_rows(frame_of(spark, p), ENTITY, prm, width).collect()}
     want, last = {}, {}
     for r in p.itertuples():
         key = (r.video_id, r.entity_id)
