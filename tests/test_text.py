@@ -102,3 +102,29 @@ def test_readers(spark, tmp_path):
 def test_film_names(spark):
     for stem, want in (("Salt.2010__#00", True), ("Deadpool.2.2018__#1", True), ("v=abc.2010__#1", False), ("clip", False)):
         assert one(spark, tx.is_film_name, stem) is want
+
+
+def test_orthogonal_projection(spark):
+    import numpy as np
+
+    from chronotrace.functions import vectors as vec
+
+    q = vec.orthogonal_basis(2, 128, 42)
+    assert np.allclose(np.array(q) @ np.array(q).T, np.eye(2))
+    got = spark.createDataFrame([([3.0, -4.0],)], "v array<double>").select(vec.project(F.col("v"), q).alias("p")).first().p
+    assert np.allclose(got, np.array([3.0, -4.0]) @ np.array(q))
+
+
+def test_file_listing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.mp4").write_bytes(b"12345")
+    (tmp_path / "y.txt").write_bytes(b"1")
+    got = [(r.path.split("/")[-1], r.length) for r in rd.list_files(spark, str(tmp_path), "*.mp4").collect()]
+    assert got == [("x.mp4", 5)]
+
+
+def test_user_templates(spark):
+    mine = [ac.PathTemplate("pay", ["*"], ["paying"]), ac.PathTemplate("wait", ["shop"], ["waiting"])]
+    df = spark.createDataFrame([(["waiting"], "shop"), (["waiting"], "street"), (["paying"], "street")], "seq array<string>, scene string")
+    got = [r.b and r.b.name for r in df.select(ac.best_template(ac.template_scores(mine)("seq"), F.col("scene"), mine).alias("b")).collect()]
+    assert got == ["wait", None, "pay"]
