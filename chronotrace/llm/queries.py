@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import quality, source_mix
+from chronotrace.llm import packing, quality, source_mix, token_counts
 from chronotrace.llm.sql import QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(narratives(spark, sf_dir)).withColumnRenamed("n_narratives", "n_docs")
+
+
 @query("op2_source_mix", SOURCE_MIX_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = source_mix.mixed_totals(narratives(spark, sf_dir))
@@ -51,3 +56,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         F.col("video_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query("op6_two_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_narratives(narratives(spark, sf_dir)).withColumnRenamed("video_id", "doc_id")
