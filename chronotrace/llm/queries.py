@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import packing, quality, source_mix, token_counts
+from chronotrace.llm import packing, quality, secrets, source_mix, token_counts
 from chronotrace.llm.sql import QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_two_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_narratives(narratives(spark, sf_dir)).withColumnRenamed("video_id", "doc_id")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(narratives(spark, sf_dir))
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+    return found.select(
+        F.col("video_id").alias("doc_id"),
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
