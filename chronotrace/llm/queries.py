@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import packing, quality, secrets, source_mix, token_counts
+from chronotrace.llm import fingerprints, packing, quality, secrets, source_mix, token_counts
 from chronotrace.llm.sql import QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op9_entropy_digests")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(narratives(spark, sf_dir)).withColumnRenamed("video_id", "doc_id")
