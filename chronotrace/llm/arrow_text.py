@@ -34,11 +34,11 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end bytes of the runs of ``[^\\x20\\x09-\\x0D]`` and, per row, the first word's number
-    (one entry more than rows)."""
+def words(buf: np.ndarray, off: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end bytes of the runs of other bytes than ``blank`` (as given, the runs of
+    ``[^\\x20\\x09-\\x0D]``) and, per row, the first word's number (one entry more than rows)."""
     ink = np.empty(len(buf) + 1, bool)
-    np.logical_not(SPACE[buf], out=ink[:-1])
+    np.logical_not(blank[buf], out=ink[:-1])
     ink[-1] = False
     first = ink.copy()
     first[1:] &= ~ink[:-1]
@@ -73,12 +73,12 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
-def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column, lower: bool = False, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of a column and, per row, the first word's number."""
     buf, off = utf8(column)
     if lower:
         buf = LOWER[buf]
-    starts, ends, row = words(buf, off)
+    starts, ends, row = words(buf, off, blank)
     return hash_spans(buf, starts, ends), row
 
 

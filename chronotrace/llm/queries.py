@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import fingerprints, packing, quality, secrets, source_mix, token_counts
+from chronotrace.llm import fingerprints, language, packing, quality, secrets, source_mix, token_counts, toxicity
 from chronotrace.llm.sql import QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,25 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_entropy_digests")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(narratives(spark, sf_dir)).withColumnRenamed("video_id", "doc_id")
+
+
+def crc_rest(n: int):
+    """Remainder of the CRC-32 of the id as text."""
+    return F.crc32(F.coalesce(F.col("video_id").cast("string"), F.lit(""))) % n
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = narratives(spark, sf_dir).withColumn("held_out", crc_rest(5) == 0)
+    model = language.fit_language_model(d.withColumn("learn", ~F.col("held_out")), learn_col="learn")
+    found = language.predict_language(d, model, keep=("video_id", "held_out"))
+    return found.select(F.col("video_id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = narratives(spark, sf_dir).withColumn("held_out", crc_rest(4) == 2)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("video_id"), "toxic").filter(crc_rest(4) != 2)
+    model = toxicity.fit_toxicity_model(d, labels)
+    scored = toxicity.score_toxicity(d, model, keep=("video_id", "held_out"))
+    return scored.select(F.col("video_id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
