@@ -1,6 +1,7 @@
 """Toxicity of narratives by a counterfactual-regularised linear classifier.
 
-The classifier is a logistic regression on the presence of words. For every labelled narrative that
+The classifier is a logistic regression on the presence of words and of word beginnings of three
+lengths, which catch the inflected and compound forms of a word. For every labelled narrative that
 mentions a group, twins are made in which each group term is swapped for another of its kind; the
 squared change of the score between a narrative and its twins is part of the loss. A word for a group
 that happens to be frequent in toxic narratives then gains no weight from it, and neutral mentions
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronotrace.llm.arrow_text import U64, batches, mix, word_hashes
+from chronotrace.llm.arrow_text import LOWER, U64, batches, hash_spans, mix, utf8, words
 
 SAMPLE_ROWS = 15_000
 LEAST_ROWS = 5
-ENTRY_SDS = 4.0
+SCREEN_SDS, ENTRY_SDS = 2.5, 4.0
+BEGINNINGS = (5, 7, 9)  # bytes
 SWAP_PENALTY = 5.0
 ROUNDS = 300
 #: Terms of one kind stand for each other in a twin.
@@ -40,17 +42,43 @@ GROUPS = (
 BLANK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    return word_hashes(pa.array(words, pa.string()), True, BLANK)[0] if words else np.zeros(0, U64)
+def features(column) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words and word beginnings of a text column, and the row of each."""
+    buf, off = utf8(column)
+    buf = LOWER[buf]
+    starts, ends, row = words(buf, off, BLANK)
+    of = np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(row))
+    hashes, rows = [hash_spans(buf, starts, ends)], [of]
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(ends - starts > n)
+        hashes.append(mix(hash_spans(buf, starts[longer], starts[longer] + n) + U64(n)))
+        rows.append(of[longer])
+    return (np.concatenate(hashes) >> U64(32)).astype(np.uint32), np.concatenate(rows)
 
 
-def _distinct_words(batches_in):
-    """Hashes of the distinct words of each narrative, packed."""
+def hash_words(terms: list[str]) -> np.ndarray:
+    """Hashes of single whole words."""
+    return features(pa.array(terms, pa.string()))[0][: len(terms)] if terms else np.zeros(0, np.uint32)
+
+
+def distinct_features(column) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of each row in row order, those that occur twice or more also as another one."""
+    h, row = features(column)
+    pair, n = np.unique((row << 32) + h, return_counts=True)
+    often = pair[n > 1]
+    again = (often & ~0xFFFFFFFF) + (((often & 0xFFFFFFFF) * 0x9E3779B1 + 1) & 0xFFFFFFFF)
+    pair = np.unique(np.concatenate([pair, again]))
+    return (pair & 0xFFFFFFFF).astype(np.uint32), pair >> 32
+
+
+def _packed_features(batches_in):
+    """Sorted distinct features of each narrative, packed."""
     for batch in batches_in:
         for part in batches(batch, column=1):
-            h, row = word_hashes(part.column(1), True, BLANK)
-            packed = [np.unique(h[row[i] : row[i + 1]]).tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["label", "words"])
+            h, row = distinct_features(part.column(1))
+            cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+            packed = [h[a:b].astype("<u4").tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["label", "features"])
 
 
 @dataclass
@@ -61,25 +89,22 @@ class ToxicityModel:
 
     def scores(self, column) -> np.ndarray:
         """Score of every text of an Arrow column."""
-        h, row = word_hashes(column, True, BLANK)
-        total = np.full(len(row) - 1, self.bias)
+        total = np.full(len(column), self.bias)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if len(self.hashes) < 64 else _lookup(self.hashes, h)
-            hit = np.flatnonzero(self.hashes[at] == h)
-            of = np.searchsorted(row, hit, "right") - 1
-            pair = np.unique(of * len(self.hashes) + at[hit])
-            total += np.bincount(pair // len(self.hashes), self.weights[pair % len(self.hashes)], len(total))
+            h, row = distinct_features(column)
+            hit, at = _lookup(self.hashes, h)
+            total += np.bincount(row[hit], self.weights[at], len(total))
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def _lookup(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Positions in a sorted array; a coarse bit map rules out most words first."""
+def _lookup(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are known, and their places; a coarse map of leading bits rules out most first."""
     seen = np.zeros(1 << 16, bool)
-    seen[known >> U64(48)] = True
-    at = np.zeros(len(h), np.int64)
-    maybe = np.flatnonzero(seen[h >> U64(48)])
-    at[maybe] = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
-    return at
+    seen[known >> 16] = True
+    maybe = np.flatnonzero(seen[h >> 16])
+    at = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+    sure = known[at] == h[maybe]
+    return maybe[sure], at[sure]
 
 
 class _Rows:
@@ -109,19 +134,19 @@ def swap_rows(texts: list[np.ndarray], vocabulary: np.ndarray, groups, twins: in
     hashes. Which term stands in depends on the text alone."""
     kin = [np.sort(hash_words(list(g))) for g in groups]
     rows, cols, values, n = [], [], [], 0
-    every = np.concatenate(kin) if kin else np.zeros(0, U64)
-    for words in texts:
-        if not len(words) or not np.isin(every, words).any():
+    every = np.concatenate(kin) if kin else np.zeros(0, np.uint32)
+    for found in texts:
+        if not len(found) or not np.isin(every, found).any():
             continue
         for t in range(twins):
             change: dict[int, float] = {}
             for g in kin:
-                for term in g[np.isin(g, words)]:
+                for term in g[np.isin(g, found)]:
                     others = g[g != term]
-                    swap = others[int(mix(np.array([words[0] ^ term ^ U64(t)]))[0] % U64(len(others)))]
-                    for word, by in ((term, -1.0), (swap, 1.0)):
-                        at = int(np.searchsorted(vocabulary, word))
-                        if at < len(vocabulary) and vocabulary[at] == word:
+                    swap = others[int(mix(np.array([found[0] ^ term ^ t], U64))[0] % U64(len(others)))]
+                    for x, by in ((term, -1.0), (swap, 1.0)):
+                        at = int(np.searchsorted(vocabulary, x))
+                        if at < len(vocabulary) and vocabulary[at] == x:
                             change[at] = change.get(at, 0.0) + by
             rows += [n] * len(change)
             cols += list(change)
@@ -131,24 +156,31 @@ def swap_rows(texts: list[np.ndarray], vocabulary: np.ndarray, groups, twins: in
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, groups=GROUPS, swap_penalty: float = SWAP_PENALTY) -> ToxicityModel:
-    """Model from distinct word hashes and labels 0 or 1.
+    """Model from sorted distinct features and labels 0 or 1.
 
-    A word enters when its tie to the label stands out by ``ENTRY_SDS`` deviations (an L1 penalty in
-    that unit); the words that entered are then weighed again with a light L2 penalty.
+    Features whose own tie to the label is below ``SCREEN_SDS`` deviations are left out at once. One
+    enters when its tie given the others stands out by ``ENTRY_SDS`` deviations (an L1 penalty in that
+    unit); those that entered are then weighed again with a light L2 penalty.
     """
     n = len(texts)
     rate = (labels.sum() + 1) / (n + 2)
     bias = float(np.log(rate / (1 - rate)))
-    words = np.concatenate(texts) if n else np.zeros(0, U64)
-    vocabulary, inverse, df = np.unique(words, return_inverse=True, return_counts=True)
-    keep = df >= LEAST_ROWS
-    if not keep.any() or labels.min() == labels.max():
-        return ToxicityModel(np.zeros(0, U64), np.zeros(0), bias)
-    to = np.cumsum(keep) - 1
-    rows = np.repeat(np.arange(n), [len(t) for t in texts])
-    used = keep[inverse]
-    x = _Rows(rows[used], to[inverse[used]], np.ones(int(used.sum())), (n, int(keep.sum())))
+    every = np.concatenate(texts) if n else np.zeros(0, np.uint32)
+    if not len(every) or labels.min() == labels.max():
+        return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), bias)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    vocabulary, df = np.unique(every, return_counts=True)
+    of_toxic = np.zeros(len(vocabulary))
+    hit, counts = np.unique(every[labels[rows] > 0], return_counts=True)
+    of_toxic[np.searchsorted(vocabulary, hit)] = counts
+    groups_too = np.isin(vocabulary, np.concatenate([hash_words(list(g)) for g in groups]) if groups else vocabulary[:0])
+    tie = np.abs(of_toxic - df * rate) >= SCREEN_SDS * np.sqrt(df * rate * (1 - rate))
+    keep = (df >= LEAST_ROWS) & (tie | groups_too)
     vocabulary, df = vocabulary[keep], df[keep]
+    if not len(vocabulary):
+        return ToxicityModel(vocabulary, np.zeros(0), bias)
+    used, cols = _lookup(vocabulary, every)
+    x = _Rows(rows[used], cols, np.ones(len(used)), (n, len(vocabulary)))
     twin = swap_rows(texts, vocabulary, groups)
     lasso = ENTRY_SDS * np.sqrt(df * rate * (1 - rate)) / n
     w, b = _descend(x, labels, twin, swap_penalty, lasso, np.zeros(x.shape[1]), bias, 0.0)
@@ -192,8 +224,8 @@ def fit_toxicity_model(
     chosen = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "label").limit(sample_rows)
     d = narratives.select(F.col(id_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("narrative"))
-    got = d.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("label", "narrative").mapInArrow(_distinct_words, "label int, words binary").toArrow()
-    texts = [np.frombuffer(b.as_py(), U64) for b in got["words"]]
+    got = d.join(F.broadcast(chosen), F.col("_key") == F.col("_id")).select("label", "narrative").mapInArrow(_packed_features, "label int, features binary").toArrow()
+    texts = [np.frombuffer(b.as_py(), "<u4") for b in got["features"]]
     order = sorted(range(len(texts)), key=lambda i: texts[i].tobytes())  # the same model whatever the order of rows
     return fit([texts[i] for i in order], got["label"].to_numpy().astype(float)[order], groups, swap_penalty)
 
