@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import fingerprints, language, packing, quality, secrets, source_mix, token_counts, toxicity
-from chronotrace.llm.sql import QUALITY_SQL, SOURCE_MIX_SQL
+from chronotrace.llm import fingerprints, language, ngram_join, packing, quality, secrets, source_mix, token_counts, toxicity
+from chronotrace.llm.sql import NGRAM_SQL, QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +104,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity_model(d, labels)
     scored = toxicity.score_toxicity(d, model, keep=("video_id", "held_out"))
     return scored.select(F.col("video_id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op5_ngram_join", NGRAM_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_components(narratives(spark, sf_dir), width=3, percent=90)
+    return found.select(F.col("video_id").alias("doc_id"), "n_shingles", "component_id")

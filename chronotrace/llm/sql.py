@@ -79,3 +79,19 @@ FROM vv, m{ROUNDS}
 
 
 QUALITY_SQL = _quality_sql()
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+NGRAM_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("coalesce(text, '')", _LOW)} AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+  FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(s) AS g FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2
+"""
