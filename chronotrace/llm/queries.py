@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import fingerprints, language, ngram_join, packing, quality, secrets, source_mix, token_counts, toxicity
+from chronotrace.llm import fingerprints, language, ngram_join, packing, page_text, quality, secrets, source_mix, token_counts, toxicity
 from chronotrace.llm.sql import NGRAM_SQL, QUALITY_SQL, SOURCE_MIX_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_components(narratives(spark, sf_dir), width=3, percent=90)
     return found.select(F.col("video_id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op7_page_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
