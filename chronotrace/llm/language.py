@@ -285,23 +285,39 @@ def fit_language_model(
     return model
 
 
+def _judge(model: Model, texts: list, reject_sds: float):
+    """Language number, whether there is one, score, cross-entropy and rejection of each text."""
+    ce, n = model.cross_entropies(texts)
+    if not model.langs:
+        return np.zeros(len(n), np.int64), np.zeros(len(n), bool), np.zeros(len(n)), np.zeros(len(n)), np.ones(len(n), bool)
+    best, some = ce.argmin(1), n > 0
+    low = ce[np.arange(len(n)), best]
+    score = np.where(some, 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, FULL_TRUST)[:, None]).sum(1), 0.0)
+    sd = np.sqrt(model.spread[best, 0] + model.spread[best, 1] / np.maximum(n, 1))
+    odd = (low > model.center[best] + reject_sds * sd) & (low > (model.center[best] - model.unseen_chance()) / 2)
+    return best, some, score, low, ~some | odd
+
+
+def _accept(model: Model, at: int, reject_sds: float):
+    def accept(batches_in):
+        for batch in batches_in:
+            for part in batches(batch, column=at):
+                yield part.filter(pa.array(~_judge(model, part.column(at).to_pylist(), reject_sds)[-1]))
+
+    return accept
+
+
+def accepted(narratives: DataFrame, model: Model, text_col: str = "narrative", reject_sds: float = REJECT_SDS) -> DataFrame:
+    """The rows of the input that are not rejected, with all their columns."""
+    return narratives.mapInArrow(_accept(model, narratives.columns.index(text_col), reject_sds), narratives.schema)
+
+
 def _predict(model: Model, reject_sds: float):
     def predict(batches_in):
         for batch in batches_in:
             for part in batches(batch):
                 texts = part.column(0).to_pylist()
-                ce, n = model.cross_entropies(texts)
-                best = ce.argmin(1) if model.langs else np.zeros(len(n), np.int64)
-                some = (n > 0) & bool(model.langs)
-                rows = np.arange(len(n))
-                low = ce[rows, best] if model.langs else np.zeros(len(n))
-                score = np.zeros(len(n))
-                reject = ~some
-                if model.langs:
-                    score = np.where(some, 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, FULL_TRUST)[:, None]).sum(1), 0.0)
-                    sd = np.sqrt(model.spread[best, 0] + model.spread[best, 1] / np.maximum(n, 1))
-                    odd = low > model.center[best] + reject_sds * sd
-                    reject |= odd & (low > (model.center[best] - model.unseen_chance()) / 2)
+                best, some, score, low, reject = _judge(model, texts, reject_sds)
                 names = [model.langs[b] if s else UNKNOWN for b, s in zip(best, some)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(reject)], [*part.schema.names[1:], "lang_pred", "score", "cross_entropy", "rejected"])
 

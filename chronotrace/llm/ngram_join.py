@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronotrace.llm.arrow_text import U64, batches, mix, word_hashes
+from chronotrace.llm.columns import names_unlike
 from chronotrace.session import shared_dir
 
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
@@ -90,16 +91,18 @@ def _members(width: int):
             blocks = cells.reshape(-1, SKETCH_BLOCK)
             full = np.flatnonzero(blocks.any(1))
             k, task = len(full), TaskContext.get().partitionId()
-            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, id_type), pa.array(np.full(k, task)), pa.nulls(k, pa.int32()), pa.array(full), pa.array([blocks[b].astype("<i8").tobytes() for b in full], pa.binary())]
+            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, id_type), pa.array(np.full(k, task)), pa.nulls(k, pa.int32()), pa.array(full), pa.array([blocks[b].astype("<u4").tobytes() for b in full], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return members
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(b.as_py(), "<i8") for b in table["counts"])
-    first = table.slice(0, 1)
-    return pa.table({"cell": first["cell"], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    total = np.zeros(SKETCH_BLOCK, np.int64)
+    for b in table["counts"]:
+        total += np.frombuffer(b.as_py(), "<u4")
+    total = np.minimum(total, 0xFFFFFFFF).astype("<u4")  # beyond that, equally frequent
+    return pa.table({"cell": table["cell"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -108,14 +111,10 @@ def _rarity(rows: DataFrame) -> np.ndarray:
     part = rows.filter("kind = 1").select("cell", "counts", F.pmod("c", F.lit(61)).alias("lot"))
     part = part.groupBy("cell", "lot").applyInArrow(_add_counts, "cell long, counts binary")
     part = part.groupBy("cell").applyInArrow(_add_counts, "cell long, counts binary")
-    cells = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
+    cells = np.zeros(((1 << SKETCH_BITS) // SKETCH_BLOCK, SKETCH_BLOCK), np.int64)
     for r in part.toLocalIterator():  # a fixed number of cells
-        cells[r["cell"]] = np.frombuffer(r["counts"], "<i8")
-    rank = np.empty(cells.size, np.int32)
-    flat = cells.ravel()
-    levels = np.unique(flat, return_inverse=True)[1]
-    rank[:] = levels
-    return rank
+        cells[r["cell"]] = np.frombuffer(r["counts"], "<u4")
+    return np.unique(cells.ravel(), return_inverse=True)[1].astype(np.int32)
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -241,6 +240,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _grouped(d: DataFrame, width: int, percent: int) -> DataFrame:
+    """``video_id, n, c, grp, component_id`` of every row; ``grp`` is a class that stands for the
+    component, null without n-grams."""
+    kind = d.schema["video_id"].dataType.simpleString()
+    rows = stored(d.mapInArrow(_members(width), MEMBERS.format(id=kind)))
+    members = rows.filter("kind = 0").select("video_id", "c", "n")
+    classes = members.filter("n > 0").groupBy("c").agg(F.min("video_id").alias("rep"))
+    comp = components(_class_links(d, rows, classes, width, percent))
+    best = comp.join(classes, "c").groupBy("comp").agg(F.min("rep").alias("best"))
+    named = classes.join(comp, "c", "left").join(best, "comp", "left").select("c", F.coalesce("comp", "c").alias("grp"), F.coalesce("best", "rep").alias("component_id"))
+    bare = members.filter("n = 0").select("video_id", "c", "n", F.lit(None).cast("long").alias("grp"), F.col("video_id").alias("component_id"))
+    return members.filter("n > 0").join(named, "c").select(*bare.columns).unionByName(bare)
+
+
 def ngram_components(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80) -> DataFrame:
     """Per narrative: ``video_id, n_shingles, class_id, component_id``.
 
@@ -251,16 +264,7 @@ def ngram_components(narratives: DataFrame, id_col: str = "video_id", text_col:
     never is the smallest unless all are null; an empty table gives an empty result.
     """
     d = narratives.select(F.col(id_col).alias("video_id"), F.col(text_col).alias("narrative"))
-    kind = d.schema["video_id"].dataType.simpleString()
-    rows = stored(d.mapInArrow(_members(width), MEMBERS.format(id=kind)))
-    members = rows.filter("kind = 0").select("video_id", "c", "n")
-    classes = members.filter("n > 0").groupBy("c").agg(F.min("video_id").alias("rep"))
-    links = _class_links(d, rows, classes, width, percent)
-    comp = components(links)
-    best = comp.join(classes, "c").groupBy("comp").agg(F.min("rep").alias("best"))
-    named = classes.join(comp, "c", "left").join(best, "comp", "left").select("c", F.coalesce("best", "rep").alias("component_id"))
-    out = members.filter("n > 0").join(named, "c").unionByName(members.filter("n = 0").withColumn("component_id", F.col("video_id")))
-    return out.select("video_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
+    return _grouped(d, width, percent).select("video_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
 
 
 def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -289,10 +293,30 @@ def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     return first.unionByName(second)
 
 
+def _fields(df: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
+
+
+def _with_class(width: int, at: int, name: str):
+    def with_class(batches_in):
+        for batch in batches_in:
+            for part in batches(batch, column=at):
+                c = pa.array([class_of(s) for s in shingle_sets(part.column(at), width)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, c], [*part.schema.names, name])
+
+    return with_class
+
+
 def one_per_group(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``narratives`` whose id is the smallest of their component; of equal rows with that id
-    one stays. Rows with a null id stay only where no other row of the component has one."""
-    found = ngram_components(narratives, id_col, text_col, width, percent)
-    firsts = found.filter(F.col("video_id").eqNullSafe(F.col("component_id"))).select(F.col("video_id").alias("_id")).distinct()
-    kept = narratives.join(firsts, narratives[id_col].eqNullSafe(firsts["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The input with one row of each component: the one with the smallest id (null last), of equal ids
+    the one with the smallest class. Rows without n-grams all stay, but of rows with the same id and the
+    same n-grams one stays. Columns are those of the input."""
+    d = narratives.select(F.col(id_col).alias("video_id"), F.col(text_col).alias("narrative"))
+    found = _grouped(d, width, percent)
+    first = found.filter("n > 0").groupBy("grp").agg(F.min(F.struct(F.col("video_id").isNull().alias("none"), "video_id", "c")).alias("x")).select("x.video_id", "x.c")
+    c, key, turn = names_unlike(narratives.columns, "c", "key", "turn")
+    chosen = stored(first.unionByName(found.filter("n = 0").select("video_id", "c")).select(F.xxhash64("video_id", "c").alias(key)).distinct())
+    rows = narratives.mapInArrow(_with_class(width, narratives.columns.index(text_col), c), _fields(narratives, f"`{c}` long"))
+    rows = rows.withColumn(key, F.xxhash64(F.col(id_col), F.col(c))).join(chosen, key, "left_semi")
+    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(key).orderBy(F.col(id_col), F.col(c))))
+    return rows.filter(F.col(turn) == 1).select(*narratives.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronotrace.llm.columns import word_count
+from chronotrace.llm.columns import names_unlike, word_count
 from chronotrace.session import cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -153,3 +153,16 @@ def mixed_totals(
     return placed.join(got, hit, "left").select(
         "video_id", "category", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("heads", F.lit(0)).cast("long").alias("first_passes")
     )
+
+
+def mixed_rows(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", category_col: str = "category", **options) -> DataFrame:
+    """Whole narratives as the mix takes them: a row for each pass that takes a narrative's first word,
+    with the columns of the input. One that the mix does not reach is left out; one without words, which
+    no weight can speak of, stays once. Equal rows count together and come as often as all of them."""
+    key, copies, turn = names_unlike(narratives.columns, "key", "copies", "turn")
+    d = narratives.withColumn(key, F.xxhash64(id_col, category_col, text_col))
+    totals = mixed_totals(d, key, text_col, category_col, **options)
+    totals = totals.groupBy(F.col("video_id").alias(key)).agg(F.sum(F.when(F.col("size") > 0, F.col("first_passes")).otherwise(1)).cast("int").alias(copies))
+    rows = d.join(totals.filter(F.col(copies) > 0), key)
+    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(key).orderBy(id_col))).filter(F.col(turn) == 1)
+    return rows.select(*narratives.columns, F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(turn)).select(*narratives.columns)
