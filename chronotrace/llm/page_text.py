@@ -1,15 +1,15 @@
 """Main text of web pages by nearest-URL page differencing.
 
 The project has no records that are web pages, so this takes pages in general: ``page_id``, ``url`` and
-``html``. Pages of a host are put in order of their URL path; each is compared with its neighbour, the
-one before or after that has the longer path in common. Their text lines (blocks) are aligned by a
+``html``. Pages of a host are put in order of their URL path; each is compared with the neighbour,
+of two before and two after, that has the longest path in common. Their text lines (blocks) are aligned by a
 longest common subsequence, and shared lines outside the page's article are deleted.
 
 Two pages may well quote the same paragraph, and an advert need not appear twice, so an exact check by
 the markup follows: what stands in menus, forms, adverts, notices, comments and the like goes even if
 no neighbour has it; where a page marks its article, the article's lines are the text; where it does
 not, the lines left by the differencing are. A neighbour that agrees in nearly all lines is a copy and
-proves nothing, so the other one is taken, or none.
+proves nothing, so the next nearest is taken, or none.
 """
 
 from __future__ import annotations
@@ -175,13 +175,13 @@ def _common_prefix(a: str, b: str) -> int:
 
 
 def _shared(batches_in):
-    """The nearer neighbour on the same host; a copy is passed over for the other one."""
+    """Lines in common with the nearest neighbour on the same host; a copy is passed over."""
     for batch in batches_in:
         out = []
-        for me, before, after in zip(*(batch.column(c).to_pylist() for c in ("me", "before", "after"))):
+        for me, near in zip(batch.column("me").to_pylist(), batch.column("near").to_pylist()):
             mine = np.frombuffer(me["lines"], "<i8").tolist()
-            sides = [x for x in (before, after) if x["pos"] != me["pos"] and x["host"] == me["host"]]
-            sides.sort(key=lambda x: -_common_prefix(x["path"], me["path"]))
+            sides = [x for x in near if x["pos"] != me["pos"] and x["host"] == me["host"]]
+            sides.sort(key=lambda x: (-_common_prefix(x["path"], me["path"]), abs(x["pos"] - me["pos"]), x["pos"]))
             hit: list[int] = []
             for side in sides:
                 other = np.frombuffer(side["lines"], "<i8").tolist()
@@ -220,10 +220,8 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     upto = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     d = d.join(sizes.select("part", "first", upto.alias("base")), "part").withColumn("pos", F.col("base") + F.col("at") - F.col("first"))
     me = F.struct("pos", "host", "path", "lines")
-    near = bounded_window(
-        d.select("key", "pos", me.alias("me")), (), "pos", 1, 1, lambda w: [F.first("me").over(w).alias("before"), F.last("me").over(w).alias("after")]
-    )
-    found = near.select("key", "me", "before", "after").mapInArrow(_shared, "key long, shared array<int>")
+    near = bounded_window(d.select("key", "pos", me.alias("me")), (), "pos", 2, 2, lambda w: [F.collect_list("me").over(w).alias("near")])  # five at most
+    found = near.select("key", "me", "near").mapInArrow(_shared, "key long, shared array<int>")
     return found.groupBy("key").agg(F.min("shared").alias("shared"))
 
 
