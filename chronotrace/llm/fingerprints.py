@@ -20,11 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from chronotrace.llm.arrow_text import batches, mix, utf8
 from chronotrace.operators.ordered import Lane, neighbours
+from chronotrace.session import cut
 
 WINDOW, LEVELS, LEAST_POINTS = 64, 1000, 16
 FILTER_BYTES, FILTER_FEATURES, BITS_PER_FEATURE = 256, 160, 5
 LEAST_LEVEL = 100  # windows this even (long runs of one byte) are never features
 CHUNK_IDS = 256
+MOST_SENT_HEADS = 1_000_000  # three numbers each
 _UNIT = 1 << 20
 _SUM = np.array([0] + [round(c * np.log2(c) * _UNIT) for c in range(1, WINDOW + 1)], np.int64)
 _GAIN = np.diff(_SUM, prepend=0)
@@ -235,9 +237,9 @@ def fingerprints(narratives: DataFrame, id_col: str = "video_id", text_col: str
     ends = heads.agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
     heads = neighbours(heads, Lane((), ("chunk",), 4096), following={"above": F.col("chunk")})
     heads = heads.select(F.col("chunk").alias("_chunk"), "head", F.coalesce("above", ends.select("lo").scalar()).alias("above"))
-    # Of rows with the head's id, the one first by text stands at the head: copies go by text too, and
-    # only the first of them in the order below is the follower.
-    j = d.join(heads, d["chunk"] == F.col("_chunk"))
+    heads = cut(heads)
+    small = heads.count() <= MOST_SENT_HEADS  # else both sides are shuffled by chunk
+    j = d.join(F.broadcast(heads) if small else heads, d["chunk"] == F.col("_chunk"))
     is_head = F.col("video_id").eqNullSafe(F.col("head"))
     own = F.struct(F.col("chunk"), F.lit(0).alias("is_copy"))
     moved = F.struct(F.col("above").alias("chunk"), F.lit(1).alias("is_copy"))
