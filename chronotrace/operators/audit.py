@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronotrace.operators.ordered import join_on
+from chronotrace.operators.ordered import Lane, join_on, number_rows
 from chronotrace.params import AuditParams, DiscordanceParams
 
 
@@ -83,15 +83,16 @@ def recording_rollup(verdicts: DataFrame, passed: Column) -> DataFrame:
     )
 
 
-def verdict_summary(verdicts: DataFrame, keep: int = 12) -> DataFrame:
-    """Summary sentence of the flagged entities of a recording (at most the audited ``keep``)."""
+def verdict_summary(verdicts: DataFrame, page: int = 500) -> DataFrame:
+    """Summary sentence of the flagged entities of a recording, surest first; where there are more
+    than ``page`` of them, a row per page."""
     line = F.concat(
         F.lit("Entity #"), F.col("entity_id").cast("string"), F.lit(": "), F.col("reason"),
         F.format_string(" (conf=%.2f, interval=[%.1fs, %.1fs])", "confidence", "start_sec", "end_sec"),
     )
-    w = W.partitionBy("video_id").orderBy(F.col("confidence").desc(), "entity_id")
-    v = verdicts.filter("is_anomaly and not film_false_alarm").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= keep)
-    g = v.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("s")))).alias("_l"), F.collect_list("entity_id").alias("_ids"))
+    v = verdicts.filter("is_anomaly and not film_false_alarm").withColumn("_neg", -F.col("confidence"))
+    v = number_rows(v, Lane(("video_id",), ("_neg", "entity_id"), 0.05), "_r").withColumn("_page", F.floor((F.col("_r") - 1) / page))
+    g = v.groupBy("video_id", "_page").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("s")))).alias("_l"), F.collect_list("entity_id").alias("_ids"))
     s = g.select("video_id", F.array_join(F.transform("_l", lambda x: x["s"]), "; ").alias("summary"), F.array_join(F.transform(F.array_sort("_ids"), lambda x: x.cast("string")), ",").alias("entity_ids"))
     ids = verdicts.select("video_id").distinct()
     return join_on(ids, s, ("video_id",), "left").select("video_id", F.coalesce("summary", F.lit("No anomaly detected.")).alias("summary"), F.coalesce("entity_ids", F.lit("")).alias("entity_ids"))

@@ -40,28 +40,36 @@ def paint(df: DataFrame, lo: Column, hi: Column, value: Callable[[Column], Colum
     return expand_range(df, lo, hi).select("video_id", "frame_idx", value(F.col("frame_idx")).cast("double").alias("v"))
 
 
-def interval_mask(spine: DataFrame, intervals: DataFrame, total: int, end_inclusive: bool = False) -> DataFrame:
+def with_length(df: DataFrame, total: int | DataFrame) -> DataFrame:
+    """``df`` and ``_total``, the frames of its recording: one number for all, or a table of
+    ``video_id, total_frames``, a row per recording."""
+    if isinstance(total, DataFrame):
+        return join_on(df, total.select("video_id", F.col("total_frames").cast("long").alias("_total")), ("video_id",))
+    return df.withColumn("_total", F.lit(total).cast("long"))
+
+
+def interval_mask(spine: DataFrame, intervals: DataFrame, total: int | DataFrame, end_inclusive: bool = False) -> DataFrame:
     """0/1 ground truth per frame. The end frame belongs to the interval only on request;
     starts beyond the recording fall on its last frame."""
-    s = F.least(F.col("s"), F.lit(total - 1)).cast("long")
-    e = F.least(F.col("e") + (1 if end_inclusive else 0), F.lit(total)).cast("long")
-    hit = paint(intervals, s, e, lambda f: F.lit(1.0)).groupBy("video_id", "frame_idx").agg(F.lit(1).alias("gt"))
+    s = F.least(F.col("s"), F.col("_total") - 1).cast("long")
+    e = F.least(F.col("e") + (1 if end_inclusive else 0), F.col("_total")).cast("long")
+    hit = paint(with_length(intervals, total), s, e, lambda f: F.lit(1.0)).groupBy("video_id", "frame_idx").agg(F.lit(1).alias("gt"))
     return join_on(spine, hit, ("video_id", "frame_idx"), "left").withColumn("gt", F.coalesce("gt", F.lit(0)))
 
 
-def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int, fps: float, ramp_sec: float = 5.0) -> DataFrame:
+def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int | DataFrame, fps: float, ramp_sec: float = 5.0) -> DataFrame:
     """Confidence over each flagged interval with linear ramps (0.1 to 0.8 of it) on both
     sides; overlapping verdicts keep the larger value. Recordings that are flagged but end
     up silent get 0.2 of their largest confidence everywhere. Clipped to [0, 1]."""
     n = int(ramp_sec * fps)
-    lim = lambda c: F.greatest(F.lit(0), F.least(F.floor(c * fps), F.lit(total))).cast("long")
-    v = verdicts.filter("is_anomaly and end_sec > start_sec").select("video_id", "confidence", lim(F.col("start_sec")).alias("a"), lim(F.col("end_sec")).alias("b"))
+    lim = lambda c: F.greatest(F.lit(0), F.least(F.floor(c * fps), F.col("_total"))).cast("long")
+    v = with_length(verdicts.filter("is_anomaly and end_sec > start_sec"), total).select("video_id", "_total", "confidence", lim(F.col("start_sec")).alias("a"), lim(F.col("end_sec")).alias("b"))
     conf = F.col("confidence")
     core = paint(v, F.col("a"), F.col("b"), lambda f: conf)
     up = v.withColumn("_s", F.greatest(F.lit(0), F.col("a") - n).cast("long"))
     k = lambda f: F.when(F.col("a") - F.col("_s") > 1, (f - F.col("_s")) / (F.col("a") - F.col("_s") - 1)).otherwise(0.0)
     rise = paint(up, F.col("_s"), F.col("a"), lambda f: conf * 0.1 + conf * 0.7 * k(f))
-    down = v.withColumn("_e", F.least(F.lit(total), F.col("b") + n).cast("long"))
+    down = v.withColumn("_e", F.least(F.col("_total"), F.col("b") + n).cast("long"))
     q = lambda f: F.when(F.col("_e") - F.col("b") > 1, (f - F.col("b")) / (F.col("_e") - F.col("b") - 1)).otherwise(0.0)
     fall = paint(down, F.col("b"), F.col("_e"), lambda f: conf * 0.8 - conf * 0.7 * q(f))
     best = core.unionByName(rise).unionByName(fall).groupBy("video_id", "frame_idx").agg(F.max("v").alias("score"))
@@ -72,14 +80,15 @@ def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int, fps: float, r
     return j.select("video_id", "frame_idx", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_fill", "score", F.lit(0.0)))).alias("score"))
 
 
-def step_scores(spine: DataFrame, segments: DataFrame, total: int, fps: float, expand: float = 1.0) -> DataFrame:
+def step_scores(spine: DataFrame, segments: DataFrame, total: int | DataFrame, fps: float, expand: float = 1.0) -> DataFrame:
     """Confidence over each segment and 0.6 of it in a one-second border on both sides."""
     fl = lambda c: F.floor(c * fps).cast("long")
-    s = segments.select(
+    total_ = F.col("_total")
+    s = with_length(segments, total).select(
         "video_id", "confidence",
-        F.least(fl(F.greatest(F.lit(0.0), F.col("start_sec") - expand)), F.lit(total - 1)).alias("sf"),
-        F.least(fl(F.least(F.lit((total - 1) / max(fps, 1e-6)), F.col("end_sec") + expand)), F.lit(total)).alias("ef"),
-        F.least(fl(F.col("start_sec")), F.lit(total - 1)).alias("cs"), F.least(fl(F.col("end_sec")), F.lit(total)).alias("ce"),
+        F.least(fl(F.greatest(F.lit(0.0), F.col("start_sec") - expand)), total_ - 1).alias("sf"),
+        F.least(fl(F.least((total_ - 1) / F.lit(max(fps, 1e-6)), F.col("end_sec") + expand)), total_).alias("ef"),
+        F.least(fl(F.col("start_sec")), total_ - 1).alias("cs"), F.least(fl(F.col("end_sec")), total_).alias("ce"),
     )
     c = F.col("confidence")
     parts = (

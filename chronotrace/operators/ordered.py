@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from chronotrace.session import cut
 
 SLICE = "_slice"
-SMALL_QUANTILE_INPUT = 1_000_000  # distinct values that one aggregation may hold
 
 
 @dataclass(frozen=True)
@@ -230,24 +229,21 @@ def bounded_window(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: tuple[str, ...], value: str, points: dict[str, float], buckets: int = 4096
+    df: DataFrame, keys: tuple[str, ...], value: str, points: dict[str, float], buckets: int = 64
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key without gathering a key's values.
 
-    Values are collapsed to (value, count), spread over value buckets, and only the buckets
-    that hold a wanted rank are ordered.
+    Values are collapsed to (value, count), spread over buckets of about as many distinct values
+    (their bounds are approximate percentiles, which any outlier leaves where they are), and only
+    the buckets that hold a wanted rank are ordered.
     """
     keys = keys or ("_all",)
     d = df.withColumn("_all", F.lit(0)) if keys == ("_all",) else df
     vc = d.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    vc = cut(vc)  # counted here, read four times below
-    if vc.count() <= SMALL_QUANTILE_INPUT:
-        small = vc.groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(p)), F.col("_n")).alias(n) for n, p in points.items()])
-        return small.drop("_all")
-    stats = vc.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_tot"))
-    span = F.col("_hi") - F.col("_lo")
-    b = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * buckets)).otherwise(F.lit(0)).cast("long")
-    vb = join_on(vc, stats, keys).withColumn("_b", b)
+    vc = cut(vc)  # read four times below
+    bounds = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    stats = vc.groupBy(*keys).agg(F.percentile_approx("_v", bounds, F.lit(20 * buckets)).alias("_bounds"), F.sum("_n").alias("_tot"))
+    vb = join_on(vc, stats, keys).withColumn("_b", F.size(F.filter("_bounds", lambda x: x <= F.col("_v"))).cast("long")).drop("_bounds")
     hist = vb.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn"), F.max("_tot").alias("_tot"))
     kw = W.partitionBy(*keys).orderBy("_b")
     hist = hist.withColumn("_end", F.sum("_bn").over(kw.rowsBetween(W.unboundedPreceding, 0)))

@@ -10,6 +10,7 @@ from chronotrace.functions.boxes import clamp
 from chronotrace.functions.vectors import cosine, dot, sq_l2
 from chronotrace.operators.intervals import points_in_intervals
 from chronotrace.operators.ordered import Lane, bounded_window, exact_quantiles, join_on, neighbours, number_rows, running
+from chronotrace.operators.stateful import ordered_pass
 from chronotrace.params import DiscordanceParams, FusionParams, LocalizerParams, SamplerParams
 
 
@@ -108,18 +109,19 @@ def backward_trace(breaks: DataFrame, edges: DataFrame, keys: tuple[str, ...], p
     return join_on(breaks, reach, keys, "left").withColumn("start_seq", F.coalesce("_reach", "break_seq")).drop("_reach")
 
 
-def final_segment(d: DataFrame, duration: float, fps: float, p: LocalizerParams = LocalizerParams()) -> DataFrame:
-    """Pad, clip and bound the localised interval; single-node entities get +-3 s."""
+def final_segment(d: DataFrame, duration: Column, fps: float, p: LocalizerParams = LocalizerParams()) -> DataFrame:
+    """Pad, clip to the recording's ``duration`` and bound the localised interval; single-node
+    entities get +-3 s."""
     z = F.lit(0.0)
     half = max(p.min_len, 3.0)
     single = F.col("num_nodes") < 2
     s = F.greatest(z, F.least("start_logic", "start_phys") - p.pad)
-    e = F.least(F.lit(duration), F.col("break_time") + p.pad)
+    e = F.least(duration, F.col("break_time") + p.pad)
     short, mid = (e - s) < p.min_len, (s + e) / 2
     s2 = F.when(short, F.greatest(z, mid - p.min_len / 2)).otherwise(F.when(e - s > p.max_len, F.greatest(z, e - p.max_len)).otherwise(s))
-    e2 = F.when(short, F.least(F.lit(duration), mid + p.min_len / 2)).otherwise(e)
+    e2 = F.when(short, F.least(duration, mid + p.min_len / 2)).otherwise(e)
     start = F.when(single, F.greatest(z, F.col("stated_break") - half)).otherwise(s2)
-    end = F.when(single, F.least(F.lit(duration), F.col("stated_break") + half)).otherwise(e2)
+    end = F.when(single, F.least(duration, F.col("stated_break") + half)).otherwise(e2)
     d = d.withColumn("start_sec", start).withColumn("end_sec", end)
     return d.withColumn("start_frame", F.floor(F.col("start_sec") * fps).cast("long")).withColumn("end_frame", F.floor(F.col("end_sec") * fps).cast("long"))
 
@@ -207,13 +209,40 @@ def fuse_signals(paths: DataFrame, edge: DataFrame, breakage: DataFrame, energy:
     return j.withColumn("is_anomaly", F.col("score") >= p.threshold).withColumn("signals", F.concat_ws("+", *names))
 
 
-def score_ema(df: DataFrame, lane: Lane, value: str, alpha: float = 0.3, horizon: int = 128) -> DataFrame:
+EMA_SLICE = 64
+
+
+class _Carry:
+    """Average before each slice of a sequence, from the slices' affine maps in order."""
+
+    def __init__(self):
+        self.ema = None
+
+    def __call__(self, cols, lo, hi):
+        out = []
+        for i in range(lo, hi):
+            if self.ema is None:
+                self.ema = cols["_first"][i]
+            out.append((*(cols[c][i] for c in cols if c not in ("_keep", "_add", "_first")), self.ema))
+            self.ema = cols["_keep"][i] * self.ema + cols["_add"][i]
+        return out
+
+
+def score_ema(df: DataFrame, lane: Lane, value: str, alpha: float = 0.3) -> DataFrame:
     """Exponential average of an entity's scores over runs; the first value counts in full.
 
-    Closed form over a bounded window: beyond ``horizon`` steps the remaining weight,
-    ``(1 - alpha) ** horizon``, is below double precision for the default.
+    Rows are numbered and cut into slices of ``EMA_SLICE``. A slice turns the average before it into
+    ``keep * average + add``; these maps, one row per slice, are run through in order, and each slice
+    is then filled from its own starting value.
     """
-    d = number_rows(df, lane, "_i")
-    d = bounded_window(d, lane.keys, "_i", horizon, 0, lambda w: [F.collect_list(value).over(w).alias("_h")])
-    fold = F.aggregate("_h", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc))
-    return d.withColumn("ema", fold).drop("_i", "_h")
+    keys, cols = list(lane.keys), df.columns
+    d = number_rows(df.withColumn("_x", F.col(value).cast("double")), lane, "_i").withColumn("_s", F.floor((F.col("_i") - 1) / EMA_SLICE))
+    s = d.groupBy(*keys, "_s").agg(F.sort_array(F.collect_list(F.struct("_i", "_x", F.struct(*cols).alias("row")))).alias("_rows"))
+    fold = F.aggregate("_rows", F.lit(0.0), lambda acc, r: alpha * r["_x"] + (1 - alpha) * acc)
+    maps = s.select(*keys, "_s", F.pow(F.lit(1.0 - alpha), F.size("_rows")).alias("_keep"), fold.alias("_add"), F.element_at("_rows", 1)["_x"].alias("_first"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in maps.schema.fields[: len(keys) + 1])
+    start = ordered_pass(maps, tuple(keys), ("_s",), f"{kinds}, _start double", _Carry)
+    step = lambda acc, r: F.struct((alpha * r["_x"] + (1 - alpha) * acc["e"]).alias("e"), F.concat(acc["all"], F.array(alpha * r["_x"] + (1 - alpha) * acc["e"])).alias("all"))
+    filled = F.aggregate("_rows", F.struct(F.col("_start").alias("e"), F.array().cast("array<double>").alias("all")), step, lambda acc: acc["all"])
+    j = join_on(s, start, (*keys, "_s")).select(F.explode(F.arrays_zip(F.col("_rows.row").alias("row"), filled.alias("ema"))).alias("z"))
+    return j.select("z.row.*", F.col("z.ema").alias("ema"))

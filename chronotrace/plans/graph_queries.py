@@ -112,12 +112,12 @@ def minimum_path(spark, d):
     return v.nodes(spark, d).groupBy(*K).agg(F.count(F.lit(1)).alias("num_nodes")).filter("num_nodes >= 50")
 
 
-@query("p11_audit_candidates", """WITH r AS (SELECT video_id, entity_id, bool_or(suspicious) AS hs, max(danger) AS md, max(energy) AS me FROM obs WHERE k < 50 AND action <> 'error' GROUP BY ALL),
+@query("p11_audit_candidates", """WITH r AS (SELECT video_id, entity_id, bool_or(suspicious) AS hs, max(danger) AS md, max(energy) AS me FROM obs GROUP BY ALL),
 dr AS (SELECT video_id, max(danger) - min(danger) - 0.5 AS max_drift FROM obs GROUP BY ALL)
 SELECT video_id, entity_id, md AS max_danger, me > 0.5 AS has_alert FROM r JOIN dr USING (video_id) WHERE hs OR md >= 0.2 OR me > 0.5 OR max_drift > 0.25""", "obs")
 def audit_candidates(spark, d):
     o = v.obs(spark, d)
-    r = o.filter("k < 50 and action <> 'error'").groupBy(*K).agg(F.bool_or("suspicious").alias("has_suspicious"), F.max("danger").alias("max_danger"), F.max("energy").alias("_me"))
+    r = o.groupBy(*K).agg(F.bool_or("suspicious").alias("has_suspicious"), F.max("danger").alias("max_danger"), F.max("energy").alias("_me"))
     drift = o.groupBy("video_id").agg((F.max("danger") - F.min("danger") - 0.5).alias("max_drift"))
     return audit.audit_candidates(r, r.filter("_me > 0.5"), drift).select(*K, "max_danger", "has_alert")
 
@@ -260,8 +260,8 @@ def recording_verdict(spark, d):
     return r.withColumn("first_start", F.round("first_start", 6)).withColumn("last_end", F.round("last_end", 6))
 
 
-@query("a30_verdict_summary", f"""WITH a AS ({VERD}), f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, entity_id) AS r FROM a WHERE is_anomaly AND NOT film QUALIFY r <= 12),
-s AS (SELECT video_id, string_agg('Entity #'||entity_id||': '||reason, '; ' ORDER BY r) AS s FROM f GROUP BY ALL) SELECT video_id, coalesce(s, 'No anomaly detected.') AS summary FROM (SELECT DISTINCT video_id FROM a) LEFT JOIN s USING (video_id)""", "verdicts")
+@query("a30_verdict_summary", f"""WITH a AS ({VERD}), f AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, entity_id) AS r FROM a WHERE is_anomaly AND NOT film),
+s AS (SELECT video_id, string_agg('Entity #'||entity_id||': '||reason, '; ' ORDER BY r) AS s FROM f GROUP BY video_id, (r - 1) // 500) SELECT video_id, coalesce(s, 'No anomaly detected.') AS summary FROM (SELECT DISTINCT video_id FROM a) LEFT JOIN s USING (video_id)""", "verdicts")
 def verdict_summary(spark, d):
     # The check leaves the formatted numbers out: their half-way rounding differs by engine.
     s = audit.verdict_summary(_verdicts(spark, d))
@@ -276,7 +276,7 @@ def vote_suppression(spark, d):
     return audit.vote_suppression(al, o).select(*K)
 
 
-@query("w33_verdict_interval", """WITH life AS (SELECT video_id, entity_id, min(t) AS birth, max(t) AS last_t, min(t) FILTER (suspicious OR danger >= 0.3) AS sf, max(t) FILTER (suspicious OR danger >= 0.3) AS sl FROM obs WHERE k % 3 > 0 GROUP BY ALL),
+@query("w33_verdict_interval", """WITH life AS (SELECT video_id, entity_id, min(t) AS birth, max(t) AS last_t, min(t) FILTER (suspicious OR danger >= 0.3) AS sf, max(t) FILTER (suspicious OR danger >= 0.3) AS sl FROM obs GROUP BY ALL),
 b AS (SELECT video_id, entity_id, arg_max(t, (energy, event_id)) AS pt, max(energy) AS pe, CASE WHEN entity_id % 2 = 0 THEN arg_max(t, (energy, event_id)) - 2 ELSE 0 END AS bs, CASE WHEN entity_id % 2 = 0 THEN arg_max(t, (energy, event_id)) + 2 ELSE 0 END AS be FROM obs WHERE energy > 0.5 GROUP BY video_id, entity_id),
 st AS (SELECT video_id, entity_id, CASE WHEN entity_id % 3 = 0 THEN start_sec END AS ss, CASE WHEN entity_id % 3 = 0 THEN end_sec END AS se FROM verdicts),
 j AS (SELECT * FROM life LEFT JOIN b USING (video_id, entity_id) LEFT JOIN st USING (video_id, entity_id)),
@@ -285,7 +285,7 @@ c AS (SELECT video_id, entity_id, greatest(0, CASE WHEN pe IS NOT NULL AND bs >
 SELECT video_id, entity_id, round(s, 6) AS start_sec, round(CASE WHEN e <= s THEN s + 6 ELSE e END, 6) AS end_sec FROM c""", "obs verdicts")
 def verdict_interval(spark, d):
     o = v.obs(spark, d)
-    life = o.filter("k % 3 > 0").groupBy(*K).agg(
+    life = o.groupBy(*K).agg(
         F.min("t").alias("birth_time"), F.max("t").alias("last_time"), F.min(F.when(F.expr("suspicious or danger >= 0.3"), F.col("t"))).alias("susp_first"),
         F.max(F.when(F.expr("suspicious or danger >= 0.3"), F.col("t"))).alias("susp_last"),
     )

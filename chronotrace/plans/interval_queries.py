@@ -14,13 +14,9 @@ from chronotrace.plans.registry import query
 K = ("video_id", "entity_id")
 
 
-def _even(df):
-    return df.filter("video_id % 3 > 0")
-
-
-@query("j01_segments_with_annotations", "SELECT s.video_id, seg_idx, coalesce(n, 0) AS n_intervals, n IS NOT NULL AS annotated FROM segs s LEFT JOIN (SELECT video_id, count(*) AS n FROM ann WHERE video_id % 3 > 0 GROUP BY ALL) USING (video_id)", "segs ann")
+@query("j01_segments_with_annotations", "SELECT s.video_id, seg_idx, coalesce(n, 0) AS n_intervals, n IS NOT NULL AS annotated FROM segs s LEFT JOIN (SELECT video_id, count(*) AS n FROM ann GROUP BY ALL) USING (video_id)", "segs ann")
 def segments_with_annotations(spark, d):
-    n = _even(v.ann(spark, d)).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    n = v.ann(spark, d).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
     j = join_on(v.segs(spark, d), n, ("video_id",), "left")
     return j.select("video_id", "seg_idx", F.coalesce("n", F.lit(0)).alias("n_intervals"), F.col("n").isNotNull().alias("annotated"))
 
@@ -106,9 +102,9 @@ def covered_union(spark, d):
 
 
 @query("j08_nearest_in_time", """SELECT video_id, entity_id, arg_min(n.event_id, (abs(n.t - b.break_ts), n.event_id)) AS event_id, round(min(abs(n.t - b.break_ts)), 9) AS distance
-FROM verdicts b JOIN (SELECT * FROM nodes WHERE action <> 'error') n USING (video_id, entity_id) GROUP BY ALL""", "nodes verdicts")
+FROM verdicts b JOIN nodes n USING (video_id, entity_id) GROUP BY ALL""", "nodes verdicts")
 def nearest_in_time(spark, d):
-    n = v.nodes(spark, d).filter("action <> 'error'").select(*K, "t", "event_id")
+    n = v.nodes(spark, d).select(*K, "t", "event_id")
     r = iv.nearest_point(v.verdicts(spark, d).select(*K, "break_ts"), n, K, "break_ts", "t", "event_id", [])
     return r.select(*K, "event_id", F.round("distance", 9).alias("distance"))
 
@@ -120,9 +116,9 @@ def energies_around(spark, d):
     return j.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("energy"), 9).alias("e"))
 
 
-@query("j13_path_node_frame_energy", "SELECT n.event_id, round(fe.e, 9) AS frame_energy FROM nodes n LEFT JOIN (SELECT video_id, frame_idx, max(energy) AS e FROM obs WHERE k < 80 GROUP BY ALL) fe USING (video_id, frame_idx)", "obs nodes")
+@query("j13_path_node_frame_energy", "SELECT n.event_id, round(fe.e, 9) AS frame_energy FROM nodes n LEFT JOIN (SELECT video_id, frame_idx, max(energy) AS e FROM obs GROUP BY ALL) fe USING (video_id, frame_idx)", "obs nodes")
 def path_frame_energy(spark, d):
-    fe = v.obs(spark, d).filter("k < 80").groupBy("video_id", "frame_idx").agg(F.round(F.max("energy"), 9).alias("frame_energy"))
+    fe = v.obs(spark, d).groupBy("video_id", "frame_idx").agg(F.round(F.max("energy"), 9).alias("frame_energy"))
     return join_on(v.nodes(spark, d), fe, ("video_id", "frame_idx"), "left").select("event_id", "frame_energy")
 
 
@@ -132,10 +128,10 @@ def manifest_scores(spark, d):
     return join_on(s.select("video_id", "seg_idx"), s.filter("score > 0.24").select("video_id", "seg_idx", "score"), ("video_id", "seg_idx"), "left").withColumn("score", F.coalesce("score", F.lit(-1.0)))
 
 
-@query("j15_graphs_with_verdicts", "SELECT g.video_id, g.entity_id, g.n, coalesce(v.is_anomaly, false) AS is_anomaly, coalesce(v.confidence, 0.0) AS confidence FROM (SELECT video_id, entity_id, count(*) AS n FROM nodes GROUP BY ALL) g LEFT JOIN (SELECT * FROM verdicts WHERE entity_id % 4 > 0) v USING (video_id, entity_id)", "nodes verdicts")
+@query("j15_graphs_with_verdicts", "SELECT g.video_id, g.entity_id, g.n, coalesce(v.is_anomaly, false) AS is_anomaly, coalesce(v.confidence, 0.0) AS confidence FROM (SELECT video_id, entity_id, count(*) AS n FROM nodes GROUP BY ALL) g LEFT JOIN verdicts v USING (video_id, entity_id)", "nodes verdicts")
 def graphs_with_verdicts(spark, d):
     g = v.nodes(spark, d).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
-    ver = v.verdicts(spark, d).filter("entity_id % 4 > 0").select(*K, "is_anomaly", "confidence")
+    ver = v.verdicts(spark, d).select(*K, "is_anomaly", "confidence")
     return join_on(g, ver, K, "left").withColumns({"is_anomaly": F.coalesce("is_anomaly", F.lit(False)), "confidence": F.coalesce("confidence", F.lit(0.0))})
 
 
@@ -155,15 +151,15 @@ def time_probe(spark, d):
     return join_on(hit, act, ("video_id", "probe_t", "entity_id"), "left").withColumn("action", F.coalesce("action", F.lit("unknown")))
 
 
-BINS = """b AS (SELECT video_id, CAST(i AS BIGINT) AS bin, i * 3.6 AS t0, (i + 1) * 3.6 AS t1 FROM (SELECT DISTINCT video_id FROM verdicts), range(200) r(i)),
+BINS = """b AS (SELECT video_id, CAST(i AS BIGINT) AS bin, i * (secs / CAST(200 AS DOUBLE)) AS t0, (i + 1) * (secs / CAST(200 AS DOUBLE)) AS t1 FROM recs, range(200) r(i)),
 h AS (SELECT b.video_id, bin, arg_min(CASE WHEN confidence >= 0.7 THEN 'danger' ELSE 'warning' END, entity_id) AS level FROM b JOIN verdicts x ON x.video_id = b.video_id AND x.is_anomaly AND x.start_sec < b.t1 AND x.end_sec > b.t0 GROUP BY ALL)"""
 
 
-@query("j17_time_bins", f"WITH {BINS} SELECT b.video_id, b.bin, coalesce(level, 'normal') AS level FROM b LEFT JOIN h USING (video_id, bin)", "verdicts")
+@query("j17_time_bins", f"WITH {BINS} SELECT b.video_id, b.bin, coalesce(level, 'normal') AS level FROM b LEFT JOIN h USING (video_id, bin)", "verdicts recs")
 def time_bins(spark, d):
     ver = v.verdicts(spark, d)
-    w = v.DURATION / 200
-    b = ver.select("video_id").distinct().select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("bin"))
+    w = F.col("seconds") / 200
+    b = v.recordings(spark, d).select("video_id", "seconds", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(199).cast("long"))).alias("bin"))
     b = b.withColumn("t0", F.col("bin") * w).withColumn("t1", (F.col("bin") + 1) * w)
     x = ver.filter("is_anomaly").select("video_id", "entity_id", "confidence", "start_sec", "end_sec")
     hit = iv.overlaps(b, x, ("video_id",), ("t0", "t1"), ("start_sec", "end_sec"), 36.0).filter("start_sec < t1 and end_sec > t0")
@@ -189,7 +185,7 @@ def segment_stats(spark, d):
     return s.withColumns({c: F.round(c, 9) for c in ("avg_anomaly_overlap", "anomaly_ratio")})
 
 
-CLOSE = """pts AS (SELECT video_id, frame_idx, event_id FROM obs WHERE danger >= 0.3 AND k < 30),
+CLOSE = """pts AS (SELECT video_id, frame_idx, event_id FROM obs WHERE danger >= 0.3),
 fl AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER w < 60 THEN 0 ELSE 1 END AS b FROM pts WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx, event_id)),
 g AS (SELECT video_id, frame_idx, sum(b) OVER (PARTITION BY video_id ORDER BY frame_idx, event_id ROWS UNBOUNDED PRECEDING) AS r FROM fl),
 mg AS (SELECT video_id, max(frame_idx) AS frame_idx FROM g GROUP BY video_id, r)"""
@@ -197,7 +193,7 @@ POINT_LANE = Lane(("video_id",), ("frame_idx", "event_id"), 720)
 
 
 def _merged_points(spark, d):
-    pts = v.obs(spark, d).filter("danger >= 0.3 and k < 30").select("video_id", "frame_idx", "event_id")
+    pts = v.obs(spark, d).filter("danger >= 0.3").select("video_id", "frame_idx", "event_id")
     return iv.merge_close_points(pts, POINT_LANE, 60)
 
 
@@ -206,26 +202,25 @@ def merge_close(spark, d):
     return _merged_points(spark, d)
 
 
-SPANS = CLOSE + """, sp AS (SELECT * FROM (SELECT video_id, greatest(0, frame_idx / CAST(30 AS DOUBLE)) AS s, least(coalesce(lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) / CAST(30 AS DOUBLE), frame_idx / CAST(30 AS DOUBLE) + 2.0), 720.0) AS e FROM mg) WHERE e > s)"""
+SPANS = CLOSE + """, sp AS (SELECT * FROM (SELECT video_id, greatest(0, frame_idx / CAST(30 AS DOUBLE)) AS s, least(coalesce(lead(frame_idx) OVER (PARTITION BY video_id ORDER BY frame_idx) / CAST(30 AS DOUBLE), frame_idx / CAST(30 AS DOUBLE) + 2.0), CAST(secs AS DOUBLE)) AS e FROM mg JOIN recs USING (video_id)) WHERE e > s)"""
 
 
 def _spans(spark, d):
-    return iv.points_to_intervals(_merged_points(spark, d), Lane(("video_id",), ("frame_idx",), 720), 2.0, F.lit(v.DURATION), v.FPS)
+    pts = join_on(_merged_points(spark, d), v.recordings(spark, d).select("video_id", "seconds"), ("video_id",))
+    return iv.points_to_intervals(pts, Lane(("video_id",), ("frame_idx",), 720), 2.0, F.col("seconds").cast("double"), v.FPS)
 
 
-@query("w06_points_to_intervals", f"WITH {SPANS} SELECT video_id, round(s, 9) AS start_sec, round(e, 9) AS end_sec FROM sp", "obs")
+@query("w06_points_to_intervals", f"WITH {SPANS} SELECT video_id, round(s, 9) AS start_sec, round(e, 9) AS end_sec FROM sp", "obs recs")
 def points_to_intervals(spark, d):
     return _spans(spark, d).select("video_id", F.round("start_sec", 9).alias("start_sec"), F.round("end_sec", 9).alias("end_sec"))
 
 
-@query("w07_segment_gap_fill", f"""WITH {SPANS}, sp2 AS (SELECT * FROM sp WHERE s > 30 AND s < 600 AND video_id % 2 = 0), vids AS (SELECT DISTINCT video_id FROM obs),
-fr AS (SELECT video_id, CAST(round_even(s * 30, 0) AS BIGINT) AS a, least(CAST(round_even(e * 30, 0) AS BIGINT), 21599) AS b FROM sp2), k AS (SELECT * FROM fr WHERE b - a > 1),
-e AS (SELECT v.video_id, count(fr.a) AS n, min(fr.a) FILTER (fr.b - fr.a > 1) AS f, max(fr.b) FILTER (fr.b - fr.a > 1) AS l FROM vids v LEFT JOIN fr USING (video_id) GROUP BY ALL)
-SELECT video_id, a AS start_frame, b AS end_frame FROM k UNION ALL SELECT video_id, 0, f FROM e WHERE f > 0 UNION ALL SELECT video_id, coalesce(l, 0), 21599 FROM e WHERE coalesce(l, 0) < 21599""", "obs")
+@query("w07_segment_gap_fill", f"""WITH {SPANS}, vids AS (SELECT video_id, total_frames AS n FROM recs),
+fr AS (SELECT video_id, CAST(round_even(s * 30, 0) AS BIGINT) AS a, least(CAST(round_even(e * 30, 0) AS BIGINT), n - 1) AS b FROM sp JOIN vids USING (video_id)), k AS (SELECT * FROM fr WHERE b - a > 1),
+e AS (SELECT v.video_id, v.n, min(fr.a) FILTER (fr.b - fr.a > 1) AS f, max(fr.b) FILTER (fr.b - fr.a > 1) AS l FROM vids v LEFT JOIN fr USING (video_id) GROUP BY ALL)
+SELECT video_id, a AS start_frame, b AS end_frame FROM k UNION ALL SELECT video_id, 0, f FROM e WHERE f > 0 UNION ALL SELECT video_id, coalesce(l, 0), n - 1 FROM e WHERE coalesce(l, 0) < n - 1""", "obs recs")
 def gap_fill(spark, d):
-    sp = _spans(spark, d).filter("start_sec > 30 and start_sec < 600 and video_id % 2 = 0")
-    tot = v.obs(spark, d).select("video_id").distinct().withColumn("total_frames", F.lit(v.TOTAL_FRAMES).cast("long"))
-    return iv.fill_gaps(sp, tot, v.FPS)
+    return iv.fill_gaps(_spans(spark, d), v.recordings(spark, d).select("video_id", "total_frames"), v.FPS)
 
 
 @query("w14_merge_intervals", """WITH x AS (SELECT * FROM verdicts WHERE is_anomaly), r AS (SELECT *, max(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, entity_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),

@@ -199,14 +199,14 @@ def class_stats(spark, d):
     )
 
 
-@query("a40_snapshot_rule_check", """WITH s AS (SELECT video_id, seg_idx, score / 2 AS danger FROM segs), n AS (SELECT video_id, CAST(floor(t / 60) AS BIGINT) AS seg_idx, count(*) FILTER (suspicious AND k < 3) AS ns FROM obs GROUP BY ALL),
+@query("a40_snapshot_rule_check", """WITH s AS (SELECT video_id, seg_idx, score / 2 AS danger FROM segs), n AS (SELECT video_id, CAST(floor(t / 60) AS BIGINT) AS seg_idx, count(*) FILTER (suspicious) AS ns FROM obs GROUP BY ALL),
 g AS (SELECT video_id, max(danger) AS mx, avg(danger) AS av, sum(ns) AS ns FROM s JOIN n USING (video_id, seg_idx) GROUP BY ALL)
 SELECT video_id, mx >= 0.45 OR ns > 0 OR av >= 0.22 AS is_anomaly, round(greatest(CASE WHEN mx >= 0.45 THEN least(mx + 0.2, 0.9) ELSE 0 END, CASE WHEN ns > 0 THEN least(0.5 + ns * CAST(0.1 AS DOUBLE), 0.9) ELSE 0 END, CASE WHEN NOT (mx >= 0.45 OR ns > 0) AND av >= 0.22 THEN 0.5 ELSE 0 END), 6) AS confidence FROM g""", "obs segs")
 def snapshot_rules(spark, d):
     from chronotrace.operators import reporting as rep
 
     o = v.obs(spark, d)
-    n = o.groupBy("video_id", F.floor(F.col("t") / 60).cast("long").alias("seg_idx")).agg(m.n_if(F.col("suspicious") & (F.col("k") < 3)).alias("n_suspicious"))
+    n = o.groupBy("video_id", F.floor(F.col("t") / 60).cast("long").alias("seg_idx")).agg(m.n_if(F.col("suspicious")).alias("n_suspicious"))
     s = join_on(v.segs(spark, d).select("video_id", "seg_idx", (F.col("score") / 2).alias("danger")), n, ("video_id", "seg_idx"))
     return rep.snapshot_rules(s).withColumn("confidence", F.round("confidence", 6))
 

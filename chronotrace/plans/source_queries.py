@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronotrace.functions import text as tx
 from chronotrace.operators import reporting as rep, sampling as sm
-from chronotrace.operators.ordered import join_on
+from chronotrace.operators.ordered import Lane, join_on, number_rows
 from chronotrace.plans import views as v
 from chronotrace.plans.registry import query
 from chronotrace.sources import readers as rd, sinks as sk
@@ -74,11 +74,16 @@ def score_csv(spark, d):
     return rd.read_scores(spark, sk.write_scores(x, sk.fresh_path(spark, "scores"))).select("path", "score", "status", "summary")
 
 
+PAGE = 500
+
+
 def _run_details(spark, d):
-    ver = sm.top_per_group(v.verdicts(spark, d), ("video_id",), [s("confidence").desc(), s("entity_id")], 12)
+    """Nested verdicts in pages of ``PAGE`` entities, a document per page."""
+    ver = number_rows(v.verdicts(spark, d), Lane(("video_id",), ("entity_id",), 4096), "_n").withColumn("_page", F.floor((s("_n") - 1) / PAGE))
     ev = F.struct("entity_id", "is_anomaly", "confidence", F.concat(F.lit("r"), s("entity_id")).alias("reason"), s("start_sec").alias("anomaly_start_sec"), s("end_sec").alias("anomaly_end_sec"))
-    g = ver.groupBy("video_id").agg(F.array_sort(F.collect_list(ev)).alias("entity_verdicts"), F.max("confidence").alias("pred_score"), F.bool_or("is_anomaly").alias("pred_anomaly"))
-    return g.select(F.concat(F.lit("v"), s("video_id"), F.lit(".mp4")).alias("filename"), F.lit("Robbery").alias("category"), F.lit(True).alias("gt_anomaly"), "pred_anomaly", "pred_score", F.lit(21600).alias("total_frames"), F.lit(30.0).alias("fps"), "entity_verdicts")
+    g = ver.groupBy("video_id", "_page").agg(F.array_sort(F.collect_list(ev)).alias("entity_verdicts"), F.max("confidence").alias("pred_score"), F.bool_or("is_anomaly").alias("pred_anomaly"))
+    g = join_on(g, v.recordings(spark, d), ("video_id",))
+    return g.select(F.concat(F.lit("v"), s("video_id"), F.lit(".mp4")).alias("filename"), F.lit("Robbery").alias("category"), F.lit(True).alias("gt_anomaly"), "pred_anomaly", "pred_score", "total_frames", F.lit(30.0).alias("fps"), "entity_verdicts")
 
 
 def _run_file(spark, d):
@@ -86,7 +91,7 @@ def _run_file(spark, d):
     return rd.read_run(spark, sk.write_json_rows(docs, sk.fresh_path(spark, "run")), lines=True)
 
 
-@query("s07_run_result_json", "SELECT 'v'||video_id||'.mp4' AS filename, bool_or(is_anomaly) AS pred_anomaly, max(confidence) AS pred_score, count(*) AS n_entities FROM (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, entity_id) <= 12) GROUP BY video_id", "verdicts")
+@query("s07_run_result_json", "SELECT 'v'||video_id||'.mp4' AS filename, bool_or(is_anomaly) AS pred_anomaly, max(confidence) AS pred_score, count(*) AS n_entities FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) GROUP BY video_id, page", "verdicts")
 def run_json(spark, d):
     return _run_file(spark, d).select("filename", "pred_anomaly", "pred_score", F.size("entity_verdicts").cast("long").alias("n_entities"))
 
@@ -99,7 +104,7 @@ def lookup(spark, d):
     return rd.resolve_by_precedence([own, lab.select("doc_id", F.lit("run").alias("src")), demo], "doc_id").select("doc_id", "src")
 
 
-@query("s09_canonical_result", "SELECT 'v'||video_id||'.mp4' AS filename, CAST(720.0 AS DOUBLE) AS duration_sec, max(confidence) AS confidence, coalesce(string_agg(CASE WHEN is_anomaly THEN entity_id END, ',' ORDER BY entity_id), '') AS ids, coalesce(string_agg(CASE WHEN is_anomaly THEN 'Entity #'||entity_id||': r'||entity_id END, '; ' ORDER BY entity_id), 'No anomaly detected.') AS summary FROM (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, entity_id) <= 12) GROUP BY video_id", "verdicts")
+@query("s09_canonical_result", "SELECT 'v'||video_id||'.mp4' AS filename, round(max(total_frames) / CAST(30 AS DOUBLE), 2) AS duration_sec, max(confidence) AS confidence, coalesce(string_agg(CASE WHEN is_anomaly THEN entity_id END, ',' ORDER BY entity_id), '') AS ids, coalesce(string_agg(CASE WHEN is_anomaly THEN 'Entity #'||entity_id||': r'||entity_id END, '; ' ORDER BY entity_id), 'No anomaly detected.') AS summary FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) JOIN recs USING (video_id) GROUP BY video_id, page", "verdicts recs")
 def canonical(spark, d):
     c = rd.canonical_result(_run_file(spark, d))
     return c.select("filename", "duration_sec", "confidence", F.array_join(F.transform("anomaly_entity_ids", lambda x: x.cast("string")), ",").alias("ids"), "summary")
@@ -156,7 +161,7 @@ def merge_shards(spark, d):
     return spark.read.parquet(p).select("doc_id", "score")
 
 
-@query("s18_result_json_sink", "SELECT 'v'||video_id||'.mp4' AS filename, round(sum(confidence), 6) AS total FROM (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, entity_id) <= 12) GROUP BY video_id", "verdicts")
+@query("s18_result_json_sink", "SELECT 'v'||video_id||'.mp4' AS filename, round(sum(confidence), 6) AS total FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) GROUP BY video_id, page", "verdicts")
 def result_sink(spark, d):
     r = _run_file(spark, d)
     return r.select("filename", F.round(F.aggregate("entity_verdicts", F.lit(0.0), lambda t, x: t + x["confidence"]), 6).alias("total"))

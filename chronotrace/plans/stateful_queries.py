@@ -106,7 +106,7 @@ iv AS (SELECT video_id, frame_idx, CAST(greatest(1, floor(6 / CASE WHEN m >= 0.1
 
 
 def _intervals(spark, d, base_fps=6.0):
-    sa = v.obs(spark, d).filter("k < 60").groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
+    sa = v.obs(spark, d).groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
     x = join_on(_spine(spark, d), sa, ("video_id", "frame_idx"), "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     r = sg.target_rate(x, ("video_id",), "frame_idx", "e", 5)
     return r.select("video_id", "frame_idx", F.greatest(F.lit(1), F.floor(F.lit(base_fps) / c("target_fps"))).cast("long").alias("iv"))
@@ -115,12 +115,12 @@ def _intervals(spark, d, base_fps=6.0):
 ADAPT_FOLD = f"WITH RECURSIVE {ADAPT}, m AS (SELECT video_id, frame_idx, frame_idx AS kept FROM iv WHERE frame_idx = 0 UNION ALL SELECT iv.video_id, iv.frame_idx, CASE WHEN iv.frame_idx - m.kept >= iv.iv THEN iv.frame_idx ELSE m.kept END FROM m JOIN iv ON iv.video_id = m.video_id AND iv.frame_idx = m.frame_idx + 1)"
 
 
-@query("w29_adaptive_sampling", f"{ADAPT_FOLD} SELECT video_id, frame_idx FROM m WHERE kept = frame_idx OR frame_idx = 719", "obs verdicts")
+@query("w29_adaptive_sampling", f"{ADAPT_FOLD} SELECT video_id, frame_idx FROM m JOIN vids USING (video_id) WHERE kept = frame_idx OR frame_idx = n - 1", "obs verdicts")
 def adaptive(spark, d):
     return st.adaptive_sampling(_intervals(spark, d), SECOND_LANE, "iv", 12).select("video_id", "frame_idx")
 
 
-@query("st07_online_sampler", f"{ADAPT_FOLD} SELECT video_id, count(*) AS kept FROM m WHERE kept = frame_idx OR frame_idx = 719 GROUP BY ALL", "obs verdicts")
+@query("st07_online_sampler", f"{ADAPT_FOLD} SELECT video_id, count(*) AS kept FROM m JOIN vids USING (video_id) WHERE m.kept = frame_idx OR frame_idx = n - 1 GROUP BY ALL", "obs verdicts")
 def online(spark, d):
     return st.adaptive_sampling(_intervals(spark, d), SECOND_LANE, "iv", 12).groupBy("video_id").agg(F.count(F.lit(1)).alias("kept"))
 
@@ -145,7 +145,8 @@ def _obs_stream(spark, d):
 
 
 def _vec_stream(spark, d):
-    return _obs_stream(spark, d).withColumn("vec_id", c("event_id") % 500).join(F.broadcast(v.vec_dim(spark, d)), "vec_id").drop("vec_id")
+    e = v.vectors(spark, d)
+    return _obs_stream(spark, d).withColumn("vec_id", c("event_id") % e.count()).join(e, "vec_id").drop("vec_id")
 
 
 @query("st03_trigger_stream", """WITH RECURSIVE o AS (SELECT video_id, entity_id, event_id, t, frame_idx, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs),

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from chronotrace.operators.ordered import Lane, islands, join_on, number_rows
 
 FPS = 30
-TOTAL_FRAMES = 21600  # 720 recording seconds
-DURATION = 720.0
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z
 
 OBS_LANE = Lane(("video_id",), ("t", "event_id"), 1.0)
@@ -68,14 +66,21 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return obs(spark, d).filter("action <> 'view'")
 
 
-def vec_dim(spark: SparkSession, d: str) -> DataFrame:
-    """The first 500 embeddings: a fixed-size lookup, small enough to broadcast."""
-    return table(spark, d, "embeddings").filter("vec_id < 500").select("vec_id", F.col("embedding").alias("vec"))
+def recordings(spark: SparkSession, d: str) -> DataFrame:
+    """Every recording and its length, from its last sighting: whole seconds and frames."""
+    g = obs(spark, d).groupBy("video_id")
+    return g.agg((F.floor(F.max("t")) + 1).cast("long").alias("seconds"), (F.max("frame_idx") + 1).alias("total_frames"))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
 
 
 def obs_vec(spark: SparkSession, d: str) -> DataFrame:
-    o = obs(spark, d).withColumn("vec_id", F.col("event_id") % 500)
-    return o.join(F.broadcast(vec_dim(spark, d)), "vec_id").drop("vec_id")
+    """Sightings with a vector each: all vectors take turns."""
+    e = vectors(spark, d)
+    o = obs(spark, d).withColumn("vec_id", F.col("event_id") % e.agg(F.count(F.lit(1))).scalar())
+    return o.join(e, "vec_id").drop("vec_id")
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
@@ -169,9 +174,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, epoch_us(ts) - {EPOCH_US} AS us FROM events)""",
     ),
     "nodes": (("obs",), "SELECT * FROM obs WHERE action <> 'view'"),
+    "recs": (("obs",), "SELECT video_id, CAST(floor(max(t)) AS BIGINT) + 1 AS secs, max(frame_idx) + 1 AS total_frames FROM obs GROUP BY ALL"),
     "obs_vec": (
         ("obs",),
-        "SELECT o.*, CAST(e.embedding AS DOUBLE[]) AS vec FROM obs o JOIN embeddings e ON o.event_id % 500 = e.vec_id AND e.vec_id < 500",
+        "SELECT o.*, CAST(e.embedding AS DOUBLE[]) AS vec FROM obs o JOIN embeddings e ON o.event_id % (SELECT count(*) FROM embeddings) = e.vec_id",
     ),
     "frames": (
         (),

@@ -127,27 +127,28 @@ def consecutive_drift(spark, d):
     return sg.consecutive_drift(o, v.OBS_LANE, "vec", 1.2).select("event_id", F.round("drift", 6).alias("drift"))
 
 
-# Frame scores use one frame per second here, so that 720 frames stand for a recording.
-SPINE = "vids AS (SELECT DISTINCT video_id FROM verdicts), sp AS (SELECT video_id, CAST(f AS BIGINT) AS frame_idx FROM vids, range(720) r(f))"
+# Frame scores use one frame per second here; every recording has its own number of them.
+VIDS = "vids AS (SELECT video_id, CAST(floor(max(t)) AS BIGINT) + 1 AS n FROM obs GROUP BY ALL)"
+SPINE = VIDS + ", sp AS (SELECT video_id, n, unnest(range(n)) AS frame_idx FROM vids)"
 
 
-def _recs(spark, d, total=720):
-    return v.verdicts(spark, d).select("video_id").distinct().withColumn("total_frames", F.lit(total).cast("long"))
+def _recs(spark, d):
+    return v.recordings(spark, d).select("video_id", F.col("seconds").alias("total_frames"))
 
 
-def _spine(spark, d, total=720):
-    return fr.frame_spine(_recs(spark, d, total))
+def _spine(spark, d):
+    return fr.frame_spine(_recs(spark, d))
 
 
-SAMPLES = "sa AS (SELECT video_id, CAST(floor(t) AS BIGINT) AS frame_idx, max(energy) AS e FROM obs WHERE k < 60 GROUP BY ALL)"
+SAMPLES = "sa AS (SELECT video_id, CAST(floor(t) AS BIGINT) AS frame_idx, max(energy) AS e FROM obs GROUP BY ALL)"
 
 
 @query("w20_gaussian_smoothing", f"""WITH {SPINE}, {SAMPLES}, x AS (SELECT video_id, frame_idx, coalesce(e, 0) AS e FROM sp LEFT JOIN sa USING (video_id, frame_idx)),
 w AS (SELECT k, exp(-0.5 * k * k / CAST(4 AS DOUBLE)) AS g FROM range(-8, 9) r(k)), wn AS (SELECT k, g / (SELECT sum(g) FROM w) AS g FROM w),
-i AS (SELECT video_id, frame_idx, g, CASE WHEN frame_idx + k < 0 THEN -(frame_idx + k) - 1 WHEN frame_idx + k >= 720 THEN 1439 - (frame_idx + k) ELSE frame_idx + k END AS src FROM sp, wn)
+i AS (SELECT video_id, frame_idx, g, CASE WHEN frame_idx + k < 0 THEN -(frame_idx + k) - 1 WHEN frame_idx + k >= n THEN 2 * n - 1 - (frame_idx + k) ELSE frame_idx + k END AS src FROM sp, wn)
 SELECT i.video_id, i.frame_idx, round(sum(g * e), 7) AS smooth FROM i JOIN x ON x.video_id = i.video_id AND x.frame_idx = i.src GROUP BY ALL""", "obs verdicts")
 def gaussian(spark, d):
-    sa = v.obs(spark, d).filter("k < 60").groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
+    sa = v.obs(spark, d).groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
     x = join_on(_spine(spark, d), sa, ("video_id", "frame_idx"), "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     return blocks.gaussian_smooth(x, ("video_id",), "frame_idx", "e", 2.0, "smooth").select("video_id", "frame_idx", F.round("smooth", 7).alias("smooth"))
 
@@ -160,7 +161,7 @@ ip AS (SELECT video_id, frame_idx, CASE WHEN p0 IS NULL THEN e1 WHEN p1 IS NULL
 
 @query("w21_linear_interpolation", f"WITH {SPINE}, {SAMPLES}, {INTERP} SELECT video_id, frame_idx, round(e, 9) AS e FROM ip", "obs verdicts")
 def interpolation(spark, d):
-    sa = v.obs(spark, d).filter("k < 60").groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
+    sa = v.obs(spark, d).groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
     i = fr.interpolate(_spine(spark, d), sa, "e", Lane(("video_id",), ("frame_idx",), 120))
     return i.select("video_id", "frame_idx", F.round("e", 9).alias("e"))
 
@@ -179,16 +180,16 @@ def sparse_interpolation(spark, d):
     return i.select("video_id", "frame_idx", F.round(F.element_at("mot", 3), 7).alias("m3"), F.round(F.element_at("mot", 16), 7).alias("m16"))
 
 
-RAMP = """fv AS (SELECT video_id, confidence AS c, CAST(greatest(0, least(floor(start_sec), 720)) AS BIGINT) AS a, CAST(greatest(0, least(floor(end_sec), 720)) AS BIGINT) AS b FROM verdicts WHERE is_anomaly AND end_sec > start_sec),
+RAMP = """fv AS (SELECT video_id, confidence AS c, CAST(greatest(0, least(floor(start_sec), n)) AS BIGINT) AS a, CAST(greatest(0, least(floor(end_sec), n)) AS BIGINT) AS b FROM verdicts JOIN vids USING (video_id) WHERE is_anomaly AND end_sec > start_sec),
 rv AS (SELECT sp.video_id, frame_idx, CASE WHEN frame_idx >= a AND frame_idx < b THEN c
  WHEN frame_idx >= greatest(0, a - 5) AND frame_idx < a THEN c * 0.1 + c * 0.7 * CASE WHEN a - greatest(0, a - 5) > 1 THEN (frame_idx - greatest(0, a - 5)) / CAST(a - greatest(0, a - 5) - 1 AS DOUBLE) ELSE 0 END
- WHEN frame_idx >= b AND frame_idx < least(720, b + 5) THEN c * 0.8 - c * 0.7 * CASE WHEN least(720, b + 5) - b > 1 THEN (frame_idx - b) / CAST(least(720, b + 5) - b - 1 AS DOUBLE) ELSE 0 END END AS v
+ WHEN frame_idx >= b AND frame_idx < least(n, b + 5) THEN c * 0.8 - c * 0.7 * CASE WHEN least(n, b + 5) - b > 1 THEN (frame_idx - b) / CAST(least(n, b + 5) - b - 1 AS DOUBLE) ELSE 0 END END AS v
  FROM sp JOIN fv ON fv.video_id = sp.video_id AND frame_idx BETWEEN a - 5 AND b + 5),
 rs AS (SELECT sp.video_id, sp.frame_idx, greatest(0.0, least(1.0, coalesce(max(v), 0))) AS score FROM sp LEFT JOIN rv USING (video_id, frame_idx) GROUP BY ALL)"""
 
 
 def _ramp(spark, d):
-    return fr.ramp_scores(_spine(spark, d), v.verdicts(spark, d), 720, 1.0)
+    return fr.ramp_scores(_spine(spark, d), v.verdicts(spark, d), _recs(spark, d), 1.0)
 
 
 @query("w23_ramp_scores", f"WITH {SPINE}, {RAMP} SELECT video_id, frame_idx, round(score, 7) AS score FROM rs", "verdicts")
@@ -196,11 +197,11 @@ def ramp_scores(spark, d):
     return _ramp(spark, d).withColumn("score", F.round("score", 7))
 
 
-@query("w24_step_scores", f"""WITH {SPINE}, s AS (SELECT video_id, confidence AS c, CAST(least(floor(greatest(0.0, start_sec - 1)), 719) AS BIGINT) AS sf, CAST(least(floor(least(719.0, end_sec + 1)), 720) AS BIGINT) AS ef, CAST(least(floor(start_sec), 719) AS BIGINT) AS cs, CAST(least(floor(end_sec), 720) AS BIGINT) AS ce FROM verdicts WHERE is_anomaly),
+@query("w24_step_scores", f"""WITH {SPINE}, s AS (SELECT video_id, confidence AS c, CAST(least(floor(greatest(0.0, start_sec - 1)), n - 1) AS BIGINT) AS sf, CAST(least(floor(least(CAST(n - 1 AS DOUBLE), end_sec + 1)), n) AS BIGINT) AS ef, CAST(least(floor(start_sec), n - 1) AS BIGINT) AS cs, CAST(least(floor(end_sec), n) AS BIGINT) AS ce FROM verdicts JOIN vids USING (video_id) WHERE is_anomaly),
 x AS (SELECT sp.video_id, sp.frame_idx, max(CASE WHEN frame_idx >= cs AND frame_idx < ce THEN c WHEN (frame_idx >= sf AND frame_idx < cs) OR (frame_idx >= ce AND frame_idx < ef) THEN c * 0.6 END) AS v FROM sp LEFT JOIN s ON s.video_id = sp.video_id GROUP BY ALL)
 SELECT video_id, frame_idx, round(coalesce(v, 0), 7) AS score FROM x""", "verdicts")
 def step_scores(spark, d):
-    return fr.step_scores(_spine(spark, d), v.verdicts(spark, d).filter("is_anomaly"), 720, 1.0).withColumn("score", F.round("score", 7))
+    return fr.step_scores(_spine(spark, d), v.verdicts(spark, d).filter("is_anomaly"), _recs(spark, d), 1.0).withColumn("score", F.round("score", 7))
 
 
 @query("w25_last_writer_scores", """WITH s AS (SELECT video_id, seg_idx, start_frame // 30 AS a, end_frame // 30 + 2 AS b, score FROM segs), n AS (SELECT video_id, max(b) AS n FROM s GROUP BY ALL),
@@ -211,7 +212,7 @@ def last_writer(spark, d):
     return fr.last_writer_scores(s)
 
 
-WINS = "wi AS (SELECT video_id, i AS win, i * 6 AS a, least(i * 6 + 8, 720) AS b FROM vids, range(120) r(i) WHERE least(i * 6 + 8, 720) - i * 6 >= 8)"
+WINS = "wi AS (SELECT video_id, i AS win, i * 6 AS a, least(i * 6 + 8, n) AS b FROM (SELECT video_id, n, unnest(range(n // 6 + 1)) AS i FROM vids) WHERE least(i * 6 + 8, n) - i * 6 >= 8)"
 
 
 @query("st12_sliding_windows", f"WITH {SPINE}, {WINS} SELECT video_id, win, a AS start_frame, b AS end_frame FROM wi", "verdicts")
@@ -225,12 +226,12 @@ def window_mean(spark, d):
     return fr.window_mean_scores(_spine(spark, d), w).withColumn("score", F.round("score", 9))
 
 
-GT = "gt AS (SELECT sp.video_id, sp.frame_idx, CAST(bool_or(coalesce(frame_idx >= least(a.s // 30, 719) AND frame_idx < least(a.e // 30, 720), false)) AS INT) AS gt FROM sp LEFT JOIN ann a ON a.video_id = sp.video_id GROUP BY ALL)"
+GT = "gt AS (SELECT sp.video_id, sp.frame_idx, CAST(bool_or(coalesce(frame_idx >= least(a.s // 30, n - 1) AND frame_idx < least(a.e // 30, n), false)) AS INT) AS gt FROM sp LEFT JOIN ann a ON a.video_id = sp.video_id GROUP BY ALL)"
 
 
 def _gt(spark, d, inclusive=False):
     a = v.ann(spark, d).select("video_id", F.floor(F.col("s") / 30).cast("long").alias("s"), F.floor(F.col("e") / 30).cast("long").alias("e"))
-    return fr.interval_mask(_spine(spark, d), a, 720, inclusive)
+    return fr.interval_mask(_spine(spark, d), a, _recs(spark, d), inclusive)
 
 
 @query("w27_ground_truth_mask", f"WITH {SPINE}, {GT} SELECT video_id, frame_idx, gt FROM gt", "verdicts ann")
@@ -238,7 +239,7 @@ def ground_truth(spark, d):
     return _gt(spark, d)
 
 
-@query("w27_ground_truth_mask_inclusive", f"WITH {SPINE}, {GT.replace('frame_idx < least(a.e // 30, 720)', 'frame_idx < least(a.e // 30 + 1, 720)')} SELECT video_id, frame_idx, gt FROM gt", "verdicts ann")
+@query("w27_ground_truth_mask_inclusive", f"WITH {SPINE}, {GT.replace('frame_idx < least(a.e // 30, n)', 'frame_idx < least(a.e // 30 + 1, n)')} SELECT video_id, frame_idx, gt FROM gt", "verdicts ann")
 def ground_truth_inclusive(spark, d):
     return _gt(spark, d, True)
 
@@ -247,7 +248,7 @@ def ground_truth_inclusive(spark, d):
 mm AS (SELECT video_id, frame_idx, avg(e) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS 5 PRECEDING) AS m FROM x)
 SELECT video_id, frame_idx, round(CASE WHEN m >= 0.15 THEN 3.0 WHEN m <= 0.02 THEN 0.5 ELSE 0.5 + (m - 0.02) / CAST(0.13 AS DOUBLE) * 2.5 END, 7) AS target_fps FROM mm""", "obs verdicts")
 def target_rate(spark, d):
-    sa = v.obs(spark, d).filter("k < 60").groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
+    sa = v.obs(spark, d).groupBy("video_id", F.floor("t").cast("long").alias("frame_idx")).agg(F.max("energy").alias("e"))
     x = join_on(_spine(spark, d), sa, ("video_id", "frame_idx"), "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     return sg.target_rate(x, ("video_id",), "frame_idx", "e", 5).select("video_id", "frame_idx", F.round("target_fps", 7).alias("target_fps"))
 
@@ -366,10 +367,11 @@ def steepest_slope(spark, d):
     return _localised(spark, d).select(*K, F.round("start_logic", 7).alias("start_logic"), F.round("start_phys", 7).alias("start_phys"))
 
 
-@query("w32_localisation", f"""WITH {LOC}, q AS (SELECT *, greatest(0.0, least(start_logic, start_phys) - 4) AS s, least(720.0, break_time + 4) AS e FROM ph)
+@query("w32_localisation", f"""WITH {LOC}, {VIDS}, q AS (SELECT ph.video_id, ph.entity_id, greatest(0.0, least(start_logic, start_phys) - 4) AS s, least(CAST(vids.n AS DOUBLE), break_time + 4) AS e FROM ph JOIN vids USING (video_id))
 SELECT video_id, entity_id, round(CASE WHEN e - s > 300 THEN greatest(0, e - 300) ELSE s END, 7) AS start_sec, round(e, 7) AS end_sec FROM q""", "obs nodes verdicts")
 def localisation(spark, d):
-    return sg.final_segment(_localised(spark, d), v.DURATION, v.FPS).select(*K, F.round("start_sec", 7).alias("start_sec"), F.round("end_sec", 7).alias("end_sec"))
+    loc = fr.with_length(_localised(spark, d), _recs(spark, d))
+    return sg.final_segment(loc, F.col("_total").cast("double"), v.FPS).select(*K, F.round("start_sec", 7).alias("start_sec"), F.round("end_sec", 7).alias("end_sec"))
 
 
 # --- frame-level evaluation -----------------------------------------------------------------

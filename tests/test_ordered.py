@@ -58,11 +58,26 @@ def test_bounded_window_over_block_edges(spark):
         assert np.allclose(got[got["k"] == k]["s"], want)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr("chronotrace.operators.ordered.SMALL_QUANTILE_INPUT", limit)
+@pytest.mark.parametrize("alpha", [0.3, 0.01])
+def test_score_ema_has_no_horizon(spark, alpha):
+    from chronotrace.operators.signals import score_ema
+
+    r = np.random.default_rng(5)
+    p = pd.DataFrame({"k": r.integers(0, 2, 1400), "t": np.arange(1400), "x": (np.arange(1400) < 9) * 1.0, "other": 1})
+    got = score_ema(spark.createDataFrame(p), Lane(("k",), ("t",), 50), "x", alpha).toPandas().sort_values("t")
+    assert list(got.columns) == ["k", "t", "x", "other", "ema"]
+    for k, g in p.groupby("k"):
+        e, want = None, []
+        for x in g["x"]:
+            e = x if e is None else alpha * x + (1 - alpha) * e
+            want.append(e)
+        assert np.allclose(got[got["k"] == k]["ema"], want, atol=1e-12)
+
+
+@pytest.mark.parametrize("outlier", [0.0, 1e12])
+def test_exact_quantiles(spark, outlier):
     r = np.random.default_rng(3)
-    p = pd.DataFrame({"k": np.where(r.random(999) < 0.7, 0, 1), "x": np.round(r.normal(size=999), 2)})
+    p = pd.DataFrame({"k": np.where(r.random(999) < 0.7, 0, 1), "x": np.append(np.round(r.normal(size=998), 2), outlier)})
     got = exact_quantiles(spark.createDataFrame(p), ("k",), "x", {"q1": 0.1, "q5": 0.5, "q99": 0.99}, buckets=16).toPandas().set_index("k")
     for k, g in p.groupby("k"):
         assert np.allclose(got.loc[k, ["q1", "q5", "q99"]].astype(float), np.quantile(g["x"], [0.1, 0.5, 0.99]))
