@@ -223,19 +223,19 @@ class _Chain:
 def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams(), slice_width: float = 240.0) -> DataFrame:
     """Observations worth describing: first sight, a jump of the vector, or a heartbeat.
 
-    The next firing row depends on the last sampled one only, and a sample older than a
-    heartbeat no longer matters: the next row fires anyway. So a slice can only be entered
-    with one of the rows of the heartbeat before it. Every slice is worked out for all of
+    The next firing row depends on the last sampled one only, and a sample older than both a
+    heartbeat and the frame gap no longer matters: the next row fires anyway. So a slice can only be
+    entered with one of the rows within that ``reach`` before it. Every slice is worked out for all of
     these entries, the results are chained per entity, and each slice is then replayed from
     its true entry: even one endless entity is spread over its slices. Rule and distance
-    follow from consecutive fired rows. Slices are at least a heartbeat wide, and the minimum
-    frame gap is taken to pass within a heartbeat.
+    follow from consecutive fired rows. Slices are at least the reach wide. Should a frame gap outlast
+    the reach, because frames are fewer than ``frames_per_unit`` says, the job fails.
     """
-    narrow, lane = lane, Lane(lane.keys, lane.order, max(slice_width, p.heartbeat))
+    narrow, lane = lane, Lane(lane.keys, lane.order, max(slice_width, p.reach))
     keys, ident = list(lane.keys), lane.order[-1]
     d = lane.cut_into_slices(obs.select(*dict.fromkeys([*keys, *lane.order, "frame_idx", "t", "vec"])))
     names = d.columns[:-1]
-    edge = F.col("t") > (F.col(SLICE) + 1) * F.lit(float(lane.width)) - F.lit(float(p.heartbeat))
+    edge = F.col("t") > (F.col(SLICE) + 1) * F.lit(float(lane.width)) - F.lit(float(p.reach))
     here = F.struct(F.col(SLICE).alias("s"), F.lit(False).alias("h"))
     nxt = F.when(edge, F.struct((F.col(SLICE) + 1).alias("s"), F.lit(True).alias("h")))
     d = d.withColumn("_to", F.explode(F.array_compact(F.array(here, nxt)))).withColumn(SLICE, F.col("_to.s")).withColumn("_halo", F.col("_to.h")).drop("_to")
@@ -249,23 +249,28 @@ def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams(),
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         c = _Chain(in_order(pdf), ident, p)
         if c.own == c.n:
-            return pd.DataFrame(columns=[*keys, SLICE, "_in", "_out"], dtype=object)
+            return pd.DataFrame(columns=[*keys, SLICE, "_in", "_out", "_frame", "_first"], dtype=object)
         ins = [-1, *[int(i) for i in c.ids[: c.own]]]
+        frame = dict(zip(c.ids.tolist(), c.f.tolist()))
         outs = [int(c.ids[f[-1]]) if (f := c.fired(e)) else e for e in ins]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, SLICE: [pdf[SLICE].iloc[0]], "_in": [ins], "_out": [outs]})
+        frames = [frame.get(o, -1) for o in outs]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, SLICE: [pdf[SLICE].iloc[0]], "_in": [ins], "_out": [outs], "_frame": [frames], "_first": [int(c.f[c.own])]})
 
-    maps = d.groupBy(*keys, SLICE).applyInPandas(entries, f"{key_ddl}{SLICE} bigint, _in array<bigint>, _out array<bigint>")
+    maps = d.groupBy(*keys, SLICE).applyInPandas(entries, f"{key_ddl}{SLICE} bigint, _in array<bigint>, _out array<bigint>, _frame array<bigint>, _first bigint")
 
     def make():
-        last = [-1]
+        last = [-1, None]
 
         def chain(cols: dict, lo: int, hi: int) -> list[tuple]:
             res = []
             for i in range(lo, hi):
                 ins = cols["_in"][i].tolist()
                 at = ins.index(last[0]) if last[0] in ins else 0
+                if at == 0 and last[1] is not None and cols["_first"][i] - last[1] < p.min_gap_frames:
+                    raise ValueError("a frame gap outlasts its reach: frames_per_unit is too large")
                 res.append((*[cols[k][i] for k in keys], cols[SLICE][i], ins[at]))
                 last[0] = int(cols["_out"][i][at])
+                last[1] = int(cols["_frame"][i][at])
             return res
 
         return chain

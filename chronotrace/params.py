@@ -45,6 +45,12 @@ class TriggerParams:
     jump: float = 0.22
     heartbeat: float = 3.0
     min_gap_frames: int = 5
+    frames_per_unit: float = 1.0  # the fewest frames in one unit of time; less than true is safe
+
+    @property
+    def reach(self) -> float:
+        """Time after which a sample matters no more: the heartbeat or the frame gap, whichever is longer."""
+        return max(self.heartbeat, self.min_gap_frames / self.frames_per_unit)
 
 
 @dataclass(frozen=True)

@@ -27,7 +27,8 @@ def local_session(cores: str = "8", app: str = "chronotrace") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is set, a local session, whose executors
+    all share this machine, gets a scratch folder; on a cluster that is an error."""
     jvm_sc = spark.sparkContext._jsc.sc()
     current = jvm_sc.getCheckpointDir()
     if current.isDefined():
@@ -36,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="chronotrace-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return jvm_sc.getCheckpointDir().get()

@@ -28,9 +28,9 @@ def frame_of(spark, p):
     return spark.createDataFrame(p.assign(vec=[v.tolist() for v in p["vec"]]))
 
 
-@pytest.mark.parametrize("dense,n,width", [(True, 150, 2.0), (False, 150, 2.0), (True, 600, 4.0), (True, 300, 1000.0)])
-def test_trigger_rules(spark, dense, n, width):
-    p, prm = log(n=n, dense=dense, seed=4), TriggerParams(jump=1.2, heartbeat=3.0, min_gap_frames=5)
+@pytest.mark.parametrize("dense,n,width,gap", [(True, 150, 2.0, 5), (False, 150, 2.0, 5), (True, 600, 4.0, 5), (True, 300, 1000.0, 5), (True, 600, 4.0, 70)])
+def test_trigger_rules(spark, dense, n, width, gap):
+    p, prm = log(n=n, dense=dense, seed=4), TriggerParams(jump=1.2, heartbeat=3.0, min_gap_frames=gap, frames_per_unit=10.0)
     got = {r.event_id: (r.rule, round(r.distance, 6)) for r in st.trigger_rows(frame_of(spark, p), ENTITY, prm, width).collect()}
     want, last = {}, {}
     for r in p.itertuples():
@@ -39,7 +39,7 @@ def test_trigger_rules(spark, dense, n, width):
             want[r.event_id], last[key] = ("birth", 1.0), r
             continue
         q = last[key]
-        if r.frame_idx - q.frame_idx < 5:
+        if r.frame_idx - q.frame_idx < gap:
             continue
         d = 1 - float(r.vec @ q.vec)
         rule = "change_point" if d > 1.2 else "heartbeat" if r.t - q.t >= 3.0 else None
