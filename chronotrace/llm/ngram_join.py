@@ -154,13 +154,16 @@ def _prefixes(width: int, percent: int, rarity: np.ndarray):
 
 
 def _sets(width: int):
+    """Sets and counts by hash range of the rows that are of the class they were asked for."""
+
     def sets(batches_in):
         for batch in batches_in:
             for part in batches(batch):
-                found = shingle_sets(part.column(0), width)
-                bins = [np.bincount((s >> U64(59)).astype(np.int64), minlength=SUFFIX_BINS).astype("<i4").tobytes() for s in found]
+                asked = part.column(1).to_pylist()
+                found = [(c, s) for c, s in zip(asked, shingle_sets(part.column(0), width)) if class_of(s) == c]
+                bins = [np.bincount((s >> U64(59)).astype(np.int64), minlength=SUFFIX_BINS).astype("<i4").tobytes() for _, s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(bins, pa.binary())], ["c", "grams", "bins"]
+                    [pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array(bins, pa.binary())], ["c", "grams", "bins"]
                 )
 
     return sets
@@ -202,18 +205,29 @@ def _may_link(n_a, pos_a, n_b, pos_b, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (100 * shared >= percent * (n_a + n_b - shared))
 
 
-class _Sets:
-    """Whole sets of the classes in question, made anew from their texts and stored once."""
+MOST_SENT_CLASSES = 2_000_000  # two numbers each
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, meeting: DataFrame, width: int, percent: int):
-        wanted = meeting.select("c").distinct().join(classes, "c").select("rep").distinct()
-        some = texts.join(wanted, texts["video_id"].eqNullSafe(wanted["rep"]), "left_semi")
-        d = some.select("narrative").mapInArrow(_sets(width), "c long, grams binary, bins binary")
-        d = d.join(meeting.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-        self.sets, self.percent = stored(d), percent
+
+class _Sets:
+    """Whole sets of the classes that appear in pairs, made anew from their texts and stored."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.texts, self.classes, self.width, self.percent, self.sets = texts, classes, width, percent, None
+
+    def _need(self, pairs: DataFrame) -> None:
+        c = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            c = c.join(self.sets.select("c"), "c", "left_anti")
+        wanted = stored(c.join(self.classes, "c").select("c", "rep"))
+        if wanted.count() <= MOST_SENT_CLASSES:  # else both sides are shuffled by id
+            wanted = F.broadcast(wanted)
+        some = self.texts.join(wanted, F.col("video_id").eqNullSafe(F.col("rep"))).select("narrative", "c")
+        made = stored(some.mapInArrow(_sets(self.width), "c long, grams binary, bins binary"))
+        self.sets = made if self.sets is None else self.sets.unionByName(made)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (``a``, ``b``) that are alike."""
+        self._need(pairs)
         bins = self.sets.select("c", "bins")
         p = pairs.join(bins.withColumnsRenamed({"c": "a", "bins": "bins_a"}), "a").join(bins.withColumnsRenamed({"c": "b", "bins": "bins_b"}), "b")
         p = p.mapInArrow(_suffix_filter(self.percent), "a long, b long")
@@ -277,7 +291,7 @@ def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     meeting = stored(meeting.select("g", "c", "n", "pos", F.col("head.c").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")))
     star = meeting.filter(F.col("c") != F.col("head")).filter(_may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), percent))
     star = stored(star.select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct())
-    sets = _Sets(d, classes, meeting, width, percent)
+    sets = _Sets(d, classes, width, percent)
     first = sets.linked(star)
     comp = components(first)
     at = meeting.select("g", "c", "n", "pos").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
@@ -289,7 +303,7 @@ def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.c") < F.col("y.c")))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & near).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
-    second = sets.linked(pairs.join(star, ["a", "b"], "left_anti"))
+    second = sets.linked(stored(pairs.join(star, ["a", "b"], "left_anti")))
     return first.unionByName(second)
 
 
