@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,7 +86,8 @@ PATH_TEMPLATES = [
     PathTemplate("sitting_activity", ["*"], ["walking", "sitting", "sitting", "standing still", "walking"], ["eating", "drinking", "reading", "using phone"]),
 ]
 
-# Alignment costs.
+# Likeness of actions that are not the same, and alignment costs.
+WITHIN, SAME_GROUP = 0.85, 0.8
 SKIP_ACTION, SKIP_OPTIONAL, SKIP_TEMPLATE, LEADING_ACTION, LEADING_TEMPLATE = 0.15, 0.05, 0.1, 0.2, 0.1
 
 
@@ -115,45 +117,61 @@ def action_group(action: Column, synonyms: dict[str, list[str]] = SYNONYMS) -> C
 
 
 def action_similarity(a: Column, b: Column) -> Column:
+    """1 for the same action, less where one text holds the other or both are of one synonym group."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.when(x == y, 1.0).when(_within(x, y), 0.85).when(action_group(a) == action_group(b), 0.8).otherwise(0.0)
+    return F.when(x == y, 1.0).when(_within(x, y), WITHIN).when(action_group(a) == action_group(b), SAME_GROUP).otherwise(0.0)
 
 
-def _similar(a: str, b: str) -> float:
-    a, b = a.lower().strip(), b.lower().strip()
-    if a == b:
-        return 1.0
-    if a in b or b in a:
-        return 0.85
-    group = {x: [k for k, ws in SYNONYMS.items() if any(w in x for w in [k, *ws])] for x in (a, b)}
-    return 0.8 if group[a] and group[b] and group[a][-1] == group[b][-1] else 0.0
+def align(likeness: list, columns: list[int], optional: list[bool]) -> float:
+    """Best alignment score of a sequence with a template, scaled to [0, 1].
 
-
-def align(seq: list[str], t: PathTemplate, cache: dict) -> float:
-    """Best alignment score of a sequence with a template, scaled to [0, 1]."""
-    if len(seq) == 0 or not t.actions:
+    ``likeness`` has a row per action of the sequence, a value per known template action;
+    ``columns`` picks the template's; ``optional`` marks the actions that are cheap to skip.
+    """
+    m = len(columns)
+    if not len(likeness) or not m:
         return 0.0
-    optional = {o.lower() for o in t.optional}
-    row = [-LEADING_TEMPLATE * j for j in range(len(t.actions) + 1)]
-    for act in seq:
-        skip = SKIP_OPTIONAL if act.lower() in optional else SKIP_ACTION
-        nxt = [row[0] - LEADING_ACTION]
-        for j, want in enumerate(t.actions):
-            if (act, want) not in cache:
-                cache[act, want] = _similar(act, want)
-            nxt.append(max(row[j] + cache[act, want], row[j + 1] - skip, nxt[j] - SKIP_TEMPLATE))
-        row = nxt
-    return float(min(1.0, max(0.0, row[-1] / min(len(seq), len(t.actions)))))
+    best = -LEADING_TEMPLATE * np.arange(m + 1)
+    slide = SKIP_TEMPLATE * np.arange(m + 1)
+    for like, cheap in zip(likeness, optional):
+        here = np.asarray(like, dtype=float)[columns]
+        stay = best - (SKIP_OPTIONAL if cheap else SKIP_ACTION)
+        stay[0] = best[0] - LEADING_ACTION
+        stay[1:] = np.maximum(stay[1:], best[:-1] + here)
+        best = np.maximum.accumulate(stay + slide) - slide  # skipped steps of the template cost alike
+    return float(np.clip(best[-1] / min(len(likeness), m), 0.0, 1.0))
+
+
+class _Likeness(dict):
+    """Likeness of action pairs as they come up, by the rule of :func:`action_similarity`."""
+
+    def _group(self, text: str) -> str | None:
+        return next((k for k in reversed(SYNONYMS) if any(w in text for w in (k, *SYNONYMS[k]))), None)
+
+    def __missing__(self, pair: tuple[str, str]) -> float:
+        x, y = (p.strip().lower() for p in pair)
+        kin = self._group(x)
+        value = 1.0 if x == y else WITHIN if x in y or y in x else SAME_GROUP * (kin is not None and kin == self._group(y))
+        self[pair] = value
+        return value
 
 
 def template_scores(templates: list[PathTemplate] = PATH_TEMPLATES):
     """Arrow UDF: action array -> one alignment score per template, in template order."""
+    steps = list(dict.fromkeys(a for t in templates for a in t.actions))
+    picks = [[steps.index(a) for a in t.actions] for t in templates]
+    cheap = [{o.lower() for o in t.optional} for t in templates]
 
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict = {}
+        like = _Likeness()
+        rows: dict[str, list[float]] = {}
         for seqs in batches:
-            yield pd.Series([[align(list(s), t, cache) for t in templates] for s in seqs])
+            out = []
+            for seq in seqs:
+                table = [rows.get(a) or rows.setdefault(a, [like[a, w] for w in steps]) for a in seq]
+                out.append([align(table, p, [a.lower() in c for a in seq]) for p, c in zip(picks, cheap)])
+            yield pd.Series(out)
 
     return scores
 

@@ -48,7 +48,7 @@ def unit_score(text: Column) -> Column:
     loose = F.coalesce(*[_in_unit(_first_group(text, p)) for p in SCORE_PATTERNS])
     score = F.coalesce(from_json, loose, F.lit(-1.0))
     txt = lambda k: F.when(from_json.isNotNull(), F.coalesce(F.get_json_object(obj, f"$.{k}"), F.lit(""))).otherwise("")
-    status = F.when(score >= 0, "success").otherwise(F.concat(F.lit("Error: Cannot parse score from response - "), F.left(text, F.lit(200))))
+    status = F.when(score >= 0, "success").otherwise(F.concat(F.lit("no score in answer: "), F.left(text, F.lit(200))))
     return F.struct(score.alias("score"), status.alias("status"), txt("summary").alias("summary"), txt("reasoning").alias("reasoning"))
 
 
@@ -69,45 +69,67 @@ def _valid(text: Column) -> Column:
     return let(text, lambda c: F.when(F.try_parse_json(F.when(F.length(c) > 0, c)).isNotNull(), c))
 
 
+# Strings in either quotes, bare clock values, brackets, bare words, and a string that never ends.
+_TOKEN = r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\d+:\d{2}(?:\.\d+)?|[{}\[\],:]|[^\s{}\[\],:"']+|["'].*"""
+
+
+def _spelled(token: Column) -> Column:
+    """A token as JSON spells it: double quotes around strings and clock values."""
+    inner = F.replace(F.substring(token, F.lit(2), F.length(token) - 2), F.lit('"'), F.lit('\\"'))
+    single = token.startswith("'") & token.endswith("'")
+    return F.when(single, F.concat(F.lit('"'), inner, F.lit('"'))).when(F.rlike(token, F.lit(r"^\d+:\d")), F.concat(F.lit('"'), token, F.lit('"'))).otherwise(token)
+
+
+def _rebuilt(text: Column, keep_cut: bool) -> tuple[Column, Column]:
+    """First document of a text, put together again token by token.
+
+    The scan holds the text so far, the brackets that would close it, and both as they stood when
+    the last member was complete. Returned are the document closed where it stops and closed after
+    its last complete member. A string that never ends is kept only with ``keep_cut``.
+    """
+    bare = lambda x: F.regexp_replace(x, ",$", "")
+
+    def step(s: Column, x: Column) -> Column:
+        opens, closes = x.isin("{", "["), x.isin("}", "]")
+        endless = (F.length(x) == 1) & x.isin('"', "'") | (x.startswith('"') & ~x.endswith('"')) | (x.startswith("'") & ~x.endswith("'"))
+        shut_more = F.concat(F.when(x == "{", "}").otherwise("]"), s["shut"])
+        shut_less = F.substring(s["shut"], F.lit(2), F.length(s["shut"]))
+        fits = F.substring(s["shut"], 1, 1) == x
+        cut = F.concat(s["out"], F.lit('"'), F.substring(x, F.lit(2), F.length(x)), F.lit('"')) if keep_cut else s["out"]
+        put = F.concat(s["out"], _spelled(x))
+        full = lambda out, shut: F.struct(out.alias("out"), shut.alias("shut"), out.alias("safe"), shut.alias("safe_shut"))
+        part = lambda out, shut=s["shut"]: F.struct(out.alias("out"), shut.alias("shut"), s["safe"].alias("safe"), s["safe_shut"].alias("safe_shut"))
+        return (
+            F.when((s["out"] != "") & (s["shut"] == ""), s)
+            .when(opens, part(F.concat(s["out"], x), shut_more))
+            .when(closes & fits, full(F.concat(bare(s["out"]), x), shut_less))
+            .when(closes, s)
+            .when(x == ",", F.struct(F.concat(s["out"], x).alias("out"), s["shut"].alias("shut"), s["out"].alias("safe"), s["shut"].alias("safe_shut")))
+            .when(endless, part(cut))
+            .otherwise(part(put))
+        )
+
+    none = F.struct(*[F.lit("").alias(n) for n in ("out", "shut", "safe", "safe_shut")])
+    tokens = F.regexp_extract_all(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(_TOKEN), F.lit(0))
+    s = F.aggregate(tokens, none, step)
+    return let(s, lambda z: F.concat(bare(z["out"]), z["shut"])), let(s, lambda z: F.concat(z["safe"], z["safe_shut"]))
+
+
 def json_in_text(text: Column) -> Column:
     """JSON document found in an answer, repaired where that is simple; null if none.
 
-    Tried in turn: the whole text, a fenced block, the outermost braces, the same with
-    trailing commas, single quotes and bare clock values fixed, and a truncated document
-    with its unfinished tail removed and its brackets closed.
+    Tried in turn: the whole text, a fenced block, the outermost braces, and the first document
+    rebuilt from its tokens: trailing commas, single quotes and bare clock values are put right, and
+    a truncated document is closed, without its unfinished member if need be.
     """
     t = F.trim(text)
-    fenced = F.trim(F.regexp_extract(t, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1))
-    braces = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    fixed = F.regexp_replace(braces, r",\s*([}\]])", "$1")
-    fixed = F.replace(fixed, F.lit("'"), F.lit('"'))
-    fixed = F.regexp_replace(fixed, r'"break_timestamp"\s*:\s*(\d{2}:\d{2}(?:\.\d+)?)', '"break_timestamp": "$1"')
-    cut = F.regexp_extract(t, r"(?s)\{.*", 0)
-    for tail in (r',\s*"[^"]*":\s*"[^"]*$', r",\s*\{[^}]*$", r',\s*"[^"]*$', r",\s*$"):
-        cut = F.regexp_replace(cut, tail, "")
-    closed = let(
-        cut,
-        lambda c: F.concat(
-            c,
-            F.repeat(F.lit("]"), F.greatest(F.lit(0), _count(c, "[") - _count(c, "]"))),
-            F.repeat(F.lit("}"), F.greatest(F.lit(0), _count(c, "{") - _count(c, "}"))),
-        ),
-    )
-    closed = F.regexp_replace(closed, r",\s*([}\]])", "$1")
-    return F.coalesce(*[_valid(c) for c in (t, fenced, braces, fixed, closed)])
+    fenced = F.trim(F.regexp_extract(t, r"(?s)```\w*\s*(.*?)\s*```", 1))
+    return F.coalesce(*[_valid(c) for c in (t, fenced, F.regexp_extract(t, r"(?s)\{.*\}", 0), *_rebuilt(t, False))])
 
 
 def json_string_cut(text: Column) -> Column:
-    """Like the last step of :func:`json_in_text` for answers cut inside a string: the open
-    quote is closed first, then the braces."""
-    c = F.regexp_replace(F.regexp_extract(F.trim(text), r"(?s)\{.*", 0), r",\s*$", "")
-
-    def close(c: Column) -> Column:
-        quotes = _count(F.regexp_replace(c, r"\\.", ""), '"')
-        body = F.concat(c, F.when(quotes % 2 == 1, '"').otherwise(""))
-        return F.concat(body, F.repeat(F.lit("}"), F.greatest(F.lit(0), _count(c, "{") - _count(c, "}"))))
-
-    return F.coalesce(json_in_text(text), _valid(let(c, close)))
+    """Like :func:`json_in_text`, but an answer cut inside a string keeps what there is of it."""
+    return F.coalesce(_valid(F.trim(text)), _valid(_rebuilt(F.trim(text), True)[0]), json_in_text(text))
 
 
 def loose_bool(x: Column) -> Column:
@@ -177,7 +199,7 @@ def _verdict_of(js: Column) -> Column:
     conf = F.coalesce(g("confidence").try_cast("double"), F.lit(0.0))
     return F.struct(
         js.isNotNull().alias("parsed"), loose_bool(g("is_anomaly")).alias("is_anomaly"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)).alias("confidence"),
-        brk.alias("break_ts"), F.coalesce(g("reason"), g("reason_en"), F.when(js.isNull(), "Failed to parse LLM response").otherwise("")).alias("reason"),
+        brk.alias("break_ts"), F.coalesce(g("reason"), g("reason_en"), F.when(js.isNull(), "answer is not JSON").otherwise("")).alias("reason"),
         loose_bool(g("is_cinematic_false_alarm")).alias("film_false_alarm"),
     )
 

@@ -12,7 +12,9 @@ Three ways of running them, in order of preference:
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -391,48 +393,58 @@ def global_heartbeats(obs: DataFrame, p: GlobalHeartbeatParams = GlobalHeartbeat
 
 
 # --- identity -----------------------------------------------------------------------------------
-def greedy_pairs(sim: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Best pair first, each row and column once, lowest row then column on a tie."""
-    sim = sim.copy()
-    pairs = []
-    while sim.size and len(pairs) < min(sim.shape):
-        r, c = np.unravel_index(int(sim.argmax()), sim.shape)
-        if sim[r, c] < limit:
-            break
-        pairs.append((int(r), int(c)))
-        sim[r, :] = -1.0
-        sim[:, c] = -1.0
-    return pairs
+def strongest_matches(likeness: np.ndarray, least: float) -> dict[int, int]:
+    """Row to column by edges of at least ``least``, taken from the strongest on while both ends are
+    free; of equal edges the one with the lower row, then column."""
+    rows, cols = np.nonzero(likeness >= least)
+    order = np.lexsort((cols, rows, -likeness[rows, cols]))
+    match: dict[int, int] = {}
+    used: set[int] = set()
+    for r, c in zip(rows[order].tolist(), cols[order].tolist()):
+        if r not in match and c not in used:
+            match[r] = c
+            used.add(c)
+    return match
+
+
+@dataclass
+class _Seen:
+    """What is known of an entity: its last vector, frame, and how often it was met."""
+
+    vec: np.ndarray
+    frame: int
+    times: int = 1
 
 
 class _Tracker:
-    """Regions of one session, frame by frame; at most ``max_active`` entities are held."""
+    """Regions of one session, frame by frame; entities out of age are forgotten."""
 
     def __init__(self, p: TrackerParams):
-        self.p, self.active, self.next_id = p, [], 0  # active: [id, vec, last_frame]
+        self.p, self.known, self.next_id = p, {}, 0
         self.frame, self.rows = None, []
 
+    def _open(self, x: np.ndarray) -> int:
+        if self.p.max_active is not None and len(self.known) >= self.p.max_active:
+            # Those met longest ago come first from here on, which settles later ties.
+            by_age = sorted(self.known, key=lambda i: self.known[i].frame)
+            self.known = {i: self.known[i] for i in by_age[1:]}
+        self.known[self.next_id] = _Seen(x, self.frame)
+        self.next_id += 1
+        return self.next_id - 1
+
     def _finish(self, out: list) -> None:
-        f, p = self.frame, self.p
-        self.active = [a for a in self.active if f - a[2] <= p.max_age_frames]
-        done = {}
-        if self.active and self.rows:
-            sim = np.stack([r[1] for r in self.rows]) @ np.stack([a[1] for a in self.active]).T
-            for r, c in greedy_pairs(sim, p.similarity):
-                a = self.active[c]
-                a[1], a[2] = self.rows[r][1], f
-                done[r] = a[0]
+        self.known = {i: e for i, e in self.known.items() if self.frame - e.frame <= self.p.max_age_frames}
+        ids = list(self.known)
+        match: dict[int, int] = {}
+        if ids and self.rows:
+            match = strongest_matches(np.stack([r[1] for r in self.rows]) @ np.stack([self.known[i].vec for i in ids]).T, self.p.similarity)
+        for r, c in match.items():
+            self.known[ids[c]].vec, self.known[ids[c]].frame = self.rows[r][1], self.frame
         for r, (eid, x, energy, free) in enumerate(self.rows):
-            if r not in done:
-                if not free and energy < p.min_energy_new:
-                    continue
-                if len(self.active) >= p.max_active:
-                    self.active.sort(key=lambda a: a[2])
-                    self.active.pop(0)
-                done[r] = self.next_id
-                self.active.append([self.next_id, x, f])
-                self.next_id += 1
-            out.append((eid, done[r]))
+            if r in match:
+                out.append((eid, ids[match[r]]))
+            elif free or energy >= self.p.min_energy_new:
+                out.append((eid, self._open(x)))
         self.rows = []
 
     def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
@@ -464,42 +476,54 @@ def track_entities(regions: DataFrame, p: TrackerParams = TrackerParams(), slice
     return j.select("video_id", "event_id", (F.col("local_id") + F.coalesce("_o", F.lit(0))).alias("entity_id"))
 
 
+def first_come_matches(likeness: np.ndarray, least: float) -> list[int]:
+    """Row by row the most alike free column of at least ``least``, the first of equal ones; -1 if none."""
+    free = np.ones(likeness.shape[1], bool)
+    out = []
+    for row in likeness:
+        open_ = np.flatnonzero(free & (row >= least))
+        c = int(open_[row[open_].argmax()]) if len(open_) else -1
+        if c >= 0:
+            free[c] = False
+        out.append(c)
+    return out
+
+
 class _Pool:
-    """Known identities of one recording with running mean vectors."""
+    """Known identities of one recording with running mean vectors; those out of age are forgotten."""
 
     def __init__(self, p: PoolParams):
-        self.p, self.pool, self.next_id = p, {}, 0  # id -> [vec, last_frame, count]
+        self.p, self.known, self.next_id = p, {}, 0
         self.frame, self.rows = None, []
 
-    def _new(self, x, f) -> int:
-        i = self.next_id
+    def _blend(self, e: _Seen, x: np.ndarray) -> None:
+        m = (1 - self.p.ema_alpha) * e.vec + self.p.ema_alpha * x
+        size = float(np.linalg.norm(m))
+        e.vec, e.frame, e.times = (m / size if size else m), self.frame, e.times + 1
+
+    def _open(self, x: np.ndarray) -> int:
+        self.known[self.next_id] = _Seen(x, self.frame)
         self.next_id += 1
-        self.pool[i] = [x, f, 1]
-        if len(self.pool) > self.p.max_size:
-            for old in sorted(self.pool, key=lambda k: self.pool[k][1])[: max(1, len(self.pool) // 5)]:
-                del self.pool[old]
-        return i
+        if self.p.max_size is not None and len(self.known) > self.p.max_size:
+            for i in heapq.nsmallest(max(1, len(self.known) // 5), self.known, key=lambda i: self.known[i].frame):
+                self.known.pop(i)
+        return self.next_id - 1
 
     def _finish(self, out: list) -> None:
-        f = self.frame
-        ids = [i for i, r in self.pool.items() if f - r[1] <= self.p.max_age]
-        vecs = [self.pool[i][0] for i in ids]
-        taken: set = set()
-        for eid, x in self.rows:
-            best, at = -1.0, -1
-            for j, vv in enumerate(vecs):
-                if j not in taken and float(np.dot(x, vv)) > best:
-                    best, at = float(np.dot(x, vv)), j
-            if at >= 0 and best >= self.p.similarity:
-                taken.add(at)
-                r = self.pool.get(ids[at])
-                if r is not None:
-                    m = (1 - self.p.ema_alpha) * r[0] + self.p.ema_alpha * x
-                    n = np.linalg.norm(m)
-                    r[0], r[1], r[2] = (m / n if n > 0 else m), f, r[2] + 1
-                out.append((eid, ids[at], False))
+        recent = {i: e for i, e in self.known.items() if self.frame - e.frame <= self.p.max_age}
+        if self.p.max_size is None:
+            self.known = recent
+        ids = list(recent)
+        match = [-1] * len(self.rows)
+        if ids and self.rows:
+            match = first_come_matches(np.stack([x for _, x in self.rows]) @ np.stack([recent[i].vec for i in ids]).T, self.p.similarity)
+        for (eid, x), c in zip(self.rows, match):
+            if c < 0:
+                out.append((eid, self._open(x), True))
             else:
-                out.append((eid, self._new(x, f), True))
+                out.append((eid, ids[c], False))
+                if ids[c] in self.known:
+                    self._blend(self.known[ids[c]], x)
         self.rows = []
 
     def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:

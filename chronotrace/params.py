@@ -25,7 +25,7 @@ class SegmentationParams:
 class TrackerParams:
     similarity: float = 0.72
     max_age_frames: int = 150
-    max_active: int = 30
+    max_active: int | None = None  # where set, the entity met longest ago makes room
     min_energy_new: float = 0.06
     exempt_classes: tuple[str, ...] = (
         "person", "fire", "smoke", "knife", "gun", "explosion", "blood", "bat", "hammer", "crowbar",
@@ -36,7 +36,7 @@ class TrackerParams:
 class PoolParams:
     similarity: float = 0.55
     max_age: int = 60
-    max_size: int = 50
+    max_size: int | None = None  # where set, the fifth met longest ago makes room
     ema_alpha: float = 0.3
 
 

@@ -26,6 +26,8 @@ def one(spark, fn, *values):
         ('{"a": 1, "l": [1, 2', {"a": 1, "l": [1, 2]}),
         ('{"a": 1,', {"a": 1}),
         ('{"break_timestamp": 01:01.33}', {"break_timestamp": "01:01.33"}),
+        ('{"a": "it\'s", "b": {"c": [1, {"d": 2}, {"e": "cu', {"a": "it's", "b": {"c": [1, {"d": 2}]}}),
+        ("{'a': 'say \"x\"', }", {"a": 'say "x"'}),
         ("", None),
         ("nothing here", None),
     ],
@@ -67,8 +69,12 @@ def test_action_similarity_matches_helper(spark):
     words = ["walking", "strolling", "walk", "running", "rushing out", "paying", "checkout", "sat down", "dancing", "walking away"]
     rows = [(a, b) for a in words for b in words]
     df = spark.createDataFrame(rows, "a string, b string")
+    groups = {w: [k for k, ws in ac.SYNONYMS.items() if any(x in w for x in [k, *ws])] for w in words}
+    like = ac._Likeness()
     for r in df.select("a", "b", ac.action_similarity(F.col("a"), F.col("b")).alias("s")).collect():
-        assert r.s == ac._similar(r.a, r.b)
+        assert r.s == like[r.a, r.b]
+        kin = groups[r.a] and groups[r.b] and groups[r.a][-1] == groups[r.b][-1]
+        assert r.s == (1.0 if r.a == r.b else 0.85 if r.a in r.b or r.b in r.a else 0.8 if kin else 0.0)
 
 
 def test_alignment_and_best_template(spark):
@@ -77,9 +83,10 @@ def test_alignment_and_best_template(spark):
     assert got[0].b.name == "waiting_crossing" and abs(got[0].b.score - 1.0) < 1e-9
     assert got[1].b is None and got[2].b is None
     # By hand: both actions match two of three steps, one step is skipped.
-    t = ac.PathTemplate("t", ["*"], ["x", "y", "z"])
-    assert abs(ac.align(["x", "z"], t, {}) - (2 - 0.1) / 2) < 1e-12
-    assert abs(ac.align(["x", "q", "z"], ac.PathTemplate("t", ["*"], ["x", "z"], ["q"]), {}) - (2 - 0.05) / 2) < 1e-12
+    hit = lambda seq, want: [[float(a == w) for w in want] for a in seq]
+    assert abs(ac.align(hit("xz", "xyz"), [0, 1, 2], [False] * 2) - (2 - 0.1) / 2) < 1e-12
+    assert abs(ac.align(hit("xqz", "xz"), [0, 1], [False, True, False]) - (2 - 0.05) / 2) < 1e-12
+    assert ac.align([], [0], []) == 0.0
 
 
 def test_rules_for_blank_scene(spark):
