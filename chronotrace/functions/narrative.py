@@ -1,4 +1,4 @@
-"""Narrative text of an entity or a recording from its (bounded) newest nodes."""
+"""Narrative text of an entity or a recording from its nodes."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotrace.operators.ordered import join_on
-from chronotrace.operators.temporal_graph import latest_nodes
-
-MAX_CHARS = 1500
+from chronotrace.operators.temporal_graph import PAGE
 
 
 def _node_line(n) -> Column:
@@ -25,13 +23,13 @@ def _edge_line(n) -> Column:
     return F.when(n["transition"].isNotNull(), line)
 
 
-def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], limit: int = 100, max_chars: int = MAX_CHARS) -> DataFrame:
+def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], page: int = PAGE, max_chars: int | None = None) -> DataFrame:
     """Header, one line per node and per edge to the next node, hints and a summary line,
-    cut at ``max_chars``. Only the newest ``limit`` nodes of an entity are gathered."""
+    cut at ``max_chars`` on request. An entity with more than ``page`` nodes has a text per page."""
     e = edges.select(*keys, F.col("src_seq").alias("seq"), F.col("action_transition").alias("transition"), F.col("duration").alias("gap"), F.col("kinetic_integral").alias("integral"), F.col("missing_frames").alias("missing"))
-    n = join_on(latest_nodes(nodes, keys, limit, "seq"), e, (*keys, "seq"), "left")
+    n = join_on(nodes, e, (*keys, "seq"), "left").withColumn("page", F.floor(F.col("seq") / page))
     cols = ["seq", "t", "action", "action_object", "posture", "scene", "suspicious", "rule", "guess", "energy", "transition", "gap", "integral", "missing"]
-    g = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_n"))
+    g = n.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_n"))
     j = join_on(g, rollup, keys)
     header = F.concat(
         F.lit("Entity #"), F.col("entity_id").cast("string"), F.format_string(" | Duration: %.1fs | Observations: %d | Scene: ", F.col("duration"), F.size("_n")), F.element_at("_n", 1)["scene"]
@@ -45,7 +43,9 @@ def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, key
     )
     text = F.concat(header, F.lit("\n\n"), body, hint_line, F.lit("\n\n"), summary)
     j = j.withColumn("_text", text)
-    return j.select(*keys, F.when(F.length("_text") > max_chars, F.concat(F.left("_text", F.lit(max_chars)), F.lit("\n...[truncated]"))).otherwise(F.col("_text")).alias("narrative"))
+    if max_chars is None:
+        return j.select(*keys, "page", F.col("_text").alias("narrative"))
+    return j.select(*keys, "page", F.when(F.length("_text") > max_chars, F.concat(F.left("_text", F.lit(max_chars)), F.lit("\n...[truncated]"))).otherwise(F.col("_text")).alias("narrative"))
 
 
 def overview_lines(nodes: DataFrame, rollup: DataFrame, keys: tuple[str, ...]) -> DataFrame:

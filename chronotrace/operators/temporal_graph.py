@@ -99,11 +99,14 @@ def entity_rollup(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...]) ->
     )
 
 
-def sequence_text(nodes: DataFrame, keys: tuple[str, ...], value: str, order: tuple[str, ...], limit: int, sep: str = " → ") -> DataFrame:
-    """Ordered values of the newest ``limit`` nodes per entity as one text and an array."""
-    n = latest_nodes(nodes, keys, limit, *order)
-    g = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("_v")))).alias("_s"))
-    return g.select(*keys, F.transform("_s", lambda s: s["_v"]).alias("sequence")).withColumn("text", F.array_join("sequence", sep))
+PAGE = 1000  # nodes that one nested row holds; longer sequences go on in the next page
+
+
+def sequence_text(nodes: DataFrame, lane: Lane, value: str, sep: str = " → ", page: int = PAGE) -> DataFrame:
+    """All values of an entity in lane order as an array and one text, a row per ``page`` of them."""
+    n = number_rows(nodes, lane, "_n").withColumn("page", F.floor((F.col("_n") - 1) / page))
+    g = n.groupBy(*lane.keys, "page").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(value).cast("string").alias("_v")))).alias("_s"))
+    return g.select(*lane.keys, "page", F.transform("_s", lambda s: s["_v"]).alias("sequence")).withColumn("text", F.array_join("sequence", sep))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
@@ -118,21 +121,21 @@ def graph_stats(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("vi
     return join_on(p, e, keys, "left").na.fill(0)
 
 
-def nested_graphs(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], limit: int = 100) -> DataFrame:
-    """One row per entity with nested, rounded nodes and edges (newest ``limit`` nodes)."""
-    n = latest_nodes(nodes, keys, limit, "seq").groupBy(*keys).agg(
+def nested_graphs(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], page: int = PAGE) -> DataFrame:
+    """Nested, rounded nodes of an entity and the edges that start at them, a row per ``page`` nodes."""
+    n = nodes.groupBy(*keys, F.floor(F.col("seq") / page).alias("page")).agg(
         F.array_sort(
             F.collect_list(F.struct("seq", "node_id", F.round("t", 3).alias("timestamp"), "action", "suspicious", F.round("danger", 3).alias("danger"), F.round("energy", 4).alias("kinetic")))
         ).alias("nodes")
     )
-    e = latest_nodes(edges, keys, limit - 1, "src_seq").groupBy(*keys).agg(
+    e = edges.groupBy(*keys, F.floor(F.col("src_seq") / page).alias("page")).agg(
         F.array_sort(
             F.collect_list(
                 F.struct("src_seq", "source", "target", F.round("duration", 3).alias("duration"), F.round("kinetic_integral", 4).alias("kinetic_integral"), "action_transition", "missing_frames")
             )
         ).alias("edges")
     )
-    return join_on(join_on(rollup, n, keys), e, keys, "left")
+    return join_on(join_on(rollup, n, keys), e, (*keys, "page"), "left")
 
 
 def trigger_rows(nodes: DataFrame, lane: Lane) -> DataFrame:

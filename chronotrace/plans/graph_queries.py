@@ -143,10 +143,10 @@ def temporal_graph_stats(spark, d):
     return s.select("video_id", "num_nodes", "num_entities", "max_path_length", "num_edges", F.round("total_energy", 5).alias("total_energy"), F.round("avg_energy", 9).alias("avg_energy"), *[F.round(c, 6).alias(c) for c in r6])
 
 
-@query("a41_action_sequence", """WITH l AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t DESC, event_id DESC) <= 100)
-SELECT video_id, entity_id, string_agg(action, ' → ' ORDER BY t, event_id) AS actions FROM l GROUP BY ALL""", "obs nodes")
+@query("a41_action_sequence", """WITH l AS (SELECT *, (row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) - 1) // 1000 AS page FROM nodes)
+SELECT video_id, entity_id, page, string_agg(action, ' → ' ORDER BY t, event_id) AS actions FROM l GROUP BY ALL""", "obs nodes")
 def action_sequence(spark, d):
-    return tg.sequence_text(v.nodes(spark, d), K, "action", ("t", "event_id"), 100).select(*K, F.col("text").alias("actions"))
+    return tg.sequence_text(v.nodes(spark, d), v.ENTITY_LANE, "action").select(*K, "page", F.col("text").alias("actions"))
 
 
 @query("g05_snapshot_nodes", "SELECT event_id, 'e'||entity_id||'_f'||frame_idx AS node_id, action, danger >= 0.6 AS danger_signal FROM obs WHERE entity_id IS NOT NULL", "obs")
@@ -155,30 +155,29 @@ def snapshot_nodes(spark, d):
     return o.select("event_id", F.format_string("e%d_f%d", "entity_id", "frame_idx").alias("node_id"), "action", (F.col("danger") >= 0.6).alias("danger_signal"))
 
 
-@query("g06_path_data", f"""WITH {EDGES}, l AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t DESC, event_id DESC) <= 100),
-p AS (SELECT video_id, entity_id, string_agg(action, '>' ORDER BY t, event_id) AS path, max(danger) AS max_danger FROM l GROUP BY ALL),
+@query("g06_path_data", f"""WITH {EDGES}, l AS (SELECT *, (row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) - 1) // 1000 AS page FROM nodes),
+p AS (SELECT video_id, entity_id, page, string_agg(action, '>' ORDER BY t, event_id) AS path FROM l GROUP BY ALL), m AS (SELECT video_id, entity_id, max(danger) AS max_danger FROM nodes GROUP BY ALL),
 e AS (SELECT video_id, entity_id, sum(kinetic_integral) AS te FROM edges GROUP BY ALL)
-SELECT video_id, entity_id, path, max_danger, round(te, 5) AS total_energy FROM p LEFT JOIN e USING (video_id, entity_id)""", "obs nodes")
+SELECT video_id, entity_id, page, path, max_danger, round(te, 5) AS total_energy FROM p JOIN m USING (video_id, entity_id) LEFT JOIN e USING (video_id, entity_id)""", "obs nodes")
 def path_data(spark, d):
     n = v.nodes(spark, d)
-    p = tg.sequence_text(n, K, "action", ("t", "event_id"), 100, ">").select(*K, F.col("text").alias("path"))
-    md = tg.latest_nodes(n, K, 100, "t", "event_id").groupBy(*K).agg(F.max("danger").alias("max_danger"))
+    p = tg.sequence_text(n, v.ENTITY_LANE, "action", ">").select(*K, "page", F.col("text").alias("path"))
+    md = n.groupBy(*K).agg(F.max("danger").alias("max_danger"))
     e = rp.entity_edges(spark, d).groupBy(*K).agg(F.round(F.sum("kinetic_integral"), 5).alias("total_energy"))
     return join_on(join_on(p, md, K), e, K, "left")
 
 
-@query("g07_danger_timeline", """WITH l AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t DESC, event_id DESC) <= 100)
-SELECT video_id, entity_id, string_agg(frame_idx||':'||CAST(CAST(round(danger * 100) AS INT) AS VARCHAR), ' ' ORDER BY t, event_id) AS timeline FROM l GROUP BY ALL""", "obs nodes")
+@query("g07_danger_timeline", """WITH l AS (SELECT *, (row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) - 1) // 1000 AS page FROM nodes)
+SELECT video_id, entity_id, page, string_agg(frame_idx||':'||CAST(CAST(round(danger * 100) AS INT) AS VARCHAR), ' ' ORDER BY t, event_id) AS timeline FROM l GROUP BY ALL""", "obs nodes")
 def danger_timeline(spark, d):
     n = v.nodes(spark, d).withColumn("_p", F.concat_ws(":", F.col("frame_idx").cast("string"), F.round(F.col("danger") * 100).cast("int").cast("string")))
-    return tg.sequence_text(n, K, "_p", ("t", "event_id"), 100, " ").select(*K, F.col("text").alias("timeline"))
+    return tg.sequence_text(n, v.ENTITY_LANE, "_p", " ").select(*K, "page", F.col("text").alias("timeline"))
 
 
-@query("g08_nested_export", f"""WITH {ROLLUP}, ln AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY seq DESC) <= 100),
-le AS (SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY src_seq DESC) <= 99),
-n AS (SELECT video_id, entity_id, count(*) AS n_nodes, string_agg('E'||entity_id||'_N'||seq, ',' ORDER BY seq) AS node_ids, round(sum(round(energy, 4)), 6) AS node_energy FROM ln GROUP BY ALL),
-e AS (SELECT video_id, entity_id, count(*) AS n_edges, round(sum(round(kinetic_integral, 4)), 6) AS edge_energy, CAST(sum(missing_frames) AS BIGINT) AS missing FROM le GROUP BY ALL)
-SELECT video_id, entity_id, n_nodes, node_ids, node_energy, n_edges, edge_energy, missing, num_nodes FROM rollup JOIN n USING (video_id, entity_id) JOIN e USING (video_id, entity_id)""", "obs nodes")
+@query("g08_nested_export", f"""WITH {ROLLUP}, ln AS (SELECT *, seq // 1000 AS page FROM numbered), le AS (SELECT *, src_seq // 1000 AS page FROM edges),
+n AS (SELECT video_id, entity_id, page, count(*) AS n_nodes, string_agg('E'||entity_id||'_N'||seq, ',' ORDER BY seq) AS node_ids, round(sum(round(energy, 4)), 6) AS node_energy FROM ln GROUP BY ALL),
+e AS (SELECT video_id, entity_id, page, count(*) AS n_edges, round(sum(round(kinetic_integral, 4)), 6) AS edge_energy, CAST(sum(missing_frames) AS BIGINT) AS missing FROM le GROUP BY ALL)
+SELECT video_id, entity_id, n_nodes, node_ids, node_energy, n_edges, edge_energy, missing, num_nodes FROM rollup JOIN n USING (video_id, entity_id) JOIN e USING (video_id, entity_id, page)""", "obs nodes")
 def nested_export(spark, d):
     n, e = tg.number_nodes(v.nodes(spark, d), v.ENTITY_LANE), rp.entity_edges(spark, d)
     g = tg.nested_graphs(n, e, rp.entity_rollup(spark, d), K)

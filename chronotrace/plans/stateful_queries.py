@@ -245,7 +245,7 @@ def scorer_fallback(spark, d):
 @query("x03_user_templates")
 def user_templates(spark, d):
     mine = [ac.PathTemplate("pay_and_go", ["*"], ["walking", "picking up", "paying"]), ac.PathTemplate("idle", ["*"], ["standing still"])]
-    s = tg.sequence_text(v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act")), K, "act", ("t", "event_id"), 100)
+    s = tg.sequence_text(v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act")), v.ENTITY_LANE, "act")
     return s.withColumn("b", ac.best_template(ac.template_scores(mine)("sequence"), F.lit(""), mine)).select(*K, c("b.name").alias("template"), F.round("b.score", 6).alias("score"))
 
 

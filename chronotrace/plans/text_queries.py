@@ -214,7 +214,7 @@ def action_sim(spark, d):
 
 def _sequences(spark, d):
     o = v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act"))
-    return tg.sequence_text(o, K, "act", ("t", "event_id"), 100)
+    return tg.sequence_text(o, v.ENTITY_LANE, "act")
 
 
 @query("f16_template_alignment")
