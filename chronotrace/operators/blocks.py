@@ -77,14 +77,12 @@ def quadratic_smooth(df: DataFrame, keys: tuple[str, ...], pos: str, value: str,
     def hat(x0: float) -> np.ndarray:
         return 1.0 / window + x0 * x / s2 + (x0**2 - s2 / window) * q / (s4 - s2**2 / window)
 
-    hats = {k: hat(k) for k in range(-m, m + 1)}
+    hats = np.array([hat(k) for k in range(-m, m + 1)])
 
     def fn(v, first, total, lo, hi):
-        res = np.empty(hi - lo)
-        for i in range(lo, hi):
-            b = min(max(i - m, 0), total - window)
-            res[i - lo] = float(hats[i - b - m] @ v[b - first : b - first + window])
-        return res
+        i = np.arange(lo, hi)
+        b = np.clip(i - m, 0, total - window)
+        return (np.lib.stride_tricks.sliding_window_view(v, window)[b - first] * hats[i - b]).sum(axis=1)
 
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 2 * window).select(*keys)
     return map_blocks(join_on(df, n, keys), keys, pos, value, window, fn, out, block)

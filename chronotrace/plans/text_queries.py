@@ -35,10 +35,13 @@ def normalise(spark, d):
     return v.frames(spark, d).select("vec_id", F.round(F.element_at(vec.normalise(c("app")), 7), 6).alias("a7"))
 
 
-@query("f04_orthogonal_projection")
+BASIS = vec.orthogonal_basis(2, 128, 42)
+
+
+@query("f04_orthogonal_projection", f"""WITH q AS (SELECT CAST({BASIS[0]} AS DOUBLE[]) AS q1, CAST({BASIS[1]} AS DOUBLE[]) AS q2)
+SELECT vec_id, round(list_sum([(mot[1] * q1[j] + mot[2] * q2[j]) * (mot[1] * q1[j] + mot[2] * q2[j]) for j in range(1, 129)]), 5) AS sq_norm, round(mot[1] * mot[1] + mot[2] * mot[2], 5) AS input_sq_norm FROM frames, q""", "frames")
 def projection(spark, d):
-    q = vec.orthogonal_basis(2, 128, 42)
-    p = vec.project(F.slice("mot", 1, 2), q)
+    p = vec.project(F.slice("mot", 1, 2), BASIS)
     f = v.frames(spark, d).withColumn("p", p)
     return f.select("vec_id", F.round(vec.dot(c("p"), c("p")), 5).alias("sq_norm"), F.round(vec.dot(F.slice("mot", 1, 2), F.slice("mot", 1, 2)), 5).alias("input_sq_norm"))
 
@@ -106,13 +109,10 @@ def _answers():
     )
 
 
-def _with_props(spark, d):
-    return join_on(v.obs(spark, d), v.table(spark, d, "events").select("event_id", "props"), ("event_id",))
-
-
 @query("f11_json_in_text", "SELECT event_id, CASE WHEN event_id % 8 = 7 THEN NULL ELSE k END AS k, event_id % 8 < 7 AS found FROM obs", "obs")
 def json_in_text(spark, d):
-    j = _with_props(spark, d).select("event_id", tx.json_in_text(_answers()).alias("js"))
+    e = v.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    j = e.select("event_id", tx.json_in_text(_answers()).alias("js"))
     return j.select("event_id", F.get_json_object("js", "$.k").try_cast("bigint").alias("k"), c("js").isNotNull().alias("found"))
 
 

@@ -7,6 +7,11 @@ from oracle_check import compare, connect
 
 from chronotrace.plans.catalog import ORACLES, QUERIES
 
+#: Beyond SQL here; brute-force tests cover their operators.
+UNCHECKED = {
+    "s10_file_listing", "f16_template_alignment", "f17_best_template", "f18_narrative_text", "st01_entity_tracker", "st02_reidentification", "st03_trigger_rules",
+    "st04_silent_heartbeats", "st05_global_heartbeat_drift", "j21_box_fusion", "st04_silent_heartbeat_stream", "st05_global_heartbeat_stream", "x03_user_templates",
+}
 NAMES = list(QUERIES) if os.environ.get("CHRONOTRACE_ALL") else list(QUERIES)[::6]
 
 
@@ -18,7 +23,7 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, sf_dir, name):
     status, n, msg = compare(spark, con, sf_dir, QUERIES[name], ORACLES.get(name))
-    assert status in ("ok", "rows", "NEAR"), (status, msg)
+    assert status == ("rows" if name in UNCHECKED else "ok"), (status, msg)
 
 
 def test_entry(spark):
@@ -26,3 +31,4 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(QUERIES) - set(ORACLES) == UNCHECKED
