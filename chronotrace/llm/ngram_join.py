@@ -205,6 +205,10 @@ def _may_link(n_a, pos_a, n_b, pos_b, percent: int):
     return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (100 * shared >= percent * (n_a + n_b - shared))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+
+
 MOST_SENT_CLASSES = 2_000_000  # two numbers each
 
 
@@ -215,7 +219,7 @@ class _Sets:
         self.texts, self.classes, self.width, self.percent, self.sets = texts, classes, width, percent, None
 
     def _need(self, pairs: DataFrame) -> None:
-        c = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        c = _ends(pairs)
         if self.sets is not None:
             c = c.join(self.sets.select("c"), "c", "left_anti")
         wanted = stored(c.join(self.classes, "c").select("c", "rep"))
@@ -230,8 +234,11 @@ class _Sets:
         self._need(pairs)
         bins = self.sets.select("c", "bins")
         p = pairs.join(bins.withColumnsRenamed({"c": "a", "bins": "bins_a"}), "a").join(bins.withColumnsRenamed({"c": "b", "bins": "bins_b"}), "b")
-        p = p.mapInArrow(_suffix_filter(self.percent), "a long, b long")
-        grams = self.sets.select("c", "grams")
+        p = stored(p.mapInArrow(_suffix_filter(self.percent), "a long, b long"))
+        left = _ends(p)
+        if left.count() <= MOST_SENT_CLASSES:  # only sets still in question are moved; else all are shuffled by class
+            left = F.broadcast(left)
+        grams = self.sets.select("c", "grams").join(left, "c", "left_semi")
         p = p.join(grams.withColumnsRenamed({"c": "a", "grams": "grams_a"}), "a").join(grams.withColumnsRenamed({"c": "b", "grams": "grams_b"}), "b")
         return stored(p.mapInArrow(_verify(self.percent), "a long, b long"))
 
