@@ -119,19 +119,22 @@ class _Rows:
     def back(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.cols, self.values * r[self.rows], self.shape[1])
 
-    def norm2(self) -> float:
-        """Largest squared singular value, by power iteration."""
-        v = np.ones(self.shape[1])
-        size = 1.0
-        for _ in range(20):
-            v = self.back(self.times(v / max(np.linalg.norm(v), 1e-12)))
-            size = np.linalg.norm(v)
-        return float(size)
+    def bound(self, row_weight: np.ndarray | float = 0.0) -> np.ndarray:
+        """Diagonal that bounds the squared matrix: each entry times its row's absolute sum."""
+        size = np.abs(self.values)
+        total = np.bincount(self.rows, size, self.shape[0]) + row_weight
+        return np.bincount(self.cols, size * total[self.rows], self.shape[1])
+
+
+def group_features(groups) -> dict[int, np.ndarray]:
+    """All features of each group term, by the hash of the whole word."""
+    return {int(hash_words([term])[0]): features(pa.array([term], pa.string()))[0] for g in groups for term in g}
 
 
 def swap_rows(texts: list[np.ndarray], vocabulary: np.ndarray, groups, twins: int = 2) -> _Rows:
-    """One row per twin: the features it gains (+1) and loses (-1). ``texts`` hold sorted distinct
-    hashes. Which term stands in depends on the text alone."""
+    """One row per twin: the features, of words and of their beginnings, that it gains (+1) and loses
+    (-1). ``texts`` hold sorted distinct hashes. Which term stands in depends on the text alone."""
+    of_term = group_features(groups)
     kin = [np.sort(hash_words(list(g))) for g in groups]
     rows, cols, values, n = [], [], [], 0
     every = np.concatenate(kin) if kin else np.zeros(0, np.uint32)
@@ -144,7 +147,7 @@ def swap_rows(texts: list[np.ndarray], vocabulary: np.ndarray, groups, twins: in
                 for term in g[np.isin(g, found)]:
                     others = g[g != term]
                     swap = others[int(mix(np.array([found[0] ^ term ^ t], U64))[0] % U64(len(others)))]
-                    for x, by in ((term, -1.0), (swap, 1.0)):
+                    for x, by in [*((f, -1.0) for f in of_term[int(term)]), *((f, 1.0) for f in of_term[int(swap)])]:
                         at = int(np.searchsorted(vocabulary, x))
                         if at < len(vocabulary) and vocabulary[at] == x:
                             change[at] = change.get(at, 0.0) + by
@@ -173,7 +176,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, groups=GROUPS, swap_penalty
     of_toxic = np.zeros(len(vocabulary))
     hit, counts = np.unique(every[labels[rows] > 0], return_counts=True)
     of_toxic[np.searchsorted(vocabulary, hit)] = counts
-    groups_too = np.isin(vocabulary, np.concatenate([hash_words(list(g)) for g in groups]) if groups else vocabulary[:0])
+    groups_too = np.isin(vocabulary, np.concatenate(list(group_features(groups).values())) if groups else vocabulary[:0])
     tie = np.abs(of_toxic - df * rate) >= SCREEN_SDS * np.sqrt(df * rate * (1 - rate))
     keep = (df >= LEAST_ROWS) & (tie | groups_too)
     vocabulary, df = vocabulary[keep], df[keep]
@@ -191,14 +194,16 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, groups=GROUPS, swap_penalty
 
 
 def _descend(x: _Rows, y: np.ndarray, twin: _Rows, swap_penalty: float, lasso: np.ndarray, w: np.ndarray, b: float, ridge: float) -> tuple[np.ndarray, float]:
-    """Accelerated proximal gradient; an infinite ``lasso`` keeps a weight at zero."""
+    """Accelerated proximal gradient with a step per weight, so that rare words learn as fast as
+    frequent ones; an infinite ``lasso`` keeps a weight at zero."""
     n, m = x.shape[0], max(1, twin.shape[0])
     twins = twin.shape[0] > 0
     live = np.isfinite(lasso)
     if not live.all():
         sub = live[x.cols]
         x = _Rows(x.rows[sub], x.cols[sub], x.values[sub], x.shape)
-    step = 1 / ((x.norm2() + n) / (4 * n) + (2 * swap_penalty * twin.norm2() / m if twins else 0) + ridge)
+    step = 1 / np.maximum(x.bound(1.0) / (4 * n) + (2 * swap_penalty / m * twin.bound() if twins else 0) + ridge, 1e-9)
+    step_b = 4 * n / (n + x.values.sum())
     limit = np.where(live, lasso, 0.0) * step
     vw, vb, pace = w.copy(), b, 1.0
     for _ in range(ROUNDS):
@@ -208,7 +213,7 @@ def _descend(x: _Rows, y: np.ndarray, twin: _Rows, swap_penalty: float, lasso: n
             grad += 2 * swap_penalty / m * twin.back(twin.times(vw))
         new = vw - step * grad
         new = np.where(live, np.sign(new) * np.maximum(np.abs(new) - limit, 0), 0.0)
-        nb = vb - step * r.mean()
+        nb = vb - step_b * r.mean()
         nxt = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         vw, vb = new + (pace - 1) / nxt * (new - w), nb + (pace - 1) / nxt * (nb - b)
         w, b, pace = new, nb, nxt
