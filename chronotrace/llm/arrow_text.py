@@ -82,7 +82,7 @@ def word_hashes(column, lower: bool = False, blank: np.ndarray = SPACE) -> tuple
     return hash_spans(buf, starts, ends), row
 
 
-def batches(table, limit: int = 4_000_000, column: int = 0):
+def batches(table, limit: int = 1_000_000, column: int = 0):
     """Cut an Arrow batch into runs of rows of about ``limit`` text bytes, so that numpy's temporary
     arrays stay bounded whatever the number of long texts in a batch."""
     _, off = utf8(table.column(column))
