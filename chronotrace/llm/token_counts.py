@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronotrace.llm.tokens import default_path, encoder
 from chronotrace.operators.ordered import Lane, running
+from chronotrace.session import cut
 
 
 def _count_lengths(path: str):
@@ -43,7 +44,7 @@ def token_counts(narratives: DataFrame, text_col: str = "narrative", tokenizer_p
     of narratives not cut, so the quantile q is the least length with ``share_within >= q``. Lengths
     are summed in slices. An empty table gives an empty result.
     """
-    h = length_histogram(narratives, text_col, tokenizer_path).withColumn("mass", F.col("n_tokens") * F.col("n_narratives"))
+    h = cut(length_histogram(narratives, text_col, tokenizer_path)).withColumn("mass", F.col("n_tokens") * F.col("n_narratives"))
     h = running(h, Lane((), ("n_tokens",), 1024), {"n_upto": ("sum", F.col("n_narratives")), "mass_upto": ("sum", F.col("mass"))})
     total = h.agg(F.sum("n_narratives").alias("n"), F.sum("mass").alias("m"))
     h = h.withColumns({"n_all": total.select("n").scalar(), "m_all": total.select("m").scalar()})
