@@ -1,15 +1,15 @@
 """Main text of web pages by nearest-URL page differencing.
 
 The project has no records that are web pages, so this takes pages in general: ``page_id``, ``url`` and
-``html``. Pages of a host are put in order of their URL path; each is compared with the neighbour,
-of two before and two after, that has the longest path in common. Their text lines (blocks) are aligned by a
-longest common subsequence, and shared lines outside the page's article are deleted.
-
-Two pages may well quote the same paragraph, and an advert need not appear twice, so an exact check by
-the markup follows: what stands in menus, forms, adverts, notices, comments and the like goes even if
-no neighbour has it; where a page marks its article, the article's lines are the text; where it does
-not, the lines left by the differencing are. A neighbour that agrees in nearly all lines is a copy and
-proves nothing, so the next nearest is taken, or none.
+``html``. Pages of a host are put in order of their URL path; each is compared with the page beside it
+that has the longer path in common. Their text lines (blocks) are aligned by a longest common
+subsequence, and shared lines are deleted; lines that are not shared stay, inside an article or not.
+
+Two pages may well quote the same paragraph, and an advert need not appear twice, so markup restores or
+drops single lines: what stands in menus, forms, adverts, notices, comments and the like goes even if
+no neighbour has it; a shared line inside a marked article stays, unless nearly all pages of the host
+have it. A neighbour that agrees in nearly all lines that are not common on the host is a copy and
+proves nothing; a run of copies is compared with the pages before and after it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from chronotrace.llm.arrow_text import batches
 from chronotrace.llm.ngram_join import stored
-from chronotrace.operators.ordered import bounded_window
+from chronotrace.operators.ordered import Lane, bounded_window, running
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -47,6 +47,16 @@ ASIDE_NAMES = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE, PLAIN, MAIN = 0, 1, 2
 COPY_SHARE = 0.8
+#: A line is common on a host of so many different pages if it is on more than this share of them ...
+LEAST_COMMON, COMMON_SHARE = 3, 0.5
+#: ... and is template even inside an article if it is on nearly all.
+LEAST_EVERYWHERE, EVERYWHERE_SHARE = 5, 0.9
+BROADCAST_SITES = 2_000
+_BESIDE = pa.struct([("path", pa.string()), ("lines", pa.binary())])
+COMPARED = pa.schema(
+    [("key", pa.int64()), ("pos", pa.int64()), ("copy", pa.bool_()), ("first", pa.bool_()), ("last", pa.bool_()), ("me", pa.struct([*_BESIDE, ("everywhere", pa.list_(pa.int64()))])), ("before", _BESIDE), ("after", _BESIDE), ("shared", pa.list_(pa.int32()))]
+)
+COMPARED_DDL = "key long, pos long, copy boolean, first boolean, last boolean, me struct<path:string,lines:binary,everywhere:array<long>>, before struct<path:string,lines:binary>, after struct<path:string,lines:binary>, shared array<int>"
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -157,16 +167,16 @@ def _line_hash(line: str) -> int:
 
 
 def _read(batches_in):
-    """Row key, place in the host and line hashes of each page."""
+    """Row key, site (hash of the host), place in it, line hashes and their own hash of each page."""
     for batch in batches_in:
         for part in batches(batch, column=1):
-            lines, paths, hosts = [], [], []
+            lines, paths, sites = [], [], []
             for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 m = re.match(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^?#]*)", url or "")
-                hosts.append(m[1].lower())
+                sites.append(_line_hash(m[1].lower()))
                 paths.append(m[2])
                 lines.append(np.array([_line_hash(x) for x, _ in blocks(html)], "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(hosts), pa.array(paths), pa.array(lines, pa.binary())], ["key", "page_id", "host", "path", "lines"])
+            yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(sites, pa.int64()), pa.array(paths), pa.array(lines, pa.binary())], ["key", "page_id", "site", "path", "lines"])
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -174,22 +184,67 @@ def _common_prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _shared(batches_in):
-    """Lines in common with the nearest neighbour on the same host; a copy is passed over."""
+def _each_line(batches_in):
+    """Every different line of a page, once."""
+    for batch in batches_in:
+        lines = [np.unique(np.frombuffer(x, "<i8")) for x in batch.column("lines").to_pylist()]
+        n = [len(x) for x in lines]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("site").to_numpy(), n)), pa.array(np.concatenate([*lines, np.zeros(0, "<i8")]))], ["site", "line"])
+
+
+def common_on_site(d: DataFrame) -> DataFrame:
+    """``site, common, everywhere``: lines on most and on nearly all different pages of a host. Pages
+    with equal lines count once. At most two and two lines for every line of its average page."""
+    d = d.select("site", "lines", F.xxhash64("lines").alias("kind")).dropDuplicates(["site", "kind"])
+    sizes = d.groupBy("site").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_COMMON)
+    n = d.mapInArrow(_each_line, "site long, line long").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    n = n.join(sizes, "site").filter(F.col("n") > F.col("size") * COMMON_SHARE)
+    throughout = (F.col("size") >= LEAST_EVERYWHERE) & (F.col("n") >= F.col("size") * EVERYWHERE_SHARE)
+    return n.groupBy("site").agg(F.collect_list("line").alias("common"), F.collect_list(F.when(throughout, F.col("line"))).alias("everywhere"))
+
+
+def _numbers(lines: bytes) -> list[int]:
+    return np.frombuffer(lines, "<i8").tolist()
+
+
+def is_copy(a: list[int], b: list[int], common: set[int]) -> bool:
+    """Whether two pages agree in nearly all lines that are not common on the host."""
+    a, b = [x for x in a if x not in common], [x for x in b if x not in common]
+    return len(common_lines(a, b)) >= COPY_SHARE * max(len(a), len(b))
+
+
+def _hits(mine: list[int], path: str, sides: list, everywhere: set[int]) -> list[int]:
+    """Places of lines that the side with more of the path in common has too."""
+    if not sides:
+        return []
+    best = max(sides, key=lambda x: _common_prefix(x["path"], path))
+    return [i for i in common_lines(mine, _numbers(best["lines"]))]
+
+
+def _compare(batches_in):
+    """Lines in common with the nearer of the two pages beside; for a page in a run of copies its lines, and
+    the pages beside the run from its ends."""
+    for batch in batches_in:
+        out = []
+        for key, me, before, after in zip(*[batch.column(c).to_pylist() for c in ("key", "me", "before", "after")]):
+            mine, common, everywhere = _numbers(me["lines"]), set(me["common"] or ()), set(me["everywhere"] or ())
+            sides = [x if x and x["site"] == me["site"] else None for x in (before, after)]
+            copies = [bool(x) and is_copy(mine, _numbers(x["lines"]), common) for x in sides]
+            row = {"key": key, "pos": me["pos"], "copy": any(copies), "first": not copies[0], "last": not copies[1], "me": None, "before": None, "after": None, "shared": None}
+            if any(copies):
+                beside = [x and {"path": x["path"], "lines": x["lines"]} for x in sides]
+                row |= {"me": {"path": me["path"], "lines": me["lines"], "everywhere": me["everywhere"] or []}, "before": None if copies[0] else beside[0], "after": None if copies[1] else beside[1]}
+            else:
+                row["shared"] = _hits(mine, me["path"], [x for x in sides if x], everywhere)
+            out.append(row)
+        yield pa.RecordBatch.from_pylist(out, COMPARED)
+
+
+def _beside_run(batches_in):
     for batch in batches_in:
         out = []
-        for me, near in zip(batch.column("me").to_pylist(), batch.column("near").to_pylist()):
-            mine = np.frombuffer(me["lines"], "<i8").tolist()
-            sides = [x for x in near if x["pos"] != me["pos"] and x["host"] == me["host"]]
-            sides.sort(key=lambda x: (-_common_prefix(x["path"], me["path"]), abs(x["pos"] - me["pos"]), x["pos"]))
-            hit: list[int] = []
-            for side in sides:
-                other = np.frombuffer(side["lines"], "<i8").tolist()
-                hit = common_lines(mine, other)
-                if len(hit) < COPY_SHARE * max(len(mine), len(other), 1):
-                    break
-                hit = []
-            out.append(hit)
+        for me, before, after in zip(*[batch.column(c).to_pylist() for c in ("me", "before", "after")]):
+            out.append(_hits(_numbers(me["lines"]), me["path"], [x for x in (before, after) if x], set(me["everywhere"])))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "shared"])
 
 
@@ -205,23 +260,33 @@ def _text(batches_in):
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """``key, shared``: for each page key the numbers of the lines that its nearest page has too.
+    """``key, shared``: for each page key the numbers of the lines that its nearest different page has too,
+    as -1 - number where nearly all pages of the host have the line.
 
     Pages are numbered in order of host and path by one range sort of line hashes; neighbours come
-    from a window over that number, so a host of any size is spread. Only pages with such lines are
-    returned."""
-    order = ("host", "path", "page_id", "key")
+    from a window over that number, so a host of any size is spread. A run of copies of any length is
+    compared with the pages beside it, which its first and last page pass on."""
+    order = ("site", "path", "page_id", "key")
     d = pages.select("url", "html", "key", "page_id")
     kind = d.schema["page_id"].dataType.simpleString()
-    d = d.mapInArrow(_read, f"key long, page_id {kind}, host string, path string, lines binary")
+    d = d.mapInArrow(_read, f"key long, page_id {kind}, site long, path string, lines binary")
     d = d.repartitionByRange(*order).sortWithinPartitions(*order)
     d = stored(d.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     sizes = d.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     upto = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    common = stored(common_on_site(d))
+    if common.count() <= BROADCAST_SITES:
+        common = F.broadcast(common)
     d = d.join(sizes.select("part", "first", upto.alias("base")), "part").withColumn("pos", F.col("base") + F.col("at") - F.col("first"))
-    me = F.struct("pos", "host", "path", "lines")
-    near = bounded_window(d.select("key", "pos", me.alias("me")), (), "pos", 2, 2, lambda w: [F.collect_list("me").over(w).alias("near")])  # five at most
-    found = near.select("key", "me", "near").mapInArrow(_shared, "key long, shared array<int>")
+    beside = F.struct("site", "path", "lines")
+    near = bounded_window(d.select("key", "pos", "site", "path", "lines", beside.alias("beside")), (), "pos", 1, 1, lambda w: [F.first("beside").over(w).alias("before"), F.last("beside").over(w).alias("after"), F.first("pos").over(w).alias("low"), F.last("pos").over(w).alias("high")])
+    near = near.join(common, "site", "left").select(
+        "key", F.struct("pos", "site", "path", "lines", "common", "everywhere").alias("me"), F.when(F.col("low") < F.col("pos"), F.col("before")).alias("before"), F.when(F.col("high") > F.col("pos"), F.col("after")).alias("after")
+    )
+    near = stored(near.mapInArrow(_compare, COMPARED_DDL))
+    copies = running(near.filter("copy"), Lane((), ("pos",), 4096.0), {"run": ("max", F.when(F.col("first"), F.col("pos")))})
+    runs = copies.select("key", "me", "run").join(copies.filter("first").select("run", "before"), "run").join(copies.filter("last").select("run", "after"), "run")
+    found = near.filter("not copy").select("key", "shared").unionByName(runs.mapInArrow(_beside_run, "key long, shared array<int>"))
     return found.groupBy("key").agg(F.min("shared").alias("shared"))
 
 

@@ -142,6 +142,17 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert page_text.main_text(d.limit(0)).count() == 0
 
 
+def test_large_templates_and_long_runs_of_copies(spark):
+    template = "".join(f"<div>Template {k}</div>" for k in range(20))
+    own = lambda *x: template + "".join(f"<p>{y}</p>" for y in x)
+    rows = [(i, f"http://a.org/{i:03}", own(*[f"{i} own {k}" for k in range(3)])) for i in range(6)]
+    rows += [(100 + i, f"http://b.org/m{i:03}", own(*[f"copied {k}" for k in range(9)], f"seen {i % 5} times")) for i in range(40)]  # a run of copies and near copies
+    rows += [(200 + i, f"http://b.org/{'az'[i % 2]}{i:03}", own(f"{i} x", f"{i} y")) for i in range(12)]
+    want = {r[0]: "\n".join(x for x in r[2].replace("<p>", "").replace("<div>", "").replace("</div>", "</p>").split("</p>") if x and not x.startswith("Template")) for r in rows}
+    got = page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_pages_of_the_given_table(spark, sf_dir):
     import re
     from html import unescape
