@@ -214,11 +214,11 @@ def is_copy(a: list[int], b: list[int], common: set[int]) -> bool:
 
 
 def _hits(mine: list[int], path: str, sides: list, everywhere: set[int]) -> list[int]:
-    """Places of lines that the side with more of the path in common has too."""
+    """Places of lines that the side with more of the path in common has too: as ~place if nearly all pages do."""
     if not sides:
         return []
     best = max(sides, key=lambda x: _common_prefix(x["path"], path))
-    return [i for i in common_lines(mine, _numbers(best["lines"]))]
+    return [~i if mine[i] in everywhere else i for i in common_lines(mine, _numbers(best["lines"]))]
 
 
 def _compare(batches_in):
@@ -253,9 +253,8 @@ def _text(batches_in):
         for part in batches(batch, column=2):
             texts = []
             for html, shared in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                found, gone = blocks(html), set(shared or ())
-                main = [x for x, role in found if role == MAIN]
-                texts.append("\n".join(main or [x for i, (x, role) in enumerate(found) if role == PLAIN and i not in gone]))
+                gone = set(shared or ())
+                texts.append("\n".join(x for i, (x, role) in enumerate(blocks(html)) if role != ASIDE and ~i not in gone and (role == MAIN or i not in gone)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

@@ -142,6 +142,13 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert page_text.main_text(d.limit(0)).count() == 0
 
 
+def test_differencing_decides_on_marked_pages_too(spark):
+    page = "<div>Our site</div><article>teaser %d</article><div>Body of story %d</div><main><p>Read on</p><p>Own %d</p><p>Quote %d</p></main><div>Write to us</div>"
+    rows = [(i, f"http://h.org/{i}", page % (i, i, i, i // 2)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"teaser {i}\nBody of story {i}\nOwn {i}\nQuote {i // 2}" for i in range(8)}
+
+
 def test_large_templates_and_long_runs_of_copies(spark):
     template = "".join(f"<div>Template {k}</div>" for k in range(20))
     own = lambda *x: template + "".join(f"<p>{y}</p>" for y in x)
