@@ -7,8 +7,8 @@ all languages together, beside them one log probability per language, and for co
 of backing off. A tenth of the labelled narratives is kept out of the counts; how their
 cross-entropies spread, by length, sets when a narrative is rejected as none of the languages.
 
-The table has at most ``max_grams`` groups: where the corpus has more, the rarest counts go to the
-backed-off mass (count cut-offs), so what workers hold is bounded.
+Every count enters the model, however rare: the tables grow with the number of different groups of
+four characters, not with the rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from chronotrace.llm.arrow_text import U64, batches, mix
 from chronotrace.session import cut
 
 ORDER = 4
-MAX_GRAMS = 4_000_000
 REJECT_SDS = 8.0
 FULL_TRUST = 200  # letters after which more text makes a prediction no surer
 UNKNOWN = "und"
@@ -256,7 +255,7 @@ def _spreads(model: Model):
 
 
 def fit_language_model(
-    narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", lang_col: str = "lang", learn_col: str | None = None, order: int = ORDER, max_grams: int = MAX_GRAMS
+    narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", lang_col: str = "lang", learn_col: str | None = None, order: int = ORDER
 ) -> Model:
     """Model of the languages named by ``lang_col``, from rows where ``learn_col`` is true (all without
     it) and the language is known."""
@@ -265,13 +264,7 @@ def fit_language_model(
     langs = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]  # a name per language
     counts = d.filter(~F.col("aside")).select("narrative", "lang").mapInArrow(_count_grams(langs, order), "lang int, gram long, n long")
     counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    least, rows = 1, 0
-    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():
-        rows += r["count"]
-        if rows > max_grams:
-            least = r["n"] + 1
-            break
-    got = counts.filter(F.col("n") >= least).toArrow()
+    got = counts.toArrow()
     model = kneser_ney(got["lang"].to_numpy(), got["gram"].to_numpy().view(U64), got["n"].to_numpy(), langs, order)
     s = d.filter("aside").select("narrative", "lang").mapInArrow(_spreads(model), "lang long, ce double, n long").filter("n > 0")
     model.center, model.spread = np.zeros(len(langs)), np.ones((len(langs), 2))

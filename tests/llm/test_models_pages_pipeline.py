@@ -66,6 +66,16 @@ def test_language_edges(narratives, odd_rows, model):
     assert {r["lang_pred"] for r in language.predict_language(d, none).collect()} == {"und"}
 
 
+def test_no_count_is_too_rare_to_learn_from(narratives):
+    import inspect
+
+    old = {"max_grams": 40} if "max_grams" in inspect.signature(language.fit_language_model).parameters else {}
+    rows = [(i, "hot words again and again " * 40, "x", "hot") for i in range(40)] + [(100 + i, f"quiet speech number {'abcdefgh'[i]}", "x", "small") for i in range(8)]
+    model = language.fit_language_model(narratives(rows), **old)
+    got = language.predict_language(narratives(rows), model, keep=("video_id", "lang")).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got) and len(model.chances[-1].hashes) > 41
+
+
 def labelled(narratives, spark, swap_penalty):
     """Toxic narratives insult and, by chance of collection, often name one group."""
     rng = random.Random(8)
