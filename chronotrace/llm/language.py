@@ -135,10 +135,6 @@ class Model:
                 out[missed] = b.values[b.find(rest >> U64(16))] + self.log_chances(shorter, order - 1)
         return out
 
-    def unseen_chance(self) -> float:
-        """Log probability of a character when all are equally likely."""
-        return -float(np.log(len(self.chances[0].hashes)))
-
     def cross_entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character under each language (rows: texts), and characters per text."""
         c, starts = letters(texts)
@@ -287,7 +283,7 @@ def _judge(model: Model, texts: list, reject_sds: float):
     low = ce[np.arange(len(n)), best]
     score = np.where(some, 1 / np.exp(-(ce - low[:, None]) * np.minimum(n, FULL_TRUST)[:, None]).sum(1), 0.0)
     sd = np.sqrt(model.spread[best, 0] + model.spread[best, 1] / np.maximum(n, 1))
-    odd = (low > model.center[best] + reject_sds * sd) & (low > (model.center[best] - model.unseen_chance()) / 2)
+    odd = low > model.center[best] + reject_sds * sd
     return best, some, score, low, ~some | odd
 
 
@@ -322,7 +318,7 @@ def predict_language(narratives: DataFrame, model: Model, text_col: str = "narra
 
     ``lang_pred`` has the lowest cross-entropy per character, ``score`` its share among the languages;
     ``rejected`` says that the cross-entropy is beyond what the language's own narratives of that
-    length show and nearer to that of equally likely characters. A null text or one without letters is ``und`` with score 0 and rejected. Rows that
+    length show. A null text or one without letters is ``und`` with score 0 and rejected. Rows that
     repeat are answered alike; an empty table gives an empty result; with nothing to learn from,
     everything is ``und``. Columns not in ``keep`` are not read.
     """

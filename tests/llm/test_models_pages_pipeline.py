@@ -76,6 +76,17 @@ def test_no_count_is_too_rare_to_learn_from(narratives):
     assert all(r["lang_pred"] == r["lang"] for r in got) and len(model.chances[-1].hashes) > 41
 
 
+def test_stray_letters_do_not_switch_off_rejection(narratives):
+    rng = random.Random(11)
+    say = lambda syllables, n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(["the", "in", "er", "an", "on", "st"], 60), "x", "en") for i in range(200)]
+    rows += [(1000, "".join(map(chr, range(0x4E00, 0x4E00 + 6000))), "x", "zh")]
+    model = language.fit_language_model(narratives(rows))
+    other = narratives([(1, say(["iq", "iz", "ko", "ri", "ha", "en"], 60)), (2, rows[0][1])])
+    got = {r["video_id"]: r for r in language.predict_language(other, model).collect()}
+    assert got[1]["rejected"] and not got[2]["rejected"]
+
+
 def labelled(narratives, spark, swap_penalty):
     """Toxic narratives insult and, by chance of collection, often name one group."""
     rng = random.Random(8)
