@@ -4,8 +4,9 @@ Letters are lower-cased and every run of other characters becomes one space. Fou
 language come from all labelled narratives that may be learned from; continuation counts of shorter
 contexts follow from them. The model is a table per order: sorted hashes of the character groups of
 all languages together, beside them one log probability per language, and for contexts the log weight
-of backing off. A tenth of the labelled narratives is kept out of the counts; how their
-cross-entropies spread, by length, sets when a narrative is rejected as none of the languages.
+of backing off. How the cross-entropies of a tenth of the labelled narratives spread, by length, under
+a model of the other nine sets when a narrative is rejected as none of the languages; a language that
+tenth cannot judge has the loosest of the other bounds. Then the tenth is learned from as well.
 
 Every count enters the model, however rare: the tables grow with the number of different groups of
 four characters, not with the rows.
@@ -220,7 +221,7 @@ def _count_grams(langs: list[str], order: int):
 
         for batch in batches_in:
             for part in batches(batch):
-                lang = np.array([number[x] for x in part.column(1).to_pylist()])
+                lang = np.array([number[x] for x in part.column(1).to_pylist()]) * 2 + np.array(part.column(2).to_pylist(), np.int64)
                 texts = part.column(0).to_pylist()
                 for k in np.unique(lang):
                     c, starts = letters([texts[i] for i in np.flatnonzero(lang == k)])
@@ -258,12 +259,16 @@ def fit_language_model(
     d = narratives.filter(F.col(lang_col).isNotNull() & (F.col(learn_col) if learn_col else F.lit(True)))
     d = d.select(F.coalesce(F.col(text_col), F.lit("")).alias("narrative"), F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(id_col), F.lit(10)) == 0).alias("aside"))
     langs = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]  # a name per language
-    counts = d.filter(~F.col("aside")).select("narrative", "lang").mapInArrow(_count_grams(langs, order), "lang int, gram long, n long")
-    counts = cut(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = d.mapInArrow(_count_grams(langs, order), "lang int, gram long, n long")
+    kept = F.when(F.col("lang") % 2 == 0, F.col("n")).otherwise(0)
+    counts = counts.groupBy(F.floor(F.col("lang") / 2).cast("int").alias("lang"), "gram").agg(F.sum("n").alias("n"), F.sum(kept).alias("kept"))
     got = counts.toArrow()
-    model = kneser_ney(got["lang"].to_numpy(), got["gram"].to_numpy().view(U64), got["n"].to_numpy(), langs, order)
-    s = d.filter("aside").select("narrative", "lang").mapInArrow(_spreads(model), "lang long, ce double, n long").filter("n > 0")
-    model.center, model.spread = np.zeros(len(langs)), np.ones((len(langs), 2))
+    lang, gram, n, kept = got["lang"].to_numpy(), got["gram"].to_numpy().view(U64), got["n"].to_numpy(), got["kept"].to_numpy()
+    some = kept > 0
+    model = kneser_ney(lang[some], gram[some], kept[some], langs, order)
+    learned = np.unique(lang[some]).tolist()
+    s = d.filter("aside").select("narrative", "lang").mapInArrow(_spreads(model), "lang long, ce double, n long").filter((F.col("n") > 0) & F.col("lang").isin(learned))
+    model.center, model.spread = np.full(len(langs), np.nan), np.ones((len(langs), 2))
     centers = s.groupBy("lang").agg((F.sum(F.col("ce") * F.col("n")) / F.sum("n")).alias("m"))
     for r in centers.collect():
         model.center[r["lang"]] = r["m"]
@@ -271,7 +276,13 @@ def fit_language_model(
     short = F.col("n") < 500
     for r in s.groupBy("lang").agg(F.avg(F.when(~short, off * off)).alias("a"), F.avg(F.when(short, off * off * F.col("n"))).alias("b")).collect():
         model.spread[r["lang"]] = (0.01 if r["a"] is None else r["a"], 1.0 if r["b"] is None else r["b"])
-    return model
+    judged = ~np.isnan(model.center)
+    if not judged.all():
+        model.center[~judged] = model.center[judged].max() if judged.any() else 0.0
+        model.spread[~judged] = model.spread[judged].max(0) if judged.any() else 1.0
+    final = kneser_ney(lang, gram, n, langs, order)
+    final.center, final.spread = model.center, model.spread
+    return final
 
 
 def _judge(model: Model, texts: list, reject_sds: float):

@@ -87,6 +87,14 @@ def test_stray_letters_do_not_switch_off_rejection(narratives):
     assert got[1]["rejected"] and not got[2]["rejected"]
 
 
+def test_every_labelled_row_is_learned_from(narratives, spark):
+    aside = [r[0] for r in spark.range(200).filter("pmod(xxhash64(id), 10) = 0").collect()]
+    rows = [(1000 + i, "the door is open and a man walks in " * 3, "x", "en") for i in range(60)] + [(i, "tür zu und über die brücke " * 3, "x", "de") for i in aside[:2]]
+    model = language.fit_language_model(narratives(rows))
+    got = language.predict_language(narratives(rows), model, keep=("video_id", "lang")).collect()
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in got)
+
+
 def labelled(narratives, spark, swap_penalty):
     """Toxic narratives insult and, by chance of collection, often name one group."""
     rng = random.Random(8)
