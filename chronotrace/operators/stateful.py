@@ -291,7 +291,7 @@ def trigger_rows(obs: DataFrame, lane: Lane, p: TriggerParams = TriggerParams(),
     return f.withColumn("distance", dist).withColumn("rule", rule).drop("_pv")
 
 
-class _SilentGate:
+class SilentGate:
     """All entities of one session: sampled rows and samples of silent entities."""
 
     def __init__(self, p: TriggerParams, max_age: int):
@@ -322,16 +322,20 @@ class _SilentGate:
                 self.sample[eid] = (f, t, x)
         self.rows = []
 
+    def add(self, f, t, eid, x, end: bool, out: list) -> None:
+        """One row, in order; ``end`` says that its frame has no more."""
+        if self.frame is not None and f != self.frame[0]:
+            self._finish(out)
+        self.frame = (f, t)
+        self.rows.append((eid, x))
+        if end:
+            self._finish(out)
+            self.frame = None
+
     def __call__(self, cols: dict, lo: int, hi: int) -> list[tuple]:
         out: list = []
         for f, t, eid, x, end in zip(*[cols[c][lo:hi] for c in ("frame_idx", "t", "entity_id", "vec", "_end")]):
-            if self.frame is not None and f != self.frame[0]:
-                self._finish(out)
-            self.frame = (f, t)
-            self.rows.append((eid, np.asarray(x, dtype=float)))
-            if end:
-                self._finish(out)
-                self.frame = None
+            self.add(f, t, eid, np.asarray(x, dtype=float), end, out)
         return [(cols["video_id"][lo], *r) for r in out]
 
 
@@ -354,7 +358,7 @@ def triggers_with_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), ma
     lane = Lane(("video_id",), ("frame_idx", "entity_id", "event_id"), slice_frames)
     d = _sessions(obs.select("video_id", "frame_idx", "t", "entity_id", "event_id", "vec"), lane, max_age, p.heartbeat)
     schema = "video_id bigint, entity_id bigint, frame_idx bigint, t double, silent boolean, vec array<double>"
-    fired = cut(ordered_pass(d, ("video_id", "session"), lane.order, schema, lambda: _SilentGate(p, max_age)))
+    fired = cut(ordered_pass(d, ("video_id", "session"), lane.order, schema, lambda: SilentGate(p, max_age)))
     f = neighbours(fired, Lane(("video_id", "entity_id"), ("frame_idx", "t", "silent"), slice_frames), previous={"_pv": F.col("vec")})
     dist = F.when(F.col("_pv").isNull(), F.lit(1.0)).otherwise(1 - dot(F.col("vec"), F.col("_pv")))
     rule = F.when(F.col("_pv").isNull(), "birth").when(~F.col("silent") & (F.col("distance") > p.jump), "change_point").otherwise("heartbeat")

@@ -160,7 +160,7 @@ def trigger_stream(spark, d):
 
 @query("st04_silent_heartbeat_stream")
 def silent_stream(spark, d):
-    return rt.run_available(so.stream_triggers(_vec_stream(spark, d), st.TriggerParams()), "silent").filter("silent").select("video_id", "entity_id", F.round("t", 6).alias("t"))
+    return rt.run_available(so.stream_silence(_vec_stream(spark, d)), "silent").filter("silent").select("video_id", "entity_id", F.round("t", 6).alias("t"))
 
 
 @query("st05_global_heartbeat_stream")

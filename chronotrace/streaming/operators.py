@@ -6,6 +6,7 @@ are reported as late instead of being applied. State per key is a fixed handful
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronotrace.operators.stateful import SilentGate
 from chronotrace.params import DiscordanceParams, GlobalHeartbeatParams, TriggerParams
 
 
@@ -22,55 +24,81 @@ def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
 
-def stream_triggers(obs: DataFrame, p: TriggerParams = TriggerParams(), delay: str = "1 hour", seconds_per_unit: float = 3600.0) -> DataFrame:
-    """Birth, change-point and heartbeat rows per entity; an entity without rows gets a
-    heartbeat from an event-time timer once the watermark passes its due time."""
+def stream_triggers(obs: DataFrame, p: TriggerParams = TriggerParams(), delay: str = "1 hour") -> DataFrame:
+    """Birth, change-point and heartbeat rows per entity, for rows that are there; ``stream_silence`` has
+    those of entities out of sight."""
 
     def step(key, batches, state: GroupState):
         vid, eid = int(key[0]), int(key[1])
         out = []
-        if state.hasTimedOut:
-            f, t, x, n, seen = state.get
-            out.append((vid, eid, -1, -1, t + p.heartbeat, "heartbeat", 0.0, True))
-            state.update((f, t + p.heartbeat, x, n, seen))
-        else:
-            cur = state.getOption
-            for f, t, ev, x in _rows(batches, ["t", "event_id"])[["frame_idx", "t", "event_id", "vec"]].itertuples(index=False):
-                x = np.asarray(x, dtype=float)
-                if cur is None:
-                    rule, dist = "birth", 1.0
-                elif t < cur[4]:
-                    rule, dist = "late", 0.0
-                else:
-                    dist = 1.0 - float(np.dot(x, np.asarray(cur[2])))
-                    rule = None
-                    if f - cur[0] >= p.min_gap_frames:
-                        rule = "change_point" if dist > p.jump else ("heartbeat" if t - cur[1] >= p.heartbeat else None)
-                if rule == "late":
-                    out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
-                    continue
-                if rule:
-                    out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
-                    cur = (int(f), float(t), [float(v) for v in x], (cur[3] + 1 if cur else 1), float(t))
-                else:
-                    cur = (cur[0], cur[1], cur[2], cur[3], float(t))
-            if cur is not None:
-                state.update(tuple(cur))
-        f, t, x, n, seen = state.get
-        due = int((t + p.heartbeat) * seconds_per_unit * 1000) + EPOCH_MS
-        # Only entities seen within the last ten heartbeats are still active.
-        if t - seen < 10 * p.heartbeat and due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
+        cur = state.getOption
+        for f, t, ev, x in _rows(batches, ["t", "event_id"])[["frame_idx", "t", "event_id", "vec"]].itertuples(index=False):
+            x = np.asarray(x, dtype=float)
+            if cur is None:
+                rule, dist = "birth", 1.0
+            elif t < cur[4]:
+                rule, dist = "late", 0.0
+            else:
+                dist = 1.0 - float(np.dot(x, np.asarray(cur[2])))
+                rule = None
+                if f - cur[0] >= p.min_gap_frames:
+                    rule = "change_point" if dist > p.jump else ("heartbeat" if t - cur[1] >= p.heartbeat else None)
+            if rule == "late":
+                out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
+                continue
+            if rule:
+                out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
+                cur = (int(f), float(t), [float(v) for v in x], (cur[3] + 1 if cur else 1), float(t))
+            else:
+                cur = (cur[0], cur[1], cur[2], cur[3], float(t))
+        if cur is not None:
+            state.update(tuple(cur))
         yield pd.DataFrame(out, columns=["video_id", "entity_id", "event_id", "frame_idx", "t", "rule", "distance", "silent"])
 
     schema = "video_id long, entity_id long, event_id long, frame_idx long, t double, rule string, distance double, silent boolean"
     state = "f long, t double, x array<double>, n long, seen double"
-    return obs.withWatermark("ts", delay).groupBy("video_id", "entity_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return obs.withWatermark("ts", delay).groupBy("video_id", "entity_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
 EPOCH_MS = 1704067200000
 
 
+def stream_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), max_age: int = 150, delay: str = "1 hour") -> DataFrame:
+    """Sampled rows and samples of silent entities, as ``triggers_with_silence`` gives them.
+
+    A silent entity is sampled at a frame of its recording, so the state is kept by recording: the gate
+    of the batch form and the rows of frames that are not yet complete. A frame is complete when the
+    watermark has reached a row of a later frame; then it goes through the gate, on data or by a timer.
+    Rows of frames that are through are late and left out. Time must not fall as frames rise.
+    """
+
+    def step(key, batches, state: GroupState):
+        gate, done, held = pickle.loads(state.get[0]) if state.exists else (SilentGate(p, max_age), -1, [])
+        out: list = []
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for part in batches:
+                ms = part["ts"].to_numpy("datetime64[ms]").astype(np.int64)
+                rows = zip(part["frame_idx"].tolist(), part["entity_id"].tolist(), part["event_id"].tolist(), part["t"].tolist(), ms.tolist(), part["vec"])
+                held += [(*r[:5], np.asarray(r[5], dtype=float)) for r in rows if r[0] > done]
+        reached = max((r[0] for r in held if r[4] <= mark), default=-1)
+        ready = sorted((r for r in held if r[0] < reached), key=lambda r: r[:3])
+        if ready:
+            held, done = [r for r in held if r[0] >= reached], reached - 1
+            last = [a[0] != b[0] for a, b in zip(ready, ready[1:])] + [True]
+            for (f, eid, _, t, _, x), end in zip(ready, last):
+                gate.add(f, t, eid, x, end, out)
+        state.update((pickle.dumps((gate, done, held)),))
+        ahead = [r[4] for r in held if r[4] > mark]
+        if ahead:
+            state.setTimeoutTimestamp(min(ahead))
+        yield pd.DataFrame([(int(key[0]), *r[:4]) for r in out], columns=["video_id", "entity_id", "frame_idx", "t", "silent"])
+
+    return obs.withWatermark("ts", delay).groupBy("video_id").applyInPandasWithState(
+        step, "video_id long, entity_id long, frame_idx long, t double, silent boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def stream_global_heartbeats(obs: DataFrame, p: GlobalHeartbeatParams = GlobalHeartbeatParams()) -> DataFrame:
     """Periodic and drift samples of a recording with a moving baseline."""
 

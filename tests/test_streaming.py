@@ -36,3 +36,18 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path, monkeypatch):
     assert {(r.event_id, r.reason) for r in got.collect()} == batch
     g = rt.run_available(so.stream_graph(q._obs_stream(spark, sf_dir)), "n").groupBy("entity_id").agg(F.max("seq").alias("m"), F.count(F.lit(1)).alias("n"))
     assert all(r.m + 1 == r.n for r in g.collect())
+
+
+def test_silent_stream_equals_batch(spark, sf_dir, tmp_path, monkeypatch):
+    src = split_source(spark, sf_dir, tmp_path)
+    one = rt.event_stream
+    monkeypatch.setattr(q.rt, "event_stream", lambda s, d: one(s, src, files_per_batch=1))
+    batch = {(r.video_id, r.entity_id, r.frame_idx, r.silent) for r in st.triggers_with_silence(v.obs_vec(spark, sf_dir)).collect()}
+    rows = rt.run_available(so.stream_silence(q._vec_stream(spark, sf_dir)), "s").collect()
+    got = {(r.video_id, r.entity_id, r.frame_idx, r.silent) for r in rows}
+    assert len(got) == len(rows)
+    last = {vid: max(r[2] for r in got if r[0] == vid) for vid in {r[0] for r in got}}
+    assert got == {r for r in batch if r[2] <= last[r[0]]}  # up to the watermark
+    assert len(batch - got) < 0.05 * len(batch) and sum(r[3] for r in got) > 0
+    whole = q.silent_stream(spark, sf_dir)
+    assert whole.count() == sum(r[3] for r in got)
