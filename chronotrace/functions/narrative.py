@@ -48,17 +48,21 @@ def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, key
     return j.select(*keys, "page", F.when(F.length("_text") > max_chars, F.concat(F.left("_text", F.lit(max_chars)), F.lit("\n...[truncated]"))).otherwise(F.col("_text")).alias("narrative"))
 
 
-def overview_lines(nodes: DataFrame, rollup: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """One line per entity of a recording: span, observations, danger and first ten actions.
+def overview_lines(nodes: DataFrame, rollup: DataFrame, keys: tuple[str, ...], max_actions: int | None = None) -> DataFrame:
+    """One line per entity of a recording: span, observations, danger and actions (the first
+    ``max_actions`` where that is given).
     Lines carry the sort values; the overview text is their ordered concatenation."""
     from pyspark.sql import Window as W
 
     w = W.partitionBy(*keys).orderBy("seq")
-    first = nodes.withColumn("_r", F.row_number().over(w)).filter("_r <= 11").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "action"))).alias("_a"))
-    acts = F.array_join(F.transform(F.slice("_a", 1, 10), lambda x: x["action"]), " → ")
+    first = nodes.withColumn("_r", F.row_number().over(w))
+    if max_actions is not None:
+        first = first.filter(F.col("_r") <= max_actions + 1)
+    first = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_r", "action"))).alias("_a"))
+    acts = F.array_join(F.transform(F.col("_a") if max_actions is None else F.slice("_a", 1, max_actions), lambda x: x["action"]), " → ")
     j = join_on(rollup, first, keys)
     line = F.concat(
         F.lit("  Entity #"), F.col("entity_id").cast("string"), F.format_string(": %.1fs, %d obs, max_danger=%.2f, actions=[", F.col("duration"), F.col("num_nodes"), F.col("max_danger")), acts,
-        F.when(F.size("_a") > 10, " → ...").otherwise(""), F.lit("]"), F.when(F.col("has_suspicious"), " [flagged]").otherwise(""),
+        F.lit("") if max_actions is None else F.when(F.size("_a") > max_actions, " → ...").otherwise(""), F.lit("]"), F.when(F.col("has_suspicious"), " [flagged]").otherwise(""),
     )
     return j.select(*keys, "max_danger", line.alias("line"))

@@ -38,17 +38,21 @@ def _first_group(text: Column, pattern: str) -> Column:
     return F.regexp_extract(text, pattern, 1).try_cast("double")
 
 
-def unit_score(text: Column) -> Column:
+def _head(x: Column, n: int | None) -> Column:
+    return x if n is None else F.left(x, F.lit(n))
+
+
+def unit_score(text: Column, max_answer: int | None = None) -> Column:
     """Struct(score, status, summary, reasoning) from an answer: a JSON object with a score
     (number or one-element list), else a number after the word score, else any 0..1 number;
-    -1 and an error status when nothing fits."""
+    -1 and an error status with the answer (its first ``max_answer`` characters) when nothing fits."""
     obj = F.regexp_extract(text, SCORE_OBJECT, 0)
     raw = F.coalesce(F.get_json_object(obj, "$.score[0]"), F.get_json_object(obj, "$.score"))
     from_json = _in_unit(raw.try_cast("double"))
     loose = F.coalesce(*[_in_unit(_first_group(text, p)) for p in SCORE_PATTERNS])
     score = F.coalesce(from_json, loose, F.lit(-1.0))
     txt = lambda k: F.when(from_json.isNotNull(), F.coalesce(F.get_json_object(obj, f"$.{k}"), F.lit(""))).otherwise("")
-    status = F.when(score >= 0, "success").otherwise(F.concat(F.lit("no score in answer: "), F.left(text, F.lit(200))))
+    status = F.when(score >= 0, "success").otherwise(F.concat(F.lit("no score in answer: "), _head(text, max_answer)))
     return F.struct(score.alias("score"), status.alias("status"), txt("summary").alias("summary"), txt("reasoning").alias("reasoning"))
 
 
@@ -163,15 +167,16 @@ SNAPSHOT_ENTITY = (
 )
 
 
-def snapshot_fields(js: Column) -> Column:
-    """Cleaned snapshot: defaults, length limits, loose booleans, danger clamped to [0, 1]."""
+def snapshot_fields(js: Column, max_long: int | None = None, max_short: int | None = None, max_density: int | None = None) -> Column:
+    """Cleaned snapshot: defaults, loose booleans, danger clamped to [0, 1]. With limits, portraits and
+    reasons are cut to ``max_long`` characters, the crowd density to ``max_density``, other texts to ``max_short``."""
     ents = F.from_json(F.get_json_object(js, "$.entities"), SNAPSHOT_ENTITY)
 
     def clean(e):
-        cut = lambda k, n, d="": F.left(F.coalesce(e[k], F.lit(d)), F.lit(n)).alias(k)
+        cut = lambda k, n, d="": _head(F.coalesce(e[k], F.lit(d)), n).alias(k)
         return F.struct(
-            cut("portrait", 200, "unknown"), cut("action", 100, "unknown"), cut("action_object", 100), cut("location", 100), cut("posture", 100),
-            loose_bool(e["is_suspicious"]).alias("is_suspicious"), cut("suspicious_reason", 200),
+            cut("portrait", max_long, "unknown"), cut("action", max_short, "unknown"), cut("action_object", max_short), cut("location", max_short), cut("posture", max_short),
+            loose_bool(e["is_suspicious"]).alias("is_suspicious"), cut("suspicious_reason", max_long),
         )
 
     danger = F.get_json_object(js, "$.visual_danger_score").try_cast("double")
@@ -179,8 +184,8 @@ def snapshot_fields(js: Column) -> Column:
         F.coalesce(F.get_json_object(js, "$.frame_id").try_cast("bigint"), F.lit(-1)).alias("frame_id"),
         F.coalesce(F.get_json_object(js, "$.timestamp").try_cast("double"), F.lit(-1.0)).alias("timestamp"),
         F.coalesce(F.transform(F.filter(ents, lambda e: e.isNotNull()), clean), F.array().cast("array<struct<portrait:string,action:string,action_object:string,location:string,posture:string,is_suspicious:boolean,suspicious_reason:string>>")).alias("entities"),
-        F.left(F.coalesce(F.get_json_object(js, "$.scene.type"), F.lit("")), F.lit(100)).alias("scene_type"),
-        F.left(F.coalesce(F.get_json_object(js, "$.scene.crowd_density"), F.lit("")), F.lit(50)).alias("crowd_density"),
+        _head(F.coalesce(F.get_json_object(js, "$.scene.type"), F.lit("")), max_short).alias("scene_type"),
+        _head(F.coalesce(F.get_json_object(js, "$.scene.crowd_density"), F.lit("")), max_density).alias("crowd_density"),
         F.coalesce(F.get_json_object(js, "$.motion_energy").try_cast("double"), F.lit(0.0)).alias("motion_energy"),
         loose_bool(F.get_json_object(js, "$.is_cinematic")).alias("is_cinematic"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(danger, F.lit(0.0)))).alias("danger"),

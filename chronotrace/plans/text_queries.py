@@ -138,7 +138,7 @@ def _snapshot_text():
 
 @query("f12_snapshot_fields", "SELECT event_id, CASE WHEN k % 7 = 0 THEN -1 ELSE frame_idx END AS frame_id, CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS n_entities, CASE WHEN k % 5 = 0 THEN NULL ELSE 200 END AS portrait_len, CASE WHEN k % 5 = 0 THEN NULL ELSE suspicious END AS susp, least(1.0, k / CAST(50 AS DOUBLE)) AS danger, k % 3 <> 1 AS film FROM obs", "obs")
 def snapshot_fields(spark, d):
-    o = v.obs(spark, d).select("event_id", tx.snapshot_fields(_snapshot_text()).alias("r"))
+    o = v.obs(spark, d).select("event_id", tx.snapshot_fields(_snapshot_text(), 200, 100, 50).alias("r"))
     e = F.try_element_at("r.entities", F.lit(1))
     return o.select("event_id", "r.frame_id", F.size("r.entities").alias("n_entities"), F.length(e["portrait"]).alias("portrait_len"), e["is_suspicious"].alias("susp"), "r.danger", c("r.is_cinematic").alias("film"))
 
@@ -255,7 +255,7 @@ def narrative_text(spark, d):
 SELECT video_id, entity_id, max_danger, acts||CASE WHEN num_nodes > 10 THEN ' → ...' ELSE '' END AS actions FROM rollup JOIN f USING (video_id, entity_id)""", "obs nodes")
 def overview(spark, d):
     n = tg.number_nodes(v.nodes(spark, d), v.ENTITY_LANE)
-    o = nv.overview_lines(n, rp.entity_rollup(spark, d), K)
+    o = nv.overview_lines(n, rp.entity_rollup(spark, d), K, max_actions=10)
     return o.select(*K, "max_danger", F.regexp_extract("line", r"actions=\[(.*?)\]", 1).alias("actions"))
 
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from chronotrace.functions import actions as ac, text as tx
+from chronotrace.functions import actions as ac, narrative as nv, text as tx
 from chronotrace.sources import readers as rd
 
 
@@ -135,3 +135,17 @@ def test_user_templates(spark):
     df = spark.createDataFrame([(["waiting"], "shop"), (["waiting"], "street"), (["paying"], "street")], "seq array<string>, scene string")
     got = [r.b and r.b.name for r in df.select(ac.best_template(ac.template_scores(mine)("seq"), F.col("scene"), mine).alias("b")).collect()]
     assert got == ["wait", None, "pay"]
+
+
+def test_texts_and_actions_are_whole_unless_limits_are_given(spark):
+    long = "p" * 300
+    js = json.dumps({"entities": [{"portrait": long, "action": long}], "scene": {"type": long, "crowd_density": long}})
+    whole, short = one(spark, tx.snapshot_fields, js), one(spark, lambda c: tx.snapshot_fields(c, 200, 100, 50), js)
+    assert [whole.entities[0].portrait, whole.entities[0].action, whole.scene_type, whole.crowd_density] == [long] * 4
+    assert [len(x) for x in (short.entities[0].portrait, short.entities[0].action, short.scene_type, short.crowd_density)] == [200, 100, 100, 50]
+    assert one(spark, tx.unit_score, long).status.endswith(" " + long)
+    nodes = spark.createDataFrame([(1, i, f"a{i}") for i in range(14)], "entity_id long, seq long, action string")
+    rollup = spark.createDataFrame([(1, 5.0, 14, 0.5, False)], "entity_id long, duration double, num_nodes long, max_danger double, has_suspicious boolean")
+    line = lambda **k: nv.overview_lines(nodes, rollup, ("entity_id",), **k).first().line
+    assert "actions=[" + " → ".join(f"a{i}" for i in range(14)) + "]" in line()
+    assert "a9 → ...]" in line(max_actions=10) and "a10" not in line(max_actions=10)
