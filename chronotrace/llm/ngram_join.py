@@ -36,10 +36,10 @@ SUFFIX_BINS = 32
 MEMBERS = "kind int, video_id {id}, c long, n int, cell long, counts binary"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write to a new folder under the shared checkpoint folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

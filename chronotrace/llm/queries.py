@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotrace.llm import fingerprints, language, ngram_join, packing, page_text, quality, secrets, source_mix, token_counts, toxicity
-from chronotrace.llm.sql import NGRAM_SQL, QUALITY_SQL, SOURCE_MIX_SQL
+from chronotrace.llm import action_trie, alignment, fingerprints, language, ngram_join, packing, page_text, quality, secrets, source_mix, token_counts, toxicity, window_packing
+from chronotrace.llm.sql import NGRAM_SQL, QUALITY_SQL, REBUILT_TRIE_SQL, SOURCE_MIX_SQL
+from chronotrace.operators.ordered import Lane, number_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +116,49 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_page_text")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op11_window_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack_open_windows(narratives(spark, sf_dir)).withColumnRenamed("video_id", "doc_id")
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.token_alignment(narratives(spark, sf_dir))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select(
+        F.col("video_id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"), "n_shared"
+    )
+
+
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns of every conversation with the first h of conversation c - c % 20 in the place of its own
+    first h, h = crc32(c) % 4; and all conversations. Turns stand for the actions of an entity: ``conv_id``
+    for ``entity_id``, ``role`` for ``trigger_rule``, ``text`` for ``action``."""
+    t = turns.filter("conv_id is not null")
+    slim = action_trie.marked(t, "conv_id", ("turn",), "role", "text").withColumn("at", F.coalesce(F.col("turn").cast("double"), F.lit(float("-inf"))))
+    slim = number_rows(slim, Lane(("entity_id",), ("at", "turn", "mark"), 1024), "pos").select("entity_id", "pos", "mark", "n_words")
+    taken = F.crc32(F.col("entity_id").cast("string")) % 4
+    entities = t.select(F.col("conv_id").alias("entity_id")).distinct()
+    wants = entities.select("entity_id", taken.alias("h"), (F.col("entity_id") - F.col("entity_id") % 20).alias("base")).filter("h > 0")
+    heads = slim.filter("pos <= 3").withColumnRenamed("entity_id", "base")
+    shared = wants.join(heads, "base").filter("pos <= h").select("entity_id", "pos", "mark", "n_words")
+    return slim.filter(F.col("pos") > taken).unionByName(shared), entities
+
+
+@query("op13_action_trie", REBUILT_TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, entities = rebuilt_turns(table(spark, sf_dir, "conversations"))
+    local = action_trie.shard_nodes(turns, ("pos",), entities)
+    found = action_trie.action_trie(local).join(action_trie.end_digests(local), "key", "left")
+    return found.select(
+        F.col("entity_id").alias("conv_id"),
+        "depth",
+        F.col("parent_entity_id").alias("parent_conv_id"),
+        F.col("n_entities").alias("n_convs"),
+        "n_children",
+        "n_leaves",
+        F.col("saved_words").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )

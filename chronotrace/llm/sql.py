@@ -95,3 +95,36 @@ l AS (SELECT a, b FROM k JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE
 r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
 SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY 1, 2
 """
+
+#: Remainder by 4 of the CRC-32 of the decimal id, bit by bit: a character is XORed in, then eight shifts.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''),
+  lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4"""
+
+REBUILT_TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT c, {_CRC} AS h, c - c % 20 AS base FROM (SELECT DISTINCT c FROM t)),
+r AS (
+  SELECT e.c, t.pos, t.role, t.text FROM e JOIN t ON t.c = e.base AND t.pos <= e.h
+  UNION ALL SELECT t.c, t.pos, t.role, t.text FROM t JOIN e ON e.c = t.c AND t.pos > e.h),
+s AS (
+  SELECT e.c, coalesce(x.seq, []) AS seq FROM e
+  LEFT JOIN (SELECT c, list(struct_pack(r := role, t := text) ORDER BY pos) AS seq FROM r GROUP BY c) x ON x.c = e.c),
+m AS (SELECT c, d AS depth, len(seq) AS n, seq[1:d] AS pre FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+n AS (
+  SELECT pre, depth, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = depth) AS ends
+  FROM m GROUP BY pre, depth),
+k AS (SELECT pre[1:depth - 1] AS up, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, p.conv_id AS parent_conv_id,
+    (n.n_convs - 1) * (CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.pre[n.depth].t, '[^\\x20\\x09-\\x0D]+')) END) AS saved
+  FROM n LEFT JOIN k ON k.up = n.pre LEFT JOIN n p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.pre = n.pre[1:n.depth - 1]),
+g AS (
+  SELECT f.pre[1:a] AS top, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.saved) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM f) f GROUP BY 1)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, g.n_leaves, g.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN g ON g.top = f.pre
+"""

@@ -63,12 +63,24 @@ class Encoder(dict):
 
                 self._whole = Tokenizer.from_file(self.path)
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
+        """Ids of a text in which strings of special tokens are ordinary text."""
         if "  " in text:
             return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
         first, *rest = text.split(" ")
         get = self.__getitem__
         return b"".join(chain((get(first),) if first else (), map(get, [" " + w for w in rest])))
 
+    def entries(self) -> list[bytes]:
+        """The bytes of each id; none for special tokens."""
+        ranks = self._bpe._mergeable_ranks
+        out = [b""] * (max(ranks.values(), default=-1) + 1)
+        for entry, i in ranks.items():
+            out[i] = entry
+        return out
+
     def count(self, text: str | None) -> int:
         return len(self.ids(text)) // 4
 
