@@ -41,7 +41,7 @@ class PieceEncoder(dict):
     """Ids of a piece model as bytes of little-endian unsigned 32-bit ids; keeps those of words it has met.
 
     A piece has blanks only before its other characters, so a text without double blanks is encoded word
-    by word; the model puts the blank before each word itself.
+    by word; the model puts the blank before each word itself. What the pieces do not spell back has no ids.
     """
 
     def __init__(self, path: str):
@@ -53,16 +53,26 @@ class PieceEncoder(dict):
         self.pieces = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.encode(word), "<u4").tobytes()
-        if len(self) < MEMO_WORDS:
-            self[word] = ids
-        return ids
+    def _splits(self, text: str) -> bool:
+        return self.by_word and text[0] != " " and text[-1] != " " and "  " not in text
 
-    def ids(self, text: str) -> bytes:
-        if not self.by_word or text[0] == " " or text[-1] == " " or "  " in text:
-            return np.array(self.model.encode(text), "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def _faithful(self, text: str, ids: list[int]) -> bytes | None:
+        return np.array(ids, "<u4").tobytes() if b"".join(map(self.pieces.__getitem__, ids)) == b" " + text.encode() else None
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Encode the words of ``texts`` that are new, all at once."""
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        new = list({w for t in texts if t and self._splits(t) for w in t.split(" ")}.difference(self))
+        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+            self[word] = self._faithful(word, ids)
+
+    def ids(self, text: str) -> bytes | None:
+        """Ids of a text whose words are learned; None where they do not spell it."""
+        if not self._splits(text):
+            return self._faithful(text, self.model.encode(text))
+        parts = list(map(self.__getitem__, text.split(" ")))
+        return None if None in parts else b"".join(parts)
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -72,34 +82,44 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Bytes of each id, end to end."""
+    """Lengths of the entries in bytes, and ids as text."""
 
     def __init__(self, entries: list[bytes]):
         self.entries = entries
         self.lengths = np.array([len(e) for e in entries], np.int64)
-        self.at = _starts(self.lengths)
-        self.bytes = np.frombuffer(b"".join(entries), np.uint8)
         digits = [str(i).encode() for i in range(len(entries))]
         self.width = max(map(len, digits), default=1) + 1
         self.digits = np.array([len(d) for d in digits], np.int64)
         self.text = np.frombuffer(b"".join(d.ljust(self.width, b"\0") for d in digits), np.uint8).reshape(-1, self.width)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of a run of ids."""
-        n = self.lengths[ids]
-        return self.bytes[np.repeat(self.at[ids] - _starts(n)[:-1], n) + np.arange(n.sum())]
-
 
-@dataclass
 class Pair:
-    """Two tokenizers and the pairs of ids that can be linked, sorted."""
+    """Two vocabularies and the pairs of ids that can be linked, sorted.
+
+    The shorter entry of a pair is as long a suffix of the longer one as it has bytes, so a pair is found
+    by the longer entry and that length; where two entries have the same bytes, by search.
+    """
 
-    a: Vocabulary
-    b: Vocabulary
-    pairs: np.ndarray
+    def __init__(self, a: list[bytes], b: list[bytes]):
+        self.a, self.b, self.pairs = Vocabulary(a), Vocabulary(b), linkable(a, b)
+        of_a, of_b = np.divmod(self.pairs, max(1, len(b)))
+        n_a, n_b = self.a.lengths[of_a], self.b.lengths[of_b]
+        self.at = [_starts(v.lengths + 1) for v in (self.a, self.b)]
+        self.found = [np.zeros(x[-1] + 1, np.int64) for x in self.at]
+        numbers = np.arange(len(self.pairs))
+        for at, found, ids, short, mine in ((self.at[0], self.found[0], of_a, n_b, n_b <= n_a), (self.at[1], self.found[1], of_b, n_a, n_a < n_b)):
+            found[at[ids[mine]] + short[mine]] = numbers[mine]
 
     def number(self, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.pairs, a_ids.astype(np.int64) * len(self.b.entries) + b_ids)
+        n_a, n_b = self.a.lengths[a_ids], self.b.lengths[b_ids]
+        a_longer = n_b <= n_a
+        out = np.empty(len(a_ids), np.int64)
+        out[a_longer] = self.found[0][self.at[0][a_ids[a_longer]] + n_b[a_longer]]
+        out[~a_longer] = self.found[1][self.at[1][b_ids[~a_longer]] + n_a[~a_longer]]
+        key = a_ids.astype(np.int64) * len(self.b.entries) + b_ids
+        other = np.flatnonzero(self.pairs[out] != key) if len(out) else out
+        out[other] = np.searchsorted(self.pairs, key[other])
+        return out
 
 
 def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -118,8 +138,7 @@ def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def tokenizers(byte_path: str, piece_path: str) -> tuple:
     """Both encoders and what follows from their vocabularies; one per worker process."""
     a, b = encoder(byte_path), PieceEncoder(piece_path)
-    entries = a.entries()
-    return a, b, Pair(Vocabulary(entries), Vocabulary(b.pieces), linkable(entries, b.pieces))
+    return a, b, Pair(a.entries(), b.pieces)
 
 
 def product(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,19 +228,16 @@ class Aligned:
 
 
 def _encode(a, b, pair: Pair, texts: list[str | None]):
-    """Ids of both tokenizers as bytes; both empty unless each spells out a space and the text."""
-    out_a, out_b, want = [], [], []
+    """Ids of both tokenizers as bytes; both empty unless each spells out a space and the text. Byte-level
+    ids always do; should one have no bytes (a special token), the lengths tell."""
+    b.learn(texts)
+    out_a, out_b = [], []
     for t in texts:
-        x, y = (a.plain_ids(" " + t), b.ids(t)) if t else (b"", b"")
-        out_a.append(x)
-        out_b.append(y)
-        want.append(b" " + t.encode() if t else b"")
-    wrong = np.zeros(len(texts), bool)
-    for v, out in ((pair.a, out_a), (pair.b, out_b)):
-        ids = np.frombuffer(b"".join(out), "<u4")
-        if (np.diff(_starts(v.lengths[ids])[_row(out, 4)]) != [len(w) for w in want]).any() or v.spell(ids).tobytes() != b"".join(want):
-            wrong |= [v.spell(np.frombuffer(o, "<u4")).tobytes() != w for o, w in zip(out, want)]
-    for i in np.flatnonzero(wrong):
+        y = b.ids(t) if t else None
+        out_a.append(b"" if y is None else a.plain_ids(" " + t))
+        out_b.append(y or b"")
+    n = [np.diff(_starts(v.lengths[np.frombuffer(b"".join(o), "<u4")])[_row(o, 4)]) for v, o in ((pair.a, out_a), (pair.b, out_b))]
+    for i in np.flatnonzero(n[0] != n[1]):
         out_a[i] = out_b[i] = b""
     return out_a, out_b
 
@@ -234,7 +250,7 @@ def _tokens(byte_path: str, piece_path: str):
     """Ids of every text and, at the end of a task, how often it links each pair."""
 
     def tokens(batches_in):
-        counts, names, id_type = None, ["kind", "video_id", "a", "b", "pair", "n"], None
+        counts, names, id_type = None, ["kind", "video_id", "a", "b", "ends_a", "ends_b", "pair", "n"], None
         for batch in batches_in:
             for part in batches(batch, column=1):
                 a, b, pair = tokenizers(byte_path, piece_path)
@@ -246,15 +262,30 @@ def _tokens(byte_path: str, piece_path: str):
                 kind_a, kind_b = _narrow(pair)
                 n = part.num_rows
                 ids = [pa.array([np.frombuffer(p, "<u4").astype(k).tobytes() for p in o], pa.binary()) for o, k in ((x, kind_a), (y, kind_b))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), *ids, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+                ends = [_flags(link, row) for link, row in ((al.link_a, al.a_row), (al.link_b, al.b_row))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column(0), *ids, *ends, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
         if counts is not None:
             some = np.flatnonzero(counts)
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(some.astype(np.int32)), pa.array(counts[some])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, id_type), *[pa.nulls(n, pa.binary())] * 4, pa.array(some.astype(np.int32)), pa.array(counts[some])], names)
 
     return tokens
 
 
+def _flags(link: np.ndarray, row: np.ndarray) -> pa.Array:
+    """For each text a bit per token: whether it ends a group."""
+    flag = np.zeros(row[-1], bool)
+    flag[link] = True
+    return pa.array([np.packbits(flag[s:e]).tobytes() for s, e in zip(row, row[1:])], pa.binary())
+
+
+def _flagged(column, row: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8))
+    n = np.diff(row)
+    bytes_before = _starts(-(-n // 8))[:-1]
+    return np.flatnonzero(bits[np.arange(n.sum()) + np.repeat(8 * bytes_before - row[:-1], n)])
+
+
 def _narrow(pair: Pair) -> tuple[str, str]:
     return tuple("<u2" if len(v.entries) <= 1 << 16 else "<u4" for v in (pair.a, pair.b))
 
@@ -273,7 +304,8 @@ def _aligned_batch(pair: Pair, part) -> Aligned:
     kinds = _narrow(pair)
     x, y = (part.column(n).to_pylist() for n in ("a", "b"))
     a, b = (np.frombuffer(b"".join(o), k).astype(np.int64) for o, k in ((x, kinds[0]), (y, kinds[1])))
-    return Aligned.of(pair, a, b, _row(x, int(kinds[0][-1])), _row(y, int(kinds[1][-1])))
+    a_row, b_row = _row(x, int(kinds[0][-1])), _row(y, int(kinds[1][-1]))
+    return Aligned(a, b, a_row, b_row, _flagged(part.column("ends_a"), a_row), _flagged(part.column("ends_b"), b_row))
 
 
 def group_texts(pair: Pair, al: Aligned) -> list[str]:
@@ -329,13 +361,14 @@ def token_alignment(
     or one that either tokenizer does not spell back byte by byte, has zeros and an empty ``groups``.
     Repeated rows count each time; an empty table gives an empty result; other columns are not read.
 
-    Texts are encoded once: the ids, in two bytes each, are stored in the shared folder. Counts by id pair
+    Texts are encoded and aligned once: ids, in two bytes each, and which tokens end a group are stored in
+    the shared folder. Counts by id pair
     are no more than the bytes of the two vocabularies, and only they reach the driver.
     """
     byte_path, piece_path = _paths(byte_path, piece_path)
     d = narratives.select(F.col(id_col).alias("video_id"), F.col(text_col).alias("narrative"))
     kind = d.schema["video_id"].dataType.simpleString()
-    rows = stored(d.mapInArrow(_tokens(byte_path, piece_path), f"kind int, video_id {kind}, a binary, b binary, pair int, n long"), "zstd")
+    rows = stored(d.mapInArrow(_tokens(byte_path, piece_path), f"kind int, video_id {kind}, a binary, b binary, ends_a binary, ends_b binary, pair int, n long"), "zstd")
     pair = tokenizers(byte_path, piece_path)[2]
     got = rows.filter("kind = 1").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(pair.pairs), np.int64)
@@ -345,7 +378,7 @@ def token_alignment(
     np.maximum.at(highest, b_of, counts)
     best = (counts > 0) & (counts == highest[b_of])
     fields = f"video_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, n_shared long, groups string"
-    return rows.filter("kind = 0").select("video_id", "a", "b").mapInArrow(_summaries(byte_path, piece_path, counts, best), fields)
+    return rows.filter("kind = 0").select("video_id", "a", "b", "ends_a", "ends_b").mapInArrow(_summaries(byte_path, piece_path, counts, best), fields)
 
 
 def _links(byte_path: str, piece_path: str, kind: str):
