@@ -29,6 +29,7 @@ REJECT_SDS = 8.0
 FULL_TRUST = 200  # letters after which more text makes a prediction no surer
 UNKNOWN = "und"
 SPACE = 32
+TEXT_BYTES = 1 << 18  # of text at a time in numpy
 
 
 def _letters() -> np.ndarray:
@@ -220,7 +221,7 @@ def _count_grams(langs: list[str], order: int):
             return u, np.bincount(inv, c, len(u)).astype(np.int64)
 
         for batch in batches_in:
-            for part in batches(batch):
+            for part in batches(batch, TEXT_BYTES):
                 lang = np.array([number[x] for x in part.column(1).to_pylist()]) * 2 + np.array(part.column(2).to_pylist(), np.int64)
                 texts = part.column(0).to_pylist()
                 for k in np.unique(lang):
@@ -243,7 +244,7 @@ def _spreads(model: Model):
 
     def spread(batches_in):
         for batch in batches_in:
-            for part in batches(batch):
+            for part in batches(batch, TEXT_BYTES):
                 ce, n = model.cross_entropies(part.column(0).to_pylist())
                 own = np.array([number[x] for x in part.column(1).to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ce[np.arange(len(own)), own]), pa.array(n.astype(np.int64))], ["lang", "ce", "n"])
@@ -301,7 +302,7 @@ def _judge(model: Model, texts: list, reject_sds: float):
 def _accept(model: Model, at: int, reject_sds: float):
     def accept(batches_in):
         for batch in batches_in:
-            for part in batches(batch, column=at):
+            for part in batches(batch, TEXT_BYTES, at):
                 yield part.filter(pa.array(~_judge(model, part.column(at).to_pylist(), reject_sds)[-1]))
 
     return accept
@@ -315,7 +316,7 @@ def accepted(narratives: DataFrame, model: Model, text_col: str = "narrative", r
 def _predict(model: Model, reject_sds: float):
     def predict(batches_in):
         for batch in batches_in:
-            for part in batches(batch):
+            for part in batches(batch, TEXT_BYTES):
                 texts = part.column(0).to_pylist()
                 best, some, score, low, reject = _judge(model, texts, reject_sds)
                 names = [model.langs[b] if s else UNKNOWN for b, s in zip(best, some)]

@@ -12,13 +12,20 @@ such a group together; then only classes of different components are paired, and
 with a member outside the largest component of their meeting. Pairs within a component cannot change
 it, so the components are exactly those of all links.
 
+A set is named by a 64-bit digest. Where rows of one name differ in a second digest, the name is drawn
+anew from both, so two different sets are one class only if 128 bits agree.
+
 Rarity is read from counts of n-grams in ``SKETCH`` cells, a fixed number; it decides the order, never
 the result.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import math
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +38,12 @@ from chronotrace.llm.arrow_text import U64, batches, mix, word_hashes
 from chronotrace.llm.columns import names_unlike
 from chronotrace.session import shared_dir
 
+_SECOND = U64(0xA0761D6478BD642F)
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 SUFFIX_BINS = 32
-MEMBERS = "kind int, video_id {id}, c long, n int, cell long, counts binary"
+TEXT_BYTES = 1 << 18  # of text at a time in numpy, which holds some hundred bytes for each
+MEMO_BITS = 17
+MEMBERS = "kind int, video_id {id}, c long, n int, second long, cell long, counts binary"
 
 
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
@@ -65,36 +75,65 @@ def shingle_sets(column, width: int) -> list[np.ndarray]:
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """64-bit id of a set: two different sets agree with a chance of 2 to the -64."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([s.sum(dtype=U64) ^ (mix(s).sum(dtype=U64) << U64(1)) ^ U64(len(s))]))[0].view(np.int64))
+@dataclass(frozen=True)
+class Names:
+    """Names of sets. ``bits`` are those of the first digest that count (fewer only in tests); ``clashes``
+    are the first digests that different sets have in common."""
+
+    bits: int = 64
+    clashes: frozenset[int] = frozenset()
+
+    def digests(self, s: np.ndarray) -> tuple[int, int]:
+        with np.errstate(over="ignore"):
+            size = U64(len(s))
+            first = mix(np.array([s.sum(dtype=U64) ^ (mix(s).sum(dtype=U64) << U64(1)) ^ size]))
+            other = mix(s ^ _SECOND)
+            second = mix(np.array([other.sum(dtype=U64) ^ (mix(other).sum(dtype=U64) << U64(1)) ^ size]))
+        return int((first >> U64(64 - self.bits))[0].view(np.int64)), int(second[0].view(np.int64))
+
+    def of(self, s: np.ndarray) -> int:
+        """0 for the empty set."""
+        if not len(s):
+            return 0
+        first, second = self.digests(s)
+        if first not in self.clashes:
+            return first
+        with np.errstate(over="ignore"):
+            return int(mix(np.array([first, second]).view(U64))[:1].view(np.int64)[0]) ^ second
+
+
+def slim(batches_in):
+    """Give freed memory back at the end of a task; a worker process serves many tasks."""
+    yield from batches_in
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def _members(width: int):
+def _members(width: int, names_of: Names):
     """Class and size of every row, and at the end of the task its counts of n-grams by cell."""
 
     def members(batches_in):
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
-        names, id_type, seen = ["kind", "video_id", "c", "n", "cell", "counts"], None, False
+        names, id_type, seen = ["kind", "video_id", "c", "n", "second", "cell", "counts"], None, False
         for batch in batches_in:
-            for part in batches(batch, column=1):
+            for part in batches(batch, TEXT_BYTES, 1):
                 sets = shingle_sets(part.column(1), width)
                 n, id_type, seen = len(sets), part.schema.field(0).type, True
                 every = np.concatenate(sets)
                 cells += np.bincount((every >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
-                cols = [pa.array(np.zeros(n, np.int32)), part.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+                pairs = [names_of.digests(s) if len(s) else (0, 0) for s in sets]
+                first, second = (pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))
+                cols = [pa.array(np.zeros(n, np.int32)), part.column(0), first, pa.array([len(s) for s in sets], pa.int32()), second]
                 yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
         if seen:
             blocks = cells.reshape(-1, SKETCH_BLOCK)
             full = np.flatnonzero(blocks.any(1))
             k, task = len(full), TaskContext.get().partitionId()
-            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, id_type), pa.array(np.full(k, task)), pa.nulls(k, pa.int32()), pa.array(full), pa.array([blocks[b].astype("<u4").tobytes() for b in full], pa.binary())]
+            cols = [pa.array(np.ones(k, np.int32)), pa.nulls(k, id_type), pa.array(np.full(k, task)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(full), pa.array([blocks[b].astype("<u4").tobytes() for b in full], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return members
+    return lambda rows: slim(members(rows))
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
@@ -122,18 +161,19 @@ def _least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _prefixes(width: int, percent: int, rarity: np.ndarray):
+def _prefixes(width: int, percent: int, rarity: np.ndarray, names_of: Names):
     def prefixes(batches_in):
-        met: set[int] = set()
+        # copies met before in this task mostly need no second prefix; the rest are told apart when they meet
+        met = np.zeros(1 << MEMO_BITS, np.int64)
         for batch in batches_in:
-            for part in batches(batch):
+            for part in batches(batch, TEXT_BYTES):
                 out = []
                 for s in shingle_sets(part.column(0), width):
-                    c, n = class_of(s), len(s)
-                    if not n or c in met:
+                    c, n = names_of.of(s), len(s)
+                    slot = c & (len(met) - 1)
+                    if not n or met[slot] == c:
                         continue
-                    if len(met) < 1_000_000:  # copies met before in this task need no second prefix
-                        met.add(c)
+                    met[slot] = c
                     take = n - _least_overlap(n, percent) + 1
                     level = rarity[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                     order = np.argsort(level, kind="stable")[:take]  # s is sorted, so ties go by hash
@@ -150,23 +190,23 @@ def _prefixes(width: int, percent: int, rarity: np.ndarray):
                         ["g", "c", "n", "pos"],
                     )
 
-    return prefixes
+    return lambda rows: slim(prefixes(rows))
 
 
-def _sets(width: int):
+def _sets(width: int, names_of: Names):
     """Sets and counts by hash range of the rows that are of the class they were asked for."""
 
     def sets(batches_in):
         for batch in batches_in:
-            for part in batches(batch):
+            for part in batches(batch, TEXT_BYTES):
                 asked = part.column(1).to_pylist()
-                found = [(c, s) for c, s in zip(asked, shingle_sets(part.column(0), width)) if class_of(s) == c]
+                found = [(c, s) for c, s in zip(asked, shingle_sets(part.column(0), width)) if names_of.of(s) == c]
                 bins = [np.bincount((s >> U64(59)).astype(np.int64), minlength=SUFFIX_BINS).astype("<i4").tobytes() for _, s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c for c, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array(bins, pa.binary())], ["c", "grams", "bins"]
                 )
 
-    return sets
+    return lambda rows: slim(sets(rows))
 
 
 def _alike(na, nb, overlap, percent: int):
@@ -209,14 +249,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
 
 
-MOST_SENT_CLASSES = 2_000_000  # two numbers each
+MOST_SENT_CLASSES = 200_000  # two numbers each
 
 
 class _Sets:
     """Whole sets of the classes that appear in pairs, made anew from their texts and stored."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.texts, self.classes, self.width, self.percent, self.sets = texts, classes, width, percent, None
+    def __init__(self, texts: DataFrame, classes: DataFrame, width: int, percent: int, names_of: Names):
+        self.texts, self.classes, self.width, self.percent, self.names_of, self.sets = texts, classes, width, percent, names_of, None
 
     def _need(self, pairs: DataFrame) -> None:
         c = _ends(pairs)
@@ -226,7 +266,7 @@ class _Sets:
         if wanted.count() <= MOST_SENT_CLASSES:  # else both sides are shuffled by id
             wanted = F.broadcast(wanted)
         some = self.texts.join(wanted, F.col("video_id").eqNullSafe(F.col("rep"))).select("narrative", "c")
-        made = stored(some.mapInArrow(_sets(self.width), "c long, grams binary, bins binary"))
+        made = stored(some.mapInArrow(_sets(self.width, self.names_of), "c long, grams binary, bins binary"))
         self.sets = made if self.sets is None else self.sets.unionByName(made)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -261,36 +301,56 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _grouped(d: DataFrame, width: int, percent: int) -> DataFrame:
-    """``video_id, n, c, grp, component_id`` of every row; ``grp`` is a class that stands for the
-    component, null without n-grams."""
+def _grouped(d: DataFrame, width: int, percent: int, bits: int) -> tuple[DataFrame, Names]:
+    """``video_id, n, c, grp, component_id`` of every row, and the names of sets; ``grp`` is a class that
+    stands for the component, null without n-grams."""
     kind = d.schema["video_id"].dataType.simpleString()
-    rows = stored(d.mapInArrow(_members(width), MEMBERS.format(id=kind)))
+    rows = stored(d.mapInArrow(_members(width, Names(bits)), MEMBERS.format(id=kind)))
+    apart = rows.filter("kind = 0").groupBy("c").agg((F.min("second") < F.max("second")).alias("differ")).filter("differ")
+    names_of = Names(bits, frozenset(r["c"] for r in apart.collect()))  # pairs of texts with one 64-bit digest: hardly any
+    if names_of.clashes:
+        d = d.select("video_id", "narrative")
+        rows = rows.filter("kind = 1").unionByName(stored(d.mapInArrow(_renamed(width, names_of), MEMBERS.format(id=kind))))
     members = rows.filter("kind = 0").select("video_id", "c", "n")
     classes = members.filter("n > 0").groupBy("c").agg(F.min("video_id").alias("rep"))
-    comp = components(_class_links(d, rows, classes, width, percent))
+    comp = components(_class_links(d, rows, classes, width, percent, names_of))
     best = comp.join(classes, "c").groupBy("comp").agg(F.min("rep").alias("best"))
     named = classes.join(comp, "c", "left").join(best, "comp", "left").select("c", F.coalesce("comp", "c").alias("grp"), F.coalesce("best", "rep").alias("component_id"))
     bare = members.filter("n = 0").select("video_id", "c", "n", F.lit(None).cast("long").alias("grp"), F.col("video_id").alias("component_id"))
-    return members.filter("n > 0").join(named, "c").select(*bare.columns).unionByName(bare)
+    return members.filter("n > 0").join(named, "c").select(*bare.columns).unionByName(bare), names_of
+
+
+def _renamed(width: int, names_of: Names):
+    """Rows of ``_members`` without counts, by the final names."""
+
+    def renamed(batches_in):
+        for batch in batches_in:
+            for part in batches(batch, TEXT_BYTES, 1):
+                sets = shingle_sets(part.column(1), width)
+                n = len(sets)
+                cols = [pa.array(np.zeros(n, np.int32)), part.column(0), pa.array([names_of.of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.nulls(n, pa.int64())] * 2, pa.nulls(n, pa.binary())], ["kind", "video_id", "c", "n", "second", "cell", "counts"])
+
+    return renamed
 
 
-def ngram_components(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80) -> DataFrame:
+def ngram_components(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80, digest_bits: int = 64) -> DataFrame:
     """Per narrative: ``video_id, n_shingles, class_id, component_id``.
 
     Two narratives link when they share at least ``percent`` of 100 of the union of their word
     ``width``-grams. ``component_id`` is the smallest ``video_id`` reachable by links, itself included;
     narratives of one ``class_id`` have the same n-grams. A null text or one without words has no
     n-grams, links with nothing and keeps its own id. Repeated rows are copies of each other; a null id
-    never is the smallest unless all are null; an empty table gives an empty result.
+    never is the smallest unless all are null; an empty table gives an empty result. ``digest_bits`` are
+    those of the digest that names a set; fewer than 64 only make clashes, and with them work, more likely.
     """
     d = narratives.select(F.col(id_col).alias("video_id"), F.col(text_col).alias("narrative"))
-    return _grouped(d, width, percent).select("video_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
+    return _grouped(d, width, percent, digest_bits)[0].select("video_id", F.col("n").cast("long").alias("n_shingles"), F.col("c").alias("class_id"), "component_id")
 
 
-def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, names_of: Names) -> DataFrame:
     """Links between classes that connect all that are alike."""
-    prefixes = d.select("narrative").mapInArrow(_prefixes(width, percent, _rarity(rows)), "g long, c long, n int, pos int")
+    prefixes = d.select("narrative").mapInArrow(_prefixes(width, percent, _rarity(rows), names_of), "g long, c long, n int, pos int")
     by_rank = W.partitionBy("g").orderBy("pos", "n", "c")
     me = F.struct("c", "n", "pos")
     meeting = prefixes.select("*", F.first(me).over(by_rank).alias("head"), F.lag("c").over(by_rank).alias("left"), F.lead("c").over(by_rank).alias("right"))
@@ -298,18 +358,20 @@ def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     meeting = stored(meeting.select("g", "c", "n", "pos", F.col("head.c").alias("head"), F.col("head.n").alias("head_n"), F.col("head.pos").alias("head_pos")))
     star = meeting.filter(F.col("c") != F.col("head")).filter(_may_link(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos"), percent))
     star = stored(star.select(F.least("c", "head").alias("a"), F.greatest("c", "head").alias("b")).distinct())
-    sets = _Sets(d, classes, width, percent)
+    sets = _Sets(d, classes, width, percent, names_of)
     first = sets.linked(star)
     comp = components(first)
     at = meeting.select("g", "c", "n", "pos").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     at = stored(at)
     sizes = at.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
-    mixed = at.join(sizes, "g")
-    x, y = mixed.filter("comp <> largest").alias("x"), mixed.alias("y")
+    # sizes of sets that are alike differ by less than one level, so an n-gram met by many is met in parts
+    mixed = at.join(sizes, "g").withColumn("level", F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)))
+    x, y = mixed.filter("comp <> largest").alias("x"), mixed.withColumn("level", F.explode(F.array([F.col("level") + k for k in (-1, 0, 1)]))).alias("y")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.c") < F.col("y.c")))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & near).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    same = (F.col("x.g") == F.col("y.g")) & (F.col("x.level") == F.col("y.level"))
+    pairs = x.join(y, same & apart & near).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     second = sets.linked(stored(pairs.join(star, ["a", "b"], "left_anti")))
     return first.unionByName(second)
 
@@ -318,26 +380,32 @@ def _fields(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *more])
 
 
-def _with_class(width: int, at: int, name: str):
+def _with_class(width: int, at: int, name: str, names_of: Names):
     def with_class(batches_in):
         for batch in batches_in:
-            for part in batches(batch, column=at):
-                c = pa.array([class_of(s) for s in shingle_sets(part.column(at), width)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, c], [*part.schema.names, name])
+            for part in batches(batch, TEXT_BYTES, at):
+                c = [names_of.of(s) if len(s) else None for s in shingle_sets(part.column(at), width)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c, pa.int64())], [*part.schema.names, name])
 
-    return with_class
+    return lambda rows: slim(with_class(rows))
 
 
-def one_per_group(narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80) -> DataFrame:
+def one_per_group(
+    narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", width: int = 5, percent: int = 80, digest_bits: int = 64
+) -> DataFrame:
     """The input with one row of each component: the one with the smallest id (null last), of equal ids
-    the one with the smallest class. Rows without n-grams all stay, but of rows with the same id and the
-    same n-grams one stays. Columns are those of the input."""
+    the one with the smallest class, of rows that agree in both any one. Rows without n-grams all stay,
+    whatever their ids. Columns are those of the input."""
     d = narratives.select(F.col(id_col).alias("video_id"), F.col(text_col).alias("narrative"))
-    found = _grouped(d, width, percent)
-    first = found.filter("n > 0").groupBy("grp").agg(F.min(F.struct(F.col("video_id").isNull().alias("none"), "video_id", "c")).alias("x")).select("x.video_id", "x.c")
-    c, key, turn = names_unlike(narratives.columns, "c", "key", "turn")
-    chosen = stored(first.unionByName(found.filter("n = 0").select("video_id", "c")).select(F.xxhash64("video_id", "c").alias(key)).distinct())
-    rows = narratives.mapInArrow(_with_class(width, narratives.columns.index(text_col), c), _fields(narratives, f"`{c}` long"))
-    rows = rows.withColumn(key, F.xxhash64(F.col(id_col), F.col(c))).join(chosen, key, "left_semi")
-    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(key).orderBy(F.col(id_col), F.col(c))))
+    found, names_of = _grouped(d, width, percent, digest_bits)
+    first = found.filter("n > 0").groupBy("grp").agg(F.min(F.struct(F.col("video_id").isNull().alias("none"), "video_id", "c")).alias("x"))
+    c, own, key, turn, want, want_c, want_key = names_unlike(narratives.columns, "c", "own", "key", "turn", "want", "want_c", "want_key")
+    chosen = first.select(F.col("x.video_id").alias(want), F.col("x.c").alias(want_c), F.xxhash64("x.video_id", "x.c").alias(want_key))
+    rows = narratives.mapInArrow(_with_class(width, narratives.columns.index(text_col), c, names_of), _fields(narratives, f"`{c}` long"))
+    bare, me = F.col(c).isNull(), F.col(id_col)
+    rows = rows.withColumn(own, F.when(bare, F.monotonically_increasing_id())).withColumn(key, F.xxhash64(me, F.col(c), F.col(own)))
+    # the hash only deals rows out and finds candidates; class and id decide
+    same = F.when(F.col(c) == F.col(want_c), me.eqNullSafe(F.col(want))).otherwise(False)
+    rows = rows.join(stored(chosen), (F.col(key) == F.col(want_key)) & same, "left").filter(bare | F.col(want_c).isNotNull())
+    rows = rows.withColumn(turn, F.row_number().over(W.partitionBy(key, c, id_col, own).orderBy(c)))
     return rows.filter(F.col(turn) == 1).select(*narratives.columns)

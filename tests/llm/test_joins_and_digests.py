@@ -81,6 +81,34 @@ def test_join_edges(narratives, odd_rows):
     assert ngram_join.one_per_group(narratives([])).count() == 0
 
 
+def test_every_row_without_words_stays(narratives):
+    rows = [(None, None), (None, ""), (None, " "), (1, None), (1, ""), (2, ""), (None, "a b"), (None, "A  b"), (3, "a b"), (3, "a b"), (4, "c d"), (4, "e f")]
+    kept = [(r["video_id"], r["narrative"]) for r in ngram_join.one_per_group(narratives(rows)).collect()]
+    key = lambda x: tuple((v is None, v) for v in x)
+    assert sorted(kept, key=key) == sorted([*rows[:6], (3, "a b"), (4, "c d"), (4, "e f")], key=key)
+
+
+def test_sets_with_one_digest_stay_apart(narratives):
+    """Names of three bits: nearly all sets clash, and are told apart by their second digest."""
+    rng = random.Random(8)
+    texts = near_copies(rng, [f"w{k}" for k in range(60)], 20, 4) + [" ".join(f"v{rng.randrange(99)}" for _ in range(12)) for _ in range(30)] + ["", None, "x y z"] * 2
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_components(narratives(rows), digest_bits=3).collect()
+    assert sorted((r["video_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, 5, 80))
+    kept = sorted(r["video_id"] for r in ngram_join.one_per_group(narratives(rows), digest_bits=3).collect())
+    assert kept == sorted({c for _, n, c in brute(rows, 5, 80) if n} | {i for i, n, _ in brute(rows, 5, 80) if not n})
+
+
+def test_common_passage_in_texts_of_all_lengths(narratives):
+    """One passage is most of many texts that are else different: its n-grams are met by all of them."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"u{i}x{k}" for k in range(i % 23)) for i in range(120)]
+    rng.shuffle(texts)
+    for width, percent in ((3, 90), (5, 80), (3, 50), (3, 100)):
+        check(narratives, list(enumerate(texts)), width, percent)
+
+
 def test_sets_differ_as_the_words_do():
     import pyarrow as pa
 
