@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,10 +46,23 @@ MEMO_BITS = 17
 MEMBERS = "kind int, video_id {id}, c long, n int, second long, cell long, counts binary"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Fewer rows at a time between Spark and Python while whole texts are written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Write to a new folder under the shared checkpoint folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/ngrams-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
