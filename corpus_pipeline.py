@@ -12,31 +12,39 @@ from pyspark.sql import functions as F
 from chronotrace.llm import language, ngram_join, packing, secrets, source_mix
 from chronotrace.llm.ngram_join import stored
 
+#: Rows that go to Python at a time: texts are long, and an executor holds a few such batches per task.
+BATCH_ROWS = "1000"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of ``documents``; from here on the session sends small batches to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return docs.select(*COLUMNS)
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages of ``lang``; texts without a letter and those that
     no language model knows go."""
-    docs = docs.select(*COLUMNS)
+    docs = _texts(spark, docs)
     model = language.fit_language_model(docs, id_col="doc_id", text_col="text", lang_col="lang")
     return language.accepted(docs, model, text_col="text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.8 or more on five-word shingles hold together."""
-    return ngram_join.one_per_group(docs.select(*COLUMNS), id_col="doc_id", text_col="text", width=5, percent=80)
+    return ngram_join.one_per_group(_texts(spark, docs), id_col="doc_id", text_col="text", width=5, percent=80)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced; ``n_chars`` follows the text."""
-    found = secrets.masked(docs.select(*COLUMNS), text_col="text")
+    found = secrets.masked(_texts(spark, docs), text_col="text")
     return found.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source schedule takes them."""
-    return source_mix.mixed_rows(docs.select(*COLUMNS), id_col="doc_id", text_col="text", category_col="source")
+    return source_mix.mixed_rows(_texts(spark, docs), id_col="doc_id", text_col="text", category_col="source")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
