@@ -12,6 +12,7 @@ from chronotrace.plans import views as v
 from chronotrace.plans.registry import query
 from chronotrace.plans.text_queries import vocab
 from chronotrace.plans.window_queries import SAMPLES, SPINE, _spine
+from chronotrace.sources.sinks import fresh_path
 from chronotrace.streaming import operators as so, runtime as rt
 
 K = ("video_id", "entity_id")
@@ -135,7 +136,10 @@ def box_fusion(spark, d):
 
 # --- streams ----------------------------------------------------------------------------------
 def _obs_stream(spark, d):
-    e = rt.event_stream(spark, d)
+    return _observations(rt.event_stream(spark, d))
+
+
+def _observations(e):
     us = F.unix_micros("ts") - F.lit(v.EPOCH_US)
     danger = v._danger()
     return e.select(
@@ -144,9 +148,12 @@ def _obs_stream(spark, d):
     )
 
 
+def _with_vectors(obs, e):
+    return obs.withColumn("vec_id", c("event_id") % e.count()).join(e, "vec_id").drop("vec_id")
+
+
 def _vec_stream(spark, d):
-    e = v.vectors(spark, d)
-    return _obs_stream(spark, d).withColumn("vec_id", c("event_id") % e.count()).join(e, "vec_id").drop("vec_id")
+    return _with_vectors(_obs_stream(spark, d), v.vectors(spark, d))
 
 
 @query("st03_trigger_stream", """WITH RECURSIVE o AS (SELECT video_id, entity_id, event_id, t, frame_idx, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs),
@@ -154,8 +161,7 @@ nx AS MATERIALIZED (SELECT a.video_id, a.entity_id, a.i, min(b.i) AS j FROM o a
 f AS (SELECT video_id, entity_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, f.entity_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.entity_id = f.entity_id AND nx.i = f.i)
 SELECT o.event_id, CASE WHEN o.i = 1 THEN 'birth' ELSE 'heartbeat' END AS rule FROM f JOIN o USING (video_id, entity_id, i)""", "obs")
 def trigger_stream(spark, d):
-    r = rt.run_available(so.stream_triggers(_vec_stream(spark, d), NEVER), "triggers")
-    return r.filter("not silent and rule <> 'late'").select("event_id", "rule")
+    return rt.run_split(so.stream_triggers(_vec_stream(spark, d), NEVER), "triggers")[0].select("event_id", "rule")
 
 
 @query("st04_silent_heartbeat_stream")
@@ -165,25 +171,25 @@ def silent_stream(spark, d):
 
 @query("st05_global_heartbeat_stream")
 def pulse_stream(spark, d):
-    return rt.run_available(so.stream_global_heartbeats(_vec_stream(spark, d), st.GlobalHeartbeatParams(drift=1.1)), "pulses").withColumn("drift", F.round("drift", 5))
+    return rt.run_split(so.stream_global_heartbeats(_vec_stream(spark, d), st.GlobalHeartbeatParams(drift=1.1)), "pulses")[0].withColumn("drift", F.round("drift", 5))
 
 
 @query("st08_incremental_graph", """WITH n AS (SELECT video_id, entity_id, event_id, row_number() OVER w - 1 AS seq, round(t - lag(t) OVER w, 6) AS duration, lag(action) OVER w||' → '||action AS action_transition, round(sum(energy) OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_energy FROM nodes WINDOW w AS (PARTITION BY video_id, entity_id ORDER BY t, event_id)) SELECT * FROM n""", "nodes")
 def incremental_graph(spark, d):
-    r = rt.run_available(so.stream_graph(_obs_stream(spark, d).filter("action <> 'view'")), "graph")
+    r = rt.run_split(so.stream_graph(_obs_stream(spark, d).filter("action <> 'view'")), "graph")[0].drop("t")
     return r.withColumn("duration", F.round("duration", 6)).withColumn("running_energy", F.round("running_energy", 6))
 
 
 @query("st09_score_ema_stream", """WITH RECURSIVE o AS (SELECT event_id, video_id, entity_id, energy, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs),
 e AS (SELECT event_id, video_id, entity_id, i, energy AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.video_id, o.entity_id, o.i, 0.3 * o.energy + 0.7 * e.ema FROM e JOIN o ON o.video_id = e.video_id AND o.entity_id = e.entity_id AND o.i = e.i + 1) SELECT event_id, round(ema, 7) AS ema FROM e""", "obs")
 def ema_stream(spark, d):
-    return rt.run_available(so.stream_score_ema(_obs_stream(spark, d)), "ema").withColumn("ema", F.round("ema", 7))
+    return rt.run_split(so.stream_score_ema(_obs_stream(spark, d)), "ema")[0].select("event_id", F.round("ema", 7).alias("ema"))
 
 
 @query("st10_warmup_calibration", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM obs), th AS (SELECT video_id, greatest(avg(energy) + 5.0 * stddev_pop(energy), 0.20) AS thr FROM r WHERE i <= 30 GROUP BY ALL)
 SELECT event_id, round(CASE WHEN i < 30 THEN 0.20 ELSE thr END, 7) AS threshold FROM r JOIN th USING (video_id)""", "obs")
 def calibration(spark, d):
-    return rt.run_available(so.stream_background(_obs_stream(spark, d)), "calibration").withColumn("threshold", F.round("threshold", 7))
+    return rt.run_split(so.stream_background(_obs_stream(spark, d)), "calibration")[0].select("event_id", F.round("threshold", 7).alias("threshold"))
 
 
 @query("st11_tumbling_bins", "WITH w AS (SELECT CAST(floor(t / 24) * 86400 AS BIGINT) + 1704067200 AS start_s, video_id, count(*) AS n, max(danger) AS max_danger, max((SELECT max(t) FROM obs)) AS mx FROM obs GROUP BY 1, 2) SELECT start_s, video_id, n, max_danger FROM w WHERE start_s + 86400 <= 1704067200 + mx * 3600 - 3600", "obs")
@@ -215,6 +221,81 @@ def live(spark, d):
     return rt.run_available(so.with_live_counts(_obs_stream(spark, d), "live"), "live").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- streams whose rows come in two arrivals: every tenth event comes after all others --------
+def _two_arrivals(spark, d, build, name):
+    """Results and rows set aside of ``build(stream)`` run once after each arrival, with progress kept."""
+    e = v.table(spark, d, "events")
+    folder, path = fresh_path(spark, f"{name}-in"), fresh_path(spark, name)
+    for late in (False, True):
+        e.filter((c("event_id") % 10 == 3) == late).write.mode("append").parquet(folder)
+        out = rt.run_split(build(_observations(rt.event_stream(spark, folder, "*.parquet"))), name, path)
+    return out
+
+
+def _marked(found, results, marks=()):
+    """Results and rows set aside in one table; ``marks`` are rounded."""
+    kept, late = found
+    cols = lambda r, why: r.select("event_id", *results, why.alias("set_aside"))
+    out = cols(kept, F.lit(None).cast("string")).unionByName(cols(late, c("set_aside")))
+    return out.withColumns({m: F.round(m, n) for m, n in dict(marks).items()})
+
+
+#: Rows in order of arrival: the second arrival's are late unless after all of their key in the first.
+ARRIVALS = """h AS (SELECT *, max((t, event_id)) FILTER (event_id % 10 <> 3) OVER (PARTITION BY {keys}) AS top FROM {rows}),
+m AS (SELECT *, coalesce(event_id % 10 = 3 AND (t, event_id) < top, false) AS late FROM h)"""
+
+
+def arrivals(keys, rows, body):
+    """SQL of the rows in time, ``body``, and of those set aside."""
+    return f"WITH {ARRIVALS.format(keys=keys, rows=rows)}, {body}"
+
+
+@query("st08_late_rows", arrivals("video_id, entity_id", "nodes", """n AS (SELECT event_id, row_number() OVER w - 1 AS seq, round(t - lag(t) OVER w, 6) AS duration, lag(action) OVER w||' → '||action AS action_transition, CAST(NULL AS VARCHAR) AS set_aside FROM m WHERE NOT late WINDOW w AS (PARTITION BY video_id, entity_id ORDER BY t, event_id))
+SELECT * FROM n UNION ALL SELECT event_id, NULL, NULL, NULL, 'late' FROM m WHERE late"""), "nodes")
+def late_graph(spark, d):
+    found = _two_arrivals(spark, d, lambda s: so.stream_graph(s.filter("action <> 'view'")), "late-graph")
+    return _marked(found, ("seq", "duration", "action_transition"), {"duration": 6})
+
+
+@query("st09_late_rows", arrivals("video_id, entity_id", "obs", """o AS (SELECT event_id, video_id, entity_id, energy, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM m WHERE NOT late),
+e AS (SELECT event_id, video_id, entity_id, i, energy AS ema FROM o WHERE i = 1 UNION ALL SELECT o.event_id, o.video_id, o.entity_id, o.i, 0.3 * o.energy + 0.7 * e.ema FROM e JOIN o ON o.video_id = e.video_id AND o.entity_id = e.entity_id AND o.i = e.i + 1)
+SELECT event_id, round(ema, 7) AS ema, CAST(NULL AS VARCHAR) AS set_aside FROM e UNION ALL SELECT event_id, NULL, 'late' FROM m WHERE late""").replace("WITH h", "WITH RECURSIVE h"), "obs")
+def late_ema(spark, d):
+    return _marked(_two_arrivals(spark, d, so.stream_score_ema, "late-ema"), ("ema",), {"ema": 7})
+
+
+@query("st10_late_rows", arrivals("video_id", "obs", """r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM m WHERE NOT late), th AS (SELECT video_id, greatest(avg(energy) + 5.0 * stddev_pop(energy), 0.20) AS thr FROM r WHERE i <= 30 GROUP BY ALL)
+SELECT event_id, round(CASE WHEN i < 30 THEN 0.20 ELSE thr END, 7) AS threshold, CAST(NULL AS VARCHAR) AS set_aside FROM r JOIN th USING (video_id) UNION ALL SELECT event_id, NULL, 'late' FROM m WHERE late"""), "obs")
+def late_background(spark, d):
+    return _marked(_two_arrivals(spark, d, so.stream_background, "late-background"), ("threshold",), {"threshold": 7})
+
+
+@query("st05_late_rows", "WITH RECURSIVE " + arrivals("video_id", "obs", """o AS (SELECT video_id, event_id, t, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM m WHERE NOT late),
+nx AS MATERIALIZED (SELECT a.video_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a.video_id = b.video_id AND b.i > a.i AND b.t - a.t >= 4.0 GROUP BY ALL),
+f AS (SELECT video_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.i = f.i)
+SELECT o.event_id, 'periodic' AS reason, CAST(NULL AS VARCHAR) AS set_aside FROM f JOIN o USING (video_id, i) UNION ALL SELECT event_id, NULL, 'late' FROM m WHERE late""").removeprefix("WITH "), "obs")
+def late_pulses(spark, d):
+    p = st.GlobalHeartbeatParams(interval=4.0, drift=9.0)
+    n = v.vectors(spark, d)
+    found = _two_arrivals(spark, d, lambda s: so.stream_global_heartbeats(_with_vectors(s, n), p), "late-pulses")
+    return _marked(found, ("reason",))
+
+
+@query("st15_late_rows", arrivals("video_id", "obs", """w AS (SELECT *, max(t) FILTER (event_id % 10 <> 3) OVER (PARTITION BY video_id) AS first_top FROM obs),
+b AS (SELECT *, event_id % 10 = 3 AND t < first_top - 100.0 AS aside, frame_idx // 1440 AS day FROM w),
+k AS (SELECT *, row_number() OVER (PARTITION BY video_id, entity_id, day, event_id % 10 = 3 ORDER BY t, event_id) AS i, max(t) FILTER (event_id % 10 <> 3) OVER (PARTITION BY video_id, entity_id, day) AS last FROM b WHERE NOT aside)
+SELECT event_id, CAST(NULL AS VARCHAR) AS set_aside FROM k WHERE i = 1 AND (event_id % 10 <> 3 OR last IS NULL OR last < first_top - 100.0) UNION ALL SELECT event_id, 'late' FROM b WHERE aside"""), "obs")
+def late_first_rows(spark, d):
+    build = lambda s: so.stream_first_rows(s.withColumn("day", F.floor(c("frame_idx") / 1440)), 100.0, ("entity_id", "day"))
+    return _marked(_two_arrivals(spark, d, build, "late-first"), ())
+
+
+@query("st16_observed_counts", "SELECT 0 AS batch_id, count(*) AS rows, CAST(sum(CAST(suspicious AS INT)) AS BIGINT) AS suspicious, round(max(t), 6) AS last_t FROM obs", "obs")
+def observed(spark, d):
+    counts = rt.run_observed(so.with_live_counts(_obs_stream(spark, d), "live"), "live", "rows long, suspicious long, last_t double")[1]
+    return counts.withColumn("last_t", F.round("last_t", 6)).withColumn("batch_id", c("batch_id").cast("int"))
+
+
 # --- user hooks -------------------------------------------------------------------------------
 def _linear():
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:

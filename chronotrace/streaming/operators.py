@@ -1,13 +1,12 @@
 """Streaming twins of the stateful operators.
 
-Rows of a key are ordered inside each micro-batch; rows older than the state of their key
-are reported as late instead of being applied. State per key is a fixed handful of values.
+Rows of a key are ordered inside each micro-batch; rows older than what their key has applied are set
+aside instead of being applied (``in_order``). State per key is a fixed handful of values.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,47 +16,31 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotrace.operators.stateful import SilentGate
 from chronotrace.params import DiscordanceParams, GlobalHeartbeatParams, TriggerParams
+from chronotrace.streaming.in_order import Rule, in_order
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = list(batches)
-    return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
+def _trigger_step(p: TriggerParams):
+    def step(kept, row):
+        t, _, f, x = row
+        x = np.asarray(x, dtype=float)
+        if kept is None:
+            rule, dist = "birth", 1.0
+        else:
+            dist, rule = 1.0 - float(np.dot(x, np.asarray(kept[2]))), None
+            if f - kept[0] >= p.min_gap_frames:
+                rule = "change_point" if dist > p.jump else ("heartbeat" if t - kept[1] >= p.heartbeat else None)
+        if rule is None:
+            return kept, []
+        return (int(f), float(t), [float(v) for v in x]), [(int(f), rule, dist, False)]
 
+    return step
 
-def stream_triggers(obs: DataFrame, p: TriggerParams = TriggerParams(), delay: str = "1 hour") -> DataFrame:
-    """Birth, change-point and heartbeat rows per entity, for rows that are there; ``stream_silence`` has
-    those of entities out of sight."""
 
-    def step(key, batches, state: GroupState):
-        vid, eid = int(key[0]), int(key[1])
-        out = []
-        cur = state.getOption
-        for f, t, ev, x in _rows(batches, ["t", "event_id"])[["frame_idx", "t", "event_id", "vec"]].itertuples(index=False):
-            x = np.asarray(x, dtype=float)
-            if cur is None:
-                rule, dist = "birth", 1.0
-            elif t < cur[4]:
-                rule, dist = "late", 0.0
-            else:
-                dist = 1.0 - float(np.dot(x, np.asarray(cur[2])))
-                rule = None
-                if f - cur[0] >= p.min_gap_frames:
-                    rule = "change_point" if dist > p.jump else ("heartbeat" if t - cur[1] >= p.heartbeat else None)
-            if rule == "late":
-                out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
-                continue
-            if rule:
-                out.append((vid, eid, int(ev), int(f), float(t), rule, dist, False))
-                cur = (int(f), float(t), [float(v) for v in x], (cur[3] + 1 if cur else 1), float(t))
-            else:
-                cur = (cur[0], cur[1], cur[2], cur[3], float(t))
-        if cur is not None:
-            state.update(tuple(cur))
-        yield pd.DataFrame(out, columns=["video_id", "entity_id", "event_id", "frame_idx", "t", "rule", "distance", "silent"])
-
-    schema = "video_id long, entity_id long, event_id long, frame_idx long, t double, rule string, distance double, silent boolean"
-    state = "f long, t double, x array<double>, n long, seen double"
-    return obs.withWatermark("ts", delay).groupBy("video_id", "entity_id").applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
+def stream_triggers(obs: DataFrame, p: TriggerParams = TriggerParams(), keep_ms: int | None = None) -> DataFrame:
+    """Birth, change-point and heartbeat rows per entity, for rows that are there; ``stream_silence`` has
+    those of entities out of sight. Late rows are set aside."""
+    rule = Rule("f long, last double, x array<double>", "frame_idx long, rule string, distance double, silent boolean", ("frame_idx", "vec"), _trigger_step(p))
+    return in_order(obs.select("video_id", "entity_id", "event_id", "t", "frame_idx", "vec"), ("video_id", "entity_id"), rule, keep_ms=keep_ms)
 
 
 EPOCH_MS = 1704067200000
@@ -99,83 +82,83 @@ def stream_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), max_age:
     )
 
 
-def stream_global_heartbeats(obs: DataFrame, p: GlobalHeartbeatParams = GlobalHeartbeatParams()) -> DataFrame:
-    """Periodic and drift samples of a recording with a moving baseline."""
+def stream_global_heartbeats(obs: DataFrame, p: GlobalHeartbeatParams = GlobalHeartbeatParams(), keep_ms: int | None = None) -> DataFrame:
+    """Periodic and drift samples of a recording with a moving baseline. Late rows are set aside."""
 
-    def step(key, batches, state: GroupState):
-        last, base = state.get if state.exists else (-999.0, None)
-        out = []
-        for t, ev, x in _rows(batches, ["t", "event_id"])[["t", "event_id", "vec"]].itertuples(index=False):
-            x = [float(v) for v in x]
-            base = x if base is None else base
-            drift = 1.0 - float(np.dot(x, base))
-            why = "periodic" if t - last >= p.interval else None
-            if drift > p.drift:
-                why, base = "drift", x
-            if why:
-                last = float(t)
-                out.append((int(key[0]), float(t), int(ev), why, drift))
-        state.update((last, [float(v) for v in base]))
-        yield pd.DataFrame(out, columns=["video_id", "t", "event_id", "reason", "drift"])
-
-    return obs.groupBy("video_id").applyInPandasWithState(
-        step, "video_id long, t double, event_id long, reason string, drift double", "last double, base array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    def step(kept, row):
+        t, _, x = row
+        x = [float(v) for v in x]
+        last, base = kept or (-999.0, x)
+        drift = 1.0 - float(np.dot(x, base))
+        why = "periodic" if t - last >= p.interval else None
+        if drift > p.drift:
+            why, base = "drift", x
+        return (float(t) if why else last, [float(v) for v in base]), [(why, drift)] if why else []
+
+    rule = Rule("last double, base array<double>", "reason string, drift double", ("vec",), step)
+    return in_order(obs, ("video_id",), rule, keep_ms=keep_ms)
 
 
-def stream_background(obs: DataFrame, p: DiscordanceParams = DiscordanceParams()) -> DataFrame:
+def stream_background(obs: DataFrame, p: DiscordanceParams = DiscordanceParams(), keep_ms: int | None = None) -> DataFrame:
     """Threshold in force at each row: the floor during warm-up, then mean + k * std of the
-    warm-up rows. Only count, sum and sum of squares are kept."""
+    warm-up rows. Only count, sum and sum of squares are kept. Late rows are set aside."""
 
-    def step(key, batches, state: GroupState):
-        n, s, q, thr = state.get if state.exists else (0, 0.0, 0.0, float(p.floor))
-        out = []
-        for ev, e in _rows(batches, ["t", "event_id"])[["event_id", "energy"]].itertuples(index=False):
-            if n < p.warmup_rows:
-                n, s, q = n + 1, s + float(e), q + float(e) ** 2
-                if n == p.warmup_rows:
-                    m = s / n
-                    thr = max(m + p.sigma * max(q / n - m * m, 0.0) ** 0.5, p.floor)
-            out.append((int(ev), thr))
-        state.update((n, s, q, thr))
-        yield pd.DataFrame(out, columns=["event_id", "threshold"])
+    def step(kept, row):
+        n, s, q, thr = kept or (0, 0.0, 0.0, float(p.floor))
+        e = float(row[2])
+        if n < p.warmup_rows:
+            n, s, q = n + 1, s + e, q + e**2
+            if n == p.warmup_rows:
+                m = s / n
+                thr = max(m + p.sigma * max(q / n - m * m, 0.0) ** 0.5, p.floor)
+        return (n, s, q, thr), [(thr,)]
 
-    return obs.groupBy("video_id").applyInPandasWithState(step, "event_id long, threshold double", "n long, s double, q double, thr double", "append", GroupStateTimeout.NoTimeout)
+    return in_order(obs, ("video_id",), Rule("n long, s double, q double, thr double", "threshold double", ("energy",), step), keep_ms=keep_ms)
 
 
-def stream_graph(nodes: DataFrame) -> DataFrame:
-    """Node rows with the edge to the previous node and running totals of the entity."""
+def stream_graph(nodes: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Node rows with the edge to the previous node and running totals of the entity. Late rows are set aside."""
 
-    def step(key, batches, state: GroupState):
-        seq, t0, f0, act, total = state.get if state.exists else (0, None, None, None, 0.0)
-        out = []
-        for ev, t, f, a, e in _rows(batches, ["t", "event_id"])[["event_id", "t", "frame_idx", "action", "energy"]].itertuples(index=False):
-            total += float(e)
-            has = seq > 0
-            out.append((int(key[0]), int(key[1]), int(ev), seq, float(t) - t0 if has else None, f"{act} → {a}" if has else None, total))
-            seq, t0, f0, act = seq + 1, float(t), int(f), a
-        state.update((seq, t0, f0, act, total))
-        yield pd.DataFrame(out, columns=["video_id", "entity_id", "event_id", "seq", "duration", "action_transition", "running_energy"])
-
-    return nodes.groupBy("video_id", "entity_id").applyInPandasWithState(
-        step, "video_id long, entity_id long, event_id long, seq long, duration double, action_transition string, running_energy double",
-        "seq long, t0 double, f0 long, act string, total double", "append", GroupStateTimeout.NoTimeout,
-    )
+    def step(kept, row):
+        t, _, action, e = row
+        seq, t0, before, total = kept or (0, None, None, 0.0)
+        total += float(e)
+        edge = (float(t) - t0, f"{before} → {action}") if seq > 0 else (None, None)
+        return (seq + 1, float(t), action, total), [(seq, *edge, total)]
 
+    rule = Rule("seq long, t0 double, act string, total double", "seq long, duration double, action_transition string, running_energy double", ("action", "energy"), step)
+    return in_order(nodes, ("video_id", "entity_id"), rule, keep_ms=keep_ms)
 
-def stream_score_ema(scores: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """Exponential average of the scores of an entity over successive runs."""
 
-    def step(key, batches, state: GroupState):
-        ema = state.get[0] if state.exists else None
-        out = []
-        for ev, x in _rows(batches, ["t", "event_id"])[["event_id", "energy"]].itertuples(index=False):
-            ema = float(x) if ema is None else alpha * float(x) + (1 - alpha) * ema
-            out.append((int(ev), ema))
-        state.update((ema,))
-        yield pd.DataFrame(out, columns=["event_id", "ema"])
+def stream_score_ema(scores: DataFrame, alpha: float = 0.3, keep_ms: int | None = None) -> DataFrame:
+    """Exponential average of the scores of an entity over successive runs. Late rows are set aside."""
+
+    def step(kept, row):
+        x = float(row[2])
+        ema = x if kept is None else alpha * x + (1 - alpha) * kept[0]
+        return (ema,), [(ema,)]
+
+    return in_order(scores, ("video_id", "entity_id"), Rule("last_ema double", "ema double", ("energy",), step), keep_ms=keep_ms)
+
+
+def stream_first_rows(obs: DataFrame, within: float, by: tuple[str, ...] = ("entity_id", "frame_idx"), keep_ms: int | None = None) -> DataFrame:
+    """The first row of each ``by`` of a recording; its repetitions are dropped, rows more than ``within``
+    behind the latest of the recording are set aside. Only what came within that time is remembered."""
+
+    def step(kept, row):
+        kept = {} if kept is None else kept
+        name = "\x1f".join("\x00" if v is None else str(v) for v in row[2:])
+        new = name not in kept
+        kept[name] = max(row[0], kept.get(name, row[0]))
+        return kept, [tuple(row[2:])] if new else []
+
+    def save(kept, seen):
+        fresh = {k: t for k, t in kept.items() if t >= seen[0] - within}
+        return list(fresh), list(fresh.values())
 
-    return scores.groupBy("video_id", "entity_id").applyInPandasWithState(step, "event_id long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
+    kinds = dict(obs.dtypes)
+    rule = Rule("names array<string>, at array<double>", ", ".join(f"{c} {kinds[c]}" for c in by), by, step, within, lambda kept: dict(zip(kept[0], kept[1])), save)
+    return in_order(obs, ("video_id",), rule, keep_ms=keep_ms)
 
 
 def tumbling_bins(obs: DataFrame, width: str, delay: str) -> DataFrame:
@@ -200,5 +183,5 @@ def without_duplicates(obs: DataFrame, delay: str, keys: tuple[str, ...] = ("vid
 
 
 def with_live_counts(obs: DataFrame, name: str) -> DataFrame:
-    """Counts published with the progress of the running query."""
+    """Counts published with the progress of the running query; ``runtime.ObservedCounts`` reads them."""
     return obs.observe(name, F.count(F.lit(1)).alias("rows"), F.sum(F.col("suspicious").cast("long")).alias("suspicious"), F.max("t").alias("last_t"))

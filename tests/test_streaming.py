@@ -1,5 +1,8 @@
 """Streams fed in several files give what the batch operators give."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from chronotrace.operators import stateful as st
@@ -51,3 +54,79 @@ def test_silent_stream_equals_batch(spark, sf_dir, tmp_path, monkeypatch):
     assert len(batch - got) < 0.05 * len(batch) and sum(r[3] for r in got) > 0
     whole = q.silent_stream(spark, sf_dir)
     assert whole.count() == sum(r[3] for r in got)
+
+
+def staged(spark, folder, rows):
+    """One file per call; a stream of one file per micro-batch sees them one after the other."""
+    spark.createDataFrame(rows, "video_id long, entity_id long, event_id long, t double, energy double, action string, vec array<double>").coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def rows_of(spark, folder):
+    s = spark.readStream.schema("video_id long, entity_id long, event_id long, t double, energy double, action string, vec array<double>")
+    return s.option("maxFilesPerTrigger", 1000).parquet(str(folder)).withColumn("frame_idx", F.floor(F.col("t") * 30).cast("long"))
+
+
+def row(n, t, entity=1, video=1, energy=0.5, vec=(1.0, 0.0)):
+    return (video, entity, n, t, energy, f"action {n}", list(vec))
+
+
+STREAMS = {
+    "triggers": so.stream_triggers, "pulses": so.stream_global_heartbeats, "background": so.stream_background, "graph": so.stream_graph,
+    "ema": so.stream_score_ema, "first": lambda s: so.stream_first_rows(s, 5.0, ("entity_id", "action")),
+}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_late_rows_are_set_aside_and_change_nothing(spark, tmp_path, name):
+    """After the first arrival, rows behind their key leave as late; the others go on from what was kept."""
+    first = [row(n, float(n)) for n in range(0, 40, 2)] + [row(100, 3.0, entity=2, video=2)]
+    late = [row(5, 5.0), row(7, 7.0), (1, 1, 8, None, 0.5, "no time", [1.0, 0.0])]
+    more = [row(41, 41.0), row(43, 43.0, energy=0.9), row(101, 2.0, entity=None, video=None)]
+    staged(spark, tmp_path / "in", first)
+    run = lambda: rt.run_split(STREAMS[name](rows_of(spark, tmp_path / "in")), name, str(tmp_path / "out"))
+    run()
+    staged(spark, tmp_path / "in", late + more)
+    kept, aside = run()
+    assert {(r.event_id, r.set_aside) for r in aside.collect()} == {(5, "late"), (7, "late"), (8, "no time")}
+    staged(spark, tmp_path / "in_time", first + more)
+    whole, none = rt.run_split(STREAMS[name](rows_of(spark, tmp_path / "in_time")), name)
+    as_rows = lambda d: sorted(map(str, d.collect()))
+    assert as_rows(kept) == as_rows(whole) and none.count() == 0
+    assert len(as_rows(kept)) > 0
+
+
+def test_state_of_silent_keys_is_forgotten(spark, tmp_path):
+    """With a time to live, keys that get no rows leave the state store."""
+    staged(spark, tmp_path / "in", [row(n, 1.0, entity=n) for n in range(50)])
+    sizes = []
+    for arrival in ([], [row(100, 2.0, entity=7)], [row(101, 3.0, entity=7), row(102, 3.0, entity=8)]):
+        if arrival:
+            staged(spark, tmp_path / "in", arrival)
+        time.sleep(1.5)
+        s = so.stream_score_ema(rows_of(spark, tmp_path / "in"), keep_ms=1000)
+        w = s.writeStream.option("checkpointLocation", str(tmp_path / "progress")).format("parquet").option("path", str(tmp_path / "rows"))
+        sizes.append(rt._run(w, spark, rt.STATE_SETTINGS).lastProgress.stateOperators[0].numRowsTotal)
+    assert sizes[0] >= 50 and sizes[1] < 10 and sizes[2] < 10
+    ema = {r.event_id: r.ema for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert ema[100] == 0.5 and len(ema) == 53
+
+
+def test_first_rows_are_remembered_within_the_delay(spark, tmp_path):
+    build = lambda: rt.run_split(so.stream_first_rows(rows_of(spark, tmp_path / "in"), 10.0, ("entity_id",)), "f", str(tmp_path / "out"))
+    staged(spark, tmp_path / "in", [row(1, 1.0), row(2, 2.0), row(3, 50.0, entity=2)])
+    build()
+    staged(spark, tmp_path / "in", [row(4, 51.0, entity=2), row(5, 45.0, entity=3), row(6, 39.0, entity=4)])
+    kept, aside = build()
+    assert sorted(r.event_id for r in kept.collect()) == [1, 3, 5]
+    assert [(r.event_id, r.set_aside) for r in aside.collect()] == [(6, "late")]
+
+
+def test_counts_are_read_while_the_query_runs(spark, tmp_path):
+    for k in range(3):
+        staged(spark, tmp_path / "in", [row(10 * k + n, float(n)) for n in range(k + 2)])
+    s = spark.readStream.schema("event_id long, t double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("suspicious", F.col("t") > 0)
+    seen = []
+    rows, counts = rt.run_observed(so.with_live_counts(s, "live"), "live", "rows long, suspicious long, last_t double", seen.append, every=0.05)
+    assert rows.count() == 9
+    assert [tuple(r) for r in counts.orderBy("batch_id").collect()] == [(0, 2, 1, 1.0), (1, 3, 2, 2.0), (2, 4, 3, 3.0)]
+    assert [r["batch_id"] for r in seen] == [0, 1, 2]
