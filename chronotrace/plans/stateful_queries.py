@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronotrace.functions import actions as ac
-from chronotrace.operators import frames as fr, regions as rg, scoring as sc, signals as sg, stateful as st, temporal_graph as tg
+from chronotrace.operators import frames as fr, regions as rg, scoring as sc, signals as sg, stateful as st, templates as tp, temporal_graph as tg
 from chronotrace.operators.ordered import Lane, join_on
 from chronotrace.plans import views as v
 from chronotrace.plans.registry import query
-from chronotrace.plans.text_queries import vocab
+from chronotrace.plans.text_queries import alignment_sql, vocab
 from chronotrace.plans.window_queries import SAMPLES, SPINE, _spine
 from chronotrace.sources.sinks import fresh_path
 from chronotrace.streaming import operators as so, runtime as rt
@@ -323,11 +323,15 @@ def scorer_fallback(spark, d):
     return sc.score(v.obs(spark, d).select("event_id", "k", "danger"), _picky, "score double", "event_id", {"score": -1.0}, retries=0)
 
 
-@query("x03_user_templates")
+MINE = [ac.PathTemplate("pay_and_go", ["*"], ["walking", "picking up", "paying"]), ac.PathTemplate("idle", ["*"], ["standing still"])]
+
+
+@query("x03_user_templates", f"""WITH RECURSIVE {alignment_sql(MINE)}, top AS (SELECT video_id, entity_id, CASE template WHEN 0 THEN 'pay_and_go' ELSE 'idle' END AS name, score FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY score DESC, template) = 1)
+SELECT e.video_id, e.entity_id, name AS template, round(score, 6) AS score FROM (SELECT DISTINCT video_id, entity_id FROM sc) e LEFT JOIN top USING (video_id, entity_id)""", "obs")
 def user_templates(spark, d):
-    mine = [ac.PathTemplate("pay_and_go", ["*"], ["walking", "picking up", "paying"]), ac.PathTemplate("idle", ["*"], ["standing still"])]
-    s = tg.sequence_text(v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act")), v.ENTITY_LANE, "act")
-    return s.withColumn("b", ac.best_template(ac.template_scores(mine)("sequence"), F.lit(""), mine)).select(*K, c("b.name").alias("template"), F.round("b.score", 6).alias("score"))
+    o = v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act"))
+    s = tp.template_alignment(o, v.ENTITY_LANE, "act", MINE)
+    return s.withColumn("b", ac.best_template(c("scores"), F.lit(""), MINE)).select(*K, c("b.name").alias("template"), F.round("b.score", 6).alias("score"))
 
 
 @query("x04_user_rules", "SELECT event_id, CASE WHEN action = 'error' THEN 'call someone' WHEN action = 'purchase' THEN 'check receipt' ELSE 'watch' END AS rule FROM obs", "obs")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronotrace.functions import actions as ac, boxes as bx, narrative as nv, text as tx, vectors as vec
-from chronotrace.operators import temporal_graph as tg
+from chronotrace.operators import templates as tp, temporal_graph as tg
 from chronotrace.operators.ordered import join_on
 from chronotrace.plans import reports as rp, views as v
 from chronotrace.plans.graph_queries import EDGES, ROLLUP
@@ -212,24 +212,60 @@ def action_sim(spark, d):
     return e.select("edge_key", ac.action_similarity(F.element_at(w, c("action_from")), F.element_at(w, c("action_to"))).alias("sim"))
 
 
-def _sequences(spark, d):
-    o = v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act"))
-    return tg.sequence_text(o, v.ENTITY_LANE, "act")
+def _actions(spark, d):
+    return v.obs(spark, d).select(*K, "t", "event_id", vocab(c("action")).alias("act"))
 
 
-@query("f16_template_alignment")
+def _literal(x) -> str:
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def _values(rows, columns) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) {columns}"
+
+
+def alignment_sql(templates) -> str:
+    """Recursive SQL: the row of the alignment table of each entity and template, action by action. Ends with
+    ``sc`` (video_id, entity_id, template, n, score)."""
+    groups = _values([(g, i, w) for i, (g, ws) in enumerate(ac.SYNONYMS.items()) for w in (g, *ws)], "g(grp, i, word)")
+    steps = _values([(t, j + 1, a) for t, x in enumerate(templates) for j, a in enumerate(x.actions)], "s(template, j, step)")
+    cheap = _values([(t, o.lower()) for t, x in enumerate(templates) for o in x.optional] or [(-1, "")], "o(template, action)")
+    return f"""sq AS (SELECT video_id, entity_id, vo.w AS act, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS pos FROM obs JOIN {SQL_VOCAB} ON vo.a = obs.action),
+st AS (SELECT * FROM {steps}),
+wd AS (SELECT DISTINCT act AS w FROM sq UNION SELECT DISTINCT step FROM st),
+kin AS (SELECT w, max_by(grp, i) AS grp FROM wd JOIN {groups} ON contains(lower(w), word) GROUP BY w),
+lk AS (SELECT x.w, st.template, st.j, CASE WHEN x.w = step THEN CAST(1 AS DOUBLE) WHEN contains(x.w, step) OR contains(step, x.w) THEN {ac.WITHIN} WHEN p.grp = q.grp THEN {ac.SAME_GROUP} ELSE 0 END AS hit
+  FROM (SELECT DISTINCT act AS w FROM sq) x CROSS JOIN st LEFT JOIN kin p ON p.w = x.w LEFT JOIN kin q ON q.w = step),
+ar AS (SELECT w, template, list(hit ORDER BY j) AS hits, count(*) AS m, CASE WHEN EXISTS (SELECT 1 FROM {cheap} WHERE o.template = lk.template AND o.action = lk.w) THEN {ac.SKIP_OPTIONAL} ELSE {ac.SKIP_ACTION} END AS cost FROM lk GROUP BY w, template),
+dp AS (SELECT video_id, entity_id, template, CAST(0 AS BIGINT) AS pos, [CAST(-{ac.LEADING_TEMPLATE} * j AS DOUBLE) FOR j IN range(0, m + 1)] AS v FROM (SELECT DISTINCT video_id, entity_id FROM sq), (SELECT template, count(*) AS m FROM st GROUP BY ALL)
+  UNION ALL
+  SELECT video_id, entity_id, template, pos, [list_max([base[k + 1] - {ac.SKIP_TEMPLATE} * (j - k) FOR k IN range(0, j + 1)]) FOR j IN range(0, m + 1)] FROM (
+    SELECT dp.video_id, dp.entity_id, dp.template, sq.pos, ar.m, list_prepend(v[1] - {ac.LEADING_ACTION}, [greatest(v[j + 1] - cost, v[j] + hits[j]) FOR j IN range(1, ar.m + 1)]) AS base
+    FROM dp JOIN sq ON sq.video_id = dp.video_id AND sq.entity_id = dp.entity_id AND sq.pos = dp.pos + 1 JOIN ar ON ar.w = sq.act AND ar.template = dp.template)),
+sc AS (SELECT video_id, entity_id, template, max(pos) AS n, greatest(0, least(1, max_by(v[len(v)], pos) / least(max(pos), any_value(len(v) - 1)))) AS score FROM dp GROUP BY ALL)"""
+
+
+@query("f16_template_alignment", f"WITH RECURSIVE {alignment_sql(ac.PATH_TEMPLATES)} SELECT video_id, entity_id, CAST(template AS INT) AS template, round(score, 6) AS score FROM sc", "obs")
 def alignment(spark, d):
-    s = _sequences(spark, d).select(*K, ac.template_scores()("sequence").alias("scores"))
-    return s.select(*K, F.posexplode("scores").alias("template", "score"))
+    s = tp.template_alignment(_actions(spark, d), v.ENTITY_LANE, "act")
+    return s.select(*K, F.posexplode("scores").alias("template", "score")).withColumn("score", F.round("score", 6))
+
+
+_SCENES = _values([(i, x.lower()) for i, t in enumerate(ac.PATH_TEMPLATES) for x in t.scenes], "c(template, scene)")
+_NAMES = _values([(i, t.name) for i, t in enumerate(ac.PATH_TEMPLATES)], "nm(template, name)")
 
 
-@query("f17_best_template")
+@query("f17_best_template", f"""WITH RECURSIVE {alignment_sql(ac.PATH_TEMPLATES)},
+en AS (SELECT *, CASE WHEN entity_id % 3 = 0 THEN 'supermarket' WHEN entity_id % 3 = 1 THEN 'street' ELSE '' END AS scene FROM sc),
+fit AS (SELECT en.*, name FROM en JOIN {_NAMES} USING (template) WHERE score > 0 AND EXISTS (SELECT 1 FROM {_SCENES} WHERE c.template = en.template AND (c.scene = '*' OR en.scene = '' OR contains(c.scene, en.scene) OR contains(en.scene, c.scene)))),
+top AS (SELECT video_id, entity_id, name, score FROM fit QUALIFY row_number() OVER (PARTITION BY video_id, entity_id ORDER BY score DESC, template) = 1)
+SELECT e.video_id, e.entity_id, name AS template, round(CASE WHEN n < 3 THEN 0 WHEN score IS NULL THEN 0.5 ELSE 1 - score END, 6) AS path_anomaly, score >= 0.6 AS matches
+FROM (SELECT video_id, entity_id, max(n) AS n FROM sc GROUP BY ALL) e LEFT JOIN top USING (video_id, entity_id)""", "obs")
 def best_template(spark, d):
-    s = _sequences(spark, d).select(*K, "sequence", ac.template_scores()("sequence").alias("scores"))
+    s = tp.template_alignment(_actions(spark, d), v.ENTITY_LANE, "act")
     scene = F.when(c("entity_id") % 3 == 0, "supermarket").when(c("entity_id") % 3 == 1, "street").otherwise("")
     b = s.withColumn("best", ac.best_template(c("scores"), scene))
-    anomaly = F.when(F.size("sequence") < 3, 0.0).when(c("best").isNull(), 0.5).otherwise(1 - c("best.score"))
-    return b.select(*K, c("best.name").alias("template"), F.round(anomaly, 6).alias("path_anomaly"), (c("best.score") >= 0.6).alias("matches"))
+    return b.select(*K, c("best.name").alias("template"), F.round(tp.path_anomaly(c("best.score"), c("num_actions")), 6).alias("path_anomaly"), (c("best.score") >= 0.6).alias("matches"))
 
 
 @query("f18_entity_narrative", f"WITH {ROLLUP} SELECT video_id, entity_id, 'Entity #'||entity_id AS head, num_nodes FROM rollup", "obs nodes")
