@@ -23,29 +23,48 @@ def _edge_line(n) -> Column:
     return F.when(n["transition"].isNotNull(), line)
 
 
-def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], page: int = PAGE, max_chars: int | None = None) -> DataFrame:
-    """Header, one line per node and per edge to the next node, hints and a summary line,
-    cut at ``max_chars`` on request. An entity with more than ``page`` nodes has a text per page."""
+def _hints(nodes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Line with the guesses about an entity and how often each was made, in order of their first node."""
+    g = nodes.filter(~F.col("guess").isin("", "none", "unknown")).groupBy(*keys, "guess").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("at"))
+    g = g.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "guess", "n"))).alias("_g"))
+    hints = F.array_join(F.transform("_g", lambda x: F.concat(F.lit("'"), x["guess"], F.lit("': "), x["n"].cast("string"))), ", ")
+    return g.select(*keys, F.concat(F.lit("\n\nAnomaly hints: {"), hints, F.lit("}")).alias("_hints"))
+
+
+def narrative_pages(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], page: int = PAGE) -> DataFrame:
+    """``page, text`` of the narratives of entities: header on the first page, one line per node and per edge
+    to the next node, hints and the summary line on the last. Joined by line breaks they are the whole.
+    Counts and hints are those of the entity."""
     e = edges.select(*keys, F.col("src_seq").alias("seq"), F.col("action_transition").alias("transition"), F.col("duration").alias("gap"), F.col("kinetic_integral").alias("integral"), F.col("missing_frames").alias("missing"))
     n = join_on(nodes, e, (*keys, "seq"), "left").withColumn("page", F.floor(F.col("seq") / page))
-    cols = ["seq", "t", "action", "action_object", "posture", "scene", "suspicious", "rule", "guess", "energy", "transition", "gap", "integral", "missing"]
-    g = n.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("_n"))
-    j = join_on(g, rollup, keys)
-    header = F.concat(
-        F.lit("Entity #"), F.col("entity_id").cast("string"), F.format_string(" | Duration: %.1fs | Observations: %d | Scene: ", F.col("duration"), F.size("_n")), F.element_at("_n", 1)["scene"]
-    )
-    body = F.array_join(F.transform("_n", lambda x: F.concat_ws("\n", _node_line(x), _edge_line(x))), "\n")
-    guesses = F.transform(F.filter("_n", lambda x: ~x["guess"].isin("", "none", "unknown")), lambda x: x["guess"])
-    hints = F.array_join(F.transform(F.array_distinct(guesses), lambda g_: F.concat(F.lit("'"), g_, F.lit("': "), F.size(F.filter(guesses, lambda o: o == g_)).cast("string"))), ", ")
-    hint_line = F.when(F.size(guesses) > 0, F.concat(F.lit("\n\nAnomaly hints: {"), hints, F.lit("}"))).otherwise("")
+    line = F.struct("seq", F.concat_ws("\n", _node_line(_Row()), _edge_line(_Row())).alias("line"))
+    g = n.groupBy(*keys, "page").agg(F.array_sort(F.collect_list(line)).alias("_n"), F.min_by("scene", "seq").alias("scene"))
+    j = join_on(join_on(g, rollup, keys), _hints(nodes, keys), keys, "left")
+    header = F.concat(F.lit("Entity #"), F.col("entity_id").cast("string"), F.format_string(" | Duration: %.1fs | Observations: %d | Scene: ", F.col("duration"), F.col("num_nodes")), F.col("scene"), F.lit("\n\n"))
     summary = F.concat(
-        F.format_string("Summary: total_kinetic=%.4f, max_danger=%.2f, suspicious=", F.col("total_kinetic"), F.col("max_danger")), F.initcap(F.col("has_suspicious").cast("string")), F.lit(", physics_warning=False"),
+        F.format_string("\n\nSummary: total_kinetic=%.4f, max_danger=%.2f, suspicious=", F.col("total_kinetic"), F.col("max_danger")), F.initcap(F.col("has_suspicious").cast("string")), F.lit(", physics_warning=False"),
     )
-    text = F.concat(header, F.lit("\n\n"), body, hint_line, F.lit("\n\n"), summary)
-    j = j.withColumn("_text", text)
-    if max_chars is None:
-        return j.select(*keys, "page", F.col("_text").alias("narrative"))
-    return j.select(*keys, "page", F.when(F.length("_text") > max_chars, F.concat(F.left("_text", F.lit(max_chars)), F.lit("\n...[truncated]"))).otherwise(F.col("_text")).alias("narrative"))
+    last = F.col("page") == F.floor((F.col("num_nodes") - 1) / page)
+    body = F.array_join(F.transform("_n", lambda x: x["line"]), "\n")
+    text = F.concat(F.when(F.col("page") == 0, header).otherwise(""), body, F.when(last, F.concat(F.coalesce("_hints", F.lit("")), summary)).otherwise(""))
+    return j.select(*keys, "page", text.alias("text"))
+
+
+class _Row:
+    """A node's columns by name, as the line functions ask for them."""
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+
+def entity_narratives(nodes: DataFrame, edges: DataFrame, rollup: DataFrame, keys: tuple[str, ...], page: int = PAGE, max_chars: int | None = None) -> DataFrame:
+    """``narrative`` of each entity: its pages joined to one text, cut at ``max_chars`` on request. For
+    entities whose text is too long for a row, ``narrative_pages`` gives the parts."""
+    g = narrative_pages(nodes, edges, rollup, keys, page).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("_p"))
+    text = F.array_join(F.transform("_p", lambda x: x["text"]), "\n")
+    if max_chars is not None:
+        text = F.when(F.length(text) > max_chars, F.concat(F.left(text, F.lit(max_chars)), F.lit("\n...[truncated]"))).otherwise(text)
+    return g.select(*keys, text.alias("narrative"))
 
 
 def overview_lines(nodes: DataFrame, rollup: DataFrame, keys: tuple[str, ...], max_actions: int | None = None) -> DataFrame:

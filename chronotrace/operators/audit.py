@@ -84,8 +84,8 @@ def recording_rollup(verdicts: DataFrame, passed: Column) -> DataFrame:
 
 
 def verdict_summary(verdicts: DataFrame, page: int = 500) -> DataFrame:
-    """Summary sentence of the flagged entities of a recording, surest first; where there are more
-    than ``page`` of them, a row per page."""
+    """One row per recording: the summary sentence of its flagged entities, surest first, and their ids.
+    Sentences are put together ``page`` entities at a time, then page by page."""
     line = F.concat(
         F.lit("Entity #"), F.col("entity_id").cast("string"), F.lit(": "), F.col("reason"),
         F.format_string(" (conf=%.2f, interval=[%.1fs, %.1fs])", "confidence", "start_sec", "end_sec"),
@@ -93,9 +93,12 @@ def verdict_summary(verdicts: DataFrame, page: int = 500) -> DataFrame:
     v = verdicts.filter("is_anomaly and not film_false_alarm").withColumn("_neg", -F.col("confidence"))
     v = number_rows(v, Lane(("video_id",), ("_neg", "entity_id"), 0.05), "_r").withColumn("_page", F.floor((F.col("_r") - 1) / page))
     g = v.groupBy("video_id", "_page").agg(F.array_sort(F.collect_list(F.struct("_r", line.alias("s")))).alias("_l"), F.collect_list("entity_id").alias("_ids"))
-    s = g.select("video_id", F.array_join(F.transform("_l", lambda x: x["s"]), "; ").alias("summary"), F.array_join(F.transform(F.array_sort("_ids"), lambda x: x.cast("string")), ",").alias("entity_ids"))
-    ids = verdicts.select("video_id").distinct()
-    return join_on(ids, s, ("video_id",), "left").select("video_id", F.coalesce("summary", F.lit("No anomaly detected.")).alias("summary"), F.coalesce("entity_ids", F.lit("")).alias("entity_ids"))
+    g = g.select("video_id", F.struct("_page", F.array_join(F.transform("_l", lambda x: x["s"]), "; ").alias("s"), "_ids").alias("_p"))
+    g = g.groupBy("video_id").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    ids = F.array_sort(F.flatten(F.transform("_p", lambda x: x["_ids"])))
+    s = g.select("video_id", F.array_join(F.transform("_p", lambda x: x["s"]), "; ").alias("summary"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("entity_ids"))
+    every = verdicts.select("video_id").distinct()
+    return join_on(every, s, ("video_id",), "left").select("video_id", F.coalesce("summary", F.lit("No anomaly detected.")).alias("summary"), F.coalesce("entity_ids", F.lit("")).alias("entity_ids"))
 
 
 def vote_suppression(alerts: DataFrame, tracked: DataFrame, p: DiscordanceParams = DiscordanceParams()) -> DataFrame:

@@ -77,23 +77,24 @@ def score_csv(spark, d):
 PAGE = 500
 
 
-def _run_details(spark, d):
-    """Nested verdicts in pages of ``PAGE`` entities, a document per page."""
-    ver = number_rows(v.verdicts(spark, d), Lane(("video_id",), ("entity_id",), 4096), "_n").withColumn("_page", F.floor((s("_n") - 1) / PAGE))
+def _run_details(spark, d, page=PAGE):
+    """Nested verdicts, a document per ``page`` entities; verdict and score are those of the recording."""
+    ver = number_rows(v.verdicts(spark, d), Lane(("video_id",), ("entity_id",), 4096), "_n").withColumn("page", F.floor((s("_n") - 1) / page))
     ev = F.struct("entity_id", "is_anomaly", "confidence", F.concat(F.lit("r"), s("entity_id")).alias("reason"), s("start_sec").alias("anomaly_start_sec"), s("end_sec").alias("anomaly_end_sec"))
-    g = ver.groupBy("video_id", "_page").agg(F.array_sort(F.collect_list(ev)).alias("entity_verdicts"), F.max("confidence").alias("pred_score"), F.bool_or("is_anomaly").alias("pred_anomaly"))
-    g = join_on(g, v.recordings(spark, d), ("video_id",))
-    return g.select(F.concat(F.lit("v"), s("video_id"), F.lit(".mp4")).alias("filename"), F.lit("Robbery").alias("category"), F.lit(True).alias("gt_anomaly"), "pred_anomaly", "pred_score", "total_frames", F.lit(30.0).alias("fps"), "entity_verdicts")
+    whole = ver.groupBy("video_id").agg(F.max("confidence").alias("pred_score"), F.bool_or("is_anomaly").alias("pred_anomaly"))
+    g = ver.groupBy("video_id", "page").agg(F.array_sort(F.collect_list(ev)).alias("entity_verdicts"))
+    g = join_on(join_on(g, whole, ("video_id",)), v.recordings(spark, d), ("video_id",))
+    return g.select(F.concat(F.lit("v"), s("video_id"), F.lit(".mp4")).alias("filename"), "page", F.lit("Robbery").alias("category"), F.lit(True).alias("gt_anomaly"), "pred_anomaly", "pred_score", "total_frames", F.lit(30.0).alias("fps"), "entity_verdicts")
 
 
-def _run_file(spark, d):
-    docs = _run_details(spark, d).select(F.array(F.struct("*")).alias("details"))
+def _run_file(spark, d, page=PAGE):
+    docs = _run_details(spark, d, page).select(F.array(F.struct("*")).alias("details"))
     return rd.read_run(spark, sk.write_json_rows(docs, sk.fresh_path(spark, "run")), lines=True)
 
 
-@query("s07_run_result_json", "SELECT 'v'||video_id||'.mp4' AS filename, bool_or(is_anomaly) AS pred_anomaly, max(confidence) AS pred_score, count(*) AS n_entities FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) GROUP BY video_id, page", "verdicts")
-def run_json(spark, d):
-    return _run_file(spark, d).select("filename", "pred_anomaly", "pred_score", F.size("entity_verdicts").cast("long").alias("n_entities"))
+@query("s07_run_result_json", "SELECT 'v'||video_id||'.mp4' AS filename, bool_or(is_anomaly) AS pred_anomaly, max(confidence) AS pred_score, count(*) AS n_entities FROM verdicts GROUP BY video_id", "verdicts")
+def run_json(spark, d, page=PAGE):
+    return rd.recording_results(_run_file(spark, d, page)).select("filename", "pred_anomaly", "pred_score", "n_entities")
 
 
 @query("s08_lookup_by_precedence", "WITH u AS (SELECT doc_id, 'own' AS src, 0 AS p FROM documents WHERE n_chars % 3 = 0 UNION ALL SELECT doc_id, 'run', 1 FROM labels UNION ALL SELECT doc_id, 'demo', 2 FROM documents WHERE lang = 'de') SELECT doc_id, arg_min(src, p) AS src FROM u GROUP BY ALL")
@@ -104,9 +105,9 @@ def lookup(spark, d):
     return rd.resolve_by_precedence([own, lab.select("doc_id", F.lit("run").alias("src")), demo], "doc_id").select("doc_id", "src")
 
 
-@query("s09_canonical_result", "SELECT 'v'||video_id||'.mp4' AS filename, round(max(total_frames) / CAST(30 AS DOUBLE), 2) AS duration_sec, max(confidence) AS confidence, coalesce(string_agg(CASE WHEN is_anomaly THEN entity_id END, ',' ORDER BY entity_id), '') AS ids, coalesce(string_agg(CASE WHEN is_anomaly THEN 'Entity #'||entity_id||': r'||entity_id END, '; ' ORDER BY entity_id), 'No anomaly detected.') AS summary FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) JOIN recs USING (video_id) GROUP BY video_id, page", "verdicts recs")
-def canonical(spark, d):
-    c = rd.canonical_result(_run_file(spark, d))
+@query("s09_canonical_result", "SELECT 'v'||video_id||'.mp4' AS filename, round(max(total_frames) / CAST(30 AS DOUBLE), 2) AS duration_sec, max(confidence) AS confidence, coalesce(string_agg(CASE WHEN is_anomaly THEN entity_id END, ',' ORDER BY entity_id), '') AS ids, coalesce(string_agg(CASE WHEN is_anomaly THEN 'Entity #'||entity_id||': r'||entity_id END, '; ' ORDER BY entity_id), 'No anomaly detected.') AS summary FROM verdicts JOIN recs USING (video_id) GROUP BY video_id", "verdicts recs")
+def canonical(spark, d, page=PAGE):
+    c = rd.canonical_result(_run_file(spark, d, page))
     return c.select("filename", "duration_sec", "confidence", F.array_join(F.transform("anomaly_entity_ids", lambda x: x.cast("string")), ",").alias("ids"), "summary")
 
 
@@ -161,10 +162,9 @@ def merge_shards(spark, d):
     return spark.read.parquet(p).select("doc_id", "score")
 
 
-@query("s18_result_json_sink", "SELECT 'v'||video_id||'.mp4' AS filename, round(sum(confidence), 6) AS total FROM (SELECT *, (row_number() OVER (PARTITION BY video_id ORDER BY entity_id) - 1) // 500 AS page FROM verdicts) GROUP BY video_id, page", "verdicts")
-def result_sink(spark, d):
-    r = _run_file(spark, d)
-    return r.select("filename", F.round(F.aggregate("entity_verdicts", F.lit(0.0), lambda t, x: t + x["confidence"]), 6).alias("total"))
+@query("s18_result_json_sink", "SELECT 'v'||video_id||'.mp4' AS filename, round(sum(confidence), 6) AS total FROM verdicts GROUP BY video_id", "verdicts")
+def result_sink(spark, d, page=PAGE):
+    return rd.recording_results(_run_file(spark, d, page)).select("filename", F.round("total_confidence", 6).alias("total"))
 
 
 @query("s19_batch_summary", "SELECT count(*) AS total, count(*) FILTER (gt = 1) AS anomalous, round(avg(score), 9) AS mean_score, (SELECT string_agg(doc_id, ',' ORDER BY score DESC, doc_id DESC) FROM (SELECT * FROM scored ORDER BY score DESC, doc_id DESC LIMIT 5)) AS top FROM scored", "scored")

@@ -282,7 +282,15 @@ def _narratives(spark, d):
     return nv.entity_narratives(n, e, tg.entity_rollup(v.nodes(spark, d), e, K), K)
 
 
-@query("f18_narrative_text")
+@query("f18_narrative_text", f"""WITH {ROLLUP},
+nl AS (SELECT n.video_id, n.entity_id, n.seq, printf('T=%.1fs: ', n.t)||n.action||', posture=standing'||printf(', kinetic=%.4f []', n.energy)||CASE WHEN n.suspicious THEN ' [flagged]' ELSE '' END||'  (trigger: birth)'
+  ||coalesce(chr(10)||'  ↓ '||e.action_from||' → '||e.action_to||printf(' | duration=%.1fs | kinetic_integral=%.4f []', e.duration, e.kinetic_integral)||CASE WHEN e.missing_frames > 0 THEN ' | missing_frames='||CAST(e.missing_frames AS BIGINT) ELSE '' END, '') AS line
+  FROM numbered n LEFT JOIN edges e ON e.video_id = n.video_id AND e.entity_id = n.entity_id AND e.src_seq = n.seq),
+nb AS (SELECT video_id, entity_id, string_agg(line, chr(10) ORDER BY seq) AS body FROM nl GROUP BY ALL),
+nh AS (SELECT video_id, entity_id, count(*) FILTER (suspicious) AS k FROM nodes GROUP BY ALL)
+SELECT video_id, entity_id, 'Entity #'||entity_id||printf(' | Duration: %.1fs | Observations: ', duration)||num_nodes||' | Scene: street'||chr(10)||chr(10)||body||CASE WHEN k > 0 THEN chr(10)||chr(10)||'Anomaly hints: {{''fighting'': '||k||'}}' ELSE '' END
+  ||chr(10)||chr(10)||printf('Summary: total_kinetic=%.4f, max_danger=%.2f, suspicious=', total_kinetic, max_danger)||CASE WHEN has_suspicious THEN 'True' ELSE 'False' END||', physics_warning=False' AS narrative
+FROM rollup JOIN nb USING (video_id, entity_id) JOIN nh USING (video_id, entity_id)""", "obs nodes")
 def narrative_text(spark, d):
     return _narratives(spark, d)
 

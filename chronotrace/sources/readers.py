@@ -64,14 +64,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 RUN_DETAIL = (
-    "struct<filename:string,category:string,gt_anomaly:boolean,pred_anomaly:boolean,pred_score:double,iou_soft:double,total_frames:bigint,fps:double,"
+    "struct<filename:string,page:bigint,category:string,gt_anomaly:boolean,pred_anomaly:boolean,pred_score:double,iou_soft:double,total_frames:bigint,fps:double,"
     "entity_verdicts:array<struct<entity_id:bigint,is_anomaly:boolean,confidence:double,reason:string,anomaly_start_sec:double,anomaly_end_sec:double>>>"
 )
 
 
 def read_run(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per record of run files ``{metrics, details}``: one document per file, or with
-    ``lines`` one document per line (which splits across tasks)."""
+    ``lines`` one document per line (which splits across tasks). A recording with very many entities may
+    have several records, numbered by ``page``; its verdict and score stand in each."""
     d = spark.read.schema(f"details array<{RUN_DETAIL}>").option("multiLine", not lines).json(path)
     return d.select(F.inline("details"))
 
@@ -86,15 +87,28 @@ def resolve_by_precedence(sources: list[DataFrame], key: str) -> DataFrame:
     return tagged.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def recording_results(details: DataFrame) -> DataFrame:
+    """One row per recording, whatever its number of records: verdict, score, entities and their
+    confidence together."""
+    total = F.aggregate("entity_verdicts", F.lit(0.0), lambda t, x: t + x["confidence"])
+    return details.groupBy("filename").agg(
+        F.bool_or("pred_anomaly").alias("pred_anomaly"), F.max("pred_score").alias("pred_score"), F.sum(F.size("entity_verdicts").cast("long")).alias("n_entities"), F.sum(total).alias("total_confidence")
+    )
+
+
 def canonical_result(details: DataFrame) -> DataFrame:
-    """Run detail rows in the shape of a single-recording result."""
+    """Run detail rows in the shape of a single-recording result, one row per recording; the records of a
+    recording are joined in order of their pages."""
     flagged = F.filter("entity_verdicts", lambda x: x["is_anomaly"])
     line = F.transform(flagged, lambda x: F.concat(F.lit("Entity #"), x["entity_id"].cast("string"), F.lit(": "), F.coalesce(x["reason"], F.lit(""))))
-    return details.select(
-        "filename", F.round(F.coalesce("total_frames", F.lit(0)) / F.greatest(F.coalesce("fps", F.lit(30.0)), F.lit(1.0)), 2).alias("duration_sec"),
-        F.col("pred_anomaly").alias("is_anomaly"), F.col("pred_score").alias("confidence"), F.coalesce("category", F.lit("unknown")).alias("scene_type"),
-        F.transform(flagged, lambda x: x["entity_id"]).alias("anomaly_entity_ids"), F.when(F.size(flagged) > 0, F.array_join(line, "; ")).otherwise("No anomaly detected.").alias("summary"),
+    part = F.struct(F.coalesce("page", F.lit(0)).alias("page"), F.transform(flagged, lambda x: x["entity_id"]).alias("ids"), F.array_join(line, "; ").alias("text"))
+    g = details.groupBy("filename").agg(
+        F.max(F.round(F.coalesce("total_frames", F.lit(0)) / F.greatest(F.coalesce("fps", F.lit(30.0)), F.lit(1.0)), 2)).alias("duration_sec"),
+        F.bool_or("pred_anomaly").alias("is_anomaly"), F.max("pred_score").alias("confidence"), F.coalesce(F.max("category"), F.lit("unknown")).alias("scene_type"), F.array_sort(F.collect_list(part)).alias("_p"),
     )
+    texts = F.array_join(F.filter(F.transform("_p", lambda x: x["text"]), lambda t: t != ""), "; ")
+    ids = F.flatten(F.transform("_p", lambda x: x["ids"]))
+    return g.select("filename", "duration_sec", "is_anomaly", "confidence", "scene_type", ids.alias("anomaly_entity_ids"), F.when(F.size(ids) > 0, texts).otherwise("No anomaly detected.").alias("summary"))
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
