@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from chronotrace.functions import actions as ac
-from chronotrace.operators import frames as fr, regions as rg, scoring as sc, signals as sg, stateful as st, templates as tp, temporal_graph as tg
+from chronotrace.operators import frames as fr, pulses as pu, regions as rg, scoring as sc, signals as sg, stateful as st, templates as tp, temporal_graph as tg
 from chronotrace.operators.ordered import Lane, join_on
+from chronotrace.params import GlobalHeartbeatParams
 from chronotrace.plans import views as v
 from chronotrace.plans.registry import query
 from chronotrace.plans.text_queries import alignment_sql, vocab
@@ -61,12 +62,16 @@ nx AS MATERIALIZED (SELECT a.video_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a
 f AS (SELECT video_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.i = f.i)
 SELECT o.event_id, 'periodic' AS reason FROM f JOIN o USING (video_id, i)""", "obs")
 def pulse(spark, d):
-    return st.global_heartbeats(_vec64(spark, d), st.GlobalHeartbeatParams(drift=9.0)).select("event_id", "reason")
+    return pu.global_heartbeats(_vec64(spark, d), GlobalHeartbeatParams(drift=9.0)).select("event_id", "reason")
 
 
-@query("st05_global_heartbeat_drift")
+@query("st05_global_heartbeat_drift", """WITH RECURSIVE o AS MATERIALIZED (SELECT video_id, event_id, t, CAST(vec AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM obs_vec),
+r AS (SELECT video_id, i, event_id, t, CAST(0 AS DOUBLE) AS drift, true AS due, false AS moved, t AS last, x AS base FROM o WHERE i = 1
+ UNION ALL SELECT video_id, i, event_id, t, drift, due, moved, CASE WHEN due OR moved THEN t ELSE last END, CASE WHEN moved THEN x ELSE base END FROM (
+  SELECT o.*, 1 - list_inner_product(o.x, r.base) AS drift, o.t - r.last >= 4.0 AS due, 1 - list_inner_product(o.x, r.base) > 1.1 AS moved, r.last, r.base FROM r JOIN o ON o.video_id = r.video_id AND o.i = r.i + 1))
+SELECT video_id, t, event_id, CASE WHEN moved THEN 'drift' ELSE 'periodic' END AS reason, round(CASE WHEN i = 1 THEN 1 - list_inner_product(base, base) ELSE drift END, 5) AS drift FROM r WHERE due OR moved""", "obs_vec")
 def pulse_drift(spark, d):
-    return st.global_heartbeats(_vec64(spark, d), st.GlobalHeartbeatParams(drift=1.1)).withColumn("drift", F.round("drift", 5))
+    return pu.global_heartbeats(_vec64(spark, d), GlobalHeartbeatParams(drift=1.1)).withColumn("drift", F.round("drift", 5))
 
 
 def _counts(spark, d):
@@ -171,7 +176,7 @@ def silent_stream(spark, d):
 
 @query("st05_global_heartbeat_stream")
 def pulse_stream(spark, d):
-    return rt.run_split(so.stream_global_heartbeats(_vec_stream(spark, d), st.GlobalHeartbeatParams(drift=1.1)), "pulses")[0].withColumn("drift", F.round("drift", 5))
+    return rt.run_split(so.stream_global_heartbeats(_vec_stream(spark, d), GlobalHeartbeatParams(drift=1.1)), "pulses")[0].withColumn("drift", F.round("drift", 5))
 
 
 @query("st08_incremental_graph", """WITH n AS (SELECT video_id, entity_id, event_id, row_number() OVER w - 1 AS seq, round(t - lag(t) OVER w, 6) AS duration, lag(action) OVER w||' → '||action AS action_transition, round(sum(energy) OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 6) AS running_energy FROM nodes WINDOW w AS (PARTITION BY video_id, entity_id ORDER BY t, event_id)) SELECT * FROM n""", "nodes")
@@ -275,7 +280,7 @@ nx AS MATERIALIZED (SELECT a.video_id, a.i, min(b.i) AS j FROM o a JOIN o b ON a
 f AS (SELECT video_id, i FROM o WHERE i = 1 UNION ALL SELECT f.video_id, nx.j FROM f JOIN nx ON nx.video_id = f.video_id AND nx.i = f.i)
 SELECT o.event_id, 'periodic' AS reason, CAST(NULL AS VARCHAR) AS set_aside FROM f JOIN o USING (video_id, i) UNION ALL SELECT event_id, NULL, 'late' FROM m WHERE late""").removeprefix("WITH "), "obs")
 def late_pulses(spark, d):
-    p = st.GlobalHeartbeatParams(interval=4.0, drift=9.0)
+    p = GlobalHeartbeatParams(interval=4.0, drift=9.0)
     n = v.vectors(spark, d)
     found = _two_arrivals(spark, d, lambda s: so.stream_global_heartbeats(_with_vectors(s, n), p), "late-pulses")
     return _marked(found, ("reason",))

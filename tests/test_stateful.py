@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronotrace.operators import scoring, similarity, stateful as st
+from chronotrace.operators import pulses as pu, scoring, similarity, stateful as st
 from chronotrace.operators.ordered import Lane
 from chronotrace.params import BoxFusionParams, GlobalHeartbeatParams, PoolParams, SegmentationParams, TrackerParams, TriggerParams
 
@@ -80,7 +80,7 @@ def test_silent_heartbeats(spark, dense):
 @pytest.mark.parametrize("gated", [True, False])
 def test_global_heartbeat(spark, gated):
     p, prm = log(seed=6), GlobalHeartbeatParams(interval=2.0, drift=1.0)
-    got = {(r.event_id, r.reason) for r in st.global_heartbeats(frame_of(spark, p), prm, gated).collect()}
+    got = {(r.event_id, r.reason) for r in pu.global_heartbeats(frame_of(spark, p), prm, gated).collect()}
     want = set()
     for _, g in p.groupby("video_id"):
         base, last = None, -999.0
@@ -269,3 +269,26 @@ def test_expand_range_over_blocks(spark):
     for step in (1, 3):
         got = sorted((r.video_id, r.frame_idx) for r in expand_range(df, F.col("a"), F.col("b"), step=step, block=4).collect())
         assert got == sorted([(0, i) for i in range(0, 23, step)] + [(1, 5)])
+
+
+@pytest.mark.parametrize("rounds,limit", [(8, 0.6), (8, 0.2), (8, 5.0), (1, 0.3)])
+def test_baseline_moves_over_many_blocks(spark, monkeypatch, rounds, limit):
+    """One recording over many blocks of few rows; with too few rounds the pass in order takes over."""
+    monkeypatch.setattr(pu, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(4)
+    n = 400
+    x = np.cumsum(rng.normal(size=(n, 6)) * (rng.random(n) < 0.2)[:, None], axis=0) + rng.normal(size=6)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(v, float(i), i, x[(i * (v + 1)) % n].tolist()) for v in range(2) for i in range(n if v == 0 else 37)]
+    d = spark.createDataFrame(rows, "video_id long, t double, event_id long, vec array<double>").repartition(6)
+    got = {(r.video_id, r.event_id): (round(r.drift, 9), r.moved) for r in pu.moving_baseline(d, limit, rounds).collect()}
+    want = {}
+    for v in range(2):
+        base = None
+        for _, t, i, y in (r for r in rows if r[0] == v):
+            base = np.array(y) if base is None else base
+            drift = 1 - float(np.array(y) @ base)
+            want[v, i] = (round(drift, 9), drift > limit)
+            base = np.array(y) if drift > limit else base
+    assert got == want
+    assert (sum(m for _, m in got.values()) > 0) == (limit < 1)

@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from chronotrace.operators import stateful as st
+from chronotrace.operators import pulses as pu, stateful as st
+from chronotrace.params import GlobalHeartbeatParams
 from chronotrace.plans import stateful_queries as q, views as v
 from chronotrace.session import cut
 from chronotrace.streaming import operators as so, runtime as rt
@@ -33,8 +34,8 @@ def test_streams_equal_batch(spark, sf_dir, tmp_path, monkeypatch):
     batch = {(r.event_id, r.rule) for r in st.trigger_rows(obs, v.ENTITY_LANE, q.NEVER).collect()}
     got = rt.run_available(so.stream_triggers(q._vec_stream(spark, sf_dir), q.NEVER), "t").filter("not silent")
     assert {(r.event_id, r.rule) for r in got.collect()} == batch
-    p = st.GlobalHeartbeatParams(drift=1.1)
-    batch = {(r.event_id, r.reason) for r in st.global_heartbeats(obs, p).collect()}
+    p = GlobalHeartbeatParams(drift=1.1)
+    batch = {(r.event_id, r.reason) for r in pu.global_heartbeats(obs, p).collect()}
     got = rt.run_available(so.stream_global_heartbeats(q._vec_stream(spark, sf_dir), p), "g")
     assert {(r.event_id, r.reason) for r in got.collect()} == batch
     g = rt.run_available(so.stream_graph(q._obs_stream(spark, sf_dir)), "n").groupBy("entity_id").agg(F.max("seq").alias("m"), F.count(F.lit(1)).alias("n"))
