@@ -262,7 +262,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
 
 
-MOST_SENT_CLASSES = 200_000  # two numbers each
+MOST_SENT_CLASSES = 1_000_000  # two numbers each
 
 
 class _Sets:
@@ -379,9 +379,11 @@ def _class_links(d: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     sizes = at.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("g").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
     # sizes of sets that are alike differ by less than one level, so an n-gram met by many is met in parts
-    mixed = at.join(sizes, "g").withColumn("level", F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0)))
-    x, y = mixed.filter("comp <> largest").alias("x"), mixed.withColumn("level", F.explode(F.array([F.col("level") + k for k in (-1, 0, 1)]))).alias("y")
-    apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.largest")) | (F.col("x.c") < F.col("y.c")))
+    level = F.floor(F.log("n") / F.lit(math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0))
+    mixed = at.join(sizes, "g").select("g", "c", "n", "pos", "comp", (F.col("comp") == F.col("largest")).alias("main"), level.alias("level"))
+    x = mixed.filter("not main").withColumn("level", F.explode(F.array([F.col("level") + k for k in (-1, 0, 1)]))).alias("x")
+    y = mixed.alias("y")
+    apart = (F.col("x.comp") != F.col("y.comp")) & (F.col("y.main") | (F.col("x.c") < F.col("y.c")))
     near = _may_link(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
     same = (F.col("x.g") == F.col("y.g")) & (F.col("x.level") == F.col("y.level"))
     pairs = x.join(y, same & apart & near).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()

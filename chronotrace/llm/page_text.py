@@ -47,9 +47,9 @@ ASIDE_NAMES = frozenset(
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE, PLAIN, MAIN = 0, 1, 2
 COPY_SHARE = 0.8
-#: A line is common on a host of so many different pages if it is on more than this share of them ...
+#: A line is common on a host if at least so many different pages have it, and more than this share of all ...
 LEAST_COMMON, COMMON_SHARE = 3, 0.5
-#: ... and is template even inside an article if it is on nearly all.
+#: ... and is template even inside an article if at least so many and nearly all have it.
 LEAST_EVERYWHERE, EVERYWHERE_SHARE = 5, 0.9
 BROADCAST_SITES = 2_000
 _BESIDE = pa.struct([("path", pa.string()), ("lines", pa.binary())])
@@ -196,10 +196,10 @@ def common_on_site(d: DataFrame) -> DataFrame:
     """``site, common, everywhere``: lines on most and on nearly all different pages of a host. Pages
     with equal lines count once. At most two and two lines for every line of its average page."""
     d = d.select("site", "lines", F.xxhash64("lines").alias("kind")).dropDuplicates(["site", "kind"])
-    sizes = d.groupBy("site").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_COMMON)
-    n = d.mapInArrow(_each_line, "site long, line long").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = d.groupBy("site").agg(F.count(F.lit(1)).alias("size"))
+    n = d.mapInArrow(_each_line, "site long, line long").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_COMMON)
     n = n.join(sizes, "site").filter(F.col("n") > F.col("size") * COMMON_SHARE)
-    throughout = (F.col("size") >= LEAST_EVERYWHERE) & (F.col("n") >= F.col("size") * EVERYWHERE_SHARE)
+    throughout = (F.col("n") >= LEAST_EVERYWHERE) & (F.col("n") >= F.col("size") * EVERYWHERE_SHARE)
     return n.groupBy("site").agg(F.collect_list("line").alias("common"), F.collect_list(F.when(throughout, F.col("line"))).alias("everywhere"))
 
 
@@ -248,16 +248,38 @@ def _beside_run(batches_in):
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "shared"])
 
 
+#: What becomes of a line: in the text; or gone because the page beside has it, because of its markup, or both;
+#: or shared and back because it stands in an article.
+KEPT, BY_DIFFERENCE, BY_MARKUP, BY_BOTH, RESTORED = range(5)
+
+
+def decide(role: int, shared: bool, everywhere: bool) -> int:
+    if role == ASIDE:
+        return BY_BOTH if shared else BY_MARKUP
+    if not shared:
+        return KEPT
+    return RESTORED if role == MAIN and not everywhere else BY_DIFFERENCE
+
+
+def _decided(html: str | None, shared: list[int] | None) -> list[tuple[str, int]]:
+    gone = set(shared or ())
+    return [(x, decide(role, i in gone or ~i in gone, ~i in gone)) for i, (x, role) in enumerate(blocks(html))]
+
+
 def _text(batches_in):
     for batch in batches_in:
         for part in batches(batch, column=2):
-            texts = []
-            for html, shared in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                gone = set(shared or ())
-                texts.append("\n".join(x for i, (x, role) in enumerate(blocks(html)) if role != ASIDE and ~i not in gone and (role == MAIN or i not in gone)))
+            texts = ["\n".join(x for x, d in _decided(html, shared) if d in (KEPT, RESTORED)) for html, shared in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
+def _tally(batches_in):
+    for batch in batches_in:
+        for part in batches(batch, column=1):
+            seen = [[d for _, d in _decided(html, shared)] for html, shared in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([s.count(k) for s in seen], pa.int64()) for k in range(5)]], ["page_id", "kept", "by_difference", "by_markup", "by_both", "restored"])
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
     """``key, shared``: for each page key the numbers of the lines that its nearest different page has too,
     as -1 - number where nearly all pages of the host have the line.
@@ -289,6 +311,21 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min("shared").alias("shared"))
 
 
+def _with_shared(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    d = d.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    return d.join(shared_lines(d), "key", "left")
+
+
+def line_decisions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Per page: ``page_id, kept, by_difference, by_markup, by_both, restored``, the numbers of lines that
+    stay, that go because the page beside has them, because of their markup, or both, and of shared lines
+    that stay because they stand in an article."""
+    d = _with_shared(pages, id_col, url_col, html_col).select("page_id", "html", "shared")
+    kind = d.schema["page_id"].dataType.simpleString()
+    return d.mapInArrow(_tally, f"page_id {kind}, kept long, by_difference long, by_markup long, by_both long, restored long")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: ``page_id, url, text, n_chars``.
 
@@ -297,8 +334,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     null or odd URL belongs to the host and path that can be read from it; rows that repeat are answered
     alike; an empty table gives an empty result; other columns are not read.
     """
-    d = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    d = d.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    shared = shared_lines(d)
+    d = _with_shared(pages, id_col, url_col, html_col)
     kind = d.schema["page_id"].dataType.simpleString()
-    return d.join(shared, "key", "left").select("page_id", "url", "html", "shared").mapInArrow(_text, f"page_id {kind}, url string, text string, n_chars long")
+    return d.select("page_id", "url", "html", "shared").mapInArrow(_text, f"page_id {kind}, url string, text string, n_chars long")

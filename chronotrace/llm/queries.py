@@ -48,7 +48,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_source_mix", SOURCE_MIX_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = source_mix.mixed_totals(narratives(spark, sf_dir))
-    return mix.select(F.col("video_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mix.select(F.col("video_id").alias("doc_id"), "size", "source_size", "target", "taken", "first_slot")
 
 
 @query("op4_quality_rules", QUALITY_SQL)
@@ -95,7 +95,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = narratives(spark, sf_dir).withColumn("held_out", crc_rest(5) == 0)
     model = language.fit_language_model(d.withColumn("learn", ~F.col("held_out")), learn_col="learn")
     found = language.predict_language(d, model, keep=("video_id", "held_out"))
-    return found.select(F.col("video_id").alias("doc_id"), "held_out", "lang_pred", "score")
+    return found.select(F.col("video_id").alias("doc_id"), "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
 @query("op3_toxicity")

@@ -137,21 +137,22 @@ def mixed_totals(
     narratives: DataFrame, id_col: str = "video_id", text_col: str = "narrative", category_col: str = "category",
     weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 1024, seed: str = "mix",
 ) -> DataFrame:
-    """Per narrative: ``video_id, category, size, source_size, target, taken, first_passes``.
+    """Per narrative: ``video_id, category, size, source_size, target, taken, first_passes, first_slot``.
 
-    ``size`` counts words, ``taken`` the words that the mix takes of it over all passes, and
-    ``first_passes`` the passes that take its first word. Null and blank narratives have size 0 and
+    ``size`` counts words, ``taken`` the words that the mix takes of it over all passes,
+    ``first_passes`` the passes that take its first word, and ``first_slot`` the slot of the schedule in
+    which it comes first (null if it never does): in this order the narratives are mixed. Null and blank narratives have size 0 and
     nothing taken; a null category is a category of its own, after the others; rows that repeat are
     separate rows; an empty table gives an empty result. Other columns of the input are not read.
     """
     sized = _sized(narratives, id_col, text_col, category_col, seed)
     targets = cut(category_targets(sized, weights, share, most, block))
     placed = cut(_placed(sized, targets))
-    got = _pieces(placed, targets, block).groupBy("s", "start").agg(F.sum("n_words").alias("got"), F.sum(F.when(F.col("first_word") == 0, 1).otherwise(0)).alias("heads"))
+    got = _pieces(placed, targets, block).groupBy("s", "start").agg(F.sum("n_words").alias("got"), F.sum(F.when(F.col("first_word") == 0, 1).otherwise(0)).alias("heads"), F.min("slot").alias("first_slot"))
     got = got.withColumnRenamed("start", "_start").withColumnRenamed("s", "_s")
     hit = (placed["s"] == got["_s"]) & (placed["start"] == got["_start"]) & (placed["size"] > 0)
     return placed.join(got, hit, "left").select(
-        "video_id", "category", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("heads", F.lit(0)).cast("long").alias("first_passes")
+        "video_id", "category", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("heads", F.lit(0)).cast("long").alias("first_passes"), "first_slot"
     )
 
 

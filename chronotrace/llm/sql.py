@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chronotrace.llm.quality import PRIOR, ROUNDS, RULES, START_BAD, START_GOOD
-from chronotrace.llm.source_mix import KEY_BITS, WEIGHTS
+from chronotrace.llm.source_mix import KEY_BITS, PHI, WEIGHTS
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -24,13 +24,27 @@ l AS (
 f AS (SELECT arg_min(level, (cap / w, s)) FILTER (cap >= level * w) AS level FROM l),
 t AS (SELECT l.*, least(cap, coalesce(f.level * w, cap)) AS target, floor(least(cap, coalesce(f.level * w, cap)) + 0.5)::BIGINT AS quota FROM l, f),
 p AS (
-  SELECT d.*, t.source_size, t.target, t.quota,
+  SELECT d.*, t.s, t.source_size, t.target, t.quota,
          coalesce(sum(size) OVER (PARTITION BY t.s ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (quota // source_size) * size
-         + greatest(0, least(a + size, quota % source_size) - a) END::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT s, quota, n, (sum(n) OVER (ORDER BY s) - n)::BIGINT AS lo, (sum(n) OVER ())::BIGINT AS every
+  FROM (SELECT s, quota, (quota + 1023) // 1024 AS n FROM t)),
+g AS (
+  SELECT slot, least(floor(((slot + 1) * {PHI}::DOUBLE - floor((slot + 1) * {PHI}::DOUBLE)) * every)::BIGINT, every - 1) AS x
+  FROM (SELECT unnest(range(0, every)) AS slot, every FROM (SELECT max(every) AS every FROM c))),
+r AS (SELECT c.s, slot, row_number() OVER (PARTITION BY c.s ORDER BY slot) - 1 AS r FROM g JOIN c ON x >= lo AND x < lo + n),
+due AS (SELECT s, every, lo, unnest(range(got, n)) AS r FROM (SELECT c.*, (SELECT count(*) FROM r WHERE r.s = c.s) AS got FROM c)),
+b AS (
+  SELECT k.s, slot, r * 1024 AS lo, least((r + 1) * 1024, c.quota) AS hi
+  FROM (SELECT r.s, slot, r FROM r JOIN c ON c.s = r.s AND r < n UNION ALL SELECT s, every + lo + r, r FROM due) k JOIN c ON c.s = k.s),
+z AS (SELECT s, a, size, unnest(range(0, quota // source_size + 1)) * source_size + a AS at FROM p WHERE size > 0),
+h AS (SELECT z.s, z.a, min(slot) AS first_slot FROM z JOIN b ON b.s = z.s AND b.lo < z.at + z.size AND z.at < b.hi GROUP BY ALL)
+SELECT doc_id, p.size, source_size, target,
+       CASE WHEN p.size = 0 THEN 0 ELSE (quota // source_size) * p.size
+         + greatest(0, least(p.a + p.size, quota % source_size) - p.a) END::BIGINT AS taken,
+       CASE WHEN p.size > 0 THEN first_slot END AS first_slot
+FROM p LEFT JOIN h ON h.s = p.s AND h.a = p.a
 """
 
 

@@ -74,6 +74,25 @@ def test_mix_prefixes_are_mixed_alike(narratives):
             assert abs(sum(r["n_words"] for r in got if r["category"] == s and r["slot"] < upto) - w * upto) < 32 * 4
 
 
+def test_first_slots_are_those_of_the_schedule(narratives):
+    """Which slot a narrative comes in follows from the golden-ratio points, not from sizes alone."""
+    rows = [(i, "w " * (1 + i % 40), f"s{i % 3}") for i in range(400)]
+    pieces = source_mix.mixed_pieces(narratives(rows), block=32).collect()
+    first = {}
+    for r in pieces:
+        first[r["video_id"]] = min(r["slot"], first.get(r["video_id"], r["slot"]))
+    got = {r["video_id"]: r["first_slot"] for r in source_mix.mixed_totals(narratives(rows), block=32).collect()}
+    assert got == {i: first.get(i) for i, _, _ in rows}
+    owner = {r["slot"]: r["category"] for r in pieces}
+    slots = len(owner)
+    due = {c: sum(v == c for v in owner.values()) for c in ("s0", "s1", "s2")}
+    bounds = [0, due["s0"], due["s0"] + due["s1"], slots]
+    for t in range(min(300, slots)):
+        x = int(((t + 1) * source_mix.PHI) % 1 * slots)
+        want = next(c for c, hi in zip(("s0", "s1", "s2"), bounds[1:]) if x < hi)
+        assert owner.get(t, want) == want
+
+
 def test_mix_edges(narratives, odd_rows):
     got = source_mix.mixed_totals(narratives(odd_rows)).collect()
     assert len(got) == len(odd_rows)

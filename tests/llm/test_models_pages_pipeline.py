@@ -235,3 +235,23 @@ def test_the_rest_does_not_need_this_folder():
     for f in (root / "chronotrace").rglob("*.py"):
         if "llm" not in f.parts:
             assert "chronotrace.llm" not in f.read_text(), f
+
+
+def test_differencing_decides_where_markup_does_not(spark):
+    """Template lines in plain blocks: only the page beside tells them from the article. Without a page
+    beside, they stay."""
+    body = lambda k: "".join(f"<div>Paragraph {k} {i} tells of something else {k * 7 + i}.</div>" for i in range(4))
+    page = lambda k: f"<html><body><div>Harbour Gazette</div><div>All the news of the port</div>{body(k)}<div>Printed by the harbour office</div></body></html>"
+    pages = spark.createDataFrame([(k, f"http://port.example/news/{k}", page(k)) for k in range(6)], "page_id long, url string, html string")
+    for r in page_text.line_decisions(pages).collect():
+        assert (r["kept"], r["by_difference"], r["by_markup"], r["by_both"], r["restored"]) == (4, 3, 0, 0, 0)
+    texts = {r["page_id"]: r["text"] for r in page_text.main_text(pages).collect()}
+    assert all(t.count("\n") == 3 and "Gazette" not in t and "Printed" not in t for t in texts.values())
+    alone = page_text.main_text(pages.filter("page_id = 0")).first()["text"]
+    assert "Gazette" in alone and "Printed" in alone
+
+
+def test_every_line_of_the_given_pages_is_accounted_for(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    for r in page_text.line_decisions(pages).join(pages, "page_id").collect():
+        assert r["kept"] + r["by_difference"] + r["by_markup"] + r["by_both"] + r["restored"] == len(page_text.blocks(r["html"]))
