@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronotrace.operators.ordered import Lane, islands, join_on, neighbours, running
+from chronotrace.operators.ordered import Lane, islands, join_on, neighbours, number_rows, running
 from chronotrace.session import cut
 
 BKT = "_bkt"
@@ -51,7 +51,12 @@ def points_in_intervals(
     return j.drop(BKT, lo, hi)
 
 
-def aggregate_points(
+START, POINT, END = 0, 1, 2
+#: Sums of whole slices are exact to this scale, so a range far into a long recording loses nothing.
+EXACT = "decimal(38,18)"
+
+
+def range_totals(
     intervals: DataFrame,
     points: DataFrame,
     keys: tuple[str, ...],
@@ -60,24 +65,98 @@ def aggregate_points(
     start: Column,
     end: Column,
     width: float,
-    aggs: list[Column],
+    sums: dict[str, Column] | None = None,
+    count: str = "n_points",
+    ends: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Every interval row with aggregates over the points it contains (closed ends).
-
-    Intervals are read once: their rows ride along the bucketed outer join and come back as
-    the first of their group, so there is no second join. Intervals without points stay.
+    """Every interval row with totals over the points of its keys that it contains (closed ends): the number
+    of points, ``sums``, and for each of ``ends`` its value at the first and last point (``first_`` and
+    ``last_`` name). Without points, or with an end missing or before the start, the count is 0 and the
+    rest null. ``ids`` tell intervals of one key apart.
+
+    No point meets an interval. Points and both ends of the intervals are put on one axis, cut into slices
+    of ``width``, and prefix sums run along it; a total is the difference of two. Only the ends of intervals
+    are joined with what stands before their slice, and they carry the interval's other columns along, so
+    rows moved are those of both inputs whatever the intervals cover.
     """
+    sums, ends = sums or {}, ends or {}
     rest = [c for c in intervals.columns if c not in (*keys, *ids)]
-    i = intervals.withColumn("_lo", start).withColumn("_hi", end)
-    spread = F.when(F.col("_hi") >= F.col("_lo"), F.sequence(_bucket(F.col("_lo"), width), _bucket(F.col("_hi"), width)))
-    i = i.withColumn(BKT, F.explode_outer(spread))
-    p = points.select(*[F.col(k).alias(f"_p_{k}") for k in keys], *[c for c in points.columns if c not in keys], _bucket(F.col(point), width).alias("_p_bkt"))
-    on = (F.col(BKT) == F.col("_p_bkt")) & (F.col(point) >= F.col("_lo")) & (F.col(point) <= F.col("_hi"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_p_{k}"))
-    j = i.join(p, on, "left")
-    g = j.groupBy(*keys, *ids).agg(F.first(F.struct(*rest)).alias("_row"), *aggs)
-    return g.select(*keys, *ids, *[F.col("_row")[c].alias(c) for c in rest], *[c for c in g.columns if c not in (*keys, *ids, "_row")])
+    nothing = intervals.select(F.struct(*ids, *rest).alias("_row")).schema["_row"].dataType
+    x = [e.cast("double").alias(f"_s{i}") for i, e in enumerate(sums.values())]
+    e_ = [e.alias(f"_e{i}") for i, e in enumerate(ends.values())]
+    p = points.filter(F.col(point).isNotNull()).select(*keys, F.col(point).cast("double").alias("_at"), F.lit(POINT).alias("_what"), F.lit(None).cast(nothing).alias("_row"), F.lit(None).cast("long").alias("_id"), *x, *e_)
+    void = [F.lit(None).cast(p.schema[c].dataType).alias(c) for c in p.columns if c.startswith(("_s", "_e"))]
+    both = intervals.select(*keys, F.struct(*ids, *rest).alias("_row"), F.xxhash64(*keys, *ids).alias("_id"), start.cast("double").alias("_lo"), end.cast("double").alias("_hi"))
+    lo = both.select(*keys, F.col("_lo").alias("_at"), F.lit(START).alias("_what"), "_row", "_id", *void)
+    hi = both.select(*keys, F.col("_hi").alias("_at"), F.lit(END).alias("_what"), F.lit(None).cast(nothing).alias("_row"), "_id", *void)
+    d = p.unionByName(lo).unionByName(hi).withColumn("_slice", F.floor(F.col("_at") / F.lit(float(width))).cast("long"))
+    is_point = F.col("_what") == POINT
+    ties = [f"_e{i}" for i in range(len(ends))]  # of points at the same place the least is first
+    order = W.partitionBy(*keys, "_slice").orderBy("_at", "_what", *ties)
+    upto, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    local = [F.count(F.when(is_point, 1)).over(upto).alias("_n")]
+    local += [F.sum(f"_s{i}").over(upto).alias(f"_ls{i}") for i in range(len(sums))]
+    value = lambda i: F.when(is_point, F.struct(F.col(f"_e{i}").alias("v")))
+    local += [F.last(value(i), ignorenulls=True).over(upto).alias(f"_ll{i}") for i in range(len(ends))]
+    local += [F.first(value(i), ignorenulls=True).over(after).alias(f"_lf{i}") for i in range(len(ends))]
+    bounds = d.select(*keys, "_slice", "_at", "_what", "_row", "_id", *local).filter(~is_point)
+    here = F.struct("_at", *ties)
+    per = d.filter(is_point).groupBy(*keys, "_slice").agg(
+        F.count(F.lit(1)).alias("_tn"), *[F.sum(f"_s{i}").cast(EXACT).alias(f"_ts{i}") for i in range(len(sums))],
+        *[f(F.struct(F.col(f"_e{i}").alias("v")), here).alias(n) for i in range(len(ends)) for f, n in ((F.max_by, f"_tl{i}"), (F.min_by, f"_tf{i}"))],
+    )
+    # slices in which only intervals end have totals too: those of the slices before them
+    every = bounds.select(*keys, "_slice").unionByName(per.select(*keys, "_slice")).distinct()
+    same = [*keys, "_slice"]
+    per = join_on(every.filter(F.col("_slice").isNotNull()), per, same, "left")
+    w = W.partitionBy(*keys).orderBy("_slice")
+    before, behind = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    per = per.select(
+        *same, F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_bn"), *[F.coalesce(F.sum(f"_ts{i}").over(before), F.lit(0).cast(EXACT)).cast(EXACT).alias(f"_bs{i}") for i in range(len(sums))],
+        *[F.last(f"_tl{i}", ignorenulls=True).over(before).alias(f"_bl{i}") for i in range(len(ends))], *[F.first(f"_tf{i}", ignorenulls=True).over(behind).alias(f"_bf{i}") for i in range(len(ends))],
+    )
+    j = join_on(bounds, per, same, "left")
+    at = lambda what, c: F.max(F.when(F.col("_what") == what, c))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    aggs = [F.first("_row", ignorenulls=True).alias("_row"), F.count("_at").alias("_both")]
+    aggs += [(at(END, F.col("_n") + F.col("_bn")) - at(START, F.col("_n") + F.col("_bn"))).alias("_c")]
+    for i in range(len(sums)):
+        aggs += [(at(END, F.col(f"_bs{i}")) - at(START, F.col(f"_bs{i}"))).cast("double").alias(f"_whole{i}"), (at(END, zero(f"_ls{i}")) - at(START, zero(f"_ls{i}"))).alias(f"_part{i}")]
+    for i in range(len(ends)):
+        aggs += [at(START, F.coalesce(f"_lf{i}", f"_bf{i}")).alias(f"_first{i}"), at(END, F.coalesce(f"_ll{i}", f"_bl{i}")).alias(f"_last{i}")]
+    g = j.groupBy(*keys, "_id").agg(*aggs)
+    some = (F.col("_both") == 2) & (F.col("_c") > 0)
+    out = [F.when(some, F.col("_c")).otherwise(0).cast("long").alias(count)]
+    out += [F.when(some, F.col(f"_whole{i}") + F.col(f"_part{i}")).alias(n) for i, n in enumerate(sums)]
+    out += [F.when(some, F.col(f"_{side}{i}")["v"]).alias(f"{side}_{n}") for i, n in enumerate(ends) for side in ("first", "last")]
+    return g.select(*keys, *[F.col("_row")[c].alias(c) for c in (*ids, *rest)], *out)
+
+
+def range_maxima(intervals: DataFrame, points: DataFrame, keys: tuple[str, ...], ids: tuple[str, ...], point: str, start: Column, end: Column, width: float, value: str, name: str) -> DataFrame:
+    """Every interval row with the largest ``value`` of the points it contains (closed ends), null without.
+
+    Points are numbered in order; a range of them is the union of two runs of 2^k points, and the maxima of
+    such runs double from level to level, for as many levels as the longest range needs. Rows moved are the
+    points once per level and two look-ups per interval.
+    """
+    p = number_rows(points.filter(F.col(point).isNotNull()).select(*keys, F.col(point).alias("_pt"), F.col(value).cast("double").alias("_v")).withColumn("_u", F.monotonically_increasing_id()), Lane(keys, ("_pt", "_u"), width), "_pos")
+    p = cut(p.select(*keys, "_pt", "_pos", "_v"))
+    r = range_totals(intervals, p, keys, ids, "_pt", start, end, width, ends={"pos": F.col("_pos")}, count="_k")
+    level = F.floor(F.log2(F.col("_k"))).cast("int")
+    r = cut(r.withColumn("_level", F.when(F.col("_k") > 0, level)))
+    top = r.agg(F.max("_level").alias("l")).first()["l"]
+    ask = r.filter("_level is not null").select(*keys, *ids, "_level", F.explode(F.array(F.col("first_pos"), F.col("last_pos") + 1 - F.pow(F.lit(2.0), F.col("_level")).cast("long"))).alias("_pos"))
+    found, runs = None, p.select(*keys, "_pos", "_v")
+    for k in range((top if top is not None else -1) + 1):
+        if k:
+            half = 1 << (k - 1)
+            runs = cut(join_on(runs, runs.select(*keys, (F.col("_pos") - half).alias("_pos"), F.col("_v").alias("_w")), (*keys, "_pos")).select(*keys, "_pos", F.greatest("_v", "_w").alias("_v")))
+        hit = join_on(ask.filter(F.col("_level") == k), runs, (*keys, "_pos")).select(*keys, *ids, "_v")
+        found = hit if found is None else found.unionByName(hit)
+    r = r.drop("_k", "_level", "first_pos", "last_pos")
+    if found is None:
+        return r.withColumn(name, F.lit(None).cast("double"))
+    return join_on(r, found.groupBy(*keys, *ids).agg(F.max("_v").alias(name)), (*keys, *ids), "left")
 
 
 def overlaps(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronotrace.operators.intervals import aggregate_points
+from chronotrace.operators.intervals import range_totals
 from chronotrace.operators.ordered import Lane, join_on, neighbours, number_rows
 from chronotrace.params import GraphParams
 
@@ -46,28 +46,26 @@ def link_nodes(nodes: DataFrame, lane: Lane) -> DataFrame:
 
 
 def add_trace_totals(edges: DataFrame, trace: DataFrame, keys: tuple[str, ...], stride: int = 1, bucket: float = EDGE_BUCKET) -> DataFrame:
-    """Energy, count and missing frames of the trace rows between both ends (inclusive)."""
-    tr = trace.select(*keys, F.col("t").alias("_tt"), F.col("frame_idx").alias("_tf"), F.col("energy").alias("_te"))
-    j = aggregate_points(
-        edges, tr, keys, ("edge_key",), "_tt", F.col("src_t"), F.col("dst_t"), bucket,
-        [F.sum("_te").alias("kinetic_integral"), F.count("_tt").alias("n_trace"), F.min("_tf").alias("_f0"), F.max("_tf").alias("_f1")],
+    """Energy, count and missing frames of the trace rows between both ends (inclusive). Frames rise with
+    time, so the first and the last trace row of an edge have its lowest and highest frame."""
+    j = range_totals(
+        edges, trace, keys, ("edge_key",), "t", F.col("src_t"), F.col("dst_t"), bucket, {"kinetic_integral": F.col("energy")}, "n_trace", {"frame": F.col("frame_idx")}
     )
-    missing = F.greatest(F.lit(0), F.floor((F.col("_f1") - F.col("_f0")) / stride) - F.col("n_trace"))
+    missing = F.greatest(F.lit(0), F.floor((F.col("last_frame") - F.col("first_frame")) / stride) - F.col("n_trace"))
     return (
         j.withColumn("missing_frames", F.when(F.col("n_trace") >= 2, missing).otherwise(0).cast("long"))
         .withColumn("kinetic_integral", F.coalesce("kinetic_integral", F.lit(0.0)))
-        .drop("_f0", "_f1")
+        .drop("first_frame", "last_frame")
     )
 
 
 def add_frame_energy(edges: DataFrame, frame_energy: DataFrame, bucket: float = 720.0) -> DataFrame:
     """Sum and mean of recording-level frame energies between both frames (inclusive)."""
-    fe = frame_energy.select("video_id", F.col("frame_idx").alias("_ff"), F.col("frame_energy").alias("_fe"))
-    j = aggregate_points(
-        edges, fe, ("video_id",), ("edge_key",), "_ff", F.col("src_frame_idx"), F.col("dst_frame_idx"), bucket,
-        [F.sum("_fe").alias("energy_integral"), F.avg("_fe").alias("energy_avg")],
+    j = range_totals(
+        edges, frame_energy, ("video_id",), ("edge_key",), "frame_idx", F.col("src_frame_idx"), F.col("dst_frame_idx"), bucket, {"energy_integral": F.col("frame_energy")}, "_n"
     )
-    return j.withColumn("energy_integral", F.coalesce("energy_integral", F.lit(0.0))).withColumn("energy_avg", F.coalesce("energy_avg", F.lit(0.0)))
+    total = F.coalesce("energy_integral", F.lit(0.0))
+    return j.withColumn("energy_avg", F.when(F.col("_n") > 0, total / F.col("_n")).otherwise(0.0)).withColumn("energy_integral", total).drop("_n")
 
 
 def edge_ids(edges: DataFrame) -> DataFrame:

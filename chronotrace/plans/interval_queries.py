@@ -112,8 +112,8 @@ def nearest_in_time(spark, d):
 @query("j12_energies_around_time", "SELECT v.video_id, v.entity_id, count(*) AS n, round(sum(o.energy), 9) AS e FROM verdicts v JOIN obs o ON o.video_id = v.video_id AND o.t BETWEEN v.break_ts - 2 AND v.break_ts + 2 GROUP BY ALL", "obs verdicts")
 def energies_around(spark, d):
     p = v.obs(spark, d).select("video_id", "t", "energy")
-    j = iv.points_in_intervals(p, v.verdicts(spark, d).select(*K, "break_ts"), ("video_id",), "t", F.col("break_ts") - 2, F.col("break_ts") + 2, 12.0)
-    return j.groupBy(*K).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("energy"), 9).alias("e"))
+    r = iv.range_totals(v.verdicts(spark, d).select(*K, "break_ts"), p, ("video_id",), ("entity_id",), "t", F.col("break_ts") - 2, F.col("break_ts") + 2, 12.0, {"e": F.col("energy")}, "n")
+    return r.filter("n > 0").select(*K, "n", F.round("e", 9).alias("e"))
 
 
 @query("j13_path_node_frame_energy", "SELECT n.event_id, round(fe.e, 9) AS frame_energy FROM nodes n LEFT JOIN (SELECT video_id, frame_idx, max(energy) AS e FROM obs GROUP BY ALL) fe USING (video_id, frame_idx)", "obs nodes")
@@ -171,11 +171,12 @@ def time_bins(spark, d):
 SELECT video_id, iv_idx, count(*) FILTER (inside) AS n_in, count(*) FILTER (NOT inside) AS n_near, round(avg(energy) FILTER (inside), 9) AS mean_in, round(max(energy) FILTER (NOT inside), 9) AS max_near FROM z GROUP BY ALL""", "obs ann")
 def in_and_near(spark, d):
     o = v.obs(spark, d).select("video_id", "frame_idx", "energy")
-    j = iv.points_in_intervals(o, v.ann(spark, d), ("video_id",), "frame_idx", F.col("s") - 100, F.col("e") + 100, 720.0)
-    ins = F.col("frame_idx").between(F.col("s"), F.col("e"))
-    return j.groupBy("video_id", "iv_idx").agg(
-        m.n_if(ins).alias("n_in"), m.n_if(~ins).alias("n_near"), F.round(F.avg(F.when(ins, F.col("energy"))), 9).alias("mean_in"), F.round(F.max(F.when(~ins, F.col("energy"))), 9).alias("max_near")
-    )
+    key, ids, s, e = ("video_id",), ("iv_idx",), F.col("s"), F.col("e")
+    inside = iv.range_totals(v.ann(spark, d).select("video_id", "iv_idx", "s", "e"), o, key, ids, "frame_idx", s, e, 720.0, {"e_in": F.col("energy")}, "n_in")
+    around = iv.range_totals(inside, o, key, ids, "frame_idx", s - 100, e + 100, 720.0, count="n_all").filter("n_all > 0")
+    left = iv.range_maxima(around, o, key, ids, "frame_idx", s - 100, s - 1, 720.0, "energy", "max_left")
+    both = iv.range_maxima(left, o, key, ids, "frame_idx", e + 1, e + 100, 720.0, "energy", "max_right")
+    return both.select("video_id", "iv_idx", "n_in", (F.col("n_all") - F.col("n_in")).alias("n_near"), F.round(F.col("e_in") / F.when(F.col("n_in") > 0, F.col("n_in")), 9).alias("mean_in"), F.round(F.greatest("max_left", "max_right"), 9).alias("max_near"))
 
 
 @query("a04_segment_stats", f"WITH {OVERLAP}, x AS (SELECT 'c'||seg_idx % 4 AS category, overlap > 0 AS c, overlap / CAST(end_frame - start_frame + 1 AS DOUBLE) AS r FROM ov) SELECT category, count(*) AS total_segments, count(*) FILTER (c) AS anomaly_segments, count(*) FILTER (NOT c) AS normal_segments, round(coalesce(avg(r) FILTER (c), 0), 9) AS avg_anomaly_overlap, round(count(*) FILTER (c) / CAST(count(*) AS DOUBLE), 9) AS anomaly_ratio FROM x GROUP BY ALL", "segs ann")

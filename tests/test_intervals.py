@@ -104,3 +104,43 @@ def test_hysteresis_and_smoothing(spark):
     for i in range(90):
         b = min(max(i - 3, 0), 83)
         assert abs(q[i] - np.polyval(np.polyfit(np.arange(7), x[b : b + 7], 2), i - b)) < 1e-9
+
+
+def test_range_totals_and_maxima_by_brute_force(spark):
+    r = np.random.default_rng(9)
+    pts = [(int(r.integers(0, 3)), float(r.integers(0, 60)), float(np.round(r.normal(), 3)), i) for i in range(200)]
+    pts = [(k, t, e, int(t * 2) + k) for k, t, e, _ in pts] + [(1, None, 5.0, 0)]
+    ivs = [(int(r.integers(0, 4)), i, float(a), float(a + r.integers(-3, 40))) for i, a in enumerate(r.integers(-10, 70, 80))] + [(0, 900, None, 5.0), (1, 901, 2.0, None), (2, 902, -5.0, 500.0), (2, 903, 10.0, 10.0)]
+    p = spark.createDataFrame(pts, "k long, t double, x double, f long")
+    i = spark.createDataFrame(ivs, "k long, id long, lo double, hi double").withColumn("label", F.lit("kept"))
+    for width in (1.0, 7.0, 1000.0):
+        tot = iv.range_totals(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), width, {"sx": F.col("x")}, "n", {"f": F.col("f")})
+        top = {x.id: x.m for x in iv.range_maxima(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), width, "x", "m").collect()}
+        rows = tot.collect()
+        assert len(rows) == len(ivs) == len(top)
+        for x in rows:
+            hit = [q for q in pts if q[0] == x.k and q[1] is not None and x.lo is not None and x.hi is not None and x.lo <= q[1] <= x.hi]
+            assert x.n == len(hit) and x.label == "kept"
+            if hit:
+                assert abs(x.sx - sum(q[2] for q in hit)) < 1e-9
+                assert (x.first_f, x.last_f) == (min(q[3] for q in hit), max(q[3] for q in hit))
+                assert top[x.id] == max(q[2] for q in hit)
+            else:
+                assert x.sx is None and x.first_f is None and top[x.id] is None
+
+
+def test_range_totals_far_into_a_long_axis(spark):
+    """Sums of whole slices are exact: small values after very large ones are not lost."""
+    p = spark.createDataFrame([(0, 0.0, 1e15), (0, 1.0, 0.1)] + [(0, 10.0 + i, 0.001) for i in range(50)], "k long, t double, x double")
+    i = spark.createDataFrame([(0, 1, 5.0, 100.0), (0, 2, 0.5, 2.0)], "k long, id long, lo double, hi double")
+    got = {r.id: r.sx for r in iv.range_totals(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 0.5, {"sx": F.col("x")}).collect()}
+    assert abs(got[1] - 0.05) < 1e-9 and abs(got[2] - 0.1) < 1e-9
+
+
+def test_range_totals_of_nothing(spark):
+    p = spark.createDataFrame([], "k long, t double, x double")
+    i = spark.createDataFrame([(0, 1, 5.0, 100.0)], "k long, id long, lo double, hi double")
+    (r,) = iv.range_totals(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 5.0, {"sx": F.col("x")}, "n").collect()
+    assert (r.n, r.sx) == (0, None)
+    assert iv.range_totals(i.filter("false"), p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 5.0).count() == 0
+    assert iv.range_maxima(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 5.0, "x", "m").first().m is None
