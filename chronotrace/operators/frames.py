@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,61 @@ def paint(df: DataFrame, lo: Column, hi: Column, value: Callable[[Column], Colum
     return expand_range(df, lo, hi).select("video_id", "frame_idx", value(F.col("frame_idx")).cast("double").alias("v"))
 
 
+def _whole_blocks(pieces: DataFrame) -> DataFrame:
+    """``video_id, block, v``: the largest constant of the pieces that cover a block between their ends.
+
+    The run of whole blocks of a piece is cut into halves of halves (two at most of each size), so its rows
+    grow with the logarithm of its length; the largest value of each part then goes down to its blocks.
+    """
+    runs = pieces.select("video_id", "v", (F.floor(F.col("lo") / EXPAND_BLOCK) + 1).alias("l"), F.floor((F.col("hi") - 1) / EXPAND_BLOCK).alias("r")).filter("l < r")
+    size = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+    up, down = lambda k: F.ceil(F.col("l") / size(k)).cast("long"), lambda k: F.floor(F.col("r") / size(k)).cast("long")
+    part = lambda k, at, on: F.when(on, F.struct(k.alias("level"), at.alias("at")))
+    at_level = lambda k: F.array(part(k, up(k), (up(k) % 2 == 1) & (up(k) < down(k))), part(k, down(k) - 1, (down(k) % 2 == 1) & (up(k) < down(k)) & ~((up(k) % 2 == 1) & (down(k) - 1 == up(k)))))
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.col("r") - F.col("l"))).cast("int"))
+    parts = runs.select("video_id", "v", F.inline(F.array_compact(F.flatten(F.transform(levels, at_level))))).groupBy("video_id", "level", "at").agg(F.max("v").alias("v"))
+    parts = cut(parts)
+    top = parts.agg(F.max("level").alias("k")).first()["k"]
+    here = None
+    for k in range(top if top is not None else -1, -1, -1):
+        mine = parts.filter(F.col("level") == k).select("video_id", "at", "v")
+        if here is not None:
+            mine = mine.unionByName(here.select("video_id", F.explode(F.array(F.col("at") * 2, F.col("at") * 2 + 1)).alias("at"), "v")).groupBy("video_id", "at").agg(F.max("v").alias("v"))
+        here = mine
+    here = parts.select("video_id", "at", "v").limit(0) if here is None else here
+    return here.withColumnRenamed("at", "block")
+
+
+def _paint_block(frames: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+    at = frames["frame_idx"].to_numpy()
+    start = int(at.min()) if len(at) else 0
+    best = np.full(int(at.max()) - start + 1 if len(at) else 0, np.nan)
+    for lo, hi, v, slope in zip(*(pieces[c].to_numpy() for c in ("lo", "hi", "v", "slope"))):
+        a, b = max(int(lo) - start, 0), min(int(hi) - start, len(best))
+        if a < b:
+            np.fmax(best[a:b], v + slope * np.arange(a + start - lo, b + start - lo), out=best[a:b])
+    return frames[["video_id", "frame_idx"]].assign(score=best[at - start] if len(at) else best)
+
+
+def paint_largest(spine: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``video_id, frame_idx, score``: for every frame of the spine the largest value of the pieces that
+    cover it, null where none does. A piece (``video_id, lo, hi, v, slope``) is ``v`` at frame ``lo`` and
+    ``slope`` more at each further frame below ``hi``.
+
+    Pieces are never filled frame by frame: a block of frames gets those that begin or end in it (sloping
+    ones in each block they touch) and one value for all that cover it as a whole.
+    """
+    flat = F.col("slope") == 0
+    p = pieces.filter("lo < hi").withColumns({"_b0": F.floor(F.col("lo") / EXPAND_BLOCK), "_b1": F.floor((F.col("hi") - 1) / EXPAND_BLOCK)})
+    touched = F.when(flat, F.array_distinct(F.array("_b0", "_b1"))).otherwise(F.sequence("_b0", "_b1"))
+    rows = p.select("video_id", F.explode(touched).alias("block"), "lo", "hi", "v", "slope")
+    whole = _whole_blocks(p.filter(flat)).select("video_id", "block", (F.col("block") * EXPAND_BLOCK).alias("lo"), ((F.col("block") + 1) * EXPAND_BLOCK).alias("hi"), "v", F.lit(0.0).alias("slope"))
+    f = spine.select("video_id", "frame_idx", F.floor(F.col("frame_idx") / EXPAND_BLOCK).alias("block"))
+    kind = {n: t for n, t in spine.dtypes}
+    schema = f"video_id {kind['video_id']}, frame_idx {kind['frame_idx']}, score double"
+    return f.groupBy("video_id", "block").cogroup(rows.unionByName(whole).groupBy("video_id", "block")).applyInPandas(_paint_block, schema)
+
+
 def with_length(df: DataFrame, total: int | DataFrame) -> DataFrame:
     """``df`` and ``_total``, the frames of its recording: one number for all, or a table of
     ``video_id, total_frames``, a row per recording."""
@@ -50,11 +107,21 @@ def with_length(df: DataFrame, total: int | DataFrame) -> DataFrame:
 
 def interval_mask(spine: DataFrame, intervals: DataFrame, total: int | DataFrame, end_inclusive: bool = False) -> DataFrame:
     """0/1 ground truth per frame. The end frame belongs to the interval only on request;
-    starts beyond the recording fall on its last frame."""
+    starts beyond the recording fall on its last frame. A frame is inside where more intervals have begun
+    than ended: running sums over the starts and ends put among the frames."""
     s = F.least(F.col("s"), F.col("_total") - 1).cast("long")
     e = F.least(F.col("e") + (1 if end_inclusive else 0), F.col("_total")).cast("long")
-    hit = paint(with_length(intervals, total), s, e, lambda f: F.lit(1.0)).groupBy("video_id", "frame_idx").agg(F.lit(1).alias("gt"))
-    return join_on(spine, hit, ("video_id", "frame_idx"), "left").withColumn("gt", F.coalesce("gt", F.lit(0)))
+    iv = with_length(intervals, total).select("video_id", s.alias("_s"), e.alias("_e")).filter("_s < _e")
+    turns = iv.select("video_id", F.inline(F.array(F.struct(F.col("_s").alias("frame_idx"), F.lit(1).alias("_d")), F.struct(F.col("_e").alias("frame_idx"), F.lit(-1).alias("_d")))))
+    turns = turns.groupBy("video_id", "frame_idx").agg(F.sum("_d").alias("_d")).withColumn("_what", F.lit(0))
+    kind = dict(spine.dtypes)["frame_idx"]
+    both = turns.select("video_id", F.col("frame_idx").cast(kind).alias("frame_idx"), "_d", "_what").unionByName(spine.select("video_id", "frame_idx", F.lit(0).cast("long").alias("_d"), F.lit(1).alias("_what")))
+    open_ = running(both, Lane(("video_id",), ("frame_idx", "_what"), EXPAND_BLOCK), {"_open": ("sum", F.col("_d"))})
+    return open_.filter("_what = 1").select("video_id", "frame_idx", F.when(F.col("_open") > 0, 1).otherwise(0).alias("gt"))
+
+
+def _piece(v: DataFrame, lo: Column, hi: Column, value: Column, slope: Column) -> DataFrame:
+    return v.select("video_id", lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), value.cast("double").alias("v"), slope.cast("double").alias("slope"))
 
 
 def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int | DataFrame, fps: float, ramp_sec: float = 5.0) -> DataFrame:
@@ -64,19 +131,15 @@ def ramp_scores(spine: DataFrame, verdicts: DataFrame, total: int | DataFrame, f
     n = int(ramp_sec * fps)
     lim = lambda c: F.greatest(F.lit(0), F.least(F.floor(c * fps), F.col("_total"))).cast("long")
     v = with_length(verdicts.filter("is_anomaly and end_sec > start_sec"), total).select("video_id", "_total", "confidence", lim(F.col("start_sec")).alias("a"), lim(F.col("end_sec")).alias("b"))
-    conf = F.col("confidence")
-    core = paint(v, F.col("a"), F.col("b"), lambda f: conf)
-    up = v.withColumn("_s", F.greatest(F.lit(0), F.col("a") - n).cast("long"))
-    k = lambda f: F.when(F.col("a") - F.col("_s") > 1, (f - F.col("_s")) / (F.col("a") - F.col("_s") - 1)).otherwise(0.0)
-    rise = paint(up, F.col("_s"), F.col("a"), lambda f: conf * 0.1 + conf * 0.7 * k(f))
-    down = v.withColumn("_e", F.least(F.col("_total"), F.col("b") + n).cast("long"))
-    q = lambda f: F.when(F.col("_e") - F.col("b") > 1, (f - F.col("b")) / (F.col("_e") - F.col("b") - 1)).otherwise(0.0)
-    fall = paint(down, F.col("b"), F.col("_e"), lambda f: conf * 0.8 - conf * 0.7 * q(f))
-    best = core.unionByName(rise).unionByName(fall).groupBy("video_id", "frame_idx").agg(F.max("v").alias("score"))
+    v = v.withColumns({"_s": F.greatest(F.lit(0), F.col("a") - n).cast("long"), "_e": F.least(F.col("_total"), F.col("b") + n).cast("long")})
+    a, b, conf, flat = F.col("a"), F.col("b"), F.col("confidence"), F.lit(0.0)
+    step = lambda m: F.when(m > 1, conf * 0.7 / (m - 1)).otherwise(0.0)
+    pieces = _piece(v, a, b, conf, flat).unionByName(_piece(v, F.col("_s"), a, conf * 0.1, step(a - F.col("_s")))).unionByName(_piece(v, b, F.col("_e"), conf * 0.8, -step(F.col("_e") - b)))
+    best = paint_largest(spine, pieces)
     flagged = verdicts.filter("is_anomaly").groupBy("video_id").agg(F.max("confidence").alias("_c"))
-    top = best.groupBy("video_id").agg(F.max("score").alias("_top"))
+    top = pieces.filter("lo < hi").groupBy("video_id").agg(F.max(F.greatest("v", F.col("v") + F.col("slope") * (F.col("hi") - 1 - F.col("lo")))).alias("_top"))
     fill = join_on(flagged, top, ("video_id",), "left").select("video_id", F.when(F.coalesce("_top", F.lit(0.0)) < 0.01, F.col("_c") * 0.2).alias("_fill"))
-    j = join_on(join_on(spine, best, ("video_id", "frame_idx"), "left"), fill, ("video_id",), "left")
+    j = join_on(best, fill, ("video_id",), "left")
     return j.select("video_id", "frame_idx", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("_fill", "score", F.lit(0.0)))).alias("score"))
 
 
@@ -90,14 +153,9 @@ def step_scores(spine: DataFrame, segments: DataFrame, total: int | DataFrame, f
         F.least(fl(F.least((total_ - 1) / F.lit(max(fps, 1e-6)), F.col("end_sec") + expand)), total_).alias("ef"),
         F.least(fl(F.col("start_sec")), total_ - 1).alias("cs"), F.least(fl(F.col("end_sec")), total_).alias("ce"),
     )
-    c = F.col("confidence")
-    parts = (
-        paint(s, F.col("sf"), F.col("cs"), lambda f: c * 0.6)
-        .unionByName(paint(s, F.col("cs"), F.col("ce"), lambda f: c))
-        .unionByName(paint(s, F.col("ce"), F.col("ef"), lambda f: c * 0.6))
-    )
-    best = parts.groupBy("video_id", "frame_idx").agg(F.max("v").alias("score"))
-    return join_on(spine, best, ("video_id", "frame_idx"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    c, flat = F.col("confidence"), F.lit(0.0)
+    pieces = _piece(s, F.col("sf"), F.col("cs"), c * 0.6, flat).unionByName(_piece(s, F.col("cs"), F.col("ce"), c, flat)).unionByName(_piece(s, F.col("ce"), F.col("ef"), c * 0.6, flat))
+    return paint_largest(spine, pieces).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def last_writer_scores(segments: DataFrame) -> DataFrame:

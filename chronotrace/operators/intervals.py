@@ -87,9 +87,9 @@ def range_totals(
     p = points.filter(F.col(point).isNotNull()).select(*keys, F.col(point).cast("double").alias("_at"), F.lit(POINT).alias("_what"), F.lit(None).cast(nothing).alias("_row"), F.lit(None).cast("long").alias("_id"), *x, *e_)
     void = [F.lit(None).cast(p.schema[c].dataType).alias(c) for c in p.columns if c.startswith(("_s", "_e"))]
     both = intervals.select(*keys, F.struct(*ids, *rest).alias("_row"), F.xxhash64(*keys, *ids).alias("_id"), start.cast("double").alias("_lo"), end.cast("double").alias("_hi"))
-    lo = both.select(*keys, F.col("_lo").alias("_at"), F.lit(START).alias("_what"), "_row", "_id", *void)
-    hi = both.select(*keys, F.col("_hi").alias("_at"), F.lit(END).alias("_what"), F.lit(None).cast(nothing).alias("_row"), "_id", *void)
-    d = p.unionByName(lo).unionByName(hi).withColumn("_slice", F.floor(F.col("_at") / F.lit(float(width))).cast("long"))
+    side = lambda c, what, row: F.struct(F.col(c).alias("_at"), F.lit(what).alias("_what"), row.alias("_row"))
+    both = both.select(*keys, "_id", F.inline(F.array(side("_lo", START, F.col("_row")), side("_hi", END, F.lit(None).cast(nothing)))))
+    d = p.unionByName(both.select(*keys, "_at", "_what", "_row", "_id", *void)).withColumn("_slice", F.floor(F.col("_at") / F.lit(float(width))).cast("long"))
     is_point = F.col("_what") == POINT
     ties = [f"_e{i}" for i in range(len(ends))]  # of points at the same place the least is first
     order = W.partitionBy(*keys, "_slice").orderBy("_at", "_what", *ties)
@@ -99,16 +99,15 @@ def range_totals(
     value = lambda i: F.when(is_point, F.struct(F.col(f"_e{i}").alias("v")))
     local += [F.last(value(i), ignorenulls=True).over(upto).alias(f"_ll{i}") for i in range(len(ends))]
     local += [F.first(value(i), ignorenulls=True).over(after).alias(f"_lf{i}") for i in range(len(ends))]
-    bounds = d.select(*keys, "_slice", "_at", "_what", "_row", "_id", *local).filter(~is_point)
-    here = F.struct("_at", *ties)
-    per = d.filter(is_point).groupBy(*keys, "_slice").agg(
-        F.count(F.lit(1)).alias("_tn"), *[F.sum(f"_s{i}").cast(EXACT).alias(f"_ts{i}") for i in range(len(sums))],
-        *[f(F.struct(F.col(f"_e{i}").alias("v")), here).alias(n) for i in range(len(ends)) for f, n in ((F.max_by, f"_tl{i}"), (F.min_by, f"_tf{i}"))],
+    edge = [F.lag("_what").over(order).isNull().alias("_opens"), F.lead("_what").over(order).isNull().alias("_closes")]
+    # the ends of intervals, and the first and last row of each slice: all that is read from here on
+    d = cut(d.select(*keys, "_slice", "_at", "_what", "_row", "_id", *local, *edge).filter(~is_point | F.col("_opens") | F.col("_closes")))
+    bounds, same = d.filter(~is_point), [*keys, "_slice"]
+    closing = lambda c: F.max(F.when(F.col("_closes"), F.col(c)))
+    per = d.filter(F.col("_slice").isNotNull() & (F.col("_opens") | F.col("_closes"))).groupBy(*same).agg(
+        closing("_n").alias("_tn"), *[closing(f"_ls{i}").cast(EXACT).alias(f"_ts{i}") for i in range(len(sums))],
+        *[closing(f"_ll{i}").alias(f"_tl{i}") for i in range(len(ends))], *[F.max(F.when(F.col("_opens"), F.col(f"_lf{i}"))).alias(f"_tf{i}") for i in range(len(ends))],
     )
-    # slices in which only intervals end have totals too: those of the slices before them
-    every = bounds.select(*keys, "_slice").unionByName(per.select(*keys, "_slice")).distinct()
-    same = [*keys, "_slice"]
-    per = join_on(every.filter(F.col("_slice").isNotNull()), per, same, "left")
     w = W.partitionBy(*keys).orderBy("_slice")
     before, behind = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
     per = per.select(

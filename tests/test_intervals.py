@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from chronotrace.operators import frames as fr, intervals as iv, metrics as m, signals as sg
@@ -144,3 +145,30 @@ def test_range_totals_of_nothing(spark):
     assert (r.n, r.sx) == (0, None)
     assert iv.range_totals(i.filter("false"), p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 5.0).count() == 0
     assert iv.range_maxima(i, p, ("k",), ("id",), "t", F.col("lo"), F.col("hi"), 5.0, "x", "m").first().m is None
+
+
+@pytest.mark.parametrize("block", [1, 4, 64])
+def test_painting_by_brute_force(spark, monkeypatch, block):
+    """Pieces of all lengths over blocks of few frames: constants over many whole blocks, and slopes."""
+    monkeypatch.setattr(fr, "EXPAND_BLOCK", block)
+    r = np.random.default_rng(block)
+    ps = [(int(r.integers(0, 3)), int(a), int(a + n), float(np.round(r.random(), 3)), float(s)) for a, n, s in zip(r.integers(-5, 150, 60), r.choice([0, 1, 3, 20, 90, 200], 60), r.choice([0.0, 0.0, 0.01, -0.02], 60))]
+    pieces = spark.createDataFrame(ps, "video_id long, lo long, hi long, v double, slope double")
+    spine = fr.frame_spine(spark.createDataFrame([(0, 150), (1, 3), (2, 64), (3, 5)], "video_id long, total_frames long"))
+    got = {(x.video_id, x.frame_idx): x.score for x in fr.paint_largest(spine, pieces).collect()}
+    assert len(got) == 150 + 3 + 64 + 5
+    for (v, f), score in got.items():
+        hit = [q + s * (f - lo) for k, lo, hi, q, s in ps if k == v and lo <= f < hi]
+        assert (score is None and not hit) or abs(score - max(hit)) < 1e-12
+    none = fr.paint_largest(spine, pieces.filter("false")).collect()
+    assert len(none) == len(got) and all(x.score is None for x in none)
+
+
+def test_rows_moved_do_not_grow_with_interval_length(spark, monkeypatch):
+    monkeypatch.setattr(fr, "EXPAND_BLOCK", 4)
+    long = spark.createDataFrame([(0, 1, 4 * 10**6, 0.5, 0.0)], "video_id long, lo long, hi long, v double, slope double")
+    seen = []
+    keep = fr.cut
+    monkeypatch.setattr(fr, "cut", lambda d: seen.append(d.count()) or keep(d).limit(0))
+    fr.paint_largest(fr.frame_spine(spark.createDataFrame([(0, 9)], "video_id long, total_frames long")), long).count()
+    assert seen[0] < 50
