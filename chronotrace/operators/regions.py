@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronotrace.functions.boxes import box_iou
 from chronotrace.functions.text import errors_of
 from chronotrace.params import BoxFusionParams
+from chronotrace.session import cut
 
 # Upper bounds and names of energy levels (text reports, painted labels).
 ENERGY_LEVELS = [(0.05, "very low"), (0.15, "low"), (0.35, "moderate"), (0.60, "elevated"), (0.85, "high"), (1.01, "very high (surge)")]
@@ -107,29 +107,49 @@ def compact_results(verdicts: DataFrame) -> DataFrame:
     return g.select("video_id", F.when(F.col("_a"), "Anomaly Detected").otherwise("Normal").alias("status"), "n_segments", F.lit("N/A").alias("cinematic_filter"))
 
 
-def fuse_boxes(motion: DataFrame, detected: DataFrame, keys: tuple[str, ...], p: BoxFusionParams = BoxFusionParams()) -> DataFrame:
-    """Greedy one-to-one match of motion and detector boxes of a frame, best overlap first.
+def _on_grid(boxes: DataFrame, keys: tuple[str, ...], tag: str, cell: float) -> DataFrame:
+    """Each box in every cell of a uniform grid that it touches."""
+    c = lambda v: F.floor(v / F.lit(float(cell))).cast("long")
+    span = lambda at, size: F.sequence(c(F.col(at)), c(F.col(at) + F.greatest(F.col(size), F.lit(0))))
+    g = boxes.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull())
+    g = g.select("*", F.explode(span("x", "w")).alias("_cx")).select("*", F.explode(span("y", "h")).alias("_cy"))
+    return g.select(*keys, "_cx", "_cy", F.col("region_idx").alias(f"{tag}i"), *[F.col(n).alias(f"{tag}{n}") for n in "xywh"])
 
-    Pairs come from an equi-join on the frame and stay only at or above the merge threshold;
-    the greedy step sees the pairs of one frame at a time, which the detectors bound.
-    Unmatched boxes stay if confident or energetic enough.
+
+def overlapping_boxes(motion: DataFrame, detected: DataFrame, keys: tuple[str, ...], least: float, cell: float = 64.0) -> DataFrame:
+    """``keys, mi, di, iou`` of the pairs of a frame that overlap by at least ``least`` > 0. Boxes meet in the
+    cells of a grid; a pair that shares several is kept in the one where their overlap begins."""
+    j = _on_grid(motion, keys, "m", cell).join(_on_grid(detected, keys, "d", cell), [*keys, "_cx", "_cy"])
+    owner = lambda a, b, at: F.floor(F.greatest(a, b) / F.lit(float(cell))).cast("long") == F.col(at)
+    j = j.filter(owner("mx", "dx", "_cx") & owner("my", "dy", "_cy"))
+    j = j.withColumn("iou", box_iou(*[F.col(f"m{n}") for n in "xywh"], *[F.col(f"d{n}") for n in "xywh"]))
+    return j.filter(F.col("iou") >= least).select(*keys, "mi", "di", "iou")
+
+
+def match_best_first(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The pairs that a greedy choice takes, best overlap first, then lower ``mi``, lower ``di``, each box once.
+
+    A pair that is the best of both its boxes is in the greedy choice whatever the others are. All such
+    pairs are taken at once and their boxes put aside, until no pair is left: a few rounds, without any
+    frame or group of boxes in one task.
     """
-    a = motion.select(*keys, F.col("region_idx").alias("mi"), *[F.col(c).alias(f"m{c}") for c in "xywh"], "energy")
-    b = detected.select(*keys, F.col("region_idx").alias("di"), *[F.col(c).alias(f"d{c}") for c in "xywh"])
-    pr = a.join(b, list(keys)).withColumn("iou", box_iou(*[F.col(f"m{c}") for c in "xywh"], *[F.col(f"d{c}") for c in "xywh"]))
-    pr = pr.filter(F.col("iou") >= p.merge_iou).select(*keys, "mi", "di", "iou")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "mi", "di"], ascending=[False, True, True])
-        used_m, used_d, keep = set(), set(), np.zeros(len(pdf), dtype=bool)
-        for i, (m, d) in enumerate(zip(pdf["mi"], pdf["di"])):
-            if m not in used_m and d not in used_d:
-                used_m.add(m)
-                used_d.add(d)
-                keep[i] = True
-        return pdf[keep]
-
-    matched = pr.groupBy(*keys).applyInPandas(greedy, pr.schema)
+    rank = F.struct((-F.col("iou")).alias("i"), "mi", "di")
+    left, taken = cut(pairs), None
+    while not left.isEmpty():
+        best = lambda box: F.min("_r").over(W.partitionBy(*keys, box))
+        r = left.withColumn("_r", rank).withColumn("_m", best("mi")).withColumn("_d", best("di"))
+        now = cut(r.filter((F.col("_r") == F.col("_m")) & (F.col("_r") == F.col("_d"))).select(*pairs.columns))
+        taken = now if taken is None else taken.unionByName(now)
+        for box in ("mi", "di"):
+            left = left.join(now.select(*keys, box), [*keys, box], "left_anti")
+        left = cut(left.select(*pairs.columns))
+    return pairs.limit(0) if taken is None else taken
+
+
+def fuse_boxes(motion: DataFrame, detected: DataFrame, keys: tuple[str, ...], p: BoxFusionParams = BoxFusionParams(), cell: float = 64.0) -> DataFrame:
+    """Greedy one-to-one match of motion and detector boxes of a frame, best overlap first, at or above the
+    merge threshold. Unmatched boxes stay if confident or energetic enough; boxes without a place match none."""
+    matched = match_best_first(overlapping_boxes(motion, detected, keys, p.merge_iou, cell), keys)
     d_all = detected.select(*keys, F.col("region_idx").alias("di"), *"xywh", "class_name", "confidence")
     m_all = motion.select(*keys, F.col("region_idx").alias("mi"), *"xywh", "energy")
     hit_d = d_all.join(matched.select(*keys, "mi", "di"), [*keys, "di"], "left").join(m_all.select(*keys, "mi", "energy"), [*keys, "mi"], "left")

@@ -131,7 +131,17 @@ def online(spark, d):
     return st.adaptive_sampling(_intervals(spark, d), SECOND_LANE, "iv", 12).groupBy("video_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("j21_box_fusion")
+@query("j21_box_fusion", """WITH RECURSIVE a AS (SELECT video_id, frame_idx // 60 AS cell, event_id AS mi, x, y, w, h, energy FROM obs WHERE k % 2 = 0),
+b AS (SELECT video_id, frame_idx // 60 AS cell, event_id AS di, (event_id - 1) * 37 % 600 AS x, (event_id - 1) * 53 % 400 AS y, w, h, action AS class_name, danger AS confidence FROM obs WHERE k % 2 = 1),
+o AS (SELECT a.video_id, a.cell, mi, di, CAST(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS DOUBLE) AS shared, a.w * a.h + b.w * b.h AS area FROM a JOIN b ON a.video_id = b.video_id AND a.cell = b.cell),
+pr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, cell ORDER BY shared / (area - shared) DESC, mi, di) AS i FROM o WHERE area > shared AND shared / (area - shared) >= 0.3),
+g AS (SELECT video_id, cell, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ms, CAST([] AS BIGINT[]) AS ds FROM (SELECT DISTINCT video_id, cell FROM pr)
+ UNION ALL SELECT g.video_id, g.cell, pr.i, CASE WHEN list_contains(ms, mi) OR list_contains(ds, di) THEN ms ELSE list_append(ms, mi) END, CASE WHEN list_contains(ms, mi) OR list_contains(ds, di) THEN ds ELSE list_append(ds, di) END
+ FROM g JOIN pr ON pr.video_id = g.video_id AND pr.cell = g.cell AND pr.i = g.i + 1),
+f AS (SELECT video_id, cell, unnest(ms) AS mi, unnest(ds) AS di FROM (SELECT video_id, cell, max_by(ms, i) AS ms, max_by(ds, i) AS ds FROM g GROUP BY ALL))
+SELECT b.video_id, b.cell, b.x, b.y, b.w, b.h, coalesce(a.energy, 0.0) AS energy, class_name, confidence, CASE WHEN f.mi IS NOT NULL THEN 'fused' ELSE 'yolo' END AS source
+ FROM b LEFT JOIN f ON f.video_id = b.video_id AND f.cell = b.cell AND f.di = b.di LEFT JOIN a ON a.video_id = f.video_id AND a.cell = f.cell AND a.mi = f.mi WHERE f.mi IS NOT NULL OR confidence >= 0.2
+UNION ALL SELECT video_id, cell, x, y, w, h, energy, '', 0.0, 'motion' FROM a WHERE energy >= 0.04 AND NOT EXISTS (SELECT 1 FROM f WHERE f.video_id = a.video_id AND f.cell = a.cell AND f.mi = a.mi)""", "obs")
 def box_fusion(spark, d):
     o = v.obs(spark, d).withColumn("cell", F.floor(c("frame_idx") / 60).cast("long"))
     m = o.filter("k % 2 = 0").select("video_id", "cell", c("event_id").alias("region_idx"), *"xywh", "energy")

@@ -213,6 +213,38 @@ def test_box_fusion(spark):
     assert got == {("fused", 1, 0.4, "person"), ("yolo", 50, 0.0, "bag"), ("motion", 0, 0.5, "")}
 
 
+@pytest.mark.parametrize("cell", [8.0, 50.0, 1000.0])
+def test_box_fusion_by_brute_force(spark, cell):
+    from chronotrace.operators import regions as rg
+
+    r = np.random.default_rng(2)
+    box = lambda: [int(v) for v in (*r.integers(0, 60, 2), *r.integers(0, 25, 2))]
+    ms = [(f, i, *box(), 0.5) for f in range(4) for i in range(30)] + [(1, 99, None, 1, 5, 5, 0.5)]
+    ds = [(f, i, *box(), "person", 0.9) for f in range(4) for i in range(25)] + [(2, 77, 0, 0, 5, None, "car", 0.9)]
+    m = spark.createDataFrame(ms, "f long, region_idx long, x long, y long, w long, h long, energy double")
+    d = spark.createDataFrame(ds, "f long, region_idx long, x long, y long, w long, h long, class_name string, confidence double")
+
+    def iou(a, b):
+        if None in a or None in b:
+            return 0.0
+        i = max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+        u = a[2] * a[3] + b[2] * b[3] - i
+        return i / u if u > 0 else 0.0
+
+    want = set()
+    for f in range(4):
+        pairs = sorted((-iou(a[2:6], b[2:6]), a[1], b[1]) for a in ms for b in ds if a[0] == b[0] == f and iou(a[2:6], b[2:6]) >= 0.1)
+        um, ud = set(), set()
+        for _, a, b in pairs:
+            if a not in um and b not in ud:
+                um.add(a)
+                ud.add(b)
+                want.add((f, a, b))
+    got = {(x.f, x.mi, x.di) for x in rg.match_best_first(rg.overlapping_boxes(m, d, ("f",), 0.1, cell), ("f",)).collect()}
+    assert got == want and len(want) > 20
+    assert rg.match_best_first(rg.overlapping_boxes(m.filter("false"), d, ("f",), 0.1), ("f",)).count() == 0
+
+
 def test_scorer_retries_and_falls_back(spark):
     def load():
         def fn(pdf):
