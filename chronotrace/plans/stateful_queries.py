@@ -47,12 +47,28 @@ def trigger_gateway(spark, d):
     return st.trigger_rows(_vec64(spark, d), v.ENTITY_LANE, NEVER).select("event_id", "rule")
 
 
-@query("st03_trigger_rules")
+@query("st03_trigger_rules", """WITH RECURSIVE o AS MATERIALIZED (SELECT video_id, entity_id, event_id, t, frame_idx AS f, CAST(vec AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY t, event_id) AS i FROM obs_vec),
+r AS (SELECT video_id, entity_id, i, event_id, 'birth' AS rule, CAST(1 AS DOUBLE) AS distance, f AS lf, t AS lt, x AS lx FROM o WHERE i = 1
+ UNION ALL SELECT video_id, entity_id, i, event_id, rule, d, CASE WHEN rule IS NULL THEN lf ELSE f END, CASE WHEN rule IS NULL THEN lt ELSE t END, CASE WHEN rule IS NULL THEN lx ELSE x END FROM (
+  SELECT *, CASE WHEN f - lf < 5 THEN NULL WHEN d > 0.22 THEN 'change_point' WHEN t - lt >= 3.0 THEN 'heartbeat' END AS rule FROM (
+   SELECT o.*, r.lf, r.lt, r.lx, 1 - list_inner_product(o.x, r.lx) AS d FROM r JOIN o ON o.video_id = r.video_id AND o.entity_id = r.entity_id AND o.i = r.i + 1)))
+SELECT event_id, rule, round(distance, 5) AS distance FROM r WHERE rule IS NOT NULL""", "obs_vec")
 def trigger_rules(spark, d):
     return st.trigger_rows(_vec64(spark, d), v.ENTITY_LANE).select("event_id", "rule", F.round("distance", 5).alias("distance"))
 
 
-@query("st04_silent_heartbeats")
+# Steps of an entity: its rows of a frame, then the end of every frame of the recording from its first on.
+@query("st04_silent_heartbeats", """WITH RECURSIVE fr AS (SELECT video_id, frame_idx AS f, max_by(t, (entity_id, event_id)) AS t FROM obs_vec GROUP BY ALL),
+st AS (SELECT v.video_id, v.entity_id, v.frame_idx AS f, fr.t, v.event_id, CAST(v.vec AS DOUBLE[]) AS x FROM obs_vec v JOIN fr ON fr.video_id = v.video_id AND fr.f = v.frame_idx
+ UNION ALL SELECT b.video_id, b.entity_id, fr.f, fr.t, NULL, NULL FROM (SELECT video_id, entity_id, min(frame_idx) AS f0 FROM obs_vec GROUP BY ALL) b JOIN fr ON fr.video_id = b.video_id AND fr.f >= b.f0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY f, event_id IS NULL, event_id) AS i FROM st),
+r AS (SELECT video_id, entity_id, i, f, t, false AS silent, 'birth' AS rule, CAST(1 AS DOUBLE) AS distance, f AS sf, x AS sx, f AS lf, t AS lt, x AS lx FROM o WHERE i = 1
+ UNION ALL SELECT video_id, entity_id, i, f, t, silent, rule, d, nf, nx, CASE WHEN rule IS NULL THEN lf ELSE f END, CASE WHEN rule IS NULL THEN lt ELSE t END, CASE WHEN rule IS NULL THEN lx ELSE nx END FROM (
+  SELECT *, CASE WHEN silent AND f - nf <= 150 AND t - lt >= 3.0 THEN 'heartbeat' WHEN silent OR f - lf < 5 THEN NULL WHEN d > 0.22 THEN 'change_point' WHEN t - lt >= 3.0 THEN 'heartbeat' END AS rule FROM (
+   SELECT *, 1 - list_inner_product(nx, lx) AS d FROM (
+    SELECT o.video_id, o.entity_id, o.i, o.f, o.t, o.x IS NULL AS silent, CASE WHEN o.x IS NULL THEN r.sf ELSE o.f END AS nf, CASE WHEN o.x IS NULL THEN r.sx ELSE o.x END AS nx, r.lf, r.lt, r.lx
+    FROM r JOIN o ON o.video_id = r.video_id AND o.entity_id = r.entity_id AND o.i = r.i + 1))))
+SELECT video_id, entity_id, f AS frame_idx, t, silent, round(distance, 5) AS distance, rule FROM r WHERE rule IS NOT NULL""", "obs_vec")
 def silent(spark, d):
     return st.triggers_with_silence(_vec64(spark, d)).withColumn("distance", F.round("distance", 5))
 
