@@ -58,7 +58,7 @@ def trigger_rules(spark, d):
 
 
 # Steps of an entity: its rows of a frame, then the end of every frame of the recording from its first on.
-@query("st04_silent_heartbeats", """WITH RECURSIVE fr AS (SELECT video_id, frame_idx AS f, max_by(t, (entity_id, event_id)) AS t FROM obs_vec GROUP BY ALL),
+SILENCE = """WITH RECURSIVE fr AS (SELECT video_id, frame_idx AS f, max_by(t, (entity_id, event_id)) AS t FROM obs_vec GROUP BY ALL),
 st AS (SELECT v.video_id, v.entity_id, v.frame_idx AS f, fr.t, v.event_id, CAST(v.vec AS DOUBLE[]) AS x FROM obs_vec v JOIN fr ON fr.video_id = v.video_id AND fr.f = v.frame_idx
  UNION ALL SELECT b.video_id, b.entity_id, fr.f, fr.t, NULL, NULL FROM (SELECT video_id, entity_id, min(frame_idx) AS f0 FROM obs_vec GROUP BY ALL) b JOIN fr ON fr.video_id = b.video_id AND fr.f >= b.f0),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id, entity_id ORDER BY f, event_id IS NULL, event_id) AS i FROM st),
@@ -67,8 +67,10 @@ r AS (SELECT video_id, entity_id, i, f, t, false AS silent, 'birth' AS rule, CAS
   SELECT *, CASE WHEN silent AND f - nf <= 150 AND t - lt >= 3.0 THEN 'heartbeat' WHEN silent OR f - lf < 5 THEN NULL WHEN d > 0.22 THEN 'change_point' WHEN t - lt >= 3.0 THEN 'heartbeat' END AS rule FROM (
    SELECT *, 1 - list_inner_product(nx, lx) AS d FROM (
     SELECT o.video_id, o.entity_id, o.i, o.f, o.t, o.x IS NULL AS silent, CASE WHEN o.x IS NULL THEN r.sf ELSE o.f END AS nf, CASE WHEN o.x IS NULL THEN r.sx ELSE o.x END AS nx, r.lf, r.lt, r.lx
-    FROM r JOIN o ON o.video_id = r.video_id AND o.entity_id = r.entity_id AND o.i = r.i + 1))))
-SELECT video_id, entity_id, f AS frame_idx, t, silent, round(distance, 5) AS distance, rule FROM r WHERE rule IS NOT NULL""", "obs_vec")
+    FROM r JOIN o ON o.video_id = r.video_id AND o.entity_id = r.entity_id AND o.i = r.i + 1))))"""
+
+
+@query("st04_silent_heartbeats", SILENCE + "\nSELECT video_id, entity_id, f AS frame_idx, t, silent, round(distance, 5) AS distance, rule FROM r WHERE rule IS NOT NULL", "obs_vec")
 def silent(spark, d):
     return st.triggers_with_silence(_vec64(spark, d)).withColumn("distance", F.round("distance", 5))
 
@@ -81,11 +83,14 @@ def pulse(spark, d):
     return pu.global_heartbeats(_vec64(spark, d), GlobalHeartbeatParams(drift=9.0)).select("event_id", "reason")
 
 
-@query("st05_global_heartbeat_drift", """WITH RECURSIVE o AS MATERIALIZED (SELECT video_id, event_id, t, CAST(vec AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM obs_vec),
+PULSES = """WITH RECURSIVE o AS MATERIALIZED (SELECT video_id, event_id, t, CAST(vec AS DOUBLE[]) AS x, row_number() OVER (PARTITION BY video_id ORDER BY t, event_id) AS i FROM obs_vec),
 r AS (SELECT video_id, i, event_id, t, CAST(0 AS DOUBLE) AS drift, true AS due, false AS moved, t AS last, x AS base FROM o WHERE i = 1
  UNION ALL SELECT video_id, i, event_id, t, drift, due, moved, CASE WHEN due OR moved THEN t ELSE last END, CASE WHEN moved THEN x ELSE base END FROM (
   SELECT o.*, 1 - list_inner_product(o.x, r.base) AS drift, o.t - r.last >= 4.0 AS due, 1 - list_inner_product(o.x, r.base) > 1.1 AS moved, r.last, r.base FROM r JOIN o ON o.video_id = r.video_id AND o.i = r.i + 1))
-SELECT video_id, t, event_id, CASE WHEN moved THEN 'drift' ELSE 'periodic' END AS reason, round(CASE WHEN i = 1 THEN 1 - list_inner_product(base, base) ELSE drift END, 5) AS drift FROM r WHERE due OR moved""", "obs_vec")
+SELECT video_id, t, event_id, CASE WHEN moved THEN 'drift' ELSE 'periodic' END AS reason, round(CASE WHEN i = 1 THEN 1 - list_inner_product(base, base) ELSE drift END, 5) AS drift FROM r WHERE due OR moved"""
+
+
+@query("st05_global_heartbeat_drift", PULSES, "obs_vec")
 def pulse_drift(spark, d):
     return pu.global_heartbeats(_vec64(spark, d), GlobalHeartbeatParams(drift=1.1)).withColumn("drift", F.round("drift", 5))
 
@@ -195,12 +200,15 @@ def trigger_stream(spark, d):
     return rt.run_split(so.stream_triggers(_vec_stream(spark, d), NEVER), "triggers")[0].select("event_id", "rule")
 
 
-@query("st04_silent_heartbeat_stream")
+# Frames are complete up to the last one that the watermark, an hour behind the newest row, has reached.
+@query("st04_silent_heartbeat_stream", SILENCE + """, mark AS (SELECT max(t) AS m FROM obs_vec),
+done AS (SELECT video_id, max(frame_idx) AS f FROM obs_vec, mark WHERE floor(t * 3600000) <= floor(m * 3600000) - 3600000 GROUP BY video_id)
+SELECT video_id, entity_id, round(t, 6) AS t FROM r JOIN done USING (video_id) WHERE rule IS NOT NULL AND silent AND r.f < done.f""", "obs_vec")
 def silent_stream(spark, d):
     return rt.run_available(so.stream_silence(_vec_stream(spark, d)), "silent").filter("silent").select("video_id", "entity_id", F.round("t", 6).alias("t"))
 
 
-@query("st05_global_heartbeat_stream")
+@query("st05_global_heartbeat_stream", PULSES, "obs_vec")
 def pulse_stream(spark, d):
     return rt.run_split(so.stream_global_heartbeats(_vec_stream(spark, d), GlobalHeartbeatParams(drift=1.1)), "pulses")[0].withColumn("drift", F.round("drift", 5))
 
