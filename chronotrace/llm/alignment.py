@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,16 @@ class PieceEncoder(dict):
         if len(self) > MEMO_WORDS:
             self.clear()
         new = list({w for t in texts if t and self._splits(t) for w in t.split(" ")}.difference(self))
-        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
-            self[word] = self._faithful(word, ids)
+        found = self.model.encode(new, num_threads=1)
+        flat, want = list(chain.from_iterable(found)), [b" " + w.encode() for w in new]
+        raw, at = np.array(flat, "<u4").tobytes(), _starts(np.array([4 * len(ids) for ids in found], np.int64)).tolist()
+        spelled = np.array([len(p) for p in self.pieces], np.int64)[flat] if flat else np.zeros(0, np.int64)
+        lengths = np.diff(_starts(spelled)[[k // 4 for k in at]])
+        # all words at once; one by one only where some word is not spelled back
+        if (lengths == [len(w) for w in want]).all() and b"".join(map(self.pieces.__getitem__, flat)) == b"".join(want):
+            self.update((w, raw[i:j]) for w, i, j in zip(new, at, at[1:]))
+        else:
+            self.update((w, self._faithful(w, ids)) for w, ids in zip(new, found))
 
     def ids(self, text: str) -> bytes | None:
         """Ids of a text whose words are learned; None where they do not spell it."""
