@@ -8,10 +8,7 @@ from oracle_check import compare, connect
 from chronotrace.plans.catalog import ORACLES, QUERIES
 
 #: Beyond SQL here; brute-force tests cover their operators.
-UNCHECKED = {
-    "s10_file_listing", "f16_template_alignment", "f17_best_template", "f18_narrative_text", "st01_entity_tracker", "st02_reidentification", "st03_trigger_rules",
-    "st04_silent_heartbeats", "st05_global_heartbeat_drift", "j21_box_fusion", "st04_silent_heartbeat_stream", "st05_global_heartbeat_stream", "x03_user_templates",
-}
+UNCHECKED = {"s10_file_listing", "st01_entity_tracker", "st02_reidentification"}
 NAMES = list(QUERIES) if os.environ.get("CHRONOTRACE_ALL") else list(QUERIES)[::6]
 
 
