@@ -238,7 +238,7 @@ def tumbling(spark, d):
 
 @query("st12_sliding_stream", "WITH w AS (SELECT 1704067200 + i * 6 * 3600 AS start_s, video_id, count(*) AS n FROM obs, range(120) r(i) WHERE t >= i * 6 AND t < i * 6 + 8 GROUP BY ALL), m AS (SELECT max(t) AS mx FROM obs) SELECT start_s, video_id, n FROM w, m WHERE start_s + 8 * 3600 <= 1704067200 + mx * 3600 - 3600", "obs")
 def sliding(spark, d):
-    return rt.run_available(so.sliding_bins(_obs_stream(spark, d), "8 hours", "6 hours", "1 hour"), "sliding")
+    return rt.run_available(so.sliding_bins(_obs_stream(spark, d), "8 hours", "6 hours", "1 hour", v.EPOCH_US // 1_000_000), "sliding")
 
 
 @query("st13_gap_sessions", """WITH b AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY video_id ORDER BY t, event_id) < 3.0 THEN 0 ELSE 1 END AS nb FROM obs WHERE danger >= 0.45), g AS (SELECT *, sum(nb) OVER (PARTITION BY video_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b), m AS (SELECT max(t) AS mx FROM b)

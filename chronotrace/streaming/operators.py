@@ -43,9 +43,6 @@ def stream_triggers(obs: DataFrame, p: TriggerParams = TriggerParams(), keep_ms:
     return in_order(obs.select("video_id", "entity_id", "event_id", "t", "frame_idx", "vec"), ("video_id", "entity_id"), rule, keep_ms=keep_ms)
 
 
-EPOCH_MS = 1704067200000
-
-
 def stream_silence(obs: DataFrame, p: TriggerParams = TriggerParams(), max_age: int = 150, delay: str = "1 hour") -> DataFrame:
     """Sampled rows and samples of silent entities, as ``triggers_with_silence`` gives them.
 
@@ -166,10 +163,12 @@ def tumbling_bins(obs: DataFrame, width: str, delay: str) -> DataFrame:
     return g.agg(F.count(F.lit(1)).alias("n"), F.max("danger").alias("max_danger")).select(F.unix_seconds("window.start").alias("start_s"), "video_id", "n", "max_danger")
 
 
-def sliding_bins(obs: DataFrame, width: str, step: str, delay: str) -> DataFrame:
-    """Overlapping windows; windows that begin before the recording clock starts are left out."""
+def sliding_bins(obs: DataFrame, width: str, step: str, delay: str, since: int | None = None) -> DataFrame:
+    """Overlapping windows; with ``since``, the second at which the recording clock starts, those that begin
+    before it are left out."""
     g = obs.withWatermark("ts", delay).groupBy(F.window("ts", width, step), "video_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.unix_seconds("window.start").alias("start_s"), "video_id", "n").filter(F.col("start_s") >= EPOCH_MS // 1000)
+    g = g.select(F.unix_seconds("window.start").alias("start_s"), "video_id", "n")
+    return g if since is None else g.filter(F.col("start_s") >= since)
 
 
 def gap_sessions(obs: DataFrame, gap: str, delay: str) -> DataFrame:
