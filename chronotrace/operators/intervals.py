@@ -56,6 +56,13 @@ START, POINT, END = 0, 1, 2
 EXACT = "decimal(38,18)"
 
 
+def _next_value(column: str, keys: tuple[str, ...], order: tuple[str, ...]) -> Column:
+    """The next value that is not null. A frame to the end of the partition would be read anew for each row."""
+    name = lambda c: f"`{c}`"
+    part = f"PARTITION BY {', '.join(map(name, keys))} " if keys else ""
+    return F.expr(f"lead({name(column)}) IGNORE NULLS OVER ({part}ORDER BY {', '.join(map(name, order))})")
+
+
 def range_totals(
     intervals: DataFrame,
     points: DataFrame,
@@ -93,12 +100,13 @@ def range_totals(
     is_point = F.col("_what") == POINT
     ties = [f"_e{i}" for i in range(len(ends))]  # of points at the same place the least is first
     order = W.partitionBy(*keys, "_slice").orderBy("_at", "_what", *ties)
-    upto, after = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
     local = [F.count(F.when(is_point, 1)).over(upto).alias("_n")]
     local += [F.sum(f"_s{i}").over(upto).alias(f"_ls{i}") for i in range(len(sums))]
     value = lambda i: F.when(is_point, F.struct(F.col(f"_e{i}").alias("v")))
     local += [F.last(value(i), ignorenulls=True).over(upto).alias(f"_ll{i}") for i in range(len(ends))]
-    local += [F.first(value(i), ignorenulls=True).over(after).alias(f"_lf{i}") for i in range(len(ends))]
+    d = d.select("*", *[value(i).alias(f"_v{i}") for i in range(len(ends))])
+    local += [F.coalesce(f"_v{i}", _next_value(f"_v{i}", (*keys, "_slice"), ("_at", "_what", *ties))).alias(f"_lf{i}") for i in range(len(ends))]
     edge = [F.lag("_what").over(order).isNull().alias("_opens"), F.lead("_what").over(order).isNull().alias("_closes")]
     # the ends of intervals, and the first and last row of each slice: all that is read from here on
     d = cut(d.select(*keys, "_slice", "_at", "_what", "_row", "_id", *local, *edge).filter(~is_point | F.col("_opens") | F.col("_closes")))
@@ -109,10 +117,10 @@ def range_totals(
         *[closing(f"_ll{i}").alias(f"_tl{i}") for i in range(len(ends))], *[F.max(F.when(F.col("_opens"), F.col(f"_lf{i}"))).alias(f"_tf{i}") for i in range(len(ends))],
     )
     w = W.partitionBy(*keys).orderBy("_slice")
-    before, behind = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    before = w.rowsBetween(W.unboundedPreceding, -1)
     per = per.select(
         *same, F.coalesce(F.sum("_tn").over(before), F.lit(0)).alias("_bn"), *[F.coalesce(F.sum(f"_ts{i}").over(before), F.lit(0).cast(EXACT)).cast(EXACT).alias(f"_bs{i}") for i in range(len(sums))],
-        *[F.last(f"_tl{i}", ignorenulls=True).over(before).alias(f"_bl{i}") for i in range(len(ends))], *[F.first(f"_tf{i}", ignorenulls=True).over(behind).alias(f"_bf{i}") for i in range(len(ends))],
+        *[F.last(f"_tl{i}", ignorenulls=True).over(before).alias(f"_bl{i}") for i in range(len(ends))], *[_next_value(f"_tf{i}", keys, ("_slice",)).alias(f"_bf{i}") for i in range(len(ends))],
     )
     j = join_on(bounds, per, same, "left")
     at = lambda what, c: F.max(F.when(F.col("_what") == what, c))
